@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, tokenfile, winnow
+from . import decontaminate, langid, lm, ngramjoin, packing, tokenfile, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,15 +20,27 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_with_edits(_read(spark, sf_dir, "documents"))
 
 
+def op4_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.digest(lm.score_held_out(_read(spark, sf_dir, "documents")))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(_read(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(langid.identify(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digest(tokenfile.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_fingerprint, op6_pack, op9_token_file)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_fingerprint, op4_perplexity, op6_pack, op7_jaccard_join, op8_language, op9_token_file)}
 
 SQL: dict[str, str] = {}
 
@@ -46,3 +58,19 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+SQL["op7_jaccard_join"] = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM d),
+one AS MATERIALIZED (SELECT min(doc_id) AS rep, list_sort(s) AS k, len(s) AS n FROM sh WHERE len(s) > 0 GROUP BY list_sort(s), len(s)),
+ex AS MATERIALIZED (SELECT rep, n, unnest(k) AS g FROM one),
+often AS MATERIALIZED (SELECT g FROM ex GROUP BY g HAVING count(*) > 1),
+both_ AS MATERIALIZED (SELECT a.rep AS u, b.rep AS v, count(*) AS i, any_value(a.n) AS x, any_value(b.n) AS y
+        FROM ex a JOIN often USING (g) JOIN ex b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+link AS MATERIALIZED (SELECT u, v FROM both_ WHERE 100 * i >= 80 * (x + y - i) UNION ALL SELECT v, u FROM both_ WHERE 100 * i >= 80 * (x + y - i)),
+reach AS (SELECT rep AS node, rep AS to_ FROM one UNION SELECT reach.node, link.v FROM reach JOIN link ON reach.to_ = link.u),
+comp AS (SELECT node, min(to_) AS c FROM reach GROUP BY node)
+SELECT sh.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(c, sh.doc_id) AS component_id
+FROM sh LEFT JOIN one ON list_sort(s) = k LEFT JOIN comp ON comp.node = one.rep
+"""

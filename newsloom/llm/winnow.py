@@ -13,6 +13,7 @@ Likeness of two texts: the share of their distinct hashes that both have; 1 for
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,10 +92,10 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = K, window: int =
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
-    def udf(s):
+    def of(s: pd.Series) -> pd.Series:
         return s.map(lambda x: written(*winnow(x or "", k, window)))
 
-    return docs.withColumn(into, udf(F.col(text)))
+    return docs.withColumn(into, of(F.col(text)))
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,8 +112,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     bounds = spark.sparkContext.broadcast(np.array(cuts, np.float64).astype(np.int64))
 
     @F.pandas_udf("int")
-    def place(s):
-        return s.__class__(len(bounds.value) - np.searchsorted(bounds.value, s.to_numpy(np.int64), "right"), dtype=np.int32)
+    def place(s: pd.Series) -> pd.Series:
+        return pd.Series(len(bounds.value) - np.searchsorted(bounds.value, s.to_numpy(np.int64), "right"), dtype=np.int32)
 
     # 0 has the largest ids; nulls follow the smallest
     bucket = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(place(F.coalesce("doc_id", F.lit(0).cast("long"))))
