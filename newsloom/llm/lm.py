@@ -291,7 +291,7 @@ def train(docs: DataFrame, use: Column | None = None, text: str = "text") -> Mod
         ctx = v[at]
         where = (ctx % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")
-        out.append(_send(where[order], buckets, {"a": ctx[order], "b": by[order], "n": ctx[:0]}, 1))
+        out.append(_send(where[order], buckets, {"a": ctx[order], "b": by[order].astype("<u4"), "n": ctx[:0]}, 1))
         ends, contexts = np.unique(w, return_counts=True)
         where = (ends % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")
