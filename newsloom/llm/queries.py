@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, lm, ngramjoin, packing, tokenfile, winnow
+from . import chat, decontaminate, importance, langid, licenses, lm, ngramjoin, packing, tokenfile, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,20 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_with_edits(_read(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, 'user' AS role, '{said}' AS text UNION ALL SELECT CAST(-7 AS BIGINT), CAST(1 AS BIGINT), 'assistant', '{said}'")
+    return chat.digest(chat.chat(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)))
+
+
 def op4_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.digest(lm.score_held_out(_read(spark, sf_dir, "documents")))
 
 
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -40,7 +50,11 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digest(tokenfile.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_fingerprint, op4_perplexity, op6_pack, op7_jaccard_join, op8_language, op9_token_file)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_fingerprint, op3_chat, op4_perplexity, op5_importance, op6_pack, op7_jaccard_join, op8_language, op9_token_file, op10_licenses)}
 
 SQL: dict[str, str] = {}
 
@@ -74,3 +88,18 @@ comp AS (SELECT node, min(to_) AS c FROM reach GROUP BY node)
 SELECT sh.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(c, sh.doc_id) AS component_id
 FROM sh LEFT JOIN one ON list_sort(s) = k LEFT JOIN comp ON comp.node = one.rep
 """
+
+SQL["op10_licenses"] = licenses.oracle()
+
+SQL["op3_chat"] = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(regexp_replace(role, '(<\\*)(/?s>)', '\1\\\2', 'g'), '(\[\\*)(/?INST\])', '\1\\\2', 'g') AS er,
+             regexp_replace(regexp_replace(text, '(<\\*)(/?s>)', '\1\\\2', 'g'), '(\[\\*)(/?INST\])', '\1\\\2', 'g') AS et FROM r)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(10 + length(er) + 9 + length(et) + 5) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
