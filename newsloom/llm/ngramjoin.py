@@ -6,11 +6,11 @@ the join is between classes.
 
 1. One scan gives each document's class and counts of shingles that are frequent somewhere. At most FREQUENT
    shingles can exceed the share that makes a shingle count as frequent, which bounds what is broadcast.
-2. A class's prefix is its first n - ceil(s n) + 1 shingles; two classes that link share at least
-   ceil(s / (1 + s) * (a + b)) - max(ceil(s a), ceil(s b)) + 1 of their prefixes' shingles. Prefixes go to buckets of shingles as packed
+2. A class's prefix is its first n - ceil(s n) + 1 shingles; two classes that link share one. Prefixes go to buckets of shingles as packed
    arrays. Shingles of one class end there. Up to SMALL classes with a shingle give pairs, at most SMALL / 2 rows a class,
-   which are counted; more are only tied to the least of them. Pairs with enough shared shingles and such ties make
-   families: whatever links is in one family.
+   whose shared shingles are counted; more are only tied to the least of them. After the last shared shingle of their prefixes,
+   the one whose prefix ends first has only what follows its prefix, and the other at most what follows that shingle: a pair whose
+   overlap can't reach the bound so is dropped. Other pairs and the ties make families: whatever links is in one family.
 3. Each set goes once to its family's task, which stores them in a trie and runs every set down it, sharing the
    overlap of common beginnings and leaving subtrees whose remaining lengths can't reach the bound. Sets that are
    already connected aren't compared. Families of more than CELL shingles are cut by set size into blocks,
@@ -205,8 +205,9 @@ def forest(sets: list[np.ndarray], side: np.ndarray, s: tuple[int, int]) -> list
     return out
 
 
-def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, s) -> tuple[dict, np.ndarray]:
-    """From sorted entries of shingle and class: counted pairs, and ties (class, least class)."""
+def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, at_: np.ndarray, s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From sorted entries of shingle, class, its size and the shingle's place in it: pairs of classes, what they have
+    (shared shingles, sizes, last shared places), and ties (class, least class)."""
     first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
     count = np.diff(np.append(first, len(t)))
     found = []
@@ -220,15 +221,17 @@ def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, s) -> tuple[dict, np.
             rows = at[k : k + step, None]
             a, b = (rows + i).ravel(), (rows + j).ravel()
             ok = s[1] * np.minimum(n[a], n[b]) >= s[0] * np.maximum(n[a], n[b])
-            found.append(np.stack([u[a[ok]], u[b[ok]], n[a[ok]].astype(np.uint64), n[b[ok]].astype(np.uint64)], 1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 4), np.uint64)
+            found.append(np.stack([u[a[ok]], u[b[ok]], *(x.astype(np.uint64) for x in (n[a[ok]], n[b[ok]], at_[a[ok]], at_[b[ok]]))], 1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 6), np.uint64)
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     pairs = pairs[order]
     new = np.flatnonzero(np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(1))) if len(pairs) else np.zeros(0, np.int64)
     hot = np.repeat(count > SMALL, count)
     least = np.repeat(np.minimum.reduceat(u, first) if len(first) else u, count)
     ties = np.unique(np.stack([u[hot], least[hot]], 1), axis=0)
-    return {"p": pairs[new], "c": np.diff(np.append(new, len(pairs)))}, ties
+    last = [np.maximum.reduceat(pairs[:, i], new) if len(new) else pairs[:, i] for i in (4, 5)]
+    has = np.stack([np.diff(np.append(new, len(pairs))), *(x.astype(np.int64) for x in (pairs[new, 2], pairs[new, 3], *last))], 1)
+    return pairs[new, :2], has, ties
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -282,15 +285,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
     def prefixes(batches):
         def flush(parts):
-            t, u, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            t, u, n, r = (np.concatenate([p[i] for p in parts]) for i in range(4))
             where = (bw.mix(t) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((u, t, where))
-            t, u, n, where = t[order], u[order], n[order], where[order]
+            t, u, n, r, where = t[order], u[order], n[order], r[order], where[order]
             keep = np.append(True, (t[1:] != t[:-1]) | (u[1:] != u[:-1]))
-            t, u, n, where = t[keep], u[keep], n[keep], where[keep]
+            t, u, n, r, where = t[keep], u[keep], n[keep], r[keep], where[keep]
             edge = np.searchsorted(where, np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(edge))
-            return pa.RecordBatch.from_arrays([pa.array(full), *(pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary()) for x in (t, u, n.astype("<u4")))], ["bucket", "t", "u", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(full), *(pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary()) for x in (t, u, n.astype("<u4"), r.astype("<u4")))], ["bucket", "t", "u", "n", "r"])
 
         parts, held = [], 0
         for b in bw.chunks(batches, "text"):
@@ -300,8 +303,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             g = ordered(g)
             order = np.lexsort((g, who))
             g = g[order]
-            take = np.arange(len(g)) - first[:-1][who] < (n - _own(n, s) + 1)[who]
-            parts.append((g[take], c[who[take]], n[who[take]]))
+            place = np.arange(len(g)) - first[:-1][who]
+            take = place < (n - _own(n, s) + 1)[who]
+            parts.append((g[take], c[who[take]], n[who[take]], place[take]))
             held += int(take.sum())
             if held > FLUSH:
                 yield flush(parts)
@@ -311,22 +315,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
     def meet(key, table):
         t, u = (np.concatenate([np.frombuffer(x, "<u8") for x in table[c].to_pylist()]) for c in ("t", "u"))
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in table["n"].to_pylist()]).astype(np.int64)
+        n, r = (np.concatenate([np.frombuffer(x, "<u4") for x in table[c].to_pylist()]).astype(np.int64) for c in ("n", "r"))
         order = np.lexsort((u, t))
-        t, u, n = t[order], u[order], n[order]
+        t, u, n, r = t[order], u[order], n[order], r[order]
         keep = np.append(True, (t[1:] != t[:-1]) | (u[1:] != u[:-1]))
-        got, ties = _pairs_of(t[keep], u[keep], n[keep], s)
-        p = got["p"]
-        cols = [np.concatenate([p[:, 0], ties[:, 0]]).view(np.int64), np.concatenate([p[:, 1], ties[:, 1]]).view(np.int64)]
+        p, has, ties = _pairs_of(t[keep], u[keep], n[keep], r[keep], s)
+        both = np.concatenate([p, ties]).view(np.int64)
+        has = np.concatenate([has, np.zeros((len(ties), 5), np.int64)])
         tie = np.concatenate([np.zeros(len(p), np.int64), np.ones(len(ties), np.int64)])
-        both = [np.concatenate([p[:, i].astype(np.int64), np.zeros(len(ties), np.int64)]) for i in (2, 3)]
-        return pa.table([pa.array(x) for x in (*cols, np.concatenate([got["c"], np.zeros(len(ties), np.int64)]), *both, tie)], names=["u", "v", "c", "a", "b", "tie"])
+        return pa.table([pa.array(np.ascontiguousarray(x)) for x in (both[:, 0], both[:, 1], *has.T, tie)], names=["u", "v", "c", "a", "b", "ra", "rb", "tie"])
 
     filled = base.where("doc_id is not null")
-    met = filled.mapInArrow(prefixes, "bucket long, t binary, u binary, n binary").groupBy("bucket").applyInArrow(meet, "u long, v long, c long, a long, b long, tie long")
+    met = filled.mapInArrow(prefixes, "bucket long, t binary, u binary, n binary, r binary").groupBy("bucket").applyInArrow(meet, "u long, v long, c long, a long, b long, ra long, rb long, tie long")
     p, q = s
-    least_shared = F.expr(f"ceil({p} * (a + b) / {p + q}D) - greatest(ceil({p} * a / {q}D), ceil({p} * b / {q}D)) + 1")
-    near = met.groupBy("u", "v").agg(F.sum("c").alias("c"), F.max("a").alias("a"), F.max("b").alias("b"), F.max("tie").alias("tie")).where((F.col("tie") == 1) | (F.col("c") >= least_shared))
+    after = f"greatest(least(ceil({p} * a / {q}D) - 1, b - rb - 1), least(ceil({p} * b / {q}D) - 1, a - ra - 1))"
+    enough = F.expr(f"c + {after} >= ceil({p} * (a + b) / {p + q}D)")
+    counted = met.groupBy("u", "v").agg(F.sum("c").alias("c"), *[F.max(x).alias(x) for x in ("a", "b", "ra", "rb", "tie")])
+    near = counted.where((F.col("tie") == 1) | enough)
     family = components(near.select("u", "v"), "families").select(F.col("node").alias("class"), F.col("component").alias("family"))
     reps = members.where("doc_id is not null and n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     placed = family.join(reps, "class")
