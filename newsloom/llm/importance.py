@@ -1,10 +1,10 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
 Features of a text: hashes of its tokens (words, runs of punctuation, each with the white space before) and of neighbouring
-pairs, in 2**20 buckets; RUN equal tokens in a row are one feature for all tokens. A text is described by the
-buckets it has. The target's model (labelled quality 1, not toxic) and two models of what else raw text holds (quality 0; toxic)
-give each bucket a probability. A kind of raw text is seen as target text with marks, a mark being a bucket that is far commoner
-there (RATIO times, in LEAST labelled documents at least), so that topic, language and length don't count; its
+pairs, 64 bits wide; RUN equal tokens in a row are one feature for all tokens. A text is described by the
+features it has. The target's model (labelled quality 1, not toxic) and two models of what else raw text holds (quality 0; toxic)
+give each feature a probability. A kind of raw text is seen as target text with marks, a mark being a feature that is far commoner
+there (RATIO times, and in LEAST labelled documents and a SHARE of them at least, so the marks are few), so that topic, language and length don't count; its
 ratio to the target is that of the text's most telling mark, 1 without any. Raw text is the mixture by labelled shares:
 
     log weight = -log sum_k share_k ratio_k          (ratio 1 for the target itself)
@@ -35,19 +35,19 @@ from . import bytewords as bw
 from .common import small_batches, stored
 from .tokens import units
 
-BUCKETS = 1 << 20
 LABELS = 200_000
 RATIO = 8.0
 LEAST = 8
+SHARE = 0.005
 RUN = 4
 POWER = 8.0
-CUT = -3.0
+CUT = -2.0
 SEED = 20
 _REPEAT = np.uint64(0x3C6EF372FE94F82A)
 
 
 def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of each text, in a row, and where each text's begin."""
+    """Feature hashes and the text of each; a text may have one more than once."""
     t = units(buf, offs)
     h = bw.hashes(t.buf, t.starts, t.ends, True)
     who = t.owner()
@@ -61,13 +61,18 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         run = np.logical_and.reduce([same[i : len(same) - RUN + 2 + i] for i in range(RUN - 1)])
         of.append(who[: len(run)][run])
         parts.append(np.full(len(of[-1]), _REPEAT, np.uint64))
-    g, d = np.concatenate(parts) >> np.uint64(44), np.concatenate(of)
-    both = np.unique(d.astype(np.int64) << 20 | g.astype(np.int64))
-    return both & (BUCKETS - 1), np.searchsorted(both >> 20, np.arange(len(offs)))
+    return np.concatenate(parts), np.concatenate(of)
+
+
+def distinct(g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((d, g))
+    g, d = g[order], d[order]
+    keep = np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1]))[: len(g)]
+    return g[keep], d[keep]
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", limit: int = LABELS) -> dict:
-    """Shares of the three kinds and, for each other kind, its marked buckets with the logarithms of their ratios."""
+    """Shares of the three kinds and, for each other kind, its marks with the logarithms of their ratios."""
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where(F.col(quality).isNotNull() & F.col(toxic).isNotNull() & F.col(key).isNotNull())
@@ -77,43 +82,67 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if n > limit:  # the share of the hash range that holds about as many
         sample = sample.where(F.abs(F.xxhash64("_id") % 1_000_000) < int(1_000_000 * limit / n))
     chosen = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text")).join(F.broadcast(sample), "_id").select("_kind", "text")
-
-    def count(batches):
-        total, texts = np.zeros((3, BUCKETS), np.int32), np.zeros(3, np.int64)
-        for b in bw.chunks(batches, "text"):
-            kinds = b.column(0).to_numpy()
-            g, first = features(*bw.flat(b.column(1)))
-            by = np.repeat(kinds, np.diff(first))
-            for k in range(3):
-                total[k] += np.bincount(g[by == k], minlength=BUCKETS).astype(np.int32)
-                texts[k] += int((kinds == k).sum())
-        at = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), *(pa.array(np.append(total[k][at], texts[k]).astype(np.int64)) for k in range(3))], ["bucket", "n0", "n1", "n2"])
-
-    counted = stored(chosen.mapInArrow(count, "bucket long, n0 long, n1 long, n2 long").groupBy("bucket").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)]), "features")
-    row = counted.where("bucket = -1").first()
-    texts = [int(row[f"n{k}"]) for k in range(3)] if row else [0, 0, 0]
-    if not texts[0]:
+    texts = {r["_kind"]: r["n"] for r in chosen.groupBy("_kind").agg(F.count("*").alias("n")).collect()}
+    if not texts.get(0):
         return {"shares": [1.0, 0.0, 0.0], "marks": []}
-    at = lambda k: (F.col(f"n{k}") + 0.5) / (texts[k] + 1)
-    target = (F.col("n0") + 1) / (texts[0] + 1)
-    marks = []
+
+    def counter(only):
+        """Documents by kind and feature, summed as far as a task's batches go."""
+
+        def run(batches):
+            held, size = [], 0
+
+            def flush():
+                g, k = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+                u, place = np.unique(g, return_inverse=True)
+                by = [np.bincount(place[k == i], minlength=len(u)) for i in range(3)]
+                return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *(pa.array(x) for x in by)], ["g", "n0", "n1", "n2"])
+
+            for b in bw.chunks(batches, "text"):
+                g, d = features(*bw.flat(b.column(1)))
+                if only is not None:
+                    ok = np.isin(g, only.value)
+                    g, d = g[ok], d[ok]
+                g, d = distinct(g, d)
+                held.append((g, b.column(0).to_numpy()[d]))
+                size += len(g)
+                if size > 4_000_000:
+                    yield flush()
+                    held, size = [], 0
+            if size:
+                yield flush()
+
+        return run
+
+    def counted(frame, only=None):
+        return frame.mapInArrow(counter(only), "g long, n0 long, n1 long, n2 long").groupBy("g").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
+
+    floor = {k: max(LEAST, SHARE * texts.get(k, 0)) for k in (1, 2)}
+    often = counted(chosen.where("_kind > 0")).where((F.col("n1") >= floor[1]) | (F.col("n2") >= floor[2])).toPandas()  # at most (features a document) / SHARE
+    only = np.sort(often["g"].to_numpy(np.int64).view(np.uint64))
+    clean = counted(chosen.where("_kind = 0"), spark.sparkContext.broadcast(only)).select("g", "n0").toPandas()
+    both = often.drop(columns="n0").merge(clean, "left", "g").fillna({"n0": 0})
+    g, marks = both["g"].to_numpy(np.int64).view(np.uint64), []
+    target = (both["n0"].to_numpy(float) + 1) / (texts[0] + 1)
     for k in (1, 2):
-        found = counted.where((F.col("bucket") >= 0) & (F.col(f"n{k}") >= LEAST) & (at(k) >= RATIO * target)).select("bucket", (at(k) / target).alias("r")).orderBy("bucket").toPandas()
-        marks.append((found["bucket"].to_numpy(np.int64), np.log(found["r"].to_numpy(float))))
-    return {"shares": [t / sum(texts) for t in texts], "marks": marks}
+        n = both[f"n{k}"].to_numpy(float)
+        ratio = (n + 0.5) / (texts.get(k, 0) + 1) / target
+        ok = np.flatnonzero((n >= floor[k]) & (ratio >= RATIO))
+        ok = ok[np.argsort(g[ok])]
+        marks.append((g[ok], np.log(ratio[ok])))
+    total = sum(texts.values())
+    return {"shares": [texts.get(k, 0) / total for k in range(3)], "marks": marks}
 
 
-def log_weights(g: np.ndarray, first: np.ndarray, model: dict) -> np.ndarray:
-    n = len(first) - 1
+def log_weights(g: np.ndarray, d: np.ndarray, n: int, model: dict) -> np.ndarray:
     terms = [np.full(n, math.log(model["shares"][0]))]
-    for (bucket, ratio), share in zip(model["marks"], model["shares"][1:]):
+    for (marks, ratio), share in zip(model["marks"], model["shares"][1:]):
         if share:
             best = np.zeros(n)
-            if len(bucket) and len(g):
-                at = np.minimum(np.searchsorted(bucket, g), len(bucket) - 1)
-                some = np.flatnonzero(np.diff(first))
-                best[some] = np.maximum.reduceat(np.where(bucket[at] == g, ratio[at], 0.0), first[:-1][some])
+            if len(marks):
+                at = np.minimum(np.searchsorted(marks, g), len(marks) - 1)
+                hit = np.flatnonzero(marks[at] == g)
+                np.maximum.at(best, d[hit], ratio[at[hit]])
             terms.append(best + math.log(share))
     return -np.logaddexp.reduce(terms, axis=0)
 
@@ -128,7 +157,7 @@ def weigh(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text",
     def weight(s: pd.Series) -> pd.Series:
         out = [np.zeros(0)]
         for b in bw.chunks(iter([pa.RecordBatch.from_arrays([pa.array(s, pa.string())], ["text"])]), "text"):
-            out.append(log_weights(*features(*bw.flat(b.column(0))), shared.value))
+            out.append(log_weights(*features(*bw.flat(b.column(0))), b.num_rows, shared.value))
         return pd.Series(np.concatenate(out))
 
     return docs.withColumn("log_weight", weight(F.col(text))).withColumn("gumbel_key", POWER * F.col("log_weight") + gumbel(key, seed))
