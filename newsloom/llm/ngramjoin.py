@@ -7,7 +7,7 @@ the join is between classes.
 1. One scan gives each document's class and counts of shingles that are frequent somewhere. At most FREQUENT
    shingles can exceed the share that makes a shingle count as frequent, which bounds what is broadcast.
 2. A class's prefix is its first n - ceil(s n) + 1 shingles; two classes that link share one. Prefixes go to buckets of shingles as packed
-   arrays. Shingles of one class end there. Up to SMALL classes with a shingle give pairs, at most SMALL / 2 rows a class,
+   arrays. Shingles of one class end there. Up to SMALL classes (or as many as a shingle that isn't frequent can have) give pairs,
    whose shared shingles are counted; more are only tied to the least of them. After the last shared shingle of their prefixes,
    the one whose prefix ends first has only what follows its prefix, and the other at most what follows that shingle: a pair whose
    overlap can't reach the bound so is dropped. Other pairs and the ties make families: whatever links is in one family.
@@ -38,9 +38,9 @@ from .graph import components
 WORDS = 5
 SIMILARITY = (80, 100)
 #: Shingles that may count as frequent, at most
-FREQUENT = 500_000
+FREQUENT = 2_000_000
 SMALL = 64
-CELL = 2_000_000
+CELL = 4_000_000
 FLUSH = 1_500_000
 BUCKET = 2_000_000
 _LOW = np.uint64((1 << 63) - 1)
@@ -205,7 +205,7 @@ def forest(sets: list[np.ndarray], side: np.ndarray, s: tuple[int, int]) -> list
     return out
 
 
-def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, at_: np.ndarray, s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, at_: np.ndarray, s, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From sorted entries of shingle, class, its size and the shingle's place in it: pairs of classes, what they have
     (shared shingles, sizes, last shared places), and ties (class, least class)."""
     first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
@@ -213,7 +213,7 @@ def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, at_: np.ndarray, s) -
     found = []
     for c in np.unique(count):
         at = first[count == c]
-        if c == 1 or c > SMALL:
+        if c == 1 or c > small:
             continue
         i, j = np.triu_indices(int(c), 1)
         step = max(1, (1 << 20) // len(i))
@@ -226,7 +226,7 @@ def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, at_: np.ndarray, s) -
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     pairs = pairs[order]
     new = np.flatnonzero(np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(1))) if len(pairs) else np.zeros(0, np.int64)
-    hot = np.repeat(count > SMALL, count)
+    hot = np.repeat(count > small, count)
     least = np.repeat(np.minimum.reduceat(u, first) if len(first) else u, count)
     ties = np.unique(np.stack([u[hot], least[hot]], 1), axis=0)
     last = [np.maximum.reduceat(pairs[:, i], new) if len(new) else pairs[:, i] for i in (4, 5)]
@@ -270,7 +270,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     scanned = stored(base.mapInArrow(scan, "doc_id long, n long, h long, kind long"), "sets")
     members = scanned.where("kind = 1").select("doc_id", "n", F.col("h").alias("class"))
     total = members.agg(F.sum("n").alias("t")).first()["t"] or 0
-    least = max(SMALL, total // FREQUENT)
+    least = max(SMALL, -(-total // FREQUENT))
+    small = max(SMALL, int(least))
     frequent = scanned.where("kind = 0").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h").toPandas()["h"].to_numpy(np.int64)
     often = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
     buckets = max(8, int(-(-total * (1 - s[0] / s[1]) // BUCKET)))
@@ -319,7 +320,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         order = np.lexsort((u, t))
         t, u, n, r = t[order], u[order], n[order], r[order]
         keep = np.append(True, (t[1:] != t[:-1]) | (u[1:] != u[:-1]))
-        p, has, ties = _pairs_of(t[keep], u[keep], n[keep], r[keep], s)
+        p, has, ties = _pairs_of(t[keep], u[keep], n[keep], r[keep], s, small)
         both = np.concatenate([p, ties]).view(np.int64)
         has = np.concatenate([has, np.zeros((len(ties), 5), np.int64)])
         tie = np.concatenate([np.zeros(len(p), np.int64), np.ones(len(ties), np.int64)])
@@ -370,7 +371,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The document of each component that has the least id (rows without an id stay), with its columns."""
+    """The document of each component that has the least id, with its columns; of rows with that id one. Rows without an id stay."""
     kept = join(docs, key, text, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, docs[key].cast("long") == kept["_kept"], "left_semi")
+    filled = docs.where(F.col(key).isNotNull())
+    found = filled.join(kept, F.col(key).cast("long") == F.col("_kept"), "left_semi")
+    if not docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        found = found.dropDuplicates([key])
     return found.unionByName(docs.where(F.col(key).isNull()))
