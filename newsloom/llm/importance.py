@@ -41,7 +41,7 @@ LEAST = 8
 SHARE = 0.005
 RUN = 4
 POWER = 8.0
-CUT = -2.0
+CUT = -2.5
 SEED = 20
 _REPEAT = np.uint64(0x3C6EF372FE94F82A)
 
