@@ -1,13 +1,58 @@
-"""Corpus preparation in stages over documents."""
+"""Corpus preparation in stages over documents; belongs to newsloom.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that stay, with their columns; the last
+returns pieces of packed sequences. Labels and benchmark items are read from sf_dir.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsloom.llm import decontaminate, importance, langid, ngramjoin, packing
+from newsloom.llm.common import stored
+
+#: Posterior probability that a document's language needs
+LEAST_CERTAIN = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What importance resampling chooses."""
+    return importance.select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach, known with some certainty."""
+    found = langid.identify(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAIN)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of linked documents."""
+    return ngramjoin.one_of_each(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences."""
+    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("pack", pack)]
+
+# Tokenizers, trained models and Gumbel noise are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs, f"after-{name}")
     return docs
