@@ -128,7 +128,7 @@ def six_decimals(c: Column) -> Column:
     return F.format_string("%.6f", c)
 
 
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy/M/d", "d MMMM yyyy", "MMMM d, yyyy", "d MMM yyyy", "MMM d, yyyy", "EEE, d MMM yyyy HH:mm:ss Z")
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy/M/d", "d MMMM yyyy", "MMMM d, yyyy", "d MMM yyyy", "MMM d, yyyy")
 
 
 def iso_date(raw: Column) -> Column:

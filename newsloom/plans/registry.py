@@ -1,10 +1,513 @@
-"""Queries of the library by name, each with its SQL where that can express it."""
+"""Queries of the library by name over the test tables, each with its SQL where that can express it."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import Row
+
+from ..functions import html as H
+from ..functions import text as X
+from ..functions import vocabulary as V
+from ..operators import conflicts, dashboard, growth, places, raster, rules
+from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers a function of the tables under its name."""
+
+    def put(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _sql_case(column: str, labels: dict[str, str], other: str) -> str:
+    return f"CASE {' '.join(f'''WHEN {column} = '{k}' THEN '{v}' ''' for k, v in labels.items())} ELSE {other} END"
+
+
+def _sql_title(column: str) -> str:
+    """Initials by runs of letters."""
+    return f"list_reduce(list_prepend('', list_transform(regexp_extract_all(replace({column}, '_', ' '), '[\\p{{L}}]+|[^\\p{{L}}]+'), lambda x: upper(x[1]) || lower(x[2:]))), lambda a, b: a || b)"
+
+
+def _sql_list(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+# ---- dates, counts, filters ---------------------------------------------------------------------------------------
+
+_THEMES = {"signup": "Sign Up", "purchase": "Purchase", "error": "Error"}
+
+
+@query(f"""SELECT CAST(year(ts) AS BIGINT) AS period, event_type AS theme, count(*) AS n, {_sql_case('event_type', _THEMES, _sql_title('event_type'))} AS label
+FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""")
+def yearly_counts(t):
+    return dashboard.counts_by(t.events, "year", "event_type", "ts", _THEMES)
+
+
+@query(f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS period, event_type AS theme, count(*) AS n, {_sql_case('event_type', _THEMES, _sql_title('event_type'))} AS label
+FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""")
+def daily_counts(t):
+    return dashboard.counts_by(t.events, "day", "event_type", "ts", _THEMES)
+
+
+@query("""SELECT event_id, user_id, event_type, value FROM events
+WHERE event_type IN ('purchase', 'click') AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'""")
+def apply_filters(t):
+    return dashboard.filtered(t.events, {"event_type": ["purchase", "click"], "props": []}, (dt.date(2024, 1, 5), dt.date(2024, 1, 20)), "ts").select("event_id", "user_id", "event_type", "value")
+
+
+@query("""SELECT count(*) AS n_articles, count(DISTINCT nullif(CAST(user_id AS VARCHAR), '')) AS n_conflicts, count(DISTINCT nullif(event_type, '')) AS n_countries,
+count(*) FILTER (WHERE value IS NOT NULL AND user_id IS NOT NULL) AS n_mapped, strftime(min(ts), '%Y-%m-%d') AS first_date, strftime(max(ts), '%Y-%m-%d') AS last_date FROM events""")
+def headline_metrics(t):
+    return dashboard.metrics(t.events, "user_id", "event_type", "value", "user_id", "ts")
+
+
+@query("""SELECT round(avg(value), 6) AS center_lat, round(avg(CAST(user_id AS DOUBLE)), 6) AS center_lon, CAST(4 AS BIGINT) AS zoom FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL""")
+def map_center(t):
+    return dashboard.map_view(t.events.withColumn("user_id", F.col("user_id").cast("double")), "value", "user_id").select(F.round("center_lat", 6).alias("center_lat"), F.round("center_lon", 6).alias("center_lon"), "zoom")
+
+
+@query("""SELECT DISTINCT source AS option FROM documents WHERE trim(coalesce(source, '')) <> ''""")
+def option_list(t):
+    return dashboard.options(t.documents, "source")
+
+
+@query("""WITH o AS (SELECT min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders) SELECT strftime(a, '%Y-%m-%d') AS first_date, strftime(b, '%Y-%m-%d') AS last_date FROM o""")
+def date_bounds(t):
+    return t.orders.agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first_date"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_date"))
+
+
+_RANK = {"purchase": 3, "click": 2, "error": 1, "view": 3}
+
+
+@query("""SELECT CASE WHEN user_id % 10 = 0 THEN '__row' || event_id ELSE 'u' || user_id END AS group_key, count(*) AS size, min(event_id) AS first_row,
+arg_max(event_id, CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'error' THEN 1 WHEN 'view' THEN 3 ELSE 2 END * 1000000000000 - event_id) AS event_id,
+arg_max(event_type, CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'error' THEN 1 WHEN 'view' THEN 3 ELSE 2 END * 1000000000000 - event_id) AS event_type
+FROM events GROUP BY 1""")
+def conflict_rollup(t):
+    ranks = F.create_map(*[F.lit(x) for kv in _RANK.items() for x in kv])
+    df = t.events.withColumn("conflict", F.when(F.col("user_id") % 10 == 0, "").otherwise(F.concat(F.lit("u"), F.col("user_id"))))
+    return conflicts.representative(df, "conflict", F.coalesce(F.try_element_at(ranks, F.col("event_type")), F.lit(V.UNKNOWN_RANK)), "event_id", ["event_id", "event_type"])
+
+
+@query("""WITH f AS (SELECT user_id, arg_min(value, event_id) AS c FROM events GROUP BY user_id) SELECT count(*) FILTER (WHERE c > 50) AS multi FROM f""")
+def multi_coverage(t):
+    df = t.events.select("event_id", F.col("user_id").alias("conflict_id"), (F.col("value") / 50).alias("coverage_count"))
+    return conflicts.multi_covered(df, "event_id")
+
+
+@query("""SELECT c_custkey, left(c_name, 75) || ' · ' || CASE WHEN n_name = r_name THEN n_name ELSE n_name || ', ' || r_name END || CASE WHEN c_custkey % 4 > 1 THEN ' · ' || (c_custkey % 4) || ' articles' ELSE '' END AS label
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def picker_labels(t):
+    df = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return df.select("c_custkey", dashboard.picker_label(F.col("c_name"), F.col("n_name"), F.col("r_name"), F.col("c_custkey") % 4).alias("label"))
+
+
+@query(f"""WITH e AS (SELECT replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;') AS t, * FROM (SELECT doc_id, source, left(text, 120) AS text, left(text, 280) AS body, lang, n_chars FROM documents)),
+f AS (SELECT *, replace(replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;') AS s FROM e)
+SELECT doc_id, '<b>' || t || '</b><br><small>' || source || ' &middot; unknown date &middot; ' || lang || '</small><br><i>Mining / ' || 'Violence' || '</i><p>' || s || '</p><a href=''u' || doc_id || '''>Read source</a>' AS html FROM f""")
+def popup_html(t):
+    none = F.lit(None).cast("timestamp_ntz")
+    return t.documents.select("doc_id", dashboard.popup(F.col("text"), F.col("source"), none, [F.col("lang"), F.lit(" ")], F.lit("mining"), F.lit("violence"), F.col("text"), F.concat(F.lit("u"), F.col("doc_id"))).alias("html"))
+
+
+@query(f"""SELECT p_partkey, {_sql_case("replace(lower(p_type), ' ', '_')", {'economy_tin': 'Economy (Tin)'}, _sql_title("replace(lower(p_type), ' ', '_')"))} AS label FROM part""")
+def pretty_labels(t):
+    return t.part.select("p_partkey", X.pretty(F.replace(F.lower("p_type"), F.lit(" "), F.lit("_")), {"economy_tin": "Economy (Tin)"}).alias("label"))
+
+
+@query("""SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END DESC NULLS LAST, event_id) AS place FROM events QUALIFY place <= 100""")
+def table_view(t):
+    df = t.events.withColumn("date", F.when(F.col("event_id") % 7 != 0, F.col("ts")))
+    top = df.orderBy(*dashboard.table_order("date", "event_id")).limit(100).select("event_id", "date")  # the feature: a report's first page
+    from pyspark.sql import Window
+
+    return top.select("event_id", F.row_number().over(Window.orderBy(*dashboard.table_order("date", "event_id"))).cast("long").alias("place"))
+
+
+@query("""SELECT event_id, TRY_CAST(value AS VARCHAR) IS NOT NULL AS has_value, coalesce(TRY_CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER), 1) AS coverage,
+CASE WHEN event_type = 'error' THEN 'none' ELSE event_type END AS theme FROM events""")
+def derived_columns(t):
+    df = t.events.select(F.col("event_id").cast("string").alias("article_id"), F.regexp_extract("props", r"(\d+)", 1).alias("coverage_count"), F.when(F.col("event_type") == "error", " ").otherwise(F.col("event_type")).alias("sector"), F.lit("none").alias("event_type"), F.col("value").cast("string").alias("latitude"))
+    return dashboard.derived(df).select(F.col("article_id").cast("long").alias("event_id"), F.col("lat").isNotNull().alias("has_value"), "coverage", "theme")
+
+
+# ---- text, rules, ids ----------------------------------------------------------------------------------------------
+
+_RULES = {"sector": {"first": ["thing", "retion", "keit"], "second": ["attion", "oning", "fußball"], "third": ["ering", "aning", "eau"]}, "event_type": {"loud": ["ining", "inble", "ciónmi"], "calm": ["nicht", "par"]}, "environmental_issue": {"water": ["ononthe", "mentoi"], "air": ["shth", "uesi"]}}
+_COUNTRIES = {"England": ["the"], "Germany": ["und"], "France": ["les", "ér"], "Spain": ["los"]}
+_EDGE = "[^\\p{L}\\p{N}_]"
+
+
+def _sql_first(column: str, labels: dict[str, list[str]]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{X.word_pattern(ws)}') THEN '{k}'" for k, ws in labels.items()) + " ELSE '' END"
+
+
+_CLASSIFIED = f"SELECT doc_id, source, lower(text) AS b, {', '.join(f'{_sql_first('lower(text)', r)} AS {d}' for d, r in _RULES.items())}, {_sql_first('lower(text)', _COUNTRIES)} AS country FROM documents"
+
+
+def _classified(t) -> DataFrame:
+    b = F.lower("text")
+    return rules.classify(t.documents, b, _RULES).withColumn("country", X.first_label(b, _COUNTRIES))
+
+
+@query(f"SELECT doc_id, sector, event_type, environmental_issue, country FROM ({_CLASSIFIED})")
+def classify_documents(t):
+    return _classified(t).select("doc_id", "sector", "event_type", "environmental_issue", "country")
+
+
+@query(f"""SELECT doc_id, NOT regexp_matches(b, '{X.word_pattern(['idiot', 'junk'])}') AND country IN ('England', 'Germany', 'France', 'Spain')
+AND ((sector IN ('first', 'second') AND (event_type <> '' OR environmental_issue <> '')) OR (contains(source, 'src1') AND sector IN ('first', 'second')) OR environmental_issue <> '') AS strong,
+(sector <> '' AND (event_type <> '' OR environmental_issue <> '')) OR environmental_issue <> '' OR event_type = 'violence' AS paired FROM ({_CLASSIFIED})""")
+def relevance_filter(t):
+    df = _classified(t)
+    s = rules.Source("s", "/", countries=_COUNTRIES, blocked=["idiot", "junk"], strong_sectors=["first", "second"], section="src1", americas_only=True)
+    plain = rules.Source("p", "/")
+    args = [F.col(c) for c in ("sector", "event_type", "environmental_issue", "country", "source")]
+    none = F.array().cast("array<string>")
+    return df.select("doc_id", rules.relevance("strong", s, *args, none, F.lower("text")).alias("strong"), rules.relevance("pair_or_issue_or_violence", plain, *args, none, F.lower("text")).alias("paired"))
+
+
+_NAMES = ["Caqueta", "Thíng", "Onthe", "Eau", "Über"]
+
+
+@query(f"""SELECT doc_id, {_sql_first("lower(strip_accents(text))", {n: [n.lower().replace('í', 'i').replace('ü', 'u')] for n in _NAMES})} AS region FROM documents""")
+def first_listed_name(t):
+    return t.documents.select("doc_id", X.first_listed(F.col("text"), _NAMES).alias("region"))
+
+
+@query("""SELECT doc_id, md5(strip_accents(text)) AS plain_md5 FROM documents""")
+def strip_accents_text(t):
+    return t.documents.select("doc_id", F.md5(X.strip_accents(F.col("text"))).alias("plain_md5"))
+
+
+_WORDS = f"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^{V.TITLE_CHARACTERS}\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '' AND NOT list_contains([{_sql_list(V.STOPWORDS)}], w))"
+
+
+@query(f"""SELECT doc_id, md5(array_to_string(w, ' ')) AS title_md5, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_distinct(list_filter(w, lambda x: length(x) >= 4))) AS BIGINT) AS n_keywords FROM (SELECT doc_id, {_WORDS} AS w FROM documents)""")
+def normalize_title_tokens(t):
+    w = X.title_words(F.col("text"))
+    return t.documents.select("doc_id", F.md5(F.array_join(w, " ")).alias("title_md5"), F.size(w).cast("long").alias("n_words"), F.size(X.keywords(w)).cast("long").alias("n_keywords"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, lang, {_WORDS.replace('lower(text)', "lower(left(text, 80))")} AS w FROM documents),
+e AS (SELECT DISTINCT doc_id, lang, unnest(w) AS x FROM w), d AS (SELECT * FROM e WHERE length(x) >= 9)
+SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM d a JOIN d b ON a.lang = b.lang AND a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 2""")
+def title_pair_overlap(t):
+    df = t.documents.select("doc_id", "lang", X.title_words(F.left("text", F.lit(80))).alias("w"))
+    return conflicts.overlap_pairs(df, "doc_id", "w", "lang", 2, 9)
+
+
+@query("""SELECT page_id, 'pages:url-' || left(sha1(url), 12) AS article_id, CASE WHEN page_id % 3 = 0 THEN 'pages:' || page_id ELSE 'pages:url-' || left(sha1(url), 12) END AS own_id FROM pages""")
+def url_ids(t):
+    own = F.when(F.col("page_id") % 3 == 0, F.col("page_id").cast("string")).otherwise("")
+    return t.pages.select("page_id", X.url_id("pages", F.col("url")).alias("article_id"), X.publisher_id("pages", own, F.col("url")).alias("own_id"))
+
+
+@query("""SELECT doc_id, 'CONFLICT_' || left(md5(lower(trim(lang)) || '|' || left(text, 40)), 8) AS conflict_id FROM documents""")
+def conflict_id_hash(t):
+    return t.documents.select("doc_id", X.conflict_id(F.col("lang"), F.left("text", F.lit(40))).alias("conflict_id"))
+
+
+@query("""WITH d AS (SELECT o_orderkey, CAST(day(o_orderdate) AS INTEGER) AS d, CAST(month(o_orderdate) AS INTEGER) AS m, year(o_orderdate) AS y FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'no date' WHEN o_orderkey % 5 = 1 THEN '' ELSE strftime(make_date(y, m, d), '%Y-%m-%d') END AS iso,
+CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE strftime(make_date(y, m, d), '%Y-%m-%d') END AS dmy FROM d""")
+def parsed_dates(t):
+    d = F.col("o_orderdate")
+    raw = F.when(F.col("o_orderkey") % 5 == 0, "no date").when(F.col("o_orderkey") % 5 == 1, "").when(F.col("o_orderkey") % 5 == 2, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("o_orderkey") % 5 == 3, F.date_format(d, "MMMM d, yyyy")).otherwise(F.date_format(d, "d MMM yyyy"))
+    dmy = F.when(F.col("o_orderkey") % 4 == 0, "Dom, 31/02/2026 - 08:00").otherwise(F.concat(F.lit("Dom, "), F.date_format(d, "dd/MM/yyyy"), F.lit(" - 08:00")))
+    return t.orders.select("o_orderkey", X.iso_date(raw).alias("iso"), X.day_month_year(dmy).alias("dmy"))
+
+
+# ---- pages ---------------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')) AS title FROM pages""")
+def page_titles(t):
+    return t.pages.select("page_id", X.or_else(H.meta(F.col("html"), "og:title"), H.title(F.col("html"))).alias("title"))
+
+
+@query(r"""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href\s*=\s*["'']([^"'']*)["'']', 1)) AS href FROM pages) SELECT page_id, href FROM l WHERE href <> ''""")
+def page_links(t):
+    return t.pages.select("page_id", F.explode(H.links(F.col("html"))).alias("href")).distinct()
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][\w+.-]*://([^/?#]*)', 1)) AS host, regexp_matches(regexp_extract(url, '^[a-zA-Z][\w+.-]*://[^/?#]*([^?#]*)', 1), '[02468]/?$') AND NOT regexp_matches(url, '/[a-z]*1') AS article FROM pages""")
+def url_filter(t):
+    s = rules.Source("s", r"[02468]/?$", denied_path=r"/[a-z]*1")
+    return t.pages.select("page_id", H.host(F.col("url")).alias("host"), rules.is_article(F.col("url"), s).alias("article"))
+
+
+@query()
+def page_text(t):
+    text = H.main_text(F.col("html"))
+    return t.pages.select("page_id", text.alias("article_text"), H.text_status(text, F.lit(200)).alias("text_status"))
+
+
+@query()
+def article_rows(t):
+    s = rules.Source("pages", "", rules=_RULES, countries=_COUNTRIES, default_country="Nowhere", regions=_NAMES, relevance="always")
+    return tables.articles(rules.relevant_articles(t.pages.select("url", "html"), s))
+
+
+# ---- growth --------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY CASE WHEN trim(text) = '' THEN CAST(doc_id AS VARCHAR) ELSE md5(text) END ORDER BY doc_id) = 1""")
+def ordered_dedupe(t):
+    df = t.documents.select("doc_id", F.when(F.trim("text") == "", "").otherwise(F.md5("text")).alias("article_id"))
+    df = df.withColumn("article_url", F.when(F.col("article_id") != "", F.concat(F.lit("http://x/"), F.col("article_id"))))
+    return growth.first_of_each(df, "doc_id").select("doc_id")
+
+
+@query("""WITH u AS (SELECT 0 AS origin, event_id, user_id, event_type AS kind, '' AS extra FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 1, event_id, user_id, event_type, 'new' FROM events WHERE event_id % 3 = 0),
+k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY origin) = 1) SELECT event_id, kind, extra FROM k""")
+def merge_growing(t):
+    e = t.events.select("event_id", F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("article_id"), F.lit("").alias("article_url"))
+    both = growth.merged(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0").withColumn("extra", F.lit("new")), "event_id")
+    return growth.first_of_each(both).select("event_id", "kind", "extra")
+
+
+@query("""SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 5 = 0 THEN '0000-00-00' ELSE strftime(ts, '%Y-%m-%d') END DESC, event_id) AS place FROM events WHERE user_id <= 20""")
+def sorted_by_date(t):
+    from pyspark.sql import Window
+
+    df = t.events.where("user_id <= 20").withColumn("date_published", F.when(F.col("event_id") % 5 == 0, "").otherwise(F.date_format("ts", "yyyy-MM-dd")))
+    return df.select("event_id", F.row_number().over(Window.orderBy(*growth.date_order("date_published", "event_id"))).cast("long").alias("place"))
+
+
+@query("""SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5(text), doc_id) <= 5""")
+def per_source_cap(t):
+    return growth.capped(t.documents.withColumn("url", F.md5("text")), "source", [F.col("url").asc(), F.col("doc_id").asc()], 5).select("source", "doc_id")
+
+
+@query("""SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN coalesce(quality, -1) ELSE -1 END AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def back_fill(t):
+    df = t.documents.select("doc_id", F.lit(-1).alias("quality"))
+    return growth.back_filled(df, t.labels, "doc_id", ["quality"], F.col("doc_id") % 3 == 0)
+
+
+@query("""SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def not_enriched(t):
+    return t.documents.join(t.labels, "doc_id", "left_anti").select("doc_id")
+
+
+@query("""SELECT count(*) FILTER (WHERE event_type = 'view') AS ok, count(*) FILTER (WHERE event_type = 'click') AS empty, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events""")
+def status_counts(t):
+    s = F.when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "click", "empty").when(F.col("event_type") == "error", F.concat(F.lit("error:"), F.col("event_id"))).otherwise("")
+    return growth.status_counts(t.events.withColumn("text_status", s))
+
+
+@query("""SELECT event_id, event_id % 3 = 0 AND event_type <> 'error' AS text_needed, event_id % 4 = 0 AND event_type <> 'click' AS place_needed,
+(event_id % 3 > 0 OR event_id % 4 > 0) AND (event_id % 5 = 0 OR event_type IN ('view')) AS match_needed FROM events""")
+def enrichment_needs(t):
+    i, e = F.col("event_id"), F.col("event_type")
+    text, lat = F.when(i % 3 > 0, "x"), F.when(i % 4 > 0, "1.0").otherwise(" ")
+    return t.events.select("event_id", growth.needs_text(text, F.when(e == "error", "error:x").otherwise("ok")).alias("text_needed"), places.needs_geocode(lat, F.when(e == "click", "no_location")).alias("place_needed"), places.needs_match(text, F.lit(""), lat, lat, F.when(i % 5 > 0, "PER.1_1"), F.when(e == "view", "region").otherwise("town")).alias("match_needed"))
+
+
+@query("""SELECT count(*) FILTER (WHERE event_id % 2 = 0) AS fetched, count(*) AS merged, count(*) FILTER (WHERE event_id % 3 = 0) AS dropped, count(*) FILTER (WHERE event_id % 3 <> 0 ) - count(*) FILTER (WHERE event_id % 4 = 0) AS new FROM events""")
+def run_counters(t):
+    e = t.events
+    return growth.run_counts(e.where("event_id % 2 = 0"), e, e.where("event_id % 3 <> 0"), e.where("event_id % 4 = 0"))
+
+
+# ---- conflicts -----------------------------------------------------------------------------------------------------
+
+
+@query()
+def leader_cluster(t):
+    df = t.documents.select("doc_id", F.concat(F.col("lang"), F.lit("-"), F.col("source")).alias("country"), F.left("text", F.lit(60)).alias("article_title"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")), "yyyy-MM-dd").alias("date_published"))
+    return conflicts.assign(df, "doc_id").select("doc_id", "conflict_id", "coverage_count")
+
+
+# ---- places --------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_name ELSE '' END AS ctx, CASE WHEN c_custkey % 3 = 0 THEN ' ' || c_name ELSE '' END AS nm, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE '' END AS rg, CASE WHEN c_custkey % 5 <> 0 THEN r_name ELSE '' END AS ct
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT c_custkey, CASE WHEN ctx <> '' THEN ctx WHEN nm <> '' THEN concat_ws(', ', trim(nm), nullif(rg, ''), nullif(ct, '')) WHEN rg <> '' AND ct <> '' THEN rg || ', ' || ct WHEN rg <> '' THEN rg WHEN ct <> '' THEN ct ELSE '' END AS query,
+CASE WHEN ctx <> '' OR nm <> '' THEN 'specific' WHEN rg <> '' THEN 'region' WHEN ct <> '' THEN 'country' ELSE '' END AS hint FROM x""")
+def candidate_query(t):
+    k = F.col("c_custkey")
+    df = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    q = places.candidate_query(F.when(k % 7 == 0, F.col("c_name")), F.when(k % 3 == 0, F.concat(F.lit(" "), F.col("c_name"))).otherwise(""), F.lit(""), F.when(k % 2 == 0, F.col("n_name")), F.when(k % 5 != 0, F.col("r_name")), True)
+    return df.select("c_custkey", q.alias("q")).select("c_custkey", "q.query", "q.hint")
+
+
+_KINDS = ["village", "state", "country", "river", "", "amenity"]
+
+
+@query(f"""WITH x AS (SELECT c_custkey, [{_sql_list(_KINDS)}][c_custkey % 6 + 1] AS kind, ['specific', 'region', 'country'][c_custkey % 3 + 1] AS hint FROM customer),
+p AS (SELECT *, CASE kind WHEN 'village' THEN 'town' WHEN 'state' THEN 'region' WHEN 'country' THEN 'country' WHEN 'river' THEN 'feature' WHEN '' THEN 'unknown' ELSE kind END AS precision FROM x),
+c AS (SELECT *, CASE WHEN hint IN ('region', 'country') THEN hint ELSE precision END AS capped FROM p)
+SELECT c_custkey, precision, capped, CASE capped WHEN 'town' THEN 3 WHEN 'amenity' THEN 3 WHEN 'feature' THEN 2 WHEN 'region' THEN 1 WHEN 'country' THEN 0 ELSE 2 END AS rank FROM c""")
+def precisions(t):
+    kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), F.col("c_custkey") % 6)
+    hint = F.get(F.array(F.lit("specific"), F.lit("region"), F.lit("country")), F.col("c_custkey") % 3)
+    df = t.customer.select("c_custkey", places.address_precision(kind).alias("precision"), hint.alias("h"))
+    df = df.withColumn("capped", places.capped_precision(F.col("precision"), F.col("h")))
+    return df.select("c_custkey", "precision", "capped", places.precision_rank(F.col("capped")).alias("rank"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'country' WHEN 1 THEN 'region' WHEN 2 THEN 'region' ELSE 'town' END AS precision FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def effective_precision(t):
+    k = F.col("c_custkey") % 4
+    q = F.when(k == 0, F.upper("r_name")).when(k == 1, F.concat_ws(", ", "n_name", "r_name")).when(k == 2, F.col("n_name")).otherwise(F.concat(F.col("c_name"), F.lit(", "), F.col("r_name")))
+    df = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return df.select("c_custkey", places.effective_precision(F.lit(" Town"), q, F.concat(F.lit(" "), F.col("r_name")), F.col("n_name")).alias("precision"))
+
+
+@query("""SELECT r_name, n_name, count(c_custkey) AS n FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""")
+def hierarchy_join(t):
+    df = t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey")).join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return df.groupBy("r_name", "n_name").agg(F.count("c_custkey").alias("n"))
+
+
+@query("""WITH q AS (SELECT DISTINCT c_mktsegment AS query, c_nationkey AS nk FROM customer), c AS (SELECT DISTINCT c_mktsegment AS query, c_nationkey AS nk, CASE WHEN c_nationkey % 3 > 0 THEN CAST(c_nationkey AS DOUBLE) END AS lat FROM customer WHERE c_nationkey % 2 = 0)
+SELECT q.query, 'n' || q.nk AS iso2, c.query IS NOT NULL AS cached, lat FROM q LEFT JOIN c USING (query, nk)""")
+def geocode_cache(t):
+    q = t.customer.select(F.col("c_mktsegment").alias("query"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("iso2"), "c_nationkey").distinct()
+    cache = q.where("c_nationkey % 2 = 0").select("query", "iso2", F.when(F.col("c_nationkey") % 3 > 0, F.col("c_nationkey").cast("double")).alias("lat"))
+    known, missing = tables.with_cache(q.select("query", "iso2"), cache)
+    return known.join(missing.withColumn("m", F.lit(True)), ["query", "iso2"], "left").select("query", "iso2", F.col("m").isNull().alias("cached"), "lat")
+
+
+def _points(t) -> DataFrame:
+    return t.embeddings.select("vec_id", (F.col("embedding")[0].cast("double") * 10).alias("x"), (F.col("embedding")[1].cast("double") * 10).alias("y"), F.lit("X").alias("iso3"))
+
+
+def _areas(t) -> DataFrame:
+    """Squares with a square hole."""
+    rows = []
+    for i in range(-6, 6):
+        for j in range(-6, 6):
+            x, y = i * 1.5, j * 1.5
+            ring = lambda a, b: [[x + a, y + a], [x + b, y + a], [x + b, y + b], [x + a, y + b]]  # noqa: E731, B023
+            rows.append((f"X.{i + 6:02d}.{j + 6:02d}_1", "X", [ring(0.0, 1.25), ring(0.5, 0.75)], x, x + 1.25, y, y + 1.25))
+    return t.spark.createDataFrame(rows, "gid string, iso3 string, rings array<array<array<double>>>, xmin double, xmax double, ymin double, ymax double")
+
+
+@query("""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 10 AS x, CAST(embedding[2] AS DOUBLE) * 10 AS y FROM embeddings),
+a AS (SELECT i, j, i * 1.5::DOUBLE AS ax, j * 1.5::DOUBLE AS ay FROM range(-6, 6) r(i), range(-6, 6) s(j))
+SELECT vec_id, min('X.' || lpad(CAST(i + 6 AS VARCHAR), 2, '0') || '.' || lpad(CAST(j + 6 AS VARCHAR), 2, '0') || '_1') AS gid
+FROM p LEFT JOIN a ON x > ax AND x < ax + 1.25 AND y > ay AND y < ay + 1.25 AND NOT (x >= ax + 0.5 AND x <= ax + 0.75 AND y >= ay + 0.5 AND y <= ay + 0.75) GROUP BY vec_id""")
+def point_in_polygon(t):
+    return places.in_polygons(_points(t), _areas(t), "vec_id", ["iso3"])
+
+
+_TOWNS = ["Thing", "Ering", "Onnt", "Keit", "Ésas", "Attion", "Nicht", "Oning the", "Le"]
+
+
+@query(f"""WITH n AS (SELECT unnest([{_sql_list(_TOWNS)}]) AS name), m AS (SELECT name, strip_accents(name) AS p FROM n WHERE length(name) >= 4),
+d AS (SELECT doc_id, strip_accents(text) AS t FROM documents),
+f AS (SELECT doc_id, name, '(?:^|[^\\p{{L}}\\p{{N}}_])(' || upper(p[1]) || '(?i:' || p[2:] || '))(?:$|[^\\p{{L}}\\p{{N}}_])' AS pat, t FROM d, m),
+h AS (SELECT doc_id, name FROM f WHERE regexp_matches(t, pat))
+SELECT doc_id, count(*) AS n_names FROM h GROUP BY doc_id""")
+def place_mentions(t):
+    names = t.spark.createDataFrame([Row(name=n, gid=f"g{i}", iso3="X") for i, n in enumerate(_TOWNS)])
+    hits = places.name_hits(t.documents.select("doc_id", "text", F.lit("X").alias("iso3")), names, "doc_id", ["iso3"])
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n_names"))
+
+
+@query()
+def place_of_text(t):
+    second = t.spark.createDataFrame([Row(iso3="PER", region=f"R{i % 3}", name=n, gid=f"PER.{i}_1") for i, n in enumerate(_TOWNS)])
+    third = t.spark.createDataFrame([Row(iso3="PER", gid2="PER.0_1", name="Eren", gid="PER.0.1_1")])
+    rows = t.documents.select("doc_id", F.lit("PER").alias("iso3"), F.concat(F.lit("r"), F.col("doc_id") % 4).alias("region"), "text")
+    return places.resolve_text(rows, second, third, "doc_id")
+
+
+@query("""SELECT n_nationkey, CAST(n_nationkey % 3 + 1 AS INTEGER) AS level FROM nation""")
+def boundary_levels(t):
+    k = F.col("n_nationkey")
+    gid = F.concat(F.lit("PER.8"), F.repeat(F.lit(".4"), (k % 3).cast("int")), F.lit("_1"))
+    return t.nation.select("n_nationkey", places.boundary_level(gid).alias("level"))
+
+
+# ---- raster --------------------------------------------------------------------------------------------------------
+
+
+def _pixels(t) -> DataFrame:
+    return t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(b) for i, b in enumerate(raster.BANDS)])
+
+
+_BANDS = "SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS blue, CAST(embedding[2] AS DOUBLE) AS green, CAST(embedding[3] AS DOUBLE) AS red, CAST(embedding[4] AS DOUBLE) AS nir, CAST(embedding[5] AS DOUBLE) AS swir1 FROM embeddings"
+_INDICES = """round((nir - red) / nullif(nir + red, 0), 5) AS ndvi, round(2.5::DOUBLE * (nir - red) / nullif(nir + 2.4::DOUBLE * red + 1, 0), 5) AS evi2, round(1.5::DOUBLE * (nir - red) / nullif(nir + red + 0.5::DOUBLE, 0), 5) AS savi, round((nir - swir1) / nullif(nir + swir1, 0), 5) AS ndmi,
+round((green - nir) / nullif(green + nir, 0), 5) AS ndwi, round((green - swir1) / nullif(green + swir1, 0), 5) AS mndwi, round((swir1 - nir) / nullif(swir1 + nir, 0), 5) AS ndbi, round((swir1 + red - nir - blue) / nullif(swir1 + red + nir + blue, 0), 4) AS bsi"""
+_SHORT = ["ndvi", "evi2", "savi", "ndmi", "ndwi", "mndwi", "ndbi"]
+
+
+@query(f"SELECT vec_id, {_INDICES} FROM ({_BANDS})")
+def spectral_indices(t):
+    return raster.with_indices(_pixels(t)).select("vec_id", *[F.round(n, 5).alias(n) for n in _SHORT], F.round("bsi", 4).alias("bsi"))
+
+
+@query(f"SELECT label, round(avg(CASE WHEN vec_id % 5 = 0 THEN NULL ELSE nir END), 6) AS mean_nir, round(avg(red), 6) AS mean_red FROM ({_BANDS}) GROUP BY label")
+def spatial_means(t):
+    df = _pixels(t).withColumn("nir", F.when(F.col("vec_id") % 5 == 0, float("nan")).otherwise(F.col("nir")))
+    return raster.spatial_mean(df, ["label"], ["nir", "red"]).select("label", F.round("mean_nir", 6).alias("mean_nir"), F.round("mean_red", 6).alias("mean_red"))
+
+
+@query("""SELECT user_id, strftime(date_trunc('month', ts), '%Y-%m') AS month, round(median(value * 0.0000275::DOUBLE - 0.2::DOUBLE), 9) AS value FROM events GROUP BY 1, 2""")
+def monthly_median(t):
+    df = raster.reflectance(t.events.withColumn("month", F.date_format("ts", "yyyy-MM")), ["value"])
+    return raster.composite(df, ["user_id", "month"], ["value"]).withColumn("value", F.round("value", 9))
+
+
+@query("""SELECT round(quantile_cont(CAST(value AS DOUBLE), 0.02), 6) AS vmin, round(quantile_cont(CAST(value AS DOUBLE), 0.98), 6) AS vmax FROM events WHERE value IS NOT NULL""")
+def percentile_clip(t):
+    df = t.events.select("value").unionByName(t.spark.sql("SELECT CAST('NaN' AS DOUBLE) AS value UNION ALL SELECT CAST('Infinity' AS DOUBLE)"))
+    return raster.shared_scale(df, "value").select(F.round("vmin", 6).alias("vmin"), F.round("vmax", 6).alias("vmax"))
+
+
+@query("""WITH m AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n FROM events GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(DATE '2023-11-01', DATE '2024-02-01', INTERVAL 1 MONTH)) AS DATE) AS month)
+SELECT strftime(s.month, '%Y-%m') AS date, n FROM s LEFT JOIN m ON s.month = m.month""")
+def calendar_spine(t):
+    m = t.events.groupBy(F.trunc(F.col("ts").cast("date"), "month").alias("month")).agg(F.count("*").alias("n"))
+    return raster.on_calendar(m, dt.date(2023, 11, 9), dt.date(2024, 2, 2)).select("date", "n")
+
+
+@query("""WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS d, max(CASE WHEN event_type = 'error' AND day(ts) BETWEEN 3 AND 25 THEN value END) AS a, max(CASE WHEN event_type = 'view' THEN value END) AS b FROM events GROUP BY 1)
+SELECT min(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN d END) AS before, max(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN d END) AS after, count(*) FILTER (WHERE a IS NOT NULL OR b IS NOT NULL) AS n_any, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS n_all FROM d""")
+def before_after(t):
+    one = lambda c: F.max(F.when(c, F.col("value")))
+    d = t.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("month")).agg(one((F.col("event_type") == "error") & F.dayofmonth("ts").between(3, 25)).alias("a"), one(F.col("event_type") == "view").alias("b"))
+    return raster.before_after(d, ["a", "b"])
+
+
+@query("""SELECT event_id FROM events WHERE value < 80 QUALIFY row_number() OVER (PARTITION BY date_trunc('month', ts) ORDER BY ts, event_id) <= 10""")
+def scenes_of_month(t):
+    return raster.usable_scenes(t.events.withColumn("cloud", F.col("value")), ["ts", "event_id"]).select("event_id")
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def tumbling_counts(t):
+    out = t.events.groupBy(F.window(F.col("ts").cast("timestamp"), "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query("""SELECT r_name AS name, CAST(r_regionkey + 1 AS BIGINT) AS position, CASE WHEN r_regionkey % 2 = 0 THEN 'f' || r_regionkey END AS path FROM region""")
+def report_manifest(t):
+    sections = t.region.select((F.col("r_regionkey") + 1).cast("long").alias("position"), F.col("r_name").alias("name"))
+    results = t.region.where("r_regionkey % 2 = 0").select(F.col("r_name").alias("name"), F.concat(F.lit("f"), F.col("r_regionkey")).alias("path"))
+    return raster.manifest(sections, results)
