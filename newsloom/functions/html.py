@@ -91,7 +91,8 @@ def main_text(html: Column) -> Column:
     c = F.regexp_replace(c, r"(?is)<(script|style|nav|header|footer|aside|noscript)[^>]*>.*?</\1>", " ")
     c = F.regexp_replace(c, r"(?i)</(p|div|h[1-6]|li)>|<br\s*/?>", "\n")
     c = unescape(F.regexp_replace(c, r"(?s)<[^>]*>", " "))
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[ \t\r\f]+", " "), r"\s*\n\s*", "\n"))
+    c = F.regexp_replace(F.regexp_replace(c, r"[ \t\r\f]+", " "), r"\s*\n\s*", "\n")
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def text_status(text: Column, status: Column) -> Column:
