@@ -83,12 +83,18 @@ def _templates(spark, classes: dict[int, list[tuple[str, list[str]]]], bands: in
     return df.withColumn("minima", minima(F.col("hashes"), bands)).withColumn("least", F.array_distinct(least))
 
 
+def _once(df: DataFrame, column: str) -> DataFrame:
+    """Computes a column here: else the plan would put its expression into each use, and into the bodies of functions over arrays."""
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.explode(F.array(column)).alias(column))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, words: int = WORDS, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, containment (the best of its windows) and n_windows that verify."""
     spark = docs.sparkSession
     chosen = TEMPLATES if templates is None else templates
     lowered = F.translate(F.col(text), _UPPER, _LOWER)
-    tokens = docs.select(F.col(key).alias("doc_id"), F.filter(F.split(lowered, _BREAK), lambda w: w != "").alias("w"))
+    tokens = _once(docs.select(F.col(key).alias("doc_id"), F.filter(F.split(lowered, _BREAK), lambda w: w != "").alias("w")), "w")
     out = None
     for k, classes in sorted(plan(chosen, words).items()):
         known = _templates(spark, classes, bands)
@@ -96,10 +102,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
         those = F.array(*[F.lit(h).cast("long") for h in wanted])
         spelt = lambda i: F.concat_ws(" ", *[F.get(F.col("w"), i + j) for j in range(k)])  # noqa: B023, E731
         shingled = tokens.where(F.size("w") >= k).withColumn("h", F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.xxhash64(spelt(i))))
-        some = shingled.where(F.arrays_overlap("h", those))
+        some = _once(shingled, "h").where(F.arrays_overlap("h", those))
         sized = some.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sorted(classes)])))
         placed = sized.withColumn("start", F.explode(F.expr("sequence(0, greatest(0, size(h) - 1), size div 2)")))
-        windows = placed.select("doc_id", "size", "start", F.expr("slice(h, start + 1, size)").alias("h"), F.expr(f"slice(w, start + 1, size + {k - 1})").alias("w")).where(F.arrays_overlap("h", those))
+        windows = _once(placed.select("doc_id", "size", "start", F.expr("slice(h, start + 1, size)").alias("h"), F.expr(f"slice(w, start + 1, size + {k - 1})").alias("w")), "h").where(F.arrays_overlap("h", those))
         banded = windows.select("doc_id", "size", "start", "w", F.posexplode(minima(F.col("h"), bands)).alias("band", "value"))
         offered = known.select("size", "license", "shingles", F.posexplode("minima").alias("band", "value"))
         met = banded.join(F.broadcast(offered), ["size", "band", "value"])  # at most MOST * BANDS rows
