@@ -8,9 +8,11 @@ the join is between classes.
    shingles can exceed the share that makes a shingle count as frequent, which bounds what is broadcast.
 2. A class's prefix is its first n - ceil(s n) + 1 shingles; two classes that link share one. Prefixes go to buckets of shingles as packed
    arrays. Shingles of one class end there. Up to SMALL classes (or as many as a shingle that isn't frequent can have) give pairs,
-   whose shared shingles are counted; more are only tied to the least of them. After the last shared shingle of their prefixes,
-   the one whose prefix ends first has only what follows its prefix, and the other at most what follows that shingle: a pair whose
-   overlap can't reach the bound so is dropped. Other pairs and the ties make families: whatever links is in one family.
+   whose shared shingles are counted; more are only tied to the least of them. A pair whose overlap can't reach the bound is dropped:
+   after the last shared shingle of their prefixes, the one whose prefix ends first has only what follows its prefix, and the other at most
+   what follows that shingle; and up to where the first prefix ends they share what was counted (and perhaps frequent shingles), beyond
+   it no more than the counts of both sets' shingles in each of BINS ranges of hashes allow. Other pairs and the ties make families:
+   whatever links is in one family.
 3. Each set goes once to its family's task, which stores them in a trie and runs every set down it, sharing the
    overlap of common beginnings and leaving subtrees whose remaining lengths can't reach the bound. Sets that are
    already connected aren't compared. Families of more than CELL shingles are cut by set size into blocks,
@@ -27,6 +29,7 @@ without an id link with nothing and have no component; repeated rows of an id ar
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +44,7 @@ SIMILARITY = (80, 100)
 FREQUENT = 2_000_000
 SMALL = 64
 CELL = 4_000_000
+BINS = 64
 FLUSH = 1_500_000
 BUCKET = 2_000_000
 _LOW = np.uint64((1 << 63) - 1)
@@ -89,6 +93,13 @@ def _own(a, s):
     return -(-s[0] * a // s[1])
 
 
+def histograms(g: np.ndarray, first: np.ndarray) -> pa.Array:
+    """How many of each set's shingles are in each range of hashes, as 32-bit numbers."""
+    who = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    counts = np.bincount(who * BINS + (g >> np.uint64(57)).astype(np.int64), minlength=(len(first) - 1) * BINS).reshape(-1, BINS)
+    return pa.array([row.tobytes() for row in counts.astype("<u4")], pa.binary())
+
+
 class Trie:
     """Path-compressed prefix tree of sorted sets, as arrays; its nodes by level."""
 
@@ -205,9 +216,9 @@ def forest(sets: list[np.ndarray], side: np.ndarray, s: tuple[int, int]) -> list
     return out
 
 
-def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, at_: np.ndarray, s, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, at_: np.ndarray, code: np.ndarray, s, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From sorted entries of shingle, class, its size and the shingle's place in it: pairs of classes, what they have
-    (shared shingles, sizes, last shared places), and ties (class, least class)."""
+    (shared shingles, sizes, last shared places, codes), and ties (class, least class)."""
     first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
     count = np.diff(np.append(first, len(t)))
     found = []
@@ -221,8 +232,8 @@ def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, at_: np.ndarray, s, s
             rows = at[k : k + step, None]
             a, b = (rows + i).ravel(), (rows + j).ravel()
             ok = s[1] * np.minimum(n[a], n[b]) >= s[0] * np.maximum(n[a], n[b])
-            found.append(np.stack([u[a[ok]], u[b[ok]], *(x.astype(np.uint64) for x in (n[a[ok]], n[b[ok]], at_[a[ok]], at_[b[ok]]))], 1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 6), np.uint64)
+            found.append(np.stack([u[a[ok]], u[b[ok]], *(x.astype(np.uint64) for x in (n[a[ok]], n[b[ok]], at_[a[ok]], at_[b[ok]], code[a[ok]], code[b[ok]]))], 1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 8), np.uint64)
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     pairs = pairs[order]
     new = np.flatnonzero(np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(1))) if len(pairs) else np.zeros(0, np.int64)
@@ -230,7 +241,7 @@ def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, at_: np.ndarray, s, s
     least = np.repeat(np.minimum.reduceat(u, first) if len(first) else u, count)
     ties = np.unique(np.stack([u[hot], least[hot]], 1), axis=0)
     last = [np.maximum.reduceat(pairs[:, i], new) if len(new) else pairs[:, i] for i in (4, 5)]
-    has = np.stack([np.diff(np.append(new, len(pairs))), *(x.astype(np.int64) for x in (pairs[new, 2], pairs[new, 3], *last))], 1)
+    has = np.stack([np.diff(np.append(new, len(pairs))), *(x.astype(np.int64) for x in (pairs[new, 2], pairs[new, 3], *last, pairs[new, 6], pairs[new, 7]))], 1)
     return pairs[new, :2], has, ties
 
 
@@ -250,14 +261,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             return rows([None] * int(often.sum()), n[often], g[often])
 
         def rows(ids, n, h):
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.asarray(n, np.int64)), pa.array(h.view(np.int64)), pa.array([0 if i is None else 1 for i in ids], pa.int64())], ["doc_id", "n", "h", "kind"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.asarray(n, np.int64)), pa.array(h.view(np.int64)), pa.array([0] * len(ids), pa.int64()), pa.array([None] * len(ids), pa.binary())], ["doc_id", "n", "h", "kind", "bins"])
 
         parts, held = [], 0
         for b in bw.chunks(batches, "text"):
             g, first = shingle_sets(*bw.flat(b.column(1)), words)
             c = classes(g, first)
             keys = b.column(0)
-            made = pa.RecordBatch.from_arrays([keys, pa.array(np.diff(first)), pa.array(c.view(np.int64)), pa.array(np.ones(len(c), np.int64))], ["doc_id", "n", "h", "kind"])
+            made = pa.RecordBatch.from_arrays([keys, pa.array(np.diff(first)), pa.array(c.view(np.int64)), pa.array(np.ones(len(c), np.int64)), histograms(g, first)], ["doc_id", "n", "h", "kind", "bins"])
             yield made
             parts.append(([g[first[i] : first[i + 1]] for i in range(len(c))], c))
             held += len(g)
@@ -267,8 +278,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         if held:
             yield flush(parts)
 
-    scanned = stored(base.mapInArrow(scan, "doc_id long, n long, h long, kind long"), "sets")
-    members = scanned.where("kind = 1").select("doc_id", "n", F.col("h").alias("class"))
+    scanned = stored(base.mapInArrow(scan, "doc_id long, n long, h long, kind long, bins binary"), "sets")
+    members = scanned.where("kind = 1").select("doc_id", "n", F.col("h").alias("class"), "bins")
     total = members.agg(F.sum("n").alias("t")).first()["t"] or 0
     least = max(SMALL, -(-total // FREQUENT))
     small = max(SMALL, int(least))
@@ -286,15 +297,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
     def prefixes(batches):
         def flush(parts):
-            t, u, n, r = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            t, u, n, r, z = (np.concatenate([p[i] for p in parts]) for i in range(5))
             where = (bw.mix(t) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((u, t, where))
-            t, u, n, r, where = t[order], u[order], n[order], r[order], where[order]
+            t, u, n, r, z, where = t[order], u[order], n[order], r[order], z[order], where[order]
             keep = np.append(True, (t[1:] != t[:-1]) | (u[1:] != u[:-1]))
-            t, u, n, r, where = t[keep], u[keep], n[keep], r[keep], where[keep]
+            t, u, n, r, z, where = t[keep], u[keep], n[keep], r[keep], z[keep], where[keep]
             edge = np.searchsorted(where, np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(edge))
-            return pa.RecordBatch.from_arrays([pa.array(full), *(pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary()) for x in (t, u, n.astype("<u4"), r.astype("<u4")))], ["bucket", "t", "u", "n", "r"])
+            return pa.RecordBatch.from_arrays([pa.array(full), *(pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary()) for x in (t, u, n.astype("<u4"), r.astype("<u4"), z.astype("<u4")))], ["bucket", "t", "u", "n", "r", "z"])
 
         parts, held = [], 0
         for b in bw.chunks(batches, "text"):
@@ -306,7 +317,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             g = g[order]
             place = np.arange(len(g)) - first[:-1][who]
             take = place < (n - _own(n, s) + 1)[who]
-            parts.append((g[take], c[who[take]], n[who[take]], place[take]))
+            # the code: how many shingles are frequent, and in how many whole ranges of hashes the prefix has all others
+            often_ = bw.sums((g >> np.uint64(63)).astype(np.int64), first)
+            some = np.flatnonzero(n)
+            end = g[first[:-1][some] + (n - _own(n, s))[some]]
+            whole = np.zeros(len(n), np.int64)
+            whole[some] = np.where(end >> np.uint64(63), BINS, (end >> np.uint64(57)) & np.uint64(63)).astype(np.int64)
+            code = np.minimum(often_, (1 << 24) - 1) << 7 | whole
+            parts.append((g[take], c[who[take]], n[who[take]], place[take], code[who[take]]))
             held += int(take.sum())
             if held > FLUSH:
                 yield flush(parts)
@@ -316,23 +334,39 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
     def meet(key, table):
         t, u = (np.concatenate([np.frombuffer(x, "<u8") for x in table[c].to_pylist()]) for c in ("t", "u"))
-        n, r = (np.concatenate([np.frombuffer(x, "<u4") for x in table[c].to_pylist()]).astype(np.int64) for c in ("n", "r"))
+        n, r, z = (np.concatenate([np.frombuffer(x, "<u4") for x in table[c].to_pylist()]).astype(np.int64) for c in ("n", "r", "z"))
         order = np.lexsort((u, t))
-        t, u, n, r = t[order], u[order], n[order], r[order]
+        t, u, n, r, z = t[order], u[order], n[order], r[order], z[order]
         keep = np.append(True, (t[1:] != t[:-1]) | (u[1:] != u[:-1]))
-        p, has, ties = _pairs_of(t[keep], u[keep], n[keep], r[keep], s, small)
+        p, has, ties = _pairs_of(t[keep], u[keep], n[keep], r[keep], z[keep], s, small)
         both = np.concatenate([p, ties]).view(np.int64)
-        has = np.concatenate([has, np.zeros((len(ties), 5), np.int64)])
+        has = np.concatenate([has, np.zeros((len(ties), 7), np.int64)])
         tie = np.concatenate([np.zeros(len(p), np.int64), np.ones(len(ties), np.int64)])
-        return pa.table([pa.array(np.ascontiguousarray(x)) for x in (both[:, 0], both[:, 1], *has.T, tie)], names=["u", "v", "c", "a", "b", "ra", "rb", "tie"])
+        return pa.table([pa.array(np.ascontiguousarray(x)) for x in (both[:, 0], both[:, 1], *has.T, tie)], names=["u", "v", "c", "a", "b", "ra", "rb", "za", "zb", "tie"])
 
     filled = base.where("doc_id is not null")
-    met = filled.mapInArrow(prefixes, "bucket long, t binary, u binary, n binary, r binary").groupBy("bucket").applyInArrow(meet, "u long, v long, c long, a long, b long, ra long, rb long, tie long")
+    met = filled.mapInArrow(prefixes, "bucket long, t binary, u binary, n binary, r binary, z binary").groupBy("bucket").applyInArrow(meet, "u long, v long, c long, a long, b long, ra long, rb long, za long, zb long, tie long")
     p, q = s
     after = f"greatest(least(ceil({p} * a / {q}D) - 1, b - rb - 1), least(ceil({p} * b / {q}D) - 1, a - ra - 1))"
     enough = F.expr(f"c + {after} >= ceil({p} * (a + b) / {p + q}D)")
-    counted = met.groupBy("u", "v").agg(F.sum("c").alias("c"), *[F.max(x).alias(x) for x in ("a", "b", "ra", "rb", "tie")])
-    near = counted.where((F.col("tie") == 1) | enough)
+    counted = met.groupBy("u", "v").agg(F.sum("c").alias("c"), *[F.max(x).alias(x) for x in ("a", "b", "ra", "rb", "za", "zb", "tie")])
+    likely = stored(counted.where((F.col("tie") == 1) | enough), "pairs")
+    bins = members.where("n > 0").groupBy("class").agg(F.first("bins").alias("bins"))
+    used = likely.where("tie = 0").select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    bins = stored(bins.join(used, "class", "left_semi"), "bins")
+
+    @F.pandas_udf("long")
+    def beyond(c: pd.Series, za: pd.Series, zb: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        """The most that two sets can share."""
+        za, zb = za.to_numpy(np.int64), zb.to_numpy(np.int64)
+        h, k = (np.frombuffer(b"".join(v), "<u4").reshape(-1, BINS).astype(np.int64) for v in (x, y))
+        whole = np.minimum(za & 127, zb & 127)
+        least = np.where(np.arange(BINS) >= whole[:, None], np.minimum(h, k), 0).sum(1)
+        return pd.Series(c.to_numpy(np.int64) + np.minimum(za >> 7, zb >> 7) + least)
+
+    one, two = bins.select(F.col("class").alias("u"), F.col("bins").alias("x")), bins.select(F.col("class").alias("v"), F.col("bins").alias("y"))
+    able = likely.where("tie = 0").join(one, "u").join(two, "v").where(beyond("c", "za", "zb", "x", "y") >= F.expr(f"ceil({p} * (a + b) / {p + q}D)"))
+    near = likely.where("tie = 1").select("u", "v").unionByName(able.select("u", "v"))
     family = components(near.select("u", "v"), "families").select(F.col("node").alias("class"), F.col("component").alias("family"))
     reps = members.where("doc_id is not null and n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     placed = family.join(reps, "class")
