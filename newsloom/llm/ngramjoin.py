@@ -7,7 +7,7 @@ the join is between classes.
 1. One scan gives each document's class and counts of shingles that are frequent somewhere. At most FREQUENT
    shingles can exceed the share that makes a shingle count as frequent, which bounds what is broadcast.
 2. A class's prefix is its first n - ceil(s n) + 1 shingles; two classes that link share one. Prefixes go to buckets of shingles as packed
-   arrays. Shingles of one class end there. Up to SMALL classes (or as many as a shingle that isn't frequent can have) give pairs,
+   arrays. Shingles of one class end there. Up to SMALL classes (or MANY, if the shingle isn't known as frequent) give pairs,
    whose shared shingles are counted; more are only tied to the least of them. A pair whose overlap can't reach the bound is dropped:
    after the last shared shingle of their prefixes, the one whose prefix ends first has only what follows its prefix, and the other at most
    what follows that shingle; and up to where the first prefix ends they share what was counted (and perhaps frequent shingles), beyond
@@ -43,6 +43,7 @@ SIMILARITY = (80, 100)
 #: Shingles that may count as frequent, at most
 FREQUENT = 2_000_000
 SMALL = 64
+MANY = 2048
 CELL = 4_000_000
 BINS = 64
 FLUSH = 1_500_000
@@ -222,9 +223,10 @@ def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, at_: np.ndarray, code
     first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
     count = np.diff(np.append(first, len(t)))
     found = []
-    for c in np.unique(count):
-        at = first[count == c]
-        if c == 1 or c > small:
+    hot = count > np.where(t[first] >> np.uint64(63), small, max(small, MANY))
+    for c in np.unique(count[~hot]):
+        at = first[(count == c) & ~hot]
+        if c == 1:
             continue
         i, j = np.triu_indices(int(c), 1)
         step = max(1, (1 << 20) // len(i))
@@ -237,7 +239,7 @@ def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, at_: np.ndarray, code
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     pairs = pairs[order]
     new = np.flatnonzero(np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(1))) if len(pairs) else np.zeros(0, np.int64)
-    hot = np.repeat(count > small, count)
+    hot = np.repeat(hot, count)
     least = np.repeat(np.minimum.reduceat(u, first) if len(first) else u, count)
     ties = np.unique(np.stack([u[hot], least[hot]], 1), axis=0)
     last = [np.maximum.reduceat(pairs[:, i], new) if len(new) else pairs[:, i] for i in (4, 5)]

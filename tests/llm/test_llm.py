@@ -259,6 +259,7 @@ def brute_join(texts):
 @pytest.mark.parametrize("small, cell", [(64, 2_000_000), (3, 400), (64, 300)])
 def test_jaccard_join(spark, monkeypatch, small, cell):
     monkeypatch.setattr(ngramjoin, "SMALL", small)
+    monkeypatch.setattr(ngramjoin, "MANY", small)
     monkeypatch.setattr(ngramjoin, "CELL", cell)
     r = random.Random(5)
     texts = []
