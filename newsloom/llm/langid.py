@@ -218,7 +218,20 @@ class _Scorer:
 
     def __init__(self, vocabulary: str, p: np.ndarray):
         self.v, self.p = Vocabulary.of(vocabulary), p
-        self.hash, self.score = np.zeros(0, np.uint64), np.zeros((0, p.shape[1]), np.float32)
+        self._forget()
+
+    def _forget(self) -> None:
+        #: hashes and scores, sorted by hash: the many and the latest
+        self.known = [(np.zeros(0, np.uint64), np.zeros((0, self.p.shape[1]), np.float32)) for _ in range(2)]
+
+    def _keep(self, h: np.ndarray, score: np.ndarray) -> None:
+        late = 1 if len(self.known[1][0]) + len(h) < max(20_000, len(self.known[0][0]) // 8) else 0
+        parts = [self.known[1], (h, score)] if late else [*self.known, (h, score)]
+        both, scores = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(both, kind="stable")
+        self.known[late] = both[order], scores[order]
+        if not late:
+            self.known[1] = h[:0], score[:0]
 
     @classmethod
     def of(cls, name: str, vocabulary: str, p: np.ndarray) -> "_Scorer":
@@ -232,17 +245,18 @@ class _Scorer:
         h, one, place = bw.distinct(bw.hashes(t.buf, t.starts, t.ends, True))
         if not len(h):
             return np.zeros((len(offs) - 1, self.p.shape[1]))
-        out = np.zeros((len(h), self.p.shape[1]), np.float32)
-        at = np.minimum(np.searchsorted(self.hash, h), max(0, len(self.hash) - 1))
-        old = self.hash[at] == h if len(self.hash) else np.zeros(len(h), bool)
-        out[old] = self.score[at[old]]
-        if not old.all():
-            out[~old] = word_scores(self.v, self.p, [t.raw(i) for i in one[~old]])
-            if len(self.hash) + len(h) > REMEMBERED:
-                self.hash, self.score = self.hash[:0], self.score[:0]
-            both = np.concatenate([self.hash, h[~old]])
-            order = np.argsort(both, kind="stable")
-            self.hash, self.score = both[order], np.concatenate([self.score, out[~old]])[order]
+        out, new = np.zeros((len(h), self.p.shape[1]), np.float32), np.ones(len(h), bool)
+        for kh, ks in self.known:
+            if len(kh):
+                at = np.minimum(np.searchsorted(kh, h), len(kh) - 1)
+                ok = kh[at] == h
+                out[ok] = ks[at[ok]]
+                new &= ~ok
+        if new.any():
+            out[new] = word_scores(self.v, self.p, [t.raw(i) for i in one[new]])
+            if sum(len(k[0]) for k in self.known) + len(h) > REMEMBERED:
+                self._forget()
+            self._keep(h[new], out[new])
         return bw.sums(out[place].astype(np.float64), t.first)
 
 
