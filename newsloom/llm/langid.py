@@ -9,8 +9,8 @@ likeliest language and, as ``score``, its posterior probability.
 Single bytes are pieces as well (the vocabulary's byte pieces), so every text has a segmentation.
 Words of more than PART bytes are scored in parts, which bounds memory and keeps products in range.
 
-Training: expectation maximisation over words of a bounded sample of labelled documents, at most
-SAMPLE a language, those least by a hash of their id; expected piece counts are found on
+Training: expectation maximisation over words of a bounded sample of labelled documents, all or an expected
+SAMPLE of a language, those least by a hash of their id; expected piece counts are found on
 the workers, and only languages x vocabulary numbers reach the driver.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; null languages
@@ -24,13 +24,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .common import crc32_of, small_batches, stored
 
-#: Documents a language that training takes at most
+#: Documents a language that training takes, as expected
 SAMPLE = 3000
 ROUNDS = 3
 #: Added to each piece's expected count
@@ -161,16 +161,15 @@ def train(docs: DataFrame, use: Column, vocabulary: str, text: str = "text", lan
     spark = docs.sparkSession
     small_batches(spark)
     labelled = docs.where(use & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    langs = sorted(r[0] for r in labelled.select("lang").distinct().collect())
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, 0))
-    # the least hashes of ids, so at most ``sample`` ids each: small enough to send to every worker
-    ranked = labelled.select("id", "lang", F.xxhash64("id").alias("h"))
-    chosen = ranked.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample).groupBy("lang").agg(F.max("h").alias("most"))
-    limits = {r["lang"]: r["most"] for r in chosen.collect()}
+    # the part of the range of hashes that holds about ``sample`` ids: no ranking of a language's rows
     ladder = F.lit(False)
     for name in langs:
-        ladder = ladder | ((F.col("lang") == name) & (F.xxhash64("id") <= limits[name]))
+        most = min(int(min(1.0, sample / sizes[name]) * (1 << 64)) - (1 << 63), (1 << 63) - 1)
+        ladder = ladder | ((F.col("lang") == name) & (F.xxhash64("id") <= most))
 
     def count(batches):
         for b in bw.chunks(batches, "text"):
