@@ -31,7 +31,7 @@ from . import bytewords as bw
 from .common import crc32_of, small_batches, stored
 
 #: Documents a language that training takes, as expected
-SAMPLE = 3000
+SAMPLE = 1000
 ROUNDS = 3
 #: Added to each piece's expected count
 PRIOR = 0.02
@@ -128,11 +128,16 @@ class Lattice:
         f = self.forward(p)
         b = np.zeros_like(f)
         b[self.n] = weight / np.maximum(f[self.n], 1e-300)
+        pieces, counts = [], []
         for e in range(self.n, 0, -1):
             for a, rows, piece in self.edges[e]:
                 by = p[piece] * b[e, rows]
-                np.add.at(total, piece, f[a, rows] * by)
+                pieces.append(piece)
+                counts.append(f[a, rows] * by)
                 b[a, rows] += by
+        at, n = np.concatenate(pieces), np.concatenate(counts)
+        for k in range(n.shape[1]):
+            total[:, k] += np.bincount(at, n[:, k], len(total))
 
 
 def by_length(pieces: list[bytes], most: int = 4096):
