@@ -1,18 +1,21 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
 Features of a text: hashes of its tokens (words, runs of punctuation, each with the white space before) and of neighbouring
-pairs, 64 bits wide; RUN equal tokens in a row are one feature for all tokens. A text is described by the
-features it has. The target's model (labelled quality 1, not toxic) and two models of what else raw text holds (quality 0; toxic)
-give each feature a probability. A kind of raw text is seen as target text with marks, a mark being a feature that is far commoner
-there (RATIO times, and in LEAST labelled documents and a SHARE of them at least, so the marks are few), so that topic, language and length don't count; its
-ratio to the target is that of the text's most telling mark, 1 without any. Raw text is the mixture by labelled shares:
+pairs, 64 bits wide; RUN equal tokens in a row are one feature for all tokens. The target's model (labelled quality 1, not toxic) and two models of what else raw text holds (quality 0; toxic)
+give each feature a probability: its share of all features that the kind's labelled documents have, smoothed by half a feature of
+both kinds together. All features count, each with the logarithm of its ratio times the probability that the two models differ in it
+at all (DIFFER before the labels are seen; two binomials against one, Jeffreys' prior), so what few documents show
+counts little, with no least number of documents, and many weak signs add up, for and against. Near copies aren't independent: of more
+than INDEPENDENT labelled documents, that probability is the one at counts in proportion to so many (the ratio has all counts). Shares of features make long and short
+documents of a kind the same. The sum over all that a text has, each as often as it has it, is the logarithm of a kind's ratio. Raw text
+is the mixture by labelled shares:
 
     log weight = -log sum_k share_k ratio_k          (ratio 1 for the target itself)
 
-which is 0 for clean texts of any length and falls with marks. Each document's key is POWER times that weight plus
+which is about 0 for clean texts and falls with signs of another kind. Each document's key is POWER times that weight plus
 Gumbel noise from a hash of its id; the k largest stay, a sample without replacement in proportion to the sharpened weights
-(Efraimidis & Spirakis). k is how many documents have a log weight of CUT or more, so what is rejected is what the
-weights reject; the k-th largest is found by counting in ever narrower ranges, not by collecting.
+(Efraimidis & Spirakis). k is how many documents have a log weight of CUT or more;
+the k-th largest is found by counting in ever narrower ranges, not by collecting.
 
 The models are fitted on at most LABELS labelled documents (those least by a hash of their id), the weights found for all.
 
@@ -36,9 +39,11 @@ from .common import small_batches, stored
 from .tokens import units
 
 LABELS = 200_000
-RATIO = 8.0
-LEAST = 8
-SHARE = 0.005
+DIFFER = 0.01
+#: Labelled documents beyond so many weigh as so many where features are compared
+INDEPENDENT = 1600
+#: Features that add less don't go to the driver
+NEGLIGIBLE = 0.001
 RUN = 4
 POWER = 8.0
 CUT = -2.5
@@ -71,8 +76,25 @@ def distinct(g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[keep], d[keep]
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series at x + 6."""
+    y, p = x + 6, np.ones_like(x)
+    for i in range(6):
+        p *= x + i
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - np.log(p)
+
+
+def log_ratios(n: np.ndarray, n0: np.ndarray, total: float, total0: float, part: float = 1.0) -> np.ndarray:
+    """What a feature that n of total features of a kind are, and n0 of total0 of the target, adds to the kind's log ratio."""
+    beta = lambda a, b: log_gamma(a + 0.5) + log_gamma(b - a + 0.5) - log_gamma(b + np.ones_like(a))
+    odds = beta(part * n, part * total) + beta(part * n0, part * total0) - beta(part * (n + n0), part * (total + total0)) - math.log(math.pi) + math.log(DIFFER / (1 - DIFFER))
+    half = 0.5 / (total + total0)
+    ratio = np.log(n / total + half) - np.log(n0 / total0 + half)
+    return ratio / (1 + np.exp(-np.clip(odds, -700, 700)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", limit: int = LABELS) -> dict:
-    """Shares of the three kinds and, for each other kind, its marks with the logarithms of their ratios."""
+    """Shares of the three kinds, and features in order with what each adds to the log ratios of the two other kinds."""
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where(F.col(quality).isNotNull() & F.col(toxic).isNotNull() & F.col(key).isNotNull())
@@ -82,68 +104,60 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if n > limit:  # the share of the hash range that holds about as many
         sample = sample.where(F.abs(F.xxhash64("_id") % 1_000_000) < int(1_000_000 * limit / n))
     chosen = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text")).join(F.broadcast(sample), "_id").select("_kind", "text")
-    texts = {r["_kind"]: r["n"] for r in chosen.groupBy("_kind").agg(F.count("*").alias("n")).collect()}
-    if not texts.get(0):
-        return {"shares": [1.0, 0.0, 0.0], "marks": []}
 
-    def counter(only):
-        """Documents by kind and feature, summed as far as a task's batches go."""
+    def sizes(batches):
+        for b in bw.chunks(batches, "text"):
+            k = b.column(0).to_numpy()
+            _, d = distinct(*features(*bw.flat(b.column(1))))
+            yield pa.RecordBatch.from_arrays([pa.array(range(3), pa.int32()), pa.array(np.bincount(k, minlength=3)), pa.array(np.bincount(k[d], minlength=3))], ["kind", "texts", "features"])
 
-        def run(batches):
-            held, size = [], 0
-
-            def flush():
-                g, k = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-                u, place = np.unique(g, return_inverse=True)
-                by = [np.bincount(place[k == i], minlength=len(u)) for i in range(3)]
-                return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *(pa.array(x) for x in by)], ["g", "n0", "n1", "n2"])
-
-            for b in bw.chunks(batches, "text"):
-                g, d = features(*bw.flat(b.column(1)))
-                if only is not None:
-                    ok = np.isin(g, only.value)
-                    g, d = g[ok], d[ok]
-                g, d = distinct(g, d)
-                held.append((g, b.column(0).to_numpy()[d]))
-                size += len(g)
-                if size > 4_000_000:
-                    yield flush()
-                    held, size = [], 0
-            if size:
-                yield flush()
+    found = {r["kind"]: (r["texts"], r["features"]) for r in chosen.mapInArrow(sizes, "kind int, texts long, features long").groupBy("kind").agg(F.sum("texts").alias("texts"), F.sum("features").alias("features")).collect()}
+    texts, total = ([found.get(k, (0, 0))[i] for k in range(3)] for i in range(2))
+    if not texts[0]:
+        return {"shares": [1.0, 0.0, 0.0], "g": np.zeros(0, np.uint64), "ratios": np.zeros((0, 2))}
 
-        return run
+    def count(batches):
+        """Documents by kind and feature, summed as far as a task's batches go."""
+        held, size = [], 0
+
+        def flush():
+            g, k = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            u, place = np.unique(g, return_inverse=True)
+            by = [np.bincount(place[k == i], minlength=len(u)) for i in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *(pa.array(x) for x in by)], ["g", "n0", "n1", "n2"])
+
+        for b in bw.chunks(batches, "text"):
+            g, d = distinct(*features(*bw.flat(b.column(1))))
+            held.append((g, b.column(0).to_numpy()[d]))
+            size += len(g)
+            if size > 4_000_000:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
 
-    def counted(frame, only=None):
-        return frame.mapInArrow(counter(only), "g long, n0 long, n1 long, n2 long").groupBy("g").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
+    def compare(batches):
+        for b in batches:
+            n = [b.column(1 + k).to_numpy().astype(float) for k in range(3)]
+            r = [log_ratios(n[k], n[0], total[k], total[0], min(1.0, INDEPENDENT / sum(texts))) if total[k] and total[0] else np.zeros(len(n[0])) for k in (1, 2)]
+            ok = np.flatnonzero(np.maximum(np.abs(r[0]), np.abs(r[1])) >= NEGLIGIBLE)
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[ok]), pa.array(r[0][ok]), pa.array(r[1][ok])], ["g", "r1", "r2"])
 
-    floor = {k: max(LEAST, SHARE * texts.get(k, 0)) for k in (1, 2)}
-    often = counted(chosen.where("_kind > 0")).where((F.col("n1") >= floor[1]) | (F.col("n2") >= floor[2])).toPandas()  # at most (features a document) / SHARE
-    only = np.sort(often["g"].to_numpy(np.int64).view(np.uint64))
-    clean = counted(chosen.where("_kind = 0"), spark.sparkContext.broadcast(only)).select("g", "n0").toPandas()
-    both = often.drop(columns="n0").merge(clean, "left", "g").fillna({"n0": 0})
-    g, marks = both["g"].to_numpy(np.int64).view(np.uint64), []
-    target = (both["n0"].to_numpy(float) + 1) / (texts[0] + 1)
-    for k in (1, 2):
-        n = both[f"n{k}"].to_numpy(float)
-        ratio = (n + 0.5) / (texts.get(k, 0) + 1) / target
-        ok = np.flatnonzero((n >= floor[k]) & (ratio >= RATIO))
-        ok = ok[np.argsort(g[ok])]
-        marks.append((g[ok], np.log(ratio[ok])))
-    total = sum(texts.values())
-    return {"shares": [texts.get(k, 0) / total for k in range(3)], "marks": marks}
+    counted = chosen.mapInArrow(count, "g long, n0 long, n1 long, n2 long").groupBy("g").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
+    told = counted.mapInArrow(compare, "g long, r1 double, r2 double").toPandas()
+    g = told["g"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(g)
+    return {"shares": [x / sum(texts) for x in texts], "g": g[order], "ratios": told[["r1", "r2"]].to_numpy()[order]}
 
 
 def log_weights(g: np.ndarray, d: np.ndarray, n: int, model: dict) -> np.ndarray:
+    known, ratios = model["g"], model["ratios"]
     terms = [np.full(n, math.log(model["shares"][0]))]
-    for (marks, ratio), share in zip(model["marks"], model["shares"][1:]):
+    at = np.minimum(np.searchsorted(known, g), len(known) - 1) if len(known) else np.zeros(0, np.int64)
+    hit = np.flatnonzero(known[at] == g) if len(known) else at
+    for k, share in enumerate(model["shares"][1:]):
         if share:
-            best = np.zeros(n)
-            if len(marks):
-                at = np.minimum(np.searchsorted(marks, g), len(marks) - 1)
-                hit = np.flatnonzero(marks[at] == g)
-                np.maximum.at(best, d[hit], ratio[at[hit]])
-            terms.append(best + math.log(share))
+            terms.append(np.bincount(d[hit], ratios[at[hit], k], n) + math.log(share))
     return -np.logaddexp.reduce(terms, axis=0)
 
 

@@ -202,6 +202,16 @@ def test_importance(spark):
     assert importance.resample(d.limit(0), lab).count() == 0
 
 
+def test_importance_weak_signs(spark):
+    """Low-quality texts hold all words, half of them three times as often: no single word tells."""
+    r = random.Random(4)
+    good, weak = [f"{x}q" for x in "abcdefghijklmnopqrst"], [f"{x}z" for x in "abcdefghijklmnopqrst"]
+    texts = [" ".join(r.choice(weak if r.random() < (0.6 if i % 4 == 0 else 0.2) else good) for _ in range(30)) for i in range(1200)]
+    lab = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(800)], "doc_id long, quality int, toxic int")
+    kept = {x.doc_id for x in importance.resample(docs_of(spark, texts), lab).collect()}
+    assert sum(i in kept for i in range(800, 1200) if i % 4) > 0.9 * 300 and sum(i in kept for i in range(800, 1200, 4)) < 0.3 * 100
+
+
 def test_kth_largest(spark):
     v = [random.Random(2).choice([1.5, 2.5, -3e9, random.Random(i).random()]) for i in range(500)]
     d = spark.createDataFrame([(x,) for x in v], "x double")
