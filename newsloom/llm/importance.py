@@ -14,8 +14,8 @@ is the mixture by labelled shares:
 
 which is about 0 for clean texts and falls with signs of another kind. Each document's key is POWER times that weight plus
 Gumbel noise from a hash of its id; the k largest stay, a sample without replacement in proportion to the sharpened weights
-(Efraimidis & Spirakis). k is how many documents have a log weight of CUT or more;
-the k-th largest is found by counting in ever narrower ranges, not by collecting.
+(Efraimidis & Spirakis). k is how many documents are of the target with a probability of CUT or more, share_target times
+the weight: an even chance, whatever the labels are and however many; the k-th largest is found by counting in ever narrower ranges, not by collecting.
 
 The models are fitted on at most LABELS labelled documents (those least by a hash of their id), the weights found for all.
 
@@ -46,7 +46,8 @@ INDEPENDENT = 1600
 NEGLIGIBLE = 0.001
 RUN = 4
 POWER = 8.0
-CUT = -2.5
+#: Least probability of the target
+CUT = 0.5
 SEED = 20
 _REPEAT = np.uint64(0x3C6EF372FE94F82A)
 
@@ -209,7 +210,7 @@ def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """The chosen rows with their columns, log_weight and gumbel_key."""
     model = fit(docs, labels, key, text)
     narrow = stored(weigh(docs.select(key, text), model, key, text, seed).select("log_weight", "gumbel_key"), "weights")
-    k = narrow.where(F.col("log_weight") >= cut).count()
+    k = narrow.where(F.col("log_weight") >= math.log(cut / model["shares"][0])).count()
     return weigh(docs, model, key, text, seed).where(F.col("gumbel_key") >= kth_largest(narrow, "gumbel_key", k))
 
 
@@ -217,5 +218,5 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """doc_id, log_weight and gumbel_key of the chosen rows."""
     model = fit(docs, labels, key, text)
     narrow = stored(weigh(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), model, "doc_id", "text", seed).drop("text"), "weights")
-    k = narrow.where(F.col("log_weight") >= cut).count()
+    k = narrow.where(F.col("log_weight") >= math.log(cut / model["shares"][0])).count()
     return narrow.where(F.col("gumbel_key") >= kth_largest(narrow, "gumbel_key", k))

@@ -202,6 +202,15 @@ def test_importance(spark):
     assert importance.resample(d.limit(0), lab).count() == 0
 
 
+def test_importance_few_labels(spark):
+    """Seven labelled documents of a kind teach it; one kind of junk that is few among the labelled goes too."""
+    texts = [" ".join(rnd_words(i, 60)) for i in range(80)]
+    texts += [" | ".join(rnd_words(100 + i, 40)) for i in range(7)] + [" ".join(x for x in rnd_words(200 + i, 8) for _ in range(6)) for i in range(7)]
+    texts += [" | ".join(rnd_words(300 + i, 40)) for i in range(5)] + [" ".join(x for x in rnd_words(400 + i, 8) for _ in range(6)) for i in range(5)]
+    lab = spark.createDataFrame([(i, int(i < 80), 0) for i in range(94)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in importance.resample(docs_of(spark, texts), lab).collect()} == set(range(80))
+
+
 def test_importance_weak_signs(spark):
     """Low-quality texts hold all words, half of them three times as often: no single word tells."""
     r = random.Random(4)
