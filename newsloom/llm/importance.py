@@ -1,27 +1,23 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
-Features of a text: hashes of its tokens (words, runs of punctuation, each with the white space before) and of neighbouring
-pairs, 64 bits wide; RUN equal tokens in a row are one feature for all tokens. The target's model (labelled quality 1, not toxic) and two models of what else raw text holds (quality 0; toxic)
-give each feature a probability: its share of all features that the kind's labelled documents have, smoothed by half a feature of
-both kinds together. All features count, each with the logarithm of its ratio times the probability that the two models differ in it
-at all (DIFFER before the labels are seen; two binomials against one, Jeffreys' prior), so what few documents show
-counts little, with no least number of documents, and many weak signs add up, for and against. Near copies aren't independent: of more
-than INDEPENDENT labelled documents, that probability is the one at counts in proportion to so many (the ratio has all counts). Shares of features make long and short
-documents of a kind the same. The sum over all that a text has, each as often as it has it, is the logarithm of a kind's ratio. Raw text
-is the mixture by labelled shares:
-
-    log weight = -log sum_k share_k ratio_k          (ratio 1 for the target itself)
-
-which is about 0 for clean texts and falls with signs of another kind. Each document's key is POWER times that weight plus
-Gumbel noise from a hash of its id; the k largest stay, a sample without replacement in proportion to the sharpened weights
-(Efraimidis & Spirakis). k is how many documents are of the target with a probability of CUT or more, share_target times
-the weight: an even chance, whatever the labels are and however many; the k-th largest is found by counting in ever narrower ranges, not by collecting.
-
-The models are fitted on at most LABELS labelled documents (those least by a hash of their id), the weights found for all.
-
-Defined cases: null and empty texts have no features and count as clean; with no labelled target all weights are 0; null labels
-don't train; ids labelled twice train twice; equal keys at the bound all stay; documents without an id share one noise.
-Rows and other columns are kept; columns named log_weight or gumbel_key are replaced.
+Features of a text: its tokens (words and runs of punctuation, each with the white space before) and neighbouring pairs of
+them, hashed into 2**BITS buckets. Two generative models give each bucket a probability, its share of all features: the raw
+model counts all documents, the target model the labelled ones of quality 1 that aren't toxic. Counts are brought to the
+target's size and smoothed by PSEUDO features in each bucket, for both models alike, so what the target sample is too small to show
+counts little. A document's logarithmic weight sums the log ratios of all its features, each as often as it has it:
+
+    log weight = sum over features of log((target count + PSEUDO) / (raw count * target total / raw total + PSEUDO))
+
+Its key is that weight plus standard Gumbel noise from a hash of its id; the k largest keys stay, which is a sample without replacement
+in proportion to the weights (Xie et al. 2023). k is a parameter, given as a share of all documents; where it is not given, it is the share of
+quality 1 among the labelled. The k-th largest key is found by counting in ever narrower ranges, not by collecting.
+
+The target model is fitted on at most about LABELS labelled documents (those least by a hash of their id); the raw model,
+weights and keys cover all documents. The driver gets 2**BITS numbers a model, whatever the corpus.
+
+Defined cases: null and empty texts have no features and the weight 0; with no labelled target all weights are 0 and all documents
+stay; null labels don't count; an id labelled more than once is of the target if all its labels say so; equal keys at the bound all
+stay; documents without an id share one noise. ``select`` keeps rows and all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,25 +31,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import small_batches, stored
+from .common import fetched, fresh, stored
 from .tokens import units
 
 LABELS = 200_000
-DIFFER = 0.01
-#: Labelled documents beyond so many weigh as so many where features are compared
-INDEPENDENT = 1600
-#: Features that add less don't go to the driver
-NEGLIGIBLE = 0.001
-RUN = 4
-POWER = 8.0
-#: Least probability of the target
-CUT = 0.5
+BITS = 16
+#: Features added to each bucket of both models
+PSEUDO = 20.0
 SEED = 20
-_REPEAT = np.uint64(0x3C6EF372FE94F82A)
 
 
-def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature hashes and the text of each; a text may have one more than once."""
+def features(buf: np.ndarray, offs: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all features and the text of each; a text may have one more than once."""
     t = units(buf, offs)
     h = bw.hashes(t.buf, t.starts, t.ends, True)
     who = t.owner()
@@ -62,120 +51,56 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         inside = who[:-1] == who[1:]
         parts.append(bw.chain(h[:-1], h[1:])[inside])
         of.append(who[1:][inside])
-    if len(h) >= RUN:
-        same = (h[1:] == h[:-1]) & (who[1:] == who[:-1])
-        run = np.logical_and.reduce([same[i : len(same) - RUN + 2 + i] for i in range(RUN - 1)])
-        of.append(who[: len(run)][run])
-        parts.append(np.full(len(of[-1]), _REPEAT, np.uint64))
-    return np.concatenate(parts), np.concatenate(of)
-
-
-def distinct(g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((d, g))
-    g, d = g[order], d[order]
-    keep = np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1]))[: len(g)]
-    return g[keep], d[keep]
-
-
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series at x + 6."""
-    y, p = x + 6, np.ones_like(x)
-    for i in range(6):
-        p *= x + i
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - np.log(p)
-
-
-def log_ratios(n: np.ndarray, n0: np.ndarray, total: float, total0: float, part: float = 1.0) -> np.ndarray:
-    """What a feature that n of total features of a kind are, and n0 of total0 of the target, adds to the kind's log ratio."""
-    beta = lambda a, b: log_gamma(a + 0.5) + log_gamma(b - a + 0.5) - log_gamma(b + np.ones_like(a))
-    odds = beta(part * n, part * total) + beta(part * n0, part * total0) - beta(part * (n + n0), part * (total + total0)) - math.log(math.pi) + math.log(DIFFER / (1 - DIFFER))
-    half = 0.5 / (total + total0)
-    ratio = np.log(n / total + half) - np.log(n0 / total0 + half)
-    return ratio / (1 + np.exp(-np.clip(odds, -700, 700)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", limit: int = LABELS) -> dict:
-    """Shares of the three kinds, and features in order with what each adds to the log ratios of the two other kinds."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    known = labels.where(F.col(quality).isNotNull() & F.col(toxic).isNotNull() & F.col(key).isNotNull())
-    kind = F.when(F.col(quality) != 1, 1).when(F.col(toxic) == 1, 2).otherwise(0)
-    sample = known.select(F.col(key).cast("long").alias("_id"), kind.alias("_kind"))
-    n = sample.count()
-    if n > limit:  # the share of the hash range that holds about as many
-        sample = sample.where(F.abs(F.xxhash64("_id") % 1_000_000) < int(1_000_000 * limit / n))
-    chosen = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text")).join(F.broadcast(sample), "_id").select("_kind", "text")
+    return (np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate(of)
 
-    def sizes(batches):
-        for b in bw.chunks(batches, "text"):
-            k = b.column(0).to_numpy()
-            _, d = distinct(*features(*bw.flat(b.column(1))))
-            yield pa.RecordBatch.from_arrays([pa.array(range(3), pa.int32()), pa.array(np.bincount(k, minlength=3)), pa.array(np.bincount(k[d], minlength=3))], ["kind", "texts", "features"])
 
-    found = {r["kind"]: (r["texts"], r["features"]) for r in chosen.mapInArrow(sizes, "kind int, texts long, features long").groupBy("kind").agg(F.sum("texts").alias("texts"), F.sum("features").alias("features")).collect()}
-    texts, total = ([found.get(k, (0, 0))[i] for k in range(3)] for i in range(2))
-    if not texts[0]:
-        return {"shares": [1.0, 0.0, 0.0], "g": np.zeros(0, np.uint64), "ratios": np.zeros((0, 2))}
+def log_ratios(target: np.ndarray, raw: np.ndarray, pseudo: float = PSEUDO) -> np.ndarray:
+    """Of each bucket; 0 everywhere without a target."""
+    if not target.sum():
+        return np.zeros(len(raw))
+    return np.log(target + pseudo) - np.log(raw * (target.sum() / raw.sum()) + pseudo)
 
-    def count(batches):
-        """Documents by kind and feature, summed as far as a task's batches go."""
-        held, size = [], 0
 
-        def flush():
-            g, k = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            u, place = np.unique(g, return_inverse=True)
-            by = [np.bincount(place[k == i], minlength=len(u)) for i in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *(pa.array(x) for x in by)], ["g", "n0", "n1", "n2"])
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", limit: int = LABELS, bits: int = BITS) -> dict:
+    """log_ratio by bucket, and share: that of quality 1 among the labelled (1 without labels)."""
+    known = labels.where(F.col(quality).isNotNull() & F.col(toxic).isNotNull() & F.col(key).isNotNull())
+    each = known.groupBy(F.col(key).cast("long").alias("id")).agg(F.min((F.col(quality) == 1).cast("int")).alias("good"), F.min(((F.col(quality) == 1) & (F.col(toxic) != 1)).cast("int")).alias("target"))
+    n, good = each.agg(F.count("*"), F.sum("good")).first()
+    sample = each.where("target = 1").select(F.col("id").alias("_id"))
+    if n > limit:  # the share of the hash range that holds about as many
+        sample = sample.where(F.abs(F.xxhash64("_id") % 1_000_000) < int(1_000_000 * limit / n))
+    base = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text"))
+    marked = base.join(F.broadcast(sample.withColumn("_in", F.lit(True))), "_id", "left").select("text", F.coalesce("_in", F.lit(False)).alias("target"))  # about ``limit`` ids
 
+    def count(batches):
+        raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for b in bw.chunks(batches, "text"):
-            g, d = distinct(*features(*bw.flat(b.column(1))))
-            held.append((g, b.column(0).to_numpy()[d]))
-            size += len(g)
-            if size > 4_000_000:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
-
-    def compare(batches):
-        for b in batches:
-            n = [b.column(1 + k).to_numpy().astype(float) for k in range(3)]
-            r = [log_ratios(n[k], n[0], total[k], total[0], min(1.0, INDEPENDENT / sum(texts))) if total[k] and total[0] else np.zeros(len(n[0])) for k in (1, 2)]
-            ok = np.flatnonzero(np.maximum(np.abs(r[0]), np.abs(r[1])) >= NEGLIGIBLE)
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[ok]), pa.array(r[0][ok]), pa.array(r[1][ok])], ["g", "r1", "r2"])
-
-    counted = chosen.mapInArrow(count, "g long, n0 long, n1 long, n2 long").groupBy("g").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
-    told = counted.mapInArrow(compare, "g long, r1 double, r2 double").toPandas()
-    g = told["g"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(g)
-    return {"shares": [x / sum(texts) for x in texts], "g": g[order], "ratios": told[["r1", "r2"]].to_numpy()[order]}
-
-
-def log_weights(g: np.ndarray, d: np.ndarray, n: int, model: dict) -> np.ndarray:
-    known, ratios = model["g"], model["ratios"]
-    terms = [np.full(n, math.log(model["shares"][0]))]
-    at = np.minimum(np.searchsorted(known, g), len(known) - 1) if len(known) else np.zeros(0, np.int64)
-    hit = np.flatnonzero(known[at] == g) if len(known) else at
-    for k, share in enumerate(model["shares"][1:]):
-        if share:
-            terms.append(np.bincount(d[hit], ratios[at[hit], k], n) + math.log(share))
-    return -np.logaddexp.reduce(terms, axis=0)
+            f, d = features(*bw.flat(b.column(0)), bits)
+            raw += np.bincount(f, minlength=len(raw))
+            target += np.bincount(f[b.column(1).to_numpy(zero_copy_only=False)[d]], minlength=len(raw))
+        some = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
+    summed = fetched(marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
+    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
+    raw[summed["bucket"]], target[summed["bucket"]] = summed["raw"], summed["target"]
+    return {"log_ratio": log_ratios(target, raw), "share": good / n if n and target.any() else 1.0}
 
-def weigh(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
-    """docs with log_weight and gumbel_key."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("log_weight", "gumbel_key")])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+def log_weight(text: Column, model: dict, spark) -> Column:
+    ratios = model["log_ratio"]
+    bits = len(ratios).bit_length() - 1
+    shared = spark.sparkContext.broadcast(ratios)
 
     @F.pandas_udf("double")
     def weight(s: pd.Series) -> pd.Series:
         out = [np.zeros(0)]
         for b in bw.chunks(iter([pa.RecordBatch.from_arrays([pa.array(s, pa.string())], ["text"])]), "text"):
-            out.append(log_weights(*features(*bw.flat(b.column(0))), b.num_rows, shared.value))
+            f, d = features(*bw.flat(b.column(0)), bits)
+            out.append(np.bincount(d, shared.value[f], b.num_rows))
         return pd.Series(np.concatenate(out))
 
-    return docs.withColumn("log_weight", weight(F.col(text))).withColumn("gumbel_key", POWER * F.col("log_weight") + gumbel(key, seed))
+    return weight(text)
 
 
 def gumbel(key: str, seed: int) -> Column:
@@ -206,17 +131,27 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
     return low
 
 
-def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", cut: float = CUT, seed: int = SEED) -> DataFrame:
-    """The chosen rows with their columns, log_weight and gumbel_key."""
+def weigh(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
+    """doc_id, log_weight and gumbel_key of every row, written once."""
+    found = docs.select(F.col(key).alias("doc_id"), log_weight(F.col(text), model, docs.sparkSession).alias("log_weight"))
+    return stored(found.withColumn("gumbel_key", F.col("log_weight") + gumbel("doc_id", seed)), "weights")
+
+
+def bound(keys: DataFrame, share: float) -> float:
+    """The least key that stays, of the share of rows."""
+    return -math.inf if share >= 1 else kth_largest(keys, "gumbel_key", round(share * keys.count()))
+
+
+def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", share: float | None = None, seed: int = SEED) -> DataFrame:
+    """The chosen rows with their columns and no others."""
     model = fit(docs, labels, key, text)
-    narrow = stored(weigh(docs.select(key, text), model, key, text, seed).select("log_weight", "gumbel_key"), "weights")
-    k = narrow.where(F.col("log_weight") >= math.log(cut / model["shares"][0])).count()
-    return weigh(docs, model, key, text, seed).where(F.col("gumbel_key") >= kth_largest(narrow, "gumbel_key", k))
+    least = bound(weigh(docs, model, key, text, seed), model["share"] if share is None else share)
+    own = fresh("key", docs.columns)
+    return docs.withColumn(own, log_weight(F.col(text), model, docs.sparkSession) + gumbel(key, seed)).where(F.col(own) >= least).drop(own)
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", cut: float = CUT, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", share: float | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight and gumbel_key of the chosen rows."""
     model = fit(docs, labels, key, text)
-    narrow = stored(weigh(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), model, "doc_id", "text", seed).drop("text"), "weights")
-    k = narrow.where(F.col("log_weight") >= math.log(cut / model["shares"][0])).count()
-    return narrow.where(F.col("gumbel_key") >= kth_largest(narrow, "gumbel_key", k))
+    found = weigh(docs, model, key, text, seed)
+    return found.where(F.col("gumbel_key") >= bound(found, model["share"] if share is None else share))
