@@ -6,20 +6,26 @@ its segmentations into pieces of the product of their probabilities, found by th
 algorithm over bytes. A text's score is the product over its words; equal prior weights give the
 likeliest language and, as ``score``, its posterior probability.
 
+All pieces count, whatever their length, and words of any length are one lattice: pieces are found by walking a trie from all
+places at once. Where no piece crosses a place, every segmentation has a border there, so a word's sum is the product of the sums of the
+parts between such places, which the forward algorithm passes side by side. Sums are taken as plain products; where one comes
+near the least double, its part is passed again in logarithms, so nothing has a floor.
+
 Single bytes are pieces as well (the vocabulary's byte pieces), so every text has a segmentation.
-Words of more than PART bytes are scored in parts, which bounds memory and keeps products in range.
 
 Training: expectation maximisation over words of a bounded sample of labelled documents, all or an expected
 SAMPLE of a language, those least by a hash of their id; expected piece counts are found on
 the workers, and only languages x vocabulary numbers reach the driver.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; null languages
-don't train; with nothing to train on every text is ``und``; ties go to the first language in order.
-Rows and other columns are kept; columns named like a result are replaced.
+don't train; with nothing to train on every text is ``und``; ties go to the first language in order; null ids train and aren't held out;
+repeated rows are each scored. Rows and other columns are kept; columns named like a result are replaced (``certain`` adds none).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,41 +34,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import crc32_of, small_batches, stored
+from .common import crc32_of, fetched, fresh, stored
 
 #: Documents a language that training takes, as expected
-SAMPLE = 1000
+SAMPLE = 3000
 ROUNDS = 3
 #: Added to each piece's expected count
 PRIOR = 0.02
-PART = 40
-LONGEST = 16
 #: Distinct words whose scores a worker remembers
 REMEMBERED = 1_000_000
+#: Sums under this are taken again in logarithms
+SMALL = 1e-250
+#: Parts of more bytes are passed in logarithms at once
+LONG = 1024
 _MARK = "▁".encode()
 
 
 class Vocabulary:
-    """Pieces by hash of their bytes."""
+    """A trie of the pieces' bytes: ``step[node, class of byte]`` is the next node or 0, ``piece[node]`` the piece that ends there or -1."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = sp.get_piece_size()
-        pieces, ids = [], []
         self.byte = np.zeros(256, np.int64)
+        pieces = {}
         for i in range(self.size):
             if sp.is_byte(i):
                 self.byte[int(sp.id_to_piece(i)[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i)):
-                p = sp.id_to_piece(i).encode()
-                if len(p) <= LONGEST:
-                    pieces.append(p)
-                    ids.append(i)
-        h = span_hashes(pieces)
-        order = np.argsort(h)
-        self.hash, self.id = h[order], np.array(ids, np.int64)[order]
+                pieces[sp.id_to_piece(i).encode()] = i
+        used = sorted({b for p in pieces for b in p})
+        self.kind = np.zeros(256, np.int64)  # 0: bytes of no piece
+        self.kind[used] = np.arange(1, len(used) + 1)
+        inner = sorted({p[:k] for p in pieces for k in range(len(p))}, key=lambda x: (len(x), x))  # the root first, then nodes with children, then leaves
+        number = {x: i + 1 for i, x in enumerate(inner)}
+        self.step = np.zeros((len(inner) + 1, len(used) + 1), np.int32)
+        for p in sorted(pieces):
+            number.setdefault(p, len(number) + 1)
+        for x, i in number.items():
+            if x:
+                self.step[number[x[:-1]], self.kind[x[-1]]] = i
+        self.piece = np.full(len(number) + 1, -1, np.int64)
+        for p, i in pieces.items():
+            self.piece[number[p]] = i
 
     _kept: dict[str, "Vocabulary"] = {}
 
@@ -72,99 +88,148 @@ class Vocabulary:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    def matches(self, buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, piece) of all pieces in words that follow each other and end there; byte pieces come first, in order."""
+        n = len(buf)
+        stop = np.repeat(ends, np.diff(ends, prepend=0))
+        kinds = self.kind[buf]
+        starts, to, found = [np.arange(n)], [np.arange(1, n + 1)], [self.byte[buf]]
+        at, node, d = np.arange(n), np.ones(n, np.int64), 0
+        while len(at):
+            node = self.step[node, kinds[at + d]].astype(np.int64)
+            d += 1
+            on = node > 0
+            at, node = at[on], node[on]
+            piece = self.piece[node]
+            ok = piece >= 0
+            starts.append(at[ok])
+            to.append(at[ok] + d)
+            found.append(piece[ok])
+            on = (node < len(self.step)) & (at + d < stop[at])
+            at, node = at[on], node[on]
+        return np.concatenate(starts), np.concatenate(to), np.concatenate(found)
+
+
+@dataclass
+class Lattice:
+    """All pieces in words, by parts that no piece crosses. A part of n bytes has n + 1 nodes; edges are in order of the place in
+    their part where they end (``levels``: bounds of each place), then of their end; ``groups``: where the edges of each end begin."""
+
+    word: np.ndarray  #: of each part
+    start: np.ndarray  #: first node of each part
+    end: np.ndarray  #: last node
+    source: np.ndarray
+    target: np.ndarray
+    piece: np.ndarray
+    levels: np.ndarray
+    groups: np.ndarray
 
-def span_hashes(pieces: list[bytes]) -> np.ndarray:
-    n = np.array([len(p) for p in pieces], np.int64)
-    ends = np.cumsum(n)
-    return bw.hashes(np.frombuffer(b"".join(pieces), np.uint8), ends - n, ends, False)
-
-
-def parts(word: bytes) -> list[bytes]:
-    """The word with its mark, lower-cased; in parts if long, cut between characters."""
-    w = _MARK + word.decode("utf-8", "replace").lower().encode()
-    if len(w) <= PART:
-        return [w]
-    out, a = [], 0
-    while a < len(w):
-        b = min(len(w), a + PART)
-        while b < len(w) and w[b] & 0xC0 == 0x80:
-            b -= 1
-        out.append(w[a:b])
-        a = b
-    return out
-
+    @classmethod
+    def of(cls, v: Vocabulary, words: list[bytes]) -> "Lattice":
+        ends = np.cumsum([len(w) for w in words])
+        buf = np.frombuffer(b"".join(words), np.uint8)
+        n = len(buf)
+        a, b, piece = v.matches(buf, ends)
+        crossed = np.zeros(n + 2, np.int64)
+        np.add.at(crossed, a + 1, 1)
+        np.add.at(crossed, b, -1)
+        border = np.cumsum(crossed)[: n + 1] == 0
+        cut = np.flatnonzero(border)  # 0, n and the borders of words are among them
+        part = np.cumsum(border[:n]) - 1
+        start = cut[:-1] + np.arange(len(cut) - 1)
+        of = part[a]
+        return cls._of(np.searchsorted(ends, cut[:-1], "right"), start, cut[1:] + np.arange(len(cut) - 1), a + of, b + of, piece, b - cut[of])
 
-class Lattice:
-    """All pieces in words of one length: W words of n bytes; (word, from, to, piece), by end."""
-
-    def __init__(self, v: Vocabulary, x: np.ndarray):
-        w, n = x.shape
-        self.w, self.n = w, n
-        self.edges: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]
-        with np.errstate(over="ignore"):
-            c = np.zeros((w, n + 1), np.uint64)
-            np.cumsum(bw.EXACT[x] * bw.UP[:n], axis=1, out=c[:, 1:])
-            for size in range(1, min(n, LONGEST) + 1):
-                for a in range(n - size + 1):
-                    h = bw.mix((c[:, a + size] - c[:, a]) * bw.DOWN[a] + np.uint64(size) * np.uint64(0x9E3779B97F4A7C15))
-                    at = np.minimum(np.searchsorted(v.hash, h), len(v.hash) - 1)
-                    ok = np.flatnonzero(v.hash[at] == h)
-                    if len(ok):
-                        self.edges[a + size].append((a, ok, v.id[at[ok]]))
-                    if size == 1:
-                        self.edges[a + 1].append((a, np.arange(w), v.byte[x[:, a]]))
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Sum over segmentations, by position: (n + 1, W, languages). p: (languages, pieces)."""
-        f = np.zeros((self.n + 1, self.w, p.shape[1]))
-        f[0] = 1
-        for e in range(1, self.n + 1):
-            for a, rows, piece in self.edges[e]:
-                f[e, rows] += f[a, rows] * p[piece]
+    @classmethod
+    def _of(cls, word, start, end, source, target, piece, level) -> "Lattice":
+        order = np.lexsort((target, level))
+        source, target, piece, level = source[order], target[order], piece[order], level[order]
+        groups = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.zeros(0, np.int64)
+        return cls(word, start, end, source, target, piece, np.append(np.flatnonzero(np.append(True, level[1:] != level[:-1])), len(level)) if len(level) else np.zeros(1, np.int64), groups)
+
+    def only(self, parts: np.ndarray) -> "Lattice":
+        """The lattice of some parts, with the same nodes."""
+        size = int(self.end.max()) + 1
+        mark = np.zeros(size + 1, np.int64)
+        np.add.at(mark, self.start[parts], 1)
+        np.add.at(mark, self.end[parts] + 1, -1)
+        ok = np.cumsum(mark)[self.target] > 0
+        level = self.target[ok] - self.start[np.searchsorted(self.start, self.target[ok], "right") - 1]
+        return Lattice._of(self.word[parts], self.start[parts], self.end[parts], self.source[ok], self.target[ok], self.piece[ok], level)
+
+    def forward(self, p: np.ndarray, logs: bool) -> np.ndarray:
+        """Sums over segmentations up to each node (their logarithms where p has logarithms); p: (edges, ...)."""
+        f = np.full((int(self.end.max()) + 1 if len(self.end) else 0, *p.shape[1:]), -np.inf if logs else 0.0)
+        f[self.start] = 0.0 if logs else 1.0
+        at = np.searchsorted(self.groups, self.levels)
+        for k in range(len(self.levels) - 1):
+            i, j = self.levels[k], self.levels[k + 1]
+            g = self.groups[at[k] : at[k + 1]]
+            if logs:
+                f[self.target[g]] = np.logaddexp.reduceat(f[self.source[i:j]] + p[i:j], g - i, axis=0)
+            else:
+                f[self.target[g]] = np.add.reduceat(f[self.source[i:j]] * p[i:j], g - i, axis=0)
         return f
 
-    def expected(self, p: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
-        """Adds to total (pieces, languages) how often each piece is expected in words of such weights."""
-        f = self.forward(p)
-        b = np.zeros_like(f)
-        b[self.n] = weight / np.maximum(f[self.n], 1e-300)
-        pieces, counts = [], []
-        for e in range(self.n, 0, -1):
-            for a, rows, piece in self.edges[e]:
-                by = p[piece] * b[e, rows]
-                pieces.append(piece)
-                counts.append(f[a, rows] * by)
-                b[a, rows] += by
-        at, n = np.concatenate(pieces), np.concatenate(counts)
-        for k in range(n.shape[1]):
-            total[:, k] += np.bincount(at, n[:, k], len(total))
-
-
-def by_length(pieces: list[bytes], most: int = 4096):
-    """Indices of words of one length and their bytes, in bounded groups."""
-    n = np.array([len(p) for p in pieces], np.int64)
-    for size in np.unique(n):
-        at = np.flatnonzero(n == size)
-        for i in range(0, len(at), most):
-            group = at[i : i + most]
-            yield group, np.frombuffer(b"".join([pieces[k] for k in group]), np.uint8).reshape(-1, size)
+    def mirrored(self) -> tuple["Lattice", np.ndarray]:
+        """The lattice read from the end, and the edge of this one that each of its edges is."""
+        part = np.searchsorted(self.start, self.target, "right") - 1
+        turn = lambda x: self.start[part] + self.end[part] - x
+        source, target = turn(self.target), turn(self.source)
+        level = target - self.start[part]
+        order = np.lexsort((target, level))
+        return Lattice._of(self.word, self.start, self.end, source, target, np.arange(len(source)), level), order
 
 
 def word_scores(v: Vocabulary, p: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Natural logarithm of each word's sum, (words, languages)."""
-    cut = [parts(w) for w in words]
-    flat = [x for c in cut for x in c]
-    out = np.zeros((len(flat), p.shape[1]))
-    for at, x in by_length(flat):
-        out[at] = np.log(np.maximum(Lattice(v, x).forward(p)[-1], 1e-300))
-    first = np.cumsum([0] + [len(c) for c in cut])
-    return bw.sums(out, first)
+    if not words:
+        return np.zeros((0, p.shape[1]))
+    x = Lattice.of(v, words)
+    size = x.end - x.start
+    short = x if (size <= LONG).all() else x.only(np.flatnonzero(size <= LONG))
+    out = np.full((len(size), p.shape[1]), -np.inf)
+    with np.errstate(divide="ignore"):
+        out[size <= LONG] = np.log(short.forward(p[short.piece], False)[short.end])
+    low = np.flatnonzero((out < np.log(SMALL)).any(1))
+    if len(low):
+        y = x.only(low)
+        out[low] = y.forward(np.log(p)[y.piece], True)[y.end]
+    return bw.sums(out, np.searchsorted(x.word, np.arange(len(words) + 1)))
+
+
+def expected(v: Vocabulary, p: np.ndarray, words: list[bytes], who: np.ndarray, count: np.ndarray, total: np.ndarray) -> None:
+    """Adds to total (pieces, languages) how often each piece is expected in words that a language has so often."""
+    x = Lattice.of(v, words)
+    part = np.searchsorted(x.start, x.target, "right") - 1
+    lang = who[x.word[part]]
+    logs = np.log(p[x.piece, lang])
+    f = x.forward(logs, True)
+    y, order = x.mirrored()
+    b = y.forward(logs[y.piece], True)
+    after = b[x.start[part] + x.end[part] - x.target]
+    n = count[x.word[part]] * np.exp(f[x.source] + logs + after - f[x.end[part]])
+    np.add.at(total, (x.piece, lang), n)
+
+
+def marked(word: bytes) -> bytes:
+    """The word with its mark, lower-cased."""
+    return _MARK + word.decode("utf-8", "replace").lower().encode()
+
+
+def batched(words: list[bytes], most: int = 1 << 18):
+    """Bounds of groups of words with so many bytes at most, of one word at least."""
+    ends = np.cumsum([len(w) for w in words])
+    i = 0
+    while i < len(words):
+        j = max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")), i + 1)
+        yield i, j
+        i = j
 
 
 def train(docs: DataFrame, use: Column, vocabulary: str, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and (pieces, languages) probabilities, from rows where ``use`` holds."""
     spark = docs.sparkSession
-    small_batches(spark)
     labelled = docs.where(use & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
@@ -195,22 +260,15 @@ def train(docs: DataFrame, use: Column, vocabulary: str, text: str = "text", lan
             v, total = Vocabulary.of(vocabulary), np.zeros((size, len(langs)))
             number = {x: i for i, x in enumerate(langs)}
             for b in batches:
-                words, who, n = b.column(1).to_pylist(), [number[x] for x in b.column(0).to_pylist()], b.column(2).to_pylist()
-                flat, row = [], []
-                for i, w in enumerate(words):
-                    for x in parts(w):
-                        flat.append(x)
-                        row.append(i)
-                weight = np.zeros((len(flat), len(langs)))
-                weight[np.arange(len(flat)), np.array(who)[row]] = np.array(n)[row]
-                for at, x in by_length(flat):
-                    Lattice(v, x).expected(shared.value, weight[at], total)
+                words, who, n = [marked(w) for w in b.column(1).to_pylist()], np.array([number[x] for x in b.column(0).to_pylist()], np.int64), b.column(2).to_numpy()
+                for i, j in batched(words):
+                    expected(v, shared.value, words[i:j], who[i:j], n[i:j], total)
             piece, lang_no = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang_no), pa.array(total[piece, lang_no])], ["piece", "lang", "n"])
 
-        got = counted.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        got = fetched(counted.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")))
         p = np.full((size, len(langs)), PRIOR)
-        p[got["piece"].to_numpy(), got["lang"].to_numpy()] += got["n"].to_numpy()
+        p[got["piece"], got["lang"]] += got["n"]
         p /= p.sum(0)
     return langs, p
 
@@ -257,25 +315,23 @@ class _Scorer:
                 out[ok] = ks[at[ok]]
                 new &= ~ok
         if new.any():
-            out[new] = word_scores(self.v, self.p, [t.raw(i) for i in one[new]])
+            words = [marked(t.raw(i)) for i in one[new]]
+            out[new] = np.concatenate([word_scores(self.v, self.p, words[i:j]) for i, j in batched(words)])
             if sum(len(k[0]) for k in self.known) + len(h) > REMEMBERED:
                 self._forget()
             self._keep(h[new], out[new])
         return bw.sums(out[place].astype(np.float64), t.first)
 
 
-def predict(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score; reads the text alone."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
+def guess(text: Column, langs: list[str], p: np.ndarray, vocabulary: str, spark) -> Column:
+    """struct<lang, score> of a text; reads the text alone."""
     if not langs:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast(p)
     names = pa.array(langs, pa.string())
     name = repr(hash(p.tobytes()))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang string, score double")
     def scored(s: pd.Series) -> pd.DataFrame:
         who, best = [], []
         for b in bw.chunks(iter([pa.RecordBatch.from_arrays([pa.array(s, pa.string())], ["text"])]), "text"):
@@ -284,10 +340,29 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str, t
             i = total.argmax(1)
             who += names.take(pa.array(i)).to_pylist()
             best += (weight[np.arange(len(i)), i] / weight.sum(1)).tolist()
-        return pd.DataFrame({"lang_pred": pd.Series(who, dtype=object), "score": pd.Series(best, dtype=float)})
+        return pd.DataFrame({"lang": pd.Series(who, dtype=object), "score": pd.Series(best, dtype=float)})
+
+    return scored(text)
+
+
+def _lettered(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
+def predict(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str, text: str = "text") -> DataFrame:
+    """docs with lang_pred and score."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
+    own = fresh("guess", docs.columns)
+    found = docs.withColumn(own, guess(F.col(text), langs, p, vocabulary, docs.sparkSession))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(_lettered(text), F.col(f"{own}.lang")).otherwise("und").alias("lang_pred"), F.when(_lettered(text), F.col(f"{own}.score")).otherwise(0.0).alias("score"))
+
 
-    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("_s", scored(F.col(text))).withColumns({"lang_pred": F.when(lettered, F.col("_s.lang_pred")).otherwise("und"), "score": F.when(lettered, F.col("_s.score")).otherwise(0.0)}).drop("_s")
+def certain(docs: DataFrame, vocabulary: str, least: float, text: str = "text") -> DataFrame:
+    """Documents whose language is known with so much certainty, with their own columns alone."""
+    langs, p = train(docs, ~held_out(), vocabulary, text)
+    own = fresh("guess", docs.columns)
+    found = docs.withColumn(own, guess(F.col(text), langs, p, vocabulary, docs.sparkSession))
+    return found.where(_lettered(text) & (F.col(f"{own}.lang") != "und") & (F.col(f"{own}.score") >= least)).drop(own)
 
 
 def held_out(key: str = "doc_id") -> Column:
