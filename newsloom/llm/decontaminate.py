@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytewords as bw
-from .common import small_batches
 
 WINDOW = 10
 #: Bytes of items whose tables are broadcast at once; more items are searched in several blocks.
@@ -162,7 +161,6 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
     its own and the hits of a document are united by a key of its row.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "hits", "items", "_row")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     kind = items.schema[item].dataType

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import crc32_of, shared_dir, small_batches, stored
+from .common import crc32_of, shared_dir, stored
 
 BEGIN = np.uint64(0x5BD1E995A5A5A5A5)
 END = np.uint64(0x1B873593CC9E2D51)
@@ -208,7 +208,6 @@ _SENT = "bucket long, kind long, a binary, b binary, n binary"
 def train(docs: DataFrame, use: Column | None = None, text: str = "text") -> Model:
     """Counts the rows where ``use`` holds (all by default)."""
     spark = docs.sparkSession
-    small_batches(spark)
     folder = shared_dir(spark, "ngrams")
     texts = (docs.where(use) if use is not None else docs).select(F.col(text).alias("text"))
     size = texts.agg(F.sum(F.length("text")).alias("c"), F.count("*").alias("n")).first()
@@ -356,7 +355,6 @@ def train(docs: DataFrame, use: Column | None = None, text: str = "text") -> Mod
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score (log10 probability); names of results are replaced."""
-    small_batches(docs.sparkSession)
     names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     docs = docs.select(*[F.col(f"`{x}`") for x in docs.columns if x not in names])
     shared = docs.sparkSession.sparkContext.broadcast(model)

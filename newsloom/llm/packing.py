@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import small_batches
 from .tokens import Tokens
 
 CAPACITY = 1024
@@ -100,7 +99,6 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     """A row for each piece; ids: little-endian 32-bit unsigned ids. Capacity must be a power of two."""
     if capacity < 1 or capacity & (capacity - 1) or least < 1:
         raise ValueError("capacity must be a power of two and least positive")
-    small_batches(docs.sparkSession)
 
     def run(batches):
         tokens = Tokens.of(vocabulary)

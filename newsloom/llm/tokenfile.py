@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import shared_dir, small_batches, width
+from .common import shared_dir, width
 from .tokens import Tokens
 
 MAGIC = b"TOKBITS1"
@@ -120,7 +120,6 @@ class TokenFile:
 
 def write(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", text: str = "text", end: int = END) -> list[dict]:
     """Writes the files; returns path, documents, tokens and first position of each, in order."""
-    small_batches(docs.sparkSession)
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     dealt = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(width(docs.sparkSession), *order[:1]).sortWithinPartitions(*order)
 

@@ -5,7 +5,8 @@ before they merge. So a text's ids are those of its units in a row, a unit being
 what follows it up to such a border. (It is cut only where the preceding character is no white space
 outside ASCII, since white space may be one match, and only after letters that are known here.)
 Each distinct unit goes through the tokenizers library once; later ones are found by hash.
-Strings of special tokens in a text are ordinary text.
+The vocabulary's special tokens are what they are to the library: a text that holds such a string has its id there, and
+what stands before and after it is encoded on its own.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ _BYTES = [chr(b) if b in _SELF else chr(256 + sum(x not in _SELF for x in range(
 _ONE = re.compile(r" ?(?:[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+|[!-&(-/:-@\[-`{-~]+)")
 
 
-def units(buf: np.ndarray, offs: np.ndarray) -> bw.Words:
-    """White space with what follows it; all bytes of a text belong to a unit."""
+def units(buf: np.ndarray, offs: np.ndarray, whole: np.ndarray | None = None) -> bw.Words:
+    """White space with what follows it; all bytes of a text belong to a unit. Spans of ``whole`` (start, end) are units of their own."""
     n = len(buf)
     if n == 0:
         return bw.words(buf, offs, bw.SPACED)
@@ -52,6 +53,11 @@ def units(buf: np.ndarray, offs: np.ndarray) -> bw.Words:
     a, b = buf[at - 2], buf[at - 1]
     start[at[_ALNUM[b] | ((a == 0xC3) & (b != 0x97) & (b != 0xB7) & (b >= 0x80))]] = True
     start[offs[offs < n]] = True
+    if whole is not None and len(whole):
+        for a, b in whole.tolist():
+            start[a:b] = False
+        start[whole[whole < n]] = True
+        start[offs[offs < n]] = True
     starts = np.flatnonzero(start)
     return bw.Words(buf, starts, np.append(starts[1:], n), np.searchsorted(starts, offs))
 
@@ -66,8 +72,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         setup = json.loads(self.tokenizer.to_str())
+        self._special = [re.escape(t["content"]).encode() for t in setup["added_tokens"]]
         self._model = self.tokenizer.model
         self._lower = "Lowercase" in json.dumps(setup["normalizer"])
         self._forget()
@@ -121,9 +127,16 @@ class Tokens:
                 start[ok], count[ok] = ks[at[ok]], kc[at[ok]]
         return start, count
 
+    def _specials(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Where special strings are, within a text each."""
+        if not self._special:
+            return np.zeros((0, 2), np.int64)
+        at = np.array([m.span() for m in re.finditer(b"|".join(self._special), buf.tobytes())], np.int64).reshape(-1, 2)
+        return at[np.searchsorted(offs, at[:, 0], "right") == np.searchsorted(offs, at[:, 1] - 1, "right")]
+
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (and the last end)."""
-        u = units(buf, offs)
+        u = units(buf, offs, self._specials(buf, offs))
         h, one, place = bw.distinct(bw.hashes(buf, u.starts, u.ends, False))
         if not len(h):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import small_batches, width
+from .common import width
 
 K = 24
 WINDOW = 40
@@ -89,7 +89,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprints(docs: DataFrame, text: str = "text", k: int = K, window: int = WINDOW, into: str = "fingerprint") -> DataFrame:
     """docs with their fingerprints."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def of(s: pd.Series) -> pd.Series:
@@ -139,7 +138,6 @@ def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
     One shuffle deals ranges of ids; a worker then sees each text with the next one.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     dealt = with_next(docs, key, text)
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "borrowed", F.col("doc_id").desc_nulls_last(), "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
