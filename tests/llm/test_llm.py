@@ -53,8 +53,10 @@ def test_token_ids_are_the_librarys(path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = [x or "" for x in HARD if x is None or len(x) < 50_000] + [" ".join(rnd_words(i, 50)) + random.Random(i).choice("!?… \x85") for i in range(50)]
+    r = random.Random(1)
+    parts = ["<|endoftext|>", "<|startoftext|>", " ", "a", "b ", "\n", "!!", "<|", "endoftext", "|>", "é", "  ", "日本", "'s", "　", "12"]
+    texts = ["".join(r.choices(parts, k=r.randrange(9))) for _ in range(500)] + ["<|endoftext", "|>"]
+    texts += [x or "" for x in HARD if x is None or len(x) < 50_000] + [" ".join(rnd_words(i, 50)) + random.Random(i).choice("!?… \x85") for i in range(50)]
     own = tokens.Tokens(path)
     ids, at = own.encode(*bw.flat(pa.array(texts, pa.string())))
     for i, x in enumerate(texts):
@@ -178,9 +180,19 @@ def test_language_model(spark):
     assert all(r.score == 0 and r.n_known == 0 for r in none)
 
 
+def brute_importance(texts, target):
+    """Log weights by plain loops over features."""
+    f = {}
+    for i, t in texts.items():
+        f[i] = importance.features(*bw.flat(pa.array([t], pa.string())))[0].tolist()
+    raw, tar = collections.Counter(x for v in f.values() for x in v), collections.Counter(x for i in target for x in f[i])
+    n, m = sum(raw.values()), sum(tar.values())
+    return {i: sum(math.log((tar[x] + importance.PSEUDO) / (raw[x] * m / n + importance.PSEUDO)) for x in v) for i, v in f.items()}
+
+
 def test_importance(spark):
     r = random.Random(1)
-    texts, labels = [], []
+    texts, labels = {}, []
     for i in range(400):
         w = rnd_words(i, 60)
         kind = r.random()
@@ -188,27 +200,30 @@ def test_importance(spark):
             w = [x + "%%%" for x in w]
         elif kind < 0.35:
             w[5] = w[30] = "idiot"
-        texts.append(" ".join(w))
+        texts[i] = " ".join(w)
         labels.append((i, int(kind >= 0.2), int(0.2 <= kind < 0.35)))
-    d = docs_of(spark, texts + HARD)
-    lab = spark.createDataFrame(labels + [(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in importance.resample(d, lab).collect()}
-    bad = {i for i, q, t in labels if not q or t}
-    good = {i for i, q, t in labels if q and not t}
-    assert good <= kept and not bad & kept
-    rows = importance.select(d.withColumn("log_weight", F.lit("x")), lab)
-    assert {x.doc_id for x in rows.collect()} == kept
-    assert importance.resample(d, lab.limit(0)).count() == len(texts) + len(HARD)
-    assert importance.resample(d.limit(0), lab).count() == 0
-
-
-def test_importance_few_labels(spark):
-    """Seven labelled documents of a kind teach it; one kind of junk that is few among the labelled goes too."""
-    texts = [" ".join(rnd_words(i, 60)) for i in range(80)]
-    texts += [" | ".join(rnd_words(100 + i, 40)) for i in range(7)] + [" ".join(x for x in rnd_words(200 + i, 8) for _ in range(6)) for i in range(7)]
-    texts += [" | ".join(rnd_words(300 + i, 40)) for i in range(5)] + [" ".join(x for x in rnd_words(400 + i, 8) for _ in range(6)) for i in range(5)]
-    lab = spark.createDataFrame([(i, int(i < 80), 0) for i in range(94)], "doc_id long, quality int, toxic int")
-    assert {r.doc_id for r in importance.resample(docs_of(spark, texts), lab).collect()} == set(range(80))
+    texts |= dict(enumerate(HARD, 400))
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    taught = labels[:200]
+    lab = spark.createDataFrame([*taught, (1, None, 0), (None, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    want = brute_importance(texts, [i for i, q, t in taught if q and not t and i != 3])
+    model = importance.fit(d, lab)
+    keys = {x.doc_id: x for x in importance.weigh(d, model).collect()}
+    assert {i: x.log_weight for i, x in keys.items()} == pytest.approx(want, abs=1e-6)
+    assert model["share"] == sum(q and i != 3 for i, q, _ in taught) / 200
+    kept = {x.doc_id for x in importance.resample(d, lab).collect()}
+    best = sorted(texts, key=lambda i: -keys[i].gumbel_key)
+    assert kept == set(best[: round(model["share"] * len(texts))])
+    held = labels[200:]
+    assert sum(i in kept for i, q, _ in held if q) > 0.95 * sum(q for _, q, _ in held) and sum(i in kept for i, q, _ in held if not q) <= 0.1 * sum(not q for _, q, _ in held)
+    assert {x.doc_id for x in importance.resample(d, lab, share=0.1).collect()} == set(best[: round(0.1 * len(texts))])
+    clash = d.withColumns({"log_weight": F.lit("x"), "gumbel_key": F.lit(1), "_key": F.lit("k"), "_id": F.lit(2), "target": F.lit("t")})
+    rows = importance.select(clash.unionByName(clash.where("doc_id < 5")), lab)
+    assert rows.columns == clash.columns and {(x.log_weight, x.gumbel_key, x._key) for x in rows.collect()} == {("x", 1, "k")}
+    assert importance.resample(d, lab.limit(0)).count() == len(texts) == importance.select(d, lab.where("quality = 0")).count()
+    assert importance.resample(d.limit(0), lab).count() == 0 == importance.select(clash.limit(0), lab).count()
+    nulls = spark.createDataFrame([(None, "a"), (None, None), (7, "a")], "doc_id long, text string")
+    assert importance.resample(nulls, lab, share=1.0).count() == 3
 
 
 def test_importance_weak_signs(spark):
@@ -316,28 +331,89 @@ def test_language_id(spark):
     for i, t, _ in rows[240:]:
         assert (got[i].lang_pred == "und") == (not t or not any(c.isalpha() for c in t)), t
     assert {x.lang_pred for x in langid.predict(d, [], np.zeros((0, 0)), PIECES).collect()} == {"und"}
+    clash = d.withColumns({"_guess": F.lit("g"), "score": F.lit("s"), "lang_pred": F.lit("l"), "_s": F.lit("x")})
+    rows = langid.certain(clash, PIECES, 0.5)
+    assert rows.columns == clash.columns and {(x._guess, x.score, x.lang_pred, x._s) for x in rows.collect()} == {("g", "s", "l", "x")}
+    assert langid.certain(clash.limit(0), PIECES, 0.5).count() == 0 == langid.identify(d.limit(0), PIECES).count()
 
 
-def test_forward_sums_all_segmentations():
-    v = langid.Vocabulary.of(PIECES)
-    p = np.random.default_rng(1).random((v.size, 2)) / 100
+def all_pieces():
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    ids = {sp.id_to_piece(i).encode(): i for i in range(v.size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
-
-    def total(w):
-        f = [np.ones(2)] + [np.zeros(2) for _ in w]
-        for e in range(1, len(w) + 1):
-            for a in range(max(0, e - langid.LONGEST), e):
-                if w[a:e] in ids:
-                    f[e] = f[e] + f[a] * p[ids[w[a:e]]]
-            f[e] = f[e] + f[e - 1] * p[v.byte[w[e - 1]]]
-        return np.log(f[-1])
-
-    for word in ("the", "Straße", "日本", "a"):
-        w = "▁".encode() + word.lower().encode()
-        assert langid.word_scores(v, p, [word.encode()])[0] == pytest.approx(total(w))
+    return {sp.id_to_piece(i).encode(): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+
+
+def brute_forward(w, ids, byte, lp):
+    f = [np.zeros(lp.shape[1])] + [np.full(lp.shape[1], -np.inf) for _ in w]
+    for e in range(1, len(w) + 1):
+        for a in range(e):
+            if w[a:e] in ids:
+                f[e] = np.logaddexp(f[e], f[a] + lp[ids[w[a:e]]])
+        f[e] = np.logaddexp(f[e], f[e - 1] + lp[byte[w[e - 1]]])
+    return f[-1]
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
+    v, ids = langid.Vocabulary.of(PIECES), all_pieces()
+    rng, r = np.random.default_rng(1), random.Random(2)
+    p = rng.random((v.size, 2)) ** 8
+    p /= p.sum(0)
+    alphabets = ["etaoinshr", "администрцявкоый", "日本語のテキスト中文的", "▁ x\x01é"]
+    words = ["", "the", "representation", "▁▁▁▁▁▁▁▁", "администрация", "который", "x" * 300]
+    words += ["".join(r.choices(a, k=n)) for a in alphabets for n in (1, 2, 5, 13, 40, 100)]
+    words += [k.decode() for k in sorted(ids, key=len)[-3:]]
+    w = [langid.marked(x.encode()) for x in words]
+    want = [brute_forward(x, ids, v.byte, np.log(p)) for x in w]
+    got = langid.word_scores(v, p, w)
+    assert np.allclose(got, want, rtol=1e-10) and max(len(x) for x in w) > 300
+    monkeypatch.setattr(langid, "LONG", 3)
+    assert np.allclose(langid.word_scores(v, p, w), want, rtol=1e-10)
+    # expected counts: the derivative of the sum by each probability's logarithm, and all bytes of all words
+    who, n, total = np.arange(len(w)) % 2, np.arange(1, len(w) + 1), np.zeros((v.size, 2))
+    langid.expected(v, p, w, who, n, total)
+    for piece in np.argsort(-total.sum(1))[:6]:
+        q = p.copy()
+        q[piece] *= 1 + 1e-6
+        rise = (langid.word_scores(v, q, w) - got) / 1e-6
+        for k in range(2):
+            assert (rise[who == k, k] * n[who == k]).sum() == pytest.approx(total[piece, k], rel=1e-3, abs=1e-6)
+    length = np.ones(v.size)
+    length[list(ids.values())] = [len(x) for x in ids]
+    assert np.allclose(length @ total, [sum(int(c) * len(x) for x, h, c in zip(w, who, n) if h == k) for k in range(2)])
+
+
+def test_language_training_and_posteriors(spark):
+    """One round of training and the posteriors against plain loops."""
+    rows = [(i, " ".join(rnd_words(i, 6, 4)), "xy"[i % 2]) for i in range(12)] + [(20, None, "x"), (21, "y z", None), (None, "null id", "y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, p = langid.train(d, ~langid.held_out(), PIECES, rounds=1)
+    v, ids = langid.Vocabulary.of(PIECES), all_pieces()
+    total = np.zeros((v.size, 2))
+    for i, t, name in rows:
+        if t and name and not (i is not None and zlib.crc32(str(i).encode()) % 4 == 2):
+            for word in t.split():
+                w, k = langid.marked(word.encode()), "xy".index(name)
+                paths = [(0, ())]
+                done = []
+                while paths:
+                    at, used = paths.pop()
+                    if at == len(w):
+                        done.append(used)
+                        continue
+                    paths += [(at + n, (*used, ids[w[at : at + n]])) for n in range(1, len(w) - at + 1) if w[at : at + n] in ids]
+                    paths.append((at + 1, (*used, v.byte[w[at]])))
+                mass = sum((1 / v.size) ** len(u) for u in done)
+                for u in done:
+                    for x in u:
+                        total[x, k] += (1 / v.size) ** len(u) / mass
+    want = (total + langid.PRIOR) / (total + langid.PRIOR).sum(0)
+    assert langs == ["x", "y"] and np.allclose(p, want, rtol=1e-8)
+    for r in langid.predict(d, langs, p, PIECES).collect():
+        if r.text:
+            s = sum(brute_forward(langid.marked(x.encode()), ids, v.byte, np.log(p)) for x in r.text.split())
+            q = np.exp(s - s.max())
+            assert r.lang_pred == langs[int(s.argmax())] and r.score == pytest.approx(q.max() / q.sum(), rel=1e-4)
 
 
 def test_token_file(spark, tmp_path):
