@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from newsloom.llm import decontaminate, importance, langid, ngramjoin, packing
 from newsloom.llm.common import stored
@@ -19,13 +18,12 @@ LEAST_CERTAIN = 0.5
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What importance resampling chooses."""
-    return importance.select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*docs.columns)
+    return importance.select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach, known with some certainty."""
-    found = langid.identify(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAIN)).select(*docs.columns)
+    return langid.certain(docs, public_tokenizers.path("piece_bpe_32k.model"), LEAST_CERTAIN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
