@@ -27,15 +27,37 @@ def tags(html: Column, name: str) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"(?is)<{name}(\s[^>]*)?>"), 0)
 
 
+def _named(html: Column, kind: str, name: str) -> Column:
+    """Meta tags whose attribute (name or property) is the name."""
+    return F.filter(tags(html, "meta"), lambda t: attribute(t, kind) == name)
+
+
 def meta(html: Column, *names: str) -> Column:
-    """The first non-blank content of the first tag of each name (or property), in order of the names."""
+    """The first non-blank content, in order of the names; of each, the first tag with that name, or with that property if no tag has the name."""
     out = []
     for name in names:
-        first = F.get(F.filter(tags(html, "meta"), lambda t: (attribute(t, "name") == name) | (attribute(t, "property") == name)), F.lit(0))
+        first = F.coalesce(F.get(_named(html, "name", name), F.lit(0)), F.get(_named(html, "property", name), F.lit(0)))
         out.append(F.nullif(F.trim(attribute(first, "content")), F.lit("")))
     return F.coalesce(*out, F.lit(""))
 
 
+def metas(html: Column, name: str) -> Column:
+    """Non-blank contents of all tags with the property, in order."""
+    return F.filter(F.transform(_named(html, "property", name), lambda t: F.trim(attribute(t, "content"))), lambda v: v != "")
+
+
+def author_link(html: Column) -> Column:
+    """Text of the first anchor that is marked as the author's."""
+    anchors = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<a\s[^>]*>.*?</a>"), 0)
+    first = F.get(F.filter(anchors, lambda t: attribute(t, "rel").rlike(r"(^|\s)author(\s|$)")), F.lit(0))
+    return F.coalesce(F.trim(unescape(F.regexp_replace(first, r"(?s)<[^>]*>", ""))), F.lit(""))
+
+
+def time_tag(html: Column) -> Column:
+    """The datetime of the first time element; empty if it has none."""
+    return F.trim(F.coalesce(attribute(F.get(tags(html, "time"), F.lit(0)), "datetime"), F.lit("")))
+
+
 def title(html: Column) -> Column:
     return F.trim(unescape(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
@@ -83,12 +105,16 @@ def keyword_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[,;]"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+_ASIDE = ("script", "style", "nav", "header", "footer", "aside", "noscript")
+
+
 def main_text(html: Column) -> Column:
     """Paragraph text of the article element, or of the page: scripts, styles, navigation and tags go."""
     whole = F.coalesce(html, F.lit(""))
     inner = F.regexp_extract(whole, r"(?is)<article[^>]*>(.*?)</article>", 1)
     c = F.when(inner != "", inner).otherwise(whole)
-    c = F.regexp_replace(c, r"(?is)<(script|style|nav|header|footer|aside|noscript)[^>]*>.*?</\1>", " ")
+    for name in _ASIDE:
+        c = F.regexp_replace(c, rf"(?is)<{name}(\s[^>]*)?>.*?</{name}>", " ")
     c = F.regexp_replace(c, r"(?i)</(p|div|h[1-6]|li)>|<br\s*/?>", "\n")
     c = unescape(F.regexp_replace(c, r"(?s)<[^>]*>", " "))
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t\r\f]+", " "), r"\s*\n\s*", "\n")

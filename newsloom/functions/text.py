@@ -35,11 +35,17 @@ def quoted(word: str) -> str:
     return re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", word)
 
 
-_EDGE = r"[^\p{L}\p{N}_]"
+_INSIDE, _EDGE = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
 
 
 def word_pattern(words: list[str]) -> str:
-    return f"(^|{_EDGE})({'|'.join(quoted(w) for w in words)})($|{_EDGE})"
+    """Any of the words, each with a border of words at both ends; where a word begins or ends in another character, a border is a letter beside it."""
+    inner = lambda c: c.isalnum() or c == "_"
+    by: dict[tuple[bool, bool], list[str]] = {}
+    for w in words:
+        by.setdefault((inner(w[0]), inner(w[-1])), []).append(quoted(w))
+    parts = [f"{f'(^|{_EDGE})' if a else _INSIDE}({'|'.join(ws)}){f'($|{_EDGE})' if b else _INSIDE}" for (a, b), ws in by.items()]
+    return parts[0] if len(parts) == 1 else f"({'|'.join(parts)})"
 
 
 def has_word(c: Column, words: list[str]) -> Column:
@@ -47,10 +53,10 @@ def has_word(c: Column, words: list[str]) -> Column:
 
 
 def first_label(c: Column, rules: dict[str, list[str]], default: str = "") -> Column:
-    """The first label, in the order of the rules, of which a word occurs. Text and words are in lower case."""
+    """The first label, in the order of the rules, of which a word occurs. The text is in lower case."""
     out = None
     for label, words in rules.items():
-        hit = has_word(c, words)
+        hit = has_word(c, [w.lower() for w in words])
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return F.lit(default) if out is None else out.otherwise(default)
 
@@ -67,6 +73,11 @@ def first_slug(slugs: Column, rules: dict[str, str]) -> Column:
     return F.coalesce(*[F.when(F.array_contains(slugs, k), v) for k, v in rules.items()], F.lit(""))
 
 
+def first_equal(c: Column, values: dict[str, str], other: Column) -> Column:
+    """What a value stands for, or the other."""
+    return F.coalesce(*[F.when(c == k, v) for k, v in values.items()], other)
+
+
 def or_else(c: Column, other: Column) -> Column:
     """The other where the column is null or blank."""
     return F.when(F.trim(F.coalesce(c, F.lit(""))) != "", c).otherwise(other)
@@ -128,14 +139,20 @@ def six_decimals(c: Column) -> Column:
     return F.format_string("%.6f", c)
 
 
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy/M/d", "d MMMM yyyy", "MMMM d, yyyy", "d MMM yyyy", "MMM d, yyyy")
+#: After a weekday, ordinal endings and a time of day are gone; where numbers alone say month and day, the month comes first if it can
+DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "d MMMM yyyy", "MMMM d yyyy", "d MMM yyyy", "MMM d yyyy", "yyyy MMMM d", "yyyy MMM d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy")
+_WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+"
+_TIME = r"(?i)(^|[T\s,]|\bat)\s*\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?\s*([ap]\.?m\.?)?\s*(z|[a-z]{2,5}|(utc|gmt)?[+-]\d{2}:?\d{2})?(\s*\([^)]*\))?\s*$"
 
 
 def iso_date(raw: Column) -> Column:
-    """An ISO date where the text begins with one or has a known format; else the text; null is empty."""
+    """An ISO date where the text has a known form, with or without weekday, time and zone (which don't shift it); else the text; null is empty."""
     text = F.trim(F.coalesce(raw, F.lit("")))
-    head = F.try_to_date(F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})([T ].*)?$", 1), "yyyy-MM-dd")
-    known = F.coalesce(head, *[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS[1:]])
+    bare = F.regexp_replace(F.regexp_replace(text, _WEEKDAY, ""), _TIME, "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)(\d)(st|nd|rd|th)\b", "$1"), r"(?<=\d)-(?=[A-Za-z])|(?<=[A-Za-z])-(?=\d)", " ")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?i)\bof\b|,", " "), r"\s+", " "))
+    bare = F.regexp_replace(bare, r"(?<=[A-Za-z])\.(?=\s)", "")
+    known = F.coalesce(*[F.to_date(F.try_to_timestamp(bare, F.lit(f))) for f in DATE_FORMATS])
     return F.coalesce(F.date_format(known, "yyyy-MM-dd"), F.coalesce(raw, F.lit("")))
 
 

@@ -10,6 +10,8 @@ ARTICLE_COLUMNS = [
 ADMIN_COLUMNS = ["country (admin 0)", "region (admin 1)", "municipality (admin 2)", "sub-district (admin 3)", "gadm_id"]
 LEGACY_ADMIN_COLUMNS = ["admin_2", "admin_3", "gadm_id"]
 
+GEOCODE_COLUMNS = ["latitude", "longitude", "geocode_precision", "geocode_query", "geocode_display_name", "geocode_status"]
+
 # Display labels.
 SECTOR_LABELS = {
     "mining": "Mining", "oil_gas": "Oil & Gas", "logging_deforestation": "Logging / Deforestation",
@@ -21,10 +23,6 @@ EVENT_LABELS = {
     "legal": "Legal Action", "consultation_dispute": "Consultation Dispute", "protest": "Protest",
     "displacement": "Displacement", "": "Unclassified",
 }
-SECTOR_COLORS = {
-    "mining": "red", "oil_gas": "black", "logging_deforestation": "darkgreen", "infrastructure": "blue",
-    "agriculture": "orange", "protected_areas": "purple", "other": "gray", "": "lightgray",
-}
 
 # Title comparison.
 RATIO_LEAST = 0.60

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,87 +15,172 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vocabulary as V
 
+#: Seeds with longer titles are not bounded by common subsequences, only by counts of characters
+LONG_TITLE = 512
 
-def title_match(a: str, b: str) -> tuple[bool, float]:
-    """Whether two normalised titles tell of one event, and how well they fit."""
-    if not (a and b):
+
+@dataclass
+class Title:
+    """What comparisons need of a normalised title: its characters as numbers, its keywords, and which of them are distinctive."""
+
+    text: str
+    codes: np.ndarray
+    words: frozenset[str]
+    telling: frozenset[str]
+
+    @classmethod
+    def of(cls, text: str) -> "Title":
+        words = frozenset(w for w in text.split() if len(w) >= V.KEYWORD_LENGTH)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return cls(text, np.where(codes < 255, codes, 255).astype(np.uint8), words, frozenset(w for w in words if len(w) >= V.DISTINCTIVE_LENGTH))
+
+
+def shared_weight(a: Title, b: Title) -> tuple[bool, float]:
+    """Whether the words alone make two titles fit, and what the words add to their score."""
+    if not (a.words and b.words):
         return False, 0.0
-    ratio = difflib.SequenceMatcher(None, a, b).ratio()
-    words = [{w for w in t.split() if len(w) >= V.KEYWORD_LENGTH} for t in (a, b)]
-    if not (words[0] and words[1]):
-        return ratio >= V.RATIO_LEAST, ratio
-    common = words[0] & words[1]
-    telling = sum(len(w) >= V.DISTINCTIVE_LENGTH for w in common)
-    share = len(common) / min(map(len, words))
-    fits = ratio >= V.RATIO_LEAST or telling >= V.STRONG_SHARED or (telling >= 1 and share >= V.OVERLAP_LEAST)
-    return fits, ratio + share + 0.25 * telling
-
-
-def may_match(a: str, b: str) -> bool:
-    """False only if title_match is False; avoids the costly ratio where bounds on it decide."""
-    words = [{w for w in t.split() if len(w) >= V.KEYWORD_LENGTH} for t in (a, b)]
-    common = words[0] & words[1]
-    telling = sum(len(w) >= V.DISTINCTIVE_LENGTH for w in common)
-    if telling >= V.STRONG_SHARED or (telling and len(common) / min(map(len, words)) >= V.OVERLAP_LEAST):
-        return True
-    m = difflib.SequenceMatcher(None, a, b)
-    return m.real_quick_ratio() >= V.RATIO_LEAST and m.quick_ratio() >= V.RATIO_LEAST
+    n, share = len(a.telling & b.telling), len(a.words & b.words) / min(len(a.words), len(b.words))
+    return n >= V.STRONG_SHARED or (n > 0 and share >= V.OVERLAP_LEAST), share + 0.25 * n
+
+
+def likeness(a: Title, b: Title) -> float:
+    return difflib.SequenceMatcher(None, a.text, b.text).ratio()
+
+
+def common_at_most(a: Title, seeds: np.ndarray) -> np.ndarray:
+    """The longest common subsequence of a title with each row of codes (0 after their end): no matching of blocks has more.
+
+    All rows advance at once by a bit vector over the title's characters (Hyyrö 2004), in 64-bit words.
+    """
+    m, n = len(a.codes), len(seeds)
+    words = -(-m // 64)
+    masks = np.zeros((words, 256), np.uint64)
+    for i, c in enumerate(a.codes.tolist()):
+        masks[i >> 6, c] |= np.uint64(1 << (i & 63))
+    masks[:, 0] = 0
+    v = np.full((words, n), np.iinfo(np.uint64).max, np.uint64)
+    for column in seeds.T:
+        carry = np.zeros(n, np.uint64)
+        for k in range(words):
+            own = masks[k, column]
+            u = v[k] & own
+            t = v[k] + u
+            total = t + carry
+            carry = ((t < u) | (total < carry)).astype(np.uint64)
+            v[k] = total | (v[k] & ~own)
+    out = np.zeros(n, np.int64)
+    for k in range(words):
+        bits = min(64, m - 64 * k)
+        out += bits - np.bitwise_count(v[k] & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return out
 
 
 class Leaders:
-    """Seeds of one country in order; a seed that is out of the window of all later dated rows waits for undated ones only."""
+    """Seeds of one country in order, as arrays: codes, lengths, days, and an index from distinctive words to seeds.
 
-    def __init__(self, days: int | None):
-        self.days, self.seeds, self.live = days, [], 0
+    Rows come by date, so seeds do, and a seed out of the window of a dated row is out for all later dated rows. Seeds that the words
+    make fit are found by the index; for all others only a ratio of RATIO_LEAST counts, and bounds on it for all live seeds at
+    once leave few. Exact scores are found from the best bound on, until no bound can beat the best score.
+    """
 
-    def place(self, title: str, day: int | None) -> tuple[int, str]:
-        best, score = -1, -1.0
+    def __init__(self, days: int | None):
+        self.days, self.live = days, 0
+        self.seeds: list[Title] = []
+        self.day = np.zeros(16, np.int64)
+        self.dated = 0
+        self.length = np.zeros(16, np.int64)
+        self.codes = np.zeros((16, 64), np.uint8)
+        self.index: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, int | None, int]] = {}
+
+    def _add(self, t: Title, day: int | None) -> int:
+        n = len(self.seeds)
+        if n == len(self.day):
+            self.day, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.day, self.length))
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+        kept = t.codes[:LONG_TITLE]
+        if len(kept) > self.codes.shape[1]:
+            self.codes = np.pad(self.codes, ((0, 0), (0, max(len(kept), 2 * self.codes.shape[1]) - self.codes.shape[1])))
+        self.codes[n, : len(kept)] = kept
+        self.length[n] = len(t.text)
+        if day is not None:
+            self.day[n] = day
+            self.dated = n + 1
+        for w in t.telling:
+            self.index.setdefault(w, []).append(n)
+        self.seeds.append(t)
+        return n
+
+    def _alike(self, t: Title, first: int) -> dict[int, float]:
+        """Seeds from ``first`` on whose ratio may reach the least, with a bound on it."""
+        n, m = self.length[first : len(self.seeds)], len(t.text)
+        bound = 2 * np.minimum(n, m) / np.maximum(n + m, 1)
+        at = np.flatnonzero((bound >= V.RATIO_LEAST) & (n > 0))
+        short = at[n[at] <= LONG_TITLE] if m <= LONG_TITLE else at[:0]
+        if len(short):
+            bound[short] = 2 * common_at_most(t, self.codes[first + short, : max(1, int(n[short].max()))]) / (n[short] + m)
+            at = at[bound[at] >= V.RATIO_LEAST]
+        return dict(zip((first + at).tolist(), bound[at].tolist()))
+
+    def place(self, title: str, day: int | None) -> int:
+        """The cluster that a row joins or begins."""
+        if not title:
+            return self._add(Title.of(""), day)
+        seen = self.known.get(title)
+        if seen is not None and seen[1:] == (day, len(self.seeds)):
+            return seen[0]
+        t, first = Title.of(title), 0
         if day is not None and self.days is not None:
-            while self.live < len(self.seeds) and self.seeds[self.live][1] is not None and day - self.seeds[self.live][1] > self.days:
-                self.live += 1  # rows come by date, so seeds do
+            self.live = max(self.live, int(np.searchsorted(self.day[: self.dated], day - self.days)))
             first = self.live
-        else:
-            first = 0
-        if title:
-            for i in range(first, len(self.seeds)):
-                other, seen = self.seeds[i]
-                if self.days is not None and day is not None and seen is not None and abs(day - seen) > self.days:
-                    continue
-                if other and may_match(title, other):
-                    ok, s = title_match(title, other)
-                    if ok and s > score:
-                        best, score = i, s
+        some = self._alike(t, first)
+        bounds = []
+        near = {i for w in t.telling if w in self.index for i in self.index[w][bisect.bisect_left(self.index[w], first) :]}
+        for i in near | some.keys():
+            fits, extra = shared_weight(t, self.seeds[i])
+            if fits or i in some:
+                bounds.append((-(some.get(i, V.RATIO_LEAST) + extra), i, fits, extra))
+        best, score = -1, 0.0
+        for bound, i, fits, extra in sorted(bounds):
+            if -bound < score:
+                break
+            ratio = likeness(t, self.seeds[i])
+            if (fits or ratio >= V.RATIO_LEAST) and (ratio + extra > score or (ratio + extra == score and i < best)):
+                best, score = i, ratio + extra
         if best < 0:
-            self.seeds.append((title, day))
-            best = len(self.seeds) - 1
-        return best, self.seeds[best][0]
+            best = self._add(t, day)
+        self.known[title] = best, day, len(self.seeds)
+        return best
 
 
 def assign(df: DataFrame, key: str, country: str = "country", title: str = "article_title", date: str = "date_published", days: int | None = V.WINDOW_DAYS) -> DataFrame:
-    """df with conflict_id and coverage_count.
+    """df with conflict_id and coverage_count, which replace columns of these names.
 
     Within a country, oldest first (undated last, ties by key), each row joins the seed that fits best or
-    becomes one. Countries are streamed in that order, so a task holds seeds, never a country's rows; sizes of clusters are an
-    aggregate. The same title in two windows makes two clusters of one id.
+    becomes one. Countries are streamed in that order, so a task holds seeds, never a country's rows; rows without a title, each an event of
+    its own, aren't streamed at all. Sizes of clusters are an aggregate. The same title in two windows makes two clusters of one id.
     """
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("conflict_id", "coverage_count")])
     names = df.select(F.col(key).alias("_key"), F.lower(F.trim(F.coalesce(F.col(country), F.lit("")))).alias("_country"), X.normalised_title(F.coalesce(F.col(title), F.lit(""))).alias("_title"), F.datediff(F.try_to_date(F.substring(F.coalesce(F.col(date), F.lit("")).cast("string"), 1, 10), "yyyy-MM-dd"), F.lit("1970-01-01").cast("date")).alias("_day"))
-    ordered = names.repartition("_country").sortWithinPartitions("_country", F.col("_day").asc_nulls_last(), "_key")
+    ordered = names.where("_title <> ''").repartition("_country").sortWithinPartitions("_country", F.col("_day").asc_nulls_last(), "_key")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, leaders = None, Leaders(days)
         for part in parts:
-            rows = []
+            clusters, seeds = [], []
             for who, t, d in zip(part["_country"], part["_title"], part["_day"]):
                 if who != now:
                     now, leaders = who, Leaders(days)
-                rows.append(leaders.place(t, None if pd.isna(d) else int(d)))
-            yield pd.DataFrame({"_key": part["_key"], "_country": part["_country"], "_cluster": [c for c, _ in rows], "_seed": [s for _, s in rows]})
+                clusters.append(leaders.place(t, None if pd.isna(d) else int(d)))
+                seeds.append(leaders.seeds[clusters[-1]].text)
+            yield pd.DataFrame({"_key": part["_key"], "_country": part["_country"], "_cluster": clusters, "_seed": seeds})
 
     kind = dict(df.dtypes)[key]
     placed = ordered.mapInPandas(run, f"_key {kind}, _country string, _cluster long, _seed string")
     sizes = placed.groupBy("_country", "_cluster").agg(F.count("*").alias("coverage_count"))
     found = placed.join(sizes, ["_country", "_cluster"]).select("_key", X.conflict_id(F.col("_country"), F.col("_seed")).alias("conflict_id"), "coverage_count")
-    return df.join(found, df[key] == found["_key"], "left").drop("_key")
+    blank = names.where("_title = ''").select("_key", X.conflict_id(F.col("_country"), F.lit("")).alias("conflict_id"), F.lit(1).cast("long").alias("coverage_count"))
+    return df.join(found.unionByName(blank), df[key].eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def multi_covered(df: DataFrame, row_id: str) -> DataFrame:
@@ -101,11 +189,12 @@ def multi_covered(df: DataFrame, row_id: str) -> DataFrame:
     return first.agg(F.count_if(F.col("c") > 1).alias("multi"))
 
 
-def overlap_pairs(df: DataFrame, key: str, words: str, within: str, least: int = V.STRONG_SHARED, length: int = V.DISTINCTIVE_LENGTH) -> DataFrame:
-    """Pairs of rows of one group that share at least ``least`` distinctive words, found by an inverted index."""
-    each = df.select(key, within, F.explode(X.keywords(F.col(words), length)).alias("w"))
-    a, b = each.select(F.col(key).alias("a"), within, "w"), each.select(F.col(key).alias("b"), within, "w")
-    return a.join(b, [within, "w"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+def overlap(a: Column, b: Column) -> Column:
+    """struct<shared, telling, share> of two arrays of title words: common keywords, the distinctive ones among them, and their share of the smaller set."""
+    x, y = X.keywords(a), X.keywords(b)
+    both = F.array_intersect(x, y)
+    least = F.least(F.size(x), F.size(y))
+    return F.struct(F.size(both).cast("long").alias("shared"), F.size(X.keywords(both, V.DISTINCTIVE_LENGTH)).cast("long").alias("telling"), F.when(least > 0, F.size(both) / least).otherwise(0.0).alias("share"))
 
 
 def representative(df: DataFrame, group: str, rank: Column, row_id: str, columns: list[str]) -> DataFrame:
@@ -114,5 +203,3 @@ def representative(df: DataFrame, group: str, rank: Column, row_id: str, columns
     best = F.max_by(F.struct(*columns), F.struct(rank, -F.col(row_id)))
     out = df.groupBy(own.alias("group_key")).agg(F.count("*").alias("size"), F.min(row_id).alias("first_row"), best.alias("_b"))
     return out.select("group_key", "size", "first_row", *[F.col(f"_b.{c}").alias(c) for c in columns])
-
-

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vocabulary as V
 from ..sources.tables import ensure
+from . import conflicts, places
 
 _GUARANTEED = [*V.ARTICLE_COLUMNS, "conflict_id", "coverage_count", "llm_summary", "geocode_precision", *V.ADMIN_COLUMNS[:4]]
 
@@ -61,11 +62,34 @@ def table_order(date: str, row_id: str) -> list[Column]:
     return [F.col(date).desc_nulls_last(), F.col(row_id).asc()]
 
 
+def date_bounds(df: DataFrame, date: str) -> DataFrame:
+    """The first and last day of a column, as text."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return df.agg(day(F.min(date)).alias("first_date"), day(F.max(date)).alias("last_date"))
+
+
 def picker_label(title: Column, municipality: Column, region: Column, n: Column) -> Column:
     """Title (75 characters), place (the region once), number of articles if several."""
-    m, r = (F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit("")) for c in (municipality, region))
-    place = F.concat_ws(", ", m, F.when(~r.eqNullSafe(m), r))
-    return F.concat_ws(" · ", F.left(F.coalesce(title, F.lit("")), F.lit(75)), F.nullif(place, F.lit("")), F.when(n > 1, F.concat(n.cast("string"), F.lit(" articles"))))
+    m, r, t = (F.trim(F.coalesce(c, F.lit(""))) for c in (municipality, region, title))
+    place = F.concat_ws(", ", F.nullif(m, F.lit("")), F.when((r != "") & (r != m), r))
+    head = F.left(F.when(t == "", "(no article title)").otherwise(t), F.lit(75))
+    return F.concat(F.when(place != "", F.concat(head, F.lit(" — "), place)).otherwise(head), F.when(n > 1, F.concat(F.lit(" · "), n.cast("string"), F.lit(" articles"))).otherwise(""))
+
+
+def picker(df: DataFrame, chosen: dict[str, str] | None = None, row_id: str = "row_id") -> DataFrame:
+    """A row for each event among the chosen country, region and so on (a blank choice is none), in order of its label.
+
+    Columns: group_key, size, label, and the representative's row_id, coordinates and area id.
+    """
+    for c, v in (chosen or {}).items():
+        if v:
+            df = df.where(F.coalesce(F.col(f"`{c}`"), F.lit("")) == v)
+    _, region, municipality, _, gid = V.ADMIN_COLUMNS
+    df = ensure(df, [*V.ADMIN_COLUMNS, "geocode_precision", "conflict_id"])
+    plain = df.withColumns({"_region": F.col(f"`{region}`"), "_municipality": F.col(f"`{municipality}`"), "_gid": F.col(f"`{gid}`"), "_conflict": F.trim(F.coalesce("conflict_id", F.lit(""))), "_row": F.col(row_id)})
+    found = conflicts.representative(plain, "_conflict", places.precision_rank(F.col("geocode_precision")), row_id, ["article_title", "_municipality", "_region", "_gid", "_row", "latitude", "longitude"])
+    label = picker_label(F.col("article_title"), F.col("_municipality"), F.col("_region"), F.col("size"))
+    return found.select("group_key", "size", label.alias("label"), F.col("_row").alias(row_id), "latitude", "longitude", F.col("_gid").alias("gid")).orderBy(F.lower("label"), "group_key")
 
 
 def popup(title: Column, source: Column, date: Column, places: list[Column], sector: Column, event: Column, summary: Column, url: Column) -> Column:

@@ -2,21 +2,41 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the folder that all machines share (spark.checkpoint.dir), or a local one where it is unset."""
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """Cuts lineage through the folder that all machines share (spark.checkpoint.dir); without one only in local mode, through a local folder."""
     spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/newsloom-shared"
-    path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = f"file://{tempfile.gettempdir()}/newsloom-shared"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _removed(df: DataFrame) -> None:
+    """Deletes what ``written`` wrote, once nothing reads it any more."""
+    jvm, files = df.sparkSession._jvm, df.inputFiles()
+    for folder in {f.rsplit("/", 1)[0] for f in files}:
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _name(name: str, taken: list[str]) -> str:
+    """A column name that no column has."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def merged(existing: DataFrame, fresh: DataFrame, order: str = "ordinal") -> DataFrame:
     """All rows, those of the existing table first: columns of both, blank where missing, and row_id = (origin, ordinal)."""
     tagged = [d.withColumn("row_id", F.struct(F.lit(i).alias("origin"), F.col(order).cast("long").alias("ordinal"))) for i, d in enumerate((existing, fresh))]
@@ -34,21 +54,23 @@ def first_of_each(df: DataFrame, row_id: str = "row_id", keys: tuple[str, ...] =
     """
     trimmed = {f"_k{i}": F.nullif(F.trim(F.coalesce(F.col(k), F.lit(""))), F.lit("")) for i, k in enumerate(keys)}
     left = df.select(F.col(row_id).alias("_r"), *[c.alias(n) for n, c in trimmed.items()])
-    kept = None
+    kept = last = None
     while True:
         first = left
         for n in trimmed:
             least = left.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("_r").alias(f"_m{n}"))
             first = first.join(least, n, "left")
-        heads = _written(first.where(F.least(*[F.coalesce(F.col(f"_m{n}"), F.col("_r")) for n in trimmed], F.col("_r")) == F.col("_r")).select(*left.columns))
+        heads = written(first.where(F.least(*[F.coalesce(F.col(f"_m{n}"), F.col("_r")) for n in trimmed], F.col("_r")) == F.col("_r")).select(*left.columns))
         kept = heads if kept is None else kept.unionByName(heads)
         rest = left.join(heads.select("_r"), "_r", "left_anti")
         for n in trimmed:
             rest = rest.join(heads.where(F.col(n).isNotNull()).select(n).distinct(), n, "left_anti")
-        rest = _written(rest.select(*left.columns))
+        rest = written(rest.select(*left.columns))
+        if last is not None:
+            _removed(last)
         if rest.isEmpty():
             return df.join(kept.select(F.col("_r").alias(row_id)), row_id, "left_semi")
-        left = rest
+        left = last = rest
 
 
 def date_order(date: str = "date_published", row_id: str = "row_id") -> list[Column]:
@@ -73,13 +95,51 @@ def needs_text(text: Column, status: Column, again: bool = False) -> Column:
     return missing & (F.lit(again) | ~F.coalesce(status, F.lit("")).startswith("error"))
 
 
+def not_yet(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't among what is done."""
+    return df.join(done.select(key).distinct(), key, "left_anti")
+
+
+def first_needed(df: DataFrame, needs: Column, most: int | None, row_id: str) -> DataFrame:
+    """The rows that need work, in their order the first ``most`` of them."""
+    todo = df.where(needs)
+    return todo if most is None else todo.orderBy(row_id).limit(most)
+
+
+def one_of_each(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """One row for each key: of several the one with the least values (nulls last), in order of the columns."""
+    order = F.struct(*[x for c in columns for x in (F.col(c).isNull().alias(f"n_{c}"), F.col(c).alias(f"v_{c}"))])
+    return df.groupBy(*key).agg(F.min(order).alias("least")).select(*key, *[F.col(f"least.v_{c}").alias(c) for c in columns])
+
+
 def back_filled(df: DataFrame, found: DataFrame, key: str, columns: list[str], needs: Column) -> DataFrame:
-    """New values of some columns where a row needs and has them; others stay."""
-    new = found.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    """New values of some columns where a row needs and has them; others stay. Of several new values of a key the least ones count."""
+    new = one_of_each(found, [key], columns).select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
     out = df.join(new, key, "left")
     return out.withColumns({c: F.when(needs, F.coalesce(F.col(f"_new_{c}"), F.col(c))).otherwise(F.col(c)) for c in columns}).drop(*[f"_new_{c}" for c in columns])
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Rows with their number (from 1) in the whole order, which has to be a total one.
+
+    Ranges of the order are sorted on their own and written once; only their sizes, one number a range, go through the driver.
+    """
+    taken = list(df.columns)
+    part, own = _name("range", taken), _name("within", taken)
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id()  # range << 33 | place in it
+    dealt = written(ranged.withColumn(part, F.shiftright(number, 33).cast("int")).withColumn(own, number.bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    sizes = {r[0]: r[1] for r in dealt.groupBy(part).count().collect()}
+    before, at = [], 0
+    for i in range(max(sizes, default=-1) + 1):
+        before.append(at)
+        at += sizes.get(i, 0)
+    starts = F.array(*[F.lit(b).cast("long") for b in before or [0]])
+    return dealt.select(*[F.col(f"`{c}`") for c in taken], (F.get(starts, F.col(part)) + F.col(own) + 1).alias(name))
+
+
 def status_counts(df: DataFrame, status: str = "text_status") -> DataFrame:
     s = F.col(status)
     return df.agg(F.count_if(s == "ok").alias("ok"), F.count_if(s == "empty").alias("empty"), F.count_if(s.startswith("error")).alias("errors"))

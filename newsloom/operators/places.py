@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
+from .growth import one_of_each
 
 
 def _t(name: str) -> Column:
@@ -67,7 +68,7 @@ def geocoded(df: DataFrame, answers: DataFrame, by_country: bool = False) -> Dat
     iso2 = F.create_map(*[F.lit(x) for kv in V.ISO2.items() for x in kv])
     want = df.withColumn("_q", candidate_query(F.col("location_context"), F.col("location_name"), F.col("locality"), F.col("region_department"), F.col("country"), by_country))
     want = want.withColumns({"_query": F.col("_q.query"), "_hint": F.col("_q.hint"), "_iso2": F.coalesce(F.try_element_at(iso2, _t("country")), F.lit("")), "_need": needs_geocode(F.col("latitude"), F.col("geocode_status"))})
-    a = answers.select(F.col("query").alias("_query"), F.col("iso2").alias("_iso2"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("precision").alias("_precision"), F.col("display_name").alias("_display"))
+    a = one_of_each(answers, ["query", "iso2"], ["lat", "lon", "precision", "display_name"]).select(F.col("query").alias("_query"), F.col("iso2").alias("_iso2"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("precision").alias("_precision"), F.col("display_name").alias("_display"))
     got = want.join(a, ["_query", "_iso2"], "left")
     found = F.col("_need") & (F.col("_query") != "") & F.col("_lat").isNotNull()
     status = F.when(~F.col("_need"), F.col("geocode_status")).when(F.col("_query") == "", "no_location").when(F.col("_lat").isNull(), "not_found").otherwise("ok")
@@ -80,7 +81,7 @@ def inside(x: np.ndarray, y: np.ndarray, rings: list) -> np.ndarray:
     """Strictly inside by even-odd rays over all rings (holes and several parts included); borders are outside."""
     odd, edge = np.zeros(len(x), bool), np.zeros(len(x), bool)
     for ring in rings:
-        p = np.asarray([list(q) for q in ring], float)
+        p = np.asarray([list(q) for q in ring], float) if not (isinstance(ring, np.ndarray) and ring.dtype != object) else ring
         for (ax, ay), (bx, by) in zip(p, np.roll(p, -1, 0)):
             cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
             edge |= (cross == 0) & (np.minimum(ax, bx) <= x) & (x <= np.maximum(ax, bx)) & (np.minimum(ay, by) <= y) & (y <= np.maximum(ay, by))
@@ -89,26 +90,85 @@ def inside(x: np.ndarray, y: np.ndarray, rings: list) -> np.ndarray:
     return odd & ~edge
 
 
-def in_polygons(points: DataFrame, areas: DataFrame, key: str, on: list[str], grid: float = 1.0) -> DataFrame:
+#: Bytes of areas (as Arrow) that are broadcast to the workers; beyond it areas meet their points by a shuffle
+AREAS_BROADCAST = 64 << 20
+
+
+def in_polygons(points: DataFrame, areas: DataFrame, key: str, on: list[str], grid: float = 1.0, most: int = AREAS_BROADCAST) -> DataFrame:
     """(key, gid) of the first area (by gid) that holds each point (x, y), null without one.
 
-    Areas (gid, rings: array<array<array<double>>>, xmin, xmax, ymin, ymax, and the columns of ``on``) are dealt to
-    the grid squares of their boxes, points to their square: an equi-join, whatever the sizes; then box, then exact rays.
+    Areas (gid, rings: array<array<array<double>>>, xmin, xmax, ymin, ymax, and the columns of ``on``; gids are unique) are dealt to
+    the grid squares of their boxes, points to their square: an equi-join of boxes, whatever the sizes; then the box, then exact rays. Rings
+    don't go along with each point: they are broadcast while they are small, by a check of their size, and else grouped with the points
+    of their area, at most a slice of an area's points in a task.
     """
     square = lambda c: F.floor(c / grid).cast("long")
-    spread = areas.withColumn("_gx", F.explode(F.sequence(square(F.col("xmin")), square(F.col("xmax"))))).withColumn("_gy", F.explode(F.sequence(square(F.col("ymin")), square(F.col("ymax")))))
+    spread = areas.drop("rings").withColumn("_gx", F.explode(F.sequence(square(F.col("xmin")), square(F.col("xmax"))))).withColumn("_gy", F.explode(F.sequence(square(F.col("ymin")), square(F.col("ymax")))))
     placed = points.withColumns({"_gx": square(F.col("x")), "_gy": square(F.col("y"))})
-    near = placed.join(spread, [*on, "_gx", "_gy"]).where("x between xmin and xmax and y between ymin and ymax")
+    near = placed.join(spread, [*on, "_gx", "_gy"]).where("x between xmin and xmax and y between ymin and ymax").select(key, "x", "y", "gid")
+    size = areas.agg(F.sum(F.expr("aggregate(rings, 0L, (n, r) -> n + 16 * size(r)) + 64"))).first()[0] or 0
+    if size <= most:
+        rings = {r["gid"]: [np.asarray([list(q) for q in ring], float) for ring in r["rings"]] for r in areas.select("gid", "rings").collect()}
+        shared = points.sparkSession.sparkContext.broadcast(rings)
+
+        @F.pandas_udf("boolean")
+        def holds(x: pd.Series, y: pd.Series, gid: pd.Series) -> pd.Series:
+            out = np.zeros(len(x), bool)
+            for g, at in gid.groupby(gid).indices.items():
+                out[at] = inside(x.to_numpy()[at], y.to_numpy()[at], shared.value[g])
+            return pd.Series(out)
+
+        found = near.where(holds("x", "y", "gid"))
+    else:
+        slices = 64
+        dealt = near.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)))
+        wide = areas.select("gid", "rings", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("_slice"))
+        kinds = dict(points.dtypes)
+
+        def test(rows: pd.DataFrame, area: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows) or not len(area):
+                return pd.DataFrame({key: [], "gid": []})
+            ok = inside(rows["x"].to_numpy(), rows["y"].to_numpy(), list(area["rings"].iloc[0]))
+            return rows.loc[ok, [key, "gid"]]
+
+        found = dealt.groupBy("gid", "_slice").cogroup(wide.groupBy("gid", "_slice")).applyInPandas(test, f"{key} {kinds[key]}, gid string")
+    hit = found.groupBy(key).agg(F.min("gid").alias("gid"))
+    return points.select(key).join(hit, key, "left")
 
-    @F.pandas_udf("boolean")
-    def holds(x: pd.Series, y: pd.Series, gid: pd.Series, rings: pd.Series) -> pd.Series:
-        out = np.zeros(len(x), bool)
-        for at in gid.groupby(gid).indices.values():
-            out[at] = inside(x.to_numpy()[at], y.to_numpy()[at], rings.iloc[at[0]])
-        return pd.Series(out)
 
-    hit = near.where(holds("x", "y", "gid", "rings")).groupBy(key).agg(F.min("gid").alias("gid"))
-    return points.select(key).join(hit, key, "left")
+def in_degrees(areas: DataFrame, crs: str) -> DataFrame:
+    """Areas with rings and boxes in degrees, from degrees (EPSG:4326) or spherical Mercator metres (EPSG:3857)."""
+    if crs == "EPSG:4326":
+        return areas
+    if crs != "EPSG:3857":
+        raise ValueError(f"{crs} is not known; reproject the boundaries first")
+    lon = lambda x: x / 6378137.0 * (180 / np.pi)
+    lat = lambda y: (2 * F.atan(F.exp(y / 6378137.0)) - np.pi / 2) * (180 / np.pi)
+    rings = F.transform("rings", lambda r: F.transform(r, lambda q: F.array(lon(q[0]), lat(q[1]))))
+    return areas.withColumns({"rings": rings, "xmin": lon(F.col("xmin")), "xmax": lon(F.col("xmax")), "ymin": lat(F.col("ymin")), "ymax": lat(F.col("ymax"))})
+
+
+def area_of(areas: DataFrame, gid: str) -> DataFrame:
+    """The area of an id, with the label of its own level, else the second, else the first; an error if there is none."""
+    level = gid.split("_")[0].count(".")
+    found = areas.where((F.col("gid") == gid) & (F.col("level") == level))
+    if found.isEmpty():
+        raise ValueError(f"there is no area {gid} of level {level}")
+    names = [n for n in dict.fromkeys((f"name_{level}", "name_2", "name_1")) if n in areas.columns]
+    return found.withColumn("label", F.col(names[0]) if names else F.lit(gid))
+
+
+def resolve_point(rows: DataFrame, areas: DataFrame, key: str) -> DataFrame:
+    """(key, a2, a3, gid) of rows (key, iso3, latitude, longitude as text) with usable coordinates.
+
+    areas: iso3, level, gid, name_2, name_3 and what in_polygons takes. Countries of a third level are searched there if it is loaded, else on the second.
+    """
+    points = rows.select(key, "iso3", X.number(F.col("longitude")).alias("x"), X.number(F.col("latitude")).alias("y")).where("x is not null and y is not null and iso3 is not null")
+    third = areas.where(F.col("iso3").isin(V.THIRD_LEVEL) & (F.col("level") == 3)).select("iso3").distinct().withColumn("_deep", F.lit(True))
+    used = areas.join(third, "iso3", "left").where(F.col("level") == F.when(F.col("_deep"), 3).otherwise(2)).drop("_deep")
+    hit = in_polygons(points, used.select("iso3", "gid", "rings", "xmin", "xmax", "ymin", "ymax"), key, ["iso3"]).where("gid is not null")
+    names = used.select("gid", F.coalesce("name_2", F.lit("")).alias("a2"), F.when(F.col("level") == 3, F.coalesce("name_3", F.lit(""))).otherwise("").alias("a3"))
+    return hit.join(names, "gid").select(key, "a2", "a3", "gid")
 
 
 def mention_pattern(name: Column) -> Column:
@@ -117,19 +177,25 @@ def mention_pattern(name: Column) -> Column:
     return F.concat(F.lit(r"(?U)\b"), F.upper(F.substring(safe, 1, 1)), F.lit("(?i:"), F.substring(safe, F.lit(2), F.length(safe)), F.lit(r")\b"))
 
 
+#: Names whose first words filter texts through the plan; more meet texts by a join on words
+NAMES_LISTED = 20_000
+
+
 def name_hits(texts: DataFrame, names: DataFrame, key: str, on: list[str]) -> DataFrame:
     """(key, name, gid, position, mentions) of capitalised names in texts.
 
-    A hash join brings texts only the names whose first word they have; the pattern then decides. Names shorter than four letters or of a country never count.
+    A text meets only the names whose first word it has, by an equi-join; the pattern then decides. Of a text only those words go on that some name
+    begins with, so few rows carry it. Names shorter than four letters or of a country never count.
     """
     countries = sorted({X.unicodedata.normalize("NFD", c).encode("ascii", "ignore").decode().lower() for c in V.ISO3})
-    plain = X.strip_accents(F.col("text"))
-    words = F.array_distinct(F.filter(F.split(F.lower(plain), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
-    each = texts.select(key, *on, F.explode(words).alias("_w"))
     known = names.where((F.length(X.normalised(F.col("name"))) >= V.SHORTEST_PLACE) & ~X.normalised(F.col("name")).isin(countries))
-    first = known.withColumn("_w", F.get(F.filter(F.split(X.normalised(F.col("name")), r"[^\p{L}\p{N}_]+"), lambda w: w != ""), F.lit(0)))
-    near = each.join(first, [*on, "_w"]).drop("_w", *on)
-    found = near.join(texts.select(key, plain.alias("_plain")), key).withColumn("_p", mention_pattern(F.col("name")))
+    first = known.withColumn("_w", F.get(F.filter(F.split(X.normalised(F.col("name")), r"[^\p{L}\p{N}_]+"), lambda w: w != ""), F.lit(0))).where("_w is not null")
+    listed = [r["_w"] for r in first.select("_w").distinct().limit(NAMES_LISTED + 1).collect()]
+    words = F.array_distinct(F.filter(F.split(F.lower("_plain"), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
+    if len(listed) <= NAMES_LISTED:
+        words = F.array_intersect(words, F.array(*[F.lit(w) for w in sorted(listed)]).cast("array<string>"))
+    each = texts.select(key, *on, X.strip_accents(F.col("text")).alias("_plain")).withColumn("_w", F.explode(words))
+    found = each.join(first, [*on, "_w"]).withColumn("_p", mention_pattern(F.col("name")))
     out = found.withColumn("mentions", F.regexp_count("_plain", F.col("_p"))).where("mentions > 0")
     return out.select(key, "name", "gid", (F.regexp_instr("_plain", F.col("_p")) - 1).alias("position"), F.col("mentions").cast("int").alias("mentions"), *([c for c in ("region",) if c in names.columns]))
 
@@ -176,3 +242,8 @@ def boundary_level(gid: Column) -> Column:
     """How deep an area is in the hierarchy: the dots of its id."""
     head = F.split(gid, "_")[0]
     return F.length(head) - F.length(F.replace(head, F.lit("."), F.lit("")))
+
+
+def children(parents: DataFrame, kids: DataFrame, parent: str, child: str) -> DataFrame:
+    """Parents with their children in the hierarchy; parents without any stay."""
+    return parents.join(kids, F.col(parent) == F.col(child), "left")

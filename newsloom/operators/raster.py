@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +30,9 @@ def with_indices(df: DataFrame) -> DataFrame:
 
 
 def band_columns(df: DataFrame) -> DataFrame:
-    """Bands from whichever asset columns a scene's generation has."""
-    return df.withColumns({b: F.coalesce(*[F.col(a) for a in names if a in df.columns]) for b, names in V.BAND_ASSETS.items() if any(a in df.columns for a in names)})
+    """Bands from the asset columns of a scene's generation: of the names that a band can have, the first that the table has."""
+    first = {b: next((a for a in names if a in df.columns), None) for b, names in V.BAND_ASSETS.items()}
+    return df.withColumns({b: F.col(a) for b, a in first.items() if a and b not in df.columns})
 
 
 def reflectance(df: DataFrame, bands: list[str] = BANDS) -> DataFrame:
@@ -79,11 +81,54 @@ def before_after(series: DataFrame, names: list[str], at: str = "month") -> Data
     return out.select(F.when(two, F.col("before")).alias("before"), F.when(two, F.col("after")).alias("after"), "n_any", "n_all")
 
 
+def order_statistics(df: DataFrame, column: str, ranks: list[int], bins: int = 4096, few: int = 10_000) -> dict[int, float]:
+    """The values at some ranks (from 0) of a column without nulls and NaN.
+
+    Values are counted in ever narrower ranges; of a range with few different values these come to the driver with their counts. So nothing is sorted or grouped whole.
+    """
+    out: dict[int, float] = {}
+
+    def solve(part: DataFrame, low: float, high: float, below: int, wanted: list[int]) -> None:
+        step = (high - low) / bins
+        if step == 0 or low + step == low:
+            groups = part.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n")).orderBy("v").limit(few).collect() if low < high else []
+            at = below
+            for r in groups:
+                for k in [k for k in wanted if at <= k < at + r["n"]]:
+                    out[k] = r["v"]
+                at += r["n"]
+            for k in wanted:
+                out.setdefault(k, low)
+            return
+        at = F.least(F.floor((F.col(column) - low) / step), F.lit(bins - 1)).cast("long")
+        counts = sorted((r["i"], r["n"], r["lo"], r["hi"]) for r in part.groupBy(at.alias("i")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect())
+        for _, n, lo, hi in counts:
+            own = [k for k in wanted if below <= k < below + n]
+            if own and (lo == hi or n == 1):
+                out.update(dict.fromkeys(own, lo))
+            elif own and n <= few:
+                values = sorted(r[0] for r in part.where(F.col(column).between(lo, hi)).select(column).collect())
+                out.update({k: values[k - below] for k in own})
+            elif own:
+                solve(part.where(F.col(column).between(lo, hi)), lo, hi, below, own)
+            below += n
+
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    solve(df, float(low), float(high), 0, sorted(set(ranks)))
+    return out
+
+
 def shared_scale(df: DataFrame, column: str) -> DataFrame:
-    """Exact 2nd and 98th percentiles of the finite values, kept apart."""
-    good = df.where(F.col(column).isNotNull() & ~F.isnan(column) & (F.abs(F.col(column)) < float("inf")))
-    out = good.agg(F.percentile(column, [0.02, 0.98]).alias("p"))
-    return out.select(F.col("p")[0].alias("vmin"), F.when(F.col("p")[1] <= F.col("p")[0], F.col("p")[0] + 1e-6).otherwise(F.col("p")[1]).alias("vmax"))
+    """Exact 2nd and 98th percentiles (between neighbours in proportion) of the finite values, kept apart; nulls without any."""
+    good = df.where(F.col(column).isNotNull() & ~F.isnan(column) & (F.abs(F.col(column)) < float("inf"))).select(F.col(column).cast("double").alias(column))
+    n = good.count()
+    both: list[float | None] = [None, None]
+    if n:
+        at = [q * (n - 1) for q in (0.02, 0.98)]
+        found = order_statistics(good, column, [k for x in at for k in (math.floor(x), math.ceil(x))])
+        both = [found[math.floor(x)] + (x - math.floor(x)) * (found[math.ceil(x)] - found[math.floor(x)]) for x in at]
+        both[1] = both[1] if both[1] > both[0] else both[0] + 1e-6
+    return df.sparkSession.createDataFrame([tuple(both)], "vmin double, vmax double")
 
 
 def padded_box(xmin: Column, xmax: Column, ymin: Column, ymax: Column, pad: float = 0.02) -> Column:

@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..functions import vocabulary as V
 from ..operators import conflicts, dashboard, growth, places, raster, rules
 from ..sources import tables
+from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,7 +94,7 @@ def option_list(t):
 
 @query("""WITH o AS (SELECT min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders) SELECT strftime(a, '%Y-%m-%d') AS first_date, strftime(b, '%Y-%m-%d') AS last_date FROM o""")
 def date_bounds(t):
-    return t.orders.agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first_date"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_date"))
+    return dashboard.date_bounds(t.orders, "o_orderdate")
 
 
 _RANK = {"purchase": 3, "click": 2, "error": 1, "view": 3}
@@ -115,7 +116,7 @@ def multi_coverage(t):
     return conflicts.multi_covered(df, "event_id")
 
 
-@query("""SELECT c_custkey, left(c_name, 75) || ' · ' || CASE WHEN n_name = r_name THEN n_name ELSE n_name || ', ' || r_name END || CASE WHEN c_custkey % 4 > 1 THEN ' · ' || (c_custkey % 4) || ' articles' ELSE '' END AS label
+@query("""SELECT c_custkey, left(c_name, 75) || ' — ' || CASE WHEN n_name = r_name THEN n_name ELSE n_name || ', ' || r_name END || CASE WHEN c_custkey % 4 > 1 THEN ' · ' || (c_custkey % 4) || ' articles' ELSE '' END AS label
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def picker_labels(t):
     df = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -209,12 +210,23 @@ def normalize_title_tokens(t):
     return t.documents.select("doc_id", F.md5(F.array_join(w, " ")).alias("title_md5"), F.size(w).cast("long").alias("n_words"), F.size(X.keywords(w)).cast("long").alias("n_keywords"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, lang, {_WORDS.replace('lower(text)', "lower(left(text, 80))")} AS w FROM documents),
-e AS (SELECT DISTINCT doc_id, lang, unnest(w) AS x FROM w), d AS (SELECT * FROM e WHERE length(x) >= 9)
-SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM d a JOIN d b ON a.lang = b.lang AND a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 2""")
-def title_pair_overlap(t):
-    df = t.documents.select("doc_id", "lang", X.title_words(F.left("text", F.lit(80))).alias("w"))
-    return conflicts.overlap_pairs(df, "doc_id", "w", "lang", 2, 9)
+def _sql_words(text: str) -> str:
+    return _WORDS.replace("lower(text)", f"lower({text})")
+
+
+_HOST = "lower(regexp_extract(url, '^[a-zA-Z][\\w+.-]*://([^/?#]*)', 1))"
+_PAGE_TITLE = r"""trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'))"""
+
+
+@query(f"""WITH p AS (SELECT page_id, {_HOST} AS host, list_distinct(list_filter({_sql_words(_PAGE_TITLE)}, lambda x: length(x) >= {V.KEYWORD_LENGTH})) AS w FROM pages),
+f AS (SELECT host, arg_min(w, page_id) AS v FROM p GROUP BY host),
+b AS (SELECT page_id, list_intersect(w, v) AS x, least(len(w), len(v)) AS n FROM p JOIN f USING (host))
+SELECT page_id, CAST(len(x) AS BIGINT) AS shared, CAST(len(list_filter(x, lambda y: length(y) >= {V.DISTINCTIVE_LENGTH})) AS BIGINT) AS telling, CASE WHEN n > 0 THEN len(x) / n ELSE 0 END AS share FROM b""")
+def title_overlap(t):
+    """Each page's title with that of the first page of its host."""
+    p = t.pages.select("page_id", H.host(F.col("url")).alias("host"), X.title_words(H.title(F.col("html"))).alias("w"))
+    first = p.groupBy("host").agg(F.min_by("w", "page_id").alias("v"))
+    return p.join(first, "host").select("page_id", conflicts.overlap(F.col("w"), F.col("v")).alias("o")).select("page_id", "o.shared", "o.telling", "o.share")
 
 
 @query("""SELECT page_id, 'pages:url-' || left(sha1(url), 12) AS article_id, CASE WHEN page_id % 3 = 0 THEN 'pages:' || page_id ELSE 'pages:url-' || left(sha1(url), 12) END AS own_id FROM pages""")
@@ -223,9 +235,9 @@ def url_ids(t):
     return t.pages.select("page_id", X.url_id("pages", F.col("url")).alias("article_id"), X.publisher_id("pages", own, F.col("url")).alias("own_id"))
 
 
-@query("""SELECT doc_id, 'CONFLICT_' || left(md5(lower(trim(lang)) || '|' || left(text, 40)), 8) AS conflict_id FROM documents""")
+@query(f"""SELECT doc_id, 'CONFLICT_' || left(md5(lower(trim(lang)) || '|' || array_to_string({_WORDS}, ' ')), 8) AS conflict_id FROM documents""")
 def conflict_id_hash(t):
-    return t.documents.select("doc_id", X.conflict_id(F.col("lang"), F.left("text", F.lit(40))).alias("conflict_id"))
+    return t.documents.select("doc_id", X.conflict_id(F.col("lang"), X.normalised_title(F.col("text"))).alias("conflict_id"))
 
 
 @query("""WITH d AS (SELECT o_orderkey, CAST(day(o_orderdate) AS INTEGER) AS d, CAST(month(o_orderdate) AS INTEGER) AS m, year(o_orderdate) AS y FROM orders)
@@ -241,7 +253,7 @@ def parsed_dates(t):
 # ---- pages ---------------------------------------------------------------------------------------------------------
 
 
-@query(r"""SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')) AS title FROM pages""")
+@query(f"SELECT page_id, {_PAGE_TITLE} AS title FROM pages")
 def page_titles(t):
     return t.pages.select("page_id", X.or_else(H.meta(F.col("html"), "og:title"), H.title(F.col("html"))).alias("title"))
 
@@ -257,18 +269,135 @@ def url_filter(t):
     return t.pages.select("page_id", H.host(F.col("url")).alias("host"), rules.is_article(F.col("url"), s).alias("article"))
 
 
-@query()
+def _sql_main_text() -> str:
+    c = "CASE WHEN regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) <> '' THEN regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) ELSE html END"
+    for name in H._ASIDE:
+        c = f"regexp_replace({c}, '(?is)<{name}(\\s[^>]*)?>.*?</{name}>', ' ', 'g')"
+    c = f"regexp_replace({c}, '(?i)</(p|div|h[1-6]|li)>|<br\\s*/?>', chr(10), 'g')"
+    c = f"regexp_replace({c}, '(?s)<[^>]*>', ' ', 'g')"
+    for a, b in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        c = f"replace({c}, '{a}', {b})"
+    c = f"regexp_replace(regexp_replace({c}, '[ \\t\\r\\f]+', ' ', 'g'), '[\\s\\v]*\\n[\\s\\v]*', chr(10), 'g')"
+    return f"regexp_replace({c}, '^[\\s\\v]+|[\\s\\v]+$', '', 'g')"
+
+
+@query(f"SELECT page_id, article_text, CASE WHEN article_text = '' THEN 'empty' ELSE 'ok' END AS text_status FROM (SELECT page_id, {_sql_main_text()} AS article_text FROM pages)")
 def page_text(t):
     text = H.main_text(F.col("html"))
     return t.pages.select("page_id", text.alias("article_text"), H.text_status(text, F.lit(200)).alias("text_status"))
 
 
-@query()
+_BLANK = ", ".join(f"'' AS {c}" for c in ("date_published", "locality", "latitude", "longitude", "actor_company", "community_actor", "source_text_excerpt", "notes"))
+
+
+@query(f"""WITH p AS (SELECT url, {_PAGE_TITLE} AS title, regexp_extract(url, '^[a-zA-Z][\\w+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages), b AS (SELECT *, lower(title || '   ' || translate(path, '-/', '  ')) AS b FROM p WHERE title <> '')
+SELECT 'pages:url-' || left(sha1(url), 12) AS article_id, 'pages' AS source, title AS article_title, url AS article_url, CASE WHEN c = '' THEN 'Nowhere' ELSE c END AS country, region_department, sector, event_type, environmental_issue, 'metadata + keyword rule' AS extraction_method, {_BLANK}
+FROM (SELECT *, {', '.join(f"{_sql_first('b', r)} AS {d}" for d, r in _RULES.items())}, {_sql_first('b', _COUNTRIES)} AS c, {_sql_first("lower(strip_accents(title))", {n: [n.lower().replace('í', 'i').replace('ü', 'u')] for n in _NAMES})} AS region_department FROM b)""")
 def article_rows(t):
     s = rules.Source("pages", "", rules=_RULES, countries=_COUNTRIES, default_country="Nowhere", regions=_NAMES, relevance="always")
     return tables.articles(rules.relevant_articles(t.pages.select("url", "html"), s))
 
 
+# ---- sources that come with the library ----------------------------------------------------------------------------
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+#: Addresses in the shapes of the sources, some of them almost
+_SHAPES = ["/environment/2024/mar/05/{}", "/environment/gallery/2024/mar/05/{}", "/world/2024/mar/5/all", "/2023/11/{}/", "/custom-story/2019/4/{}", "/es/2022/01/31/{}/", "/es/etiqueta/{}/", "/ambiente/{}/", "/tags/{}/", "/en/forests/{}/", "/en/other/{}", "/en/water/feed/", "/1234567/{}", "/1/{}", "/user/{}", "/podcast/{}", "/energy/{}/", "/energy/all-topics/", "/cms/wp-admin/{}"]
+
+
+def _shaped_sql() -> str:
+    """Whether an address is an article's, for each source."""
+    cases = []
+    for name in rules.shipped():
+        s = rules.shipped_source(name)
+        whole, ahead = s.url_path, ""
+        if whole.startswith("^/(?!"):  # RE2 doesn't look ahead: what may not follow is a test of its own
+            ahead = whole[5 : whole.index(")")]
+            whole = "^/" + whole[whole.index(")") + 1 :]
+        tests = [f"regexp_matches(p, {_sql_text(whole)})"]
+        if ahead:
+            tests.append(f"NOT regexp_matches(p, {_sql_text('^/(' + ahead + ')')})")
+        if s.denied_segments:
+            tests.append(f"NOT list_has_any(string_split(p, '/'), [{_sql_list(s.denied_segments)}])")
+        if s.categories:
+            tests.append(f"list_contains([{_sql_list(s.categories)}], regexp_extract(p, {_sql_text(whole)}, 1))")
+        if s.denied_slugs:
+            tests.append(f"NOT list_contains([{_sql_list(s.denied_slugs)}], regexp_extract(p, {_sql_text(whole)}, 2))")
+        tests += [f"NOT starts_with(p, {_sql_text(x)})" for x in s.denied_prefixes]
+        if s.denied_address:
+            tests.append(f"NOT contains(p, {_sql_text(s.denied_address)})")
+        cases.append(f"WHEN '{name}' THEN {' AND '.join(tests)}")
+    return " ".join(cases)
+
+
+@query(f"""WITH w AS (SELECT page_id, regexp_replace(lower({_PAGE_TITLE}), '[^a-z0-9]+', '-', 'g') AS slug FROM pages),
+u AS (SELECT page_id, unnest([{_sql_list(_SHAPES)}]) AS shape, slug FROM w), p AS (SELECT page_id, shape, replace(shape, '{{}}', slug) AS p, unnest([{_sql_list(rules.shipped())}]) AS source FROM u)
+SELECT page_id, shape, source, CASE source {_shaped_sql()} END AS article FROM p""")
+def source_addresses(t):
+    slug = F.regexp_replace(F.lower(H.title(F.col("html"))), "[^a-z0-9]+", "-")
+    df = t.pages.select("page_id", slug.alias("slug"), F.explode(F.array(*[F.lit(x) for x in _SHAPES])).alias("shape"))
+    tests = []
+    for name in rules.shipped():
+        s = rules.shipped_source(name)
+        url = F.concat(F.lit(s.base), F.replace(F.col("shape"), F.lit("{}"), F.col("slug")))
+        tests.append(F.struct(F.lit(name).alias("source"), rules.is_article(url, s).alias("article")))
+    return df.select("page_id", "shape", F.explode(F.array(*tests)).alias("x")).select("page_id", "shape", "x.source", "x.article")
+
+
+def _planted(s: rules.Source) -> tuple[list[str], list[str], list[str]]:
+    """Words that are put into titles, since the test pages have none of them: of rules, of countries, others."""
+    ruled = sorted({w.lower() for labels in s.rules.values() for ws in labels.values() for w in ws})
+    places_ = sorted({w.lower() for ws in s.countries.values() for w in ws})
+    return [*ruled, "x"], [*places_, "nowhere"], [*s.blocked, "y", "z"]
+
+
+def _register_source(name: str) -> None:
+    s = rules.shipped_source(name)
+    a, b, c = _planted(s)
+    lists = [f"[{_sql_list(x)}]" for x in (a, b, c)]
+    word = lambda i, m, k: f"{lists[i]}[(page_id * {m} + {k}) % {len((a, b, c)[i])} + 1]"
+    blob = f"lower({_PAGE_TITLE} || ' ' || {word(0, 1, 0)} || ' ' || {word(0, 7, 3)} || ' ' || {word(1, 1, 0)} || ' ' || {word(2, 1, 0)})"
+    lower = lambda labels: {k: [w.lower() for w in ws] for k, ws in labels.items()}
+    in_section = f"contains(address, '{s.section}')" if s.section else "false"
+    strong = f"list_contains([{_sql_list(s.strong_sectors)}]::VARCHAR[], sector)"
+    some = "(event_type <> '' OR environmental_issue <> '')"
+    kinds = {
+        "always": "true", "any": f"(sector <> '' OR {some})", "pair_or_issue": f"((sector <> '' AND {some}) OR environmental_issue <> '')",
+        "pair_or_issue_or_violence": f"((sector <> '' AND {some}) OR environmental_issue <> '' OR event_type = 'violence')",
+        "pair_or_section": f"(sector <> '' AND ({some} OR {in_section}))", "strong": f"(({strong} AND ({some} OR {in_section})) OR environmental_issue <> '')",
+    }
+    test = kinds[s.relevance]
+    if s.telling_slugs():
+        test = f"({test} OR list_contains([{_sql_list(s.telling_slugs())}], slug))"
+    if s.blocked:
+        test += f" AND NOT regexp_matches(b, '{X.word_pattern(s.blocked)}')"
+    if s.americas_only:
+        test += f" AND list_contains([{_sql_list(list(s.countries))}], country)"
+    country = f"CASE WHEN c = '' THEN {_sql_text(s.default_country)} ELSE c END"
+    slugs = [*s.telling_slugs(), "none", "else"]
+    dims = ", ".join(f"{_sql_first('b', lower(s.rules[d]))} AS {d}" for d in ("sector", "event_type", "environmental_issue"))
+
+    def run(t: Tables) -> DataFrame:
+        pick = lambda words, m, k: F.get(F.array(*[F.lit(w) for w in words]), (F.col("page_id") * m + k) % len(words))
+        text = X.blob(H.title(F.col("html")), pick(a, 1, 0), pick(a, 7, 3), pick(b, 1, 0), pick(c, 1, 0))
+        df = t.pages.select("page_id", text.alias("b"), pick(slugs, 3, 1).alias("slug"), F.when(F.col("page_id") % 2 == 0, s.section or "/").otherwise("/else/").alias("address"))
+        df = rules.classify(df, F.col("b"), s.rules).withColumn("country", X.first_label(F.col("b"), s.countries, s.default_country))
+        ok = rules.relevance(s.relevance, s, F.col("sector"), F.col("event_type"), F.col("environmental_issue"), F.col("country"), F.col("address"), F.array("slug"), F.col("b"))
+        return df.select("page_id", "sector", "event_type", "environmental_issue", "country", ok.alias("relevant"))
+
+    run.__name__ = f"source_{name.replace('-', '_')}"
+    query(f"""WITH p AS (SELECT page_id, {blob} AS b, [{_sql_list(slugs)}][(page_id * 3 + 1) % {len(slugs)} + 1] AS slug, CASE WHEN page_id % 2 = 0 THEN '{s.section or '/'}' ELSE '/else/' END AS address FROM pages),
+l AS (SELECT *, {dims}, {_sql_first('b', lower(s.countries))} AS c FROM p), k AS (SELECT *, {country} AS country FROM l) SELECT page_id, sector, event_type, environmental_issue, country, {test} AS relevant FROM k""")(run)
+
+
+for _name in rules.shipped():
+    _register_source(_name)
+
+
 # ---- growth --------------------------------------------------------------------------------------------------------
 
 
@@ -279,20 +408,20 @@ def ordered_dedupe(t):
     return growth.first_of_each(df, "doc_id").select("doc_id")
 
 
-@query("""WITH u AS (SELECT 0 AS origin, event_id, user_id, event_type AS kind, '' AS extra FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 1, event_id, user_id, event_type, 'new' FROM events WHERE event_id % 3 = 0),
-k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY origin) = 1) SELECT event_id, kind, extra FROM k""")
+@query("""WITH u AS (SELECT 0 AS origin, event_id, event_id AS id, event_type AS kind, '' AS extra FROM events UNION ALL SELECT 1, event_id, event_id + 500, event_type, 'new' FROM events)
+SELECT id, kind, extra FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY origin) = 1""")
 def merge_growing(t):
-    e = t.events.select("event_id", F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("article_id"), F.lit("").alias("article_url"))
-    both = growth.merged(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0").withColumn("extra", F.lit("new")), "event_id")
-    return growth.first_of_each(both).select("event_id", "kind", "extra")
+    """All events, and all again as a later batch with other ids and a column more; the batches overlap."""
+    e = t.events.select("event_id", F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
+    keyed = lambda d: d.withColumns({"article_id": F.col("id").cast("string"), "article_url": F.lit("")})
+    both = growth.merged(keyed(e), keyed(e.withColumns({"id": F.col("id") + 500, "extra": F.lit("new")})), "event_id")
+    return growth.first_of_each(both).select("id", "kind", "extra")
 
 
-@query("""SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 5 = 0 THEN '0000-00-00' ELSE strftime(ts, '%Y-%m-%d') END DESC, event_id) AS place FROM events WHERE user_id <= 20""")
+@query("""SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_type = 'error' THEN '0000-00-00' ELSE strftime(ts, '%Y-%m-%d') END DESC, event_id) AS place FROM events""")
 def sorted_by_date(t):
-    from pyspark.sql import Window
-
-    df = t.events.where("user_id <= 20").withColumn("date_published", F.when(F.col("event_id") % 5 == 0, "").otherwise(F.date_format("ts", "yyyy-MM-dd")))
-    return df.select("event_id", F.row_number().over(Window.orderBy(*growth.date_order("date_published", "event_id"))).cast("long").alias("place"))
+    df = t.events.select("event_id", F.when(F.col("event_type") == "error", "").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("date_published"))
+    return growth.numbered(df, growth.date_order("date_published", "event_id")).select("event_id", "place")
 
 
 @query("""SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5(text), doc_id) <= 5""")
@@ -308,7 +437,7 @@ def back_fill(t):
 
 @query("""SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def not_enriched(t):
-    return t.documents.join(t.labels, "doc_id", "left_anti").select("doc_id")
+    return growth.not_yet(t.documents, t.labels, "doc_id").select("doc_id")
 
 
 @query("""SELECT count(*) FILTER (WHERE event_type = 'view') AS ok, count(*) FILTER (WHERE event_type = 'click') AS empty, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events""")
@@ -325,10 +454,13 @@ def enrichment_needs(t):
     return t.events.select("event_id", growth.needs_text(text, F.when(e == "error", "error:x").otherwise("ok")).alias("text_needed"), places.needs_geocode(lat, F.when(e == "click", "no_location")).alias("place_needed"), places.needs_match(text, F.lit(""), lat, lat, F.when(i % 5 > 0, "PER.1_1"), F.when(e == "view", "region").otherwise("town")).alias("match_needed"))
 
 
-@query("""SELECT count(*) FILTER (WHERE event_id % 2 = 0) AS fetched, count(*) AS merged, count(*) FILTER (WHERE event_id % 3 = 0) AS dropped, count(*) FILTER (WHERE event_id % 3 <> 0 ) - count(*) FILTER (WHERE event_id % 4 = 0) AS new FROM events""")
+@query("""WITH a AS (SELECT o_orderkey AS k FROM orders UNION ALL SELECT l_orderkey FROM lineitem)
+SELECT (SELECT count(*) FROM lineitem) AS fetched, count(*) AS merged, count(*) - count(DISTINCT k) AS dropped, greatest(count(DISTINCT k) - (SELECT count(*) FROM orders), 0) AS new FROM a""")
 def run_counters(t):
-    e = t.events
-    return growth.run_counts(e.where("event_id % 2 = 0"), e, e.where("event_id % 3 <> 0"), e.where("event_id % 4 = 0"))
+    """Lines fetched into a table of orders."""
+    old, fresh = t.orders.select(F.col("o_orderkey").alias("k")), t.lineitem.select(F.col("l_orderkey").alias("k"))
+    both = old.unionByName(fresh)
+    return growth.run_counts(fresh, both, both.distinct(), old)
 
 
 # ---- conflicts -----------------------------------------------------------------------------------------------------
@@ -336,8 +468,9 @@ def run_counters(t):
 
 @query()
 def leader_cluster(t):
-    df = t.documents.select("doc_id", F.concat(F.col("lang"), F.lit("-"), F.col("source")).alias("country"), F.left("text", F.lit(60)).alias("article_title"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")), "yyyy-MM-dd").alias("date_published"))
-    return conflicts.assign(df, "doc_id").select("doc_id", "conflict_id", "coverage_count")
+    """Whole titles of all pages; a host stands for a country."""
+    df = t.pages.select("page_id", H.host(F.col("url")).alias("country"), H.title(F.col("html")).alias("article_title"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 300).cast("int")), "yyyy-MM-dd").alias("date_published"))
+    return conflicts.assign(df, "page_id").select("page_id", "conflict_id", "coverage_count")
 
 
 # ---- places --------------------------------------------------------------------------------------------------------
@@ -379,8 +512,8 @@ def effective_precision(t):
 
 @query("""SELECT r_name, n_name, count(c_custkey) AS n FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""")
 def hierarchy_join(t):
-    df = t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey")).join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return df.groupBy("r_name", "n_name").agg(F.count("c_custkey").alias("n"))
+    nations = places.children(t.region, t.nation, "r_regionkey", "n_regionkey")
+    return places.children(nations, t.customer, "n_nationkey", "c_nationkey").groupBy("r_name", "n_name").agg(F.count("c_custkey").alias("n"))
 
 
 @query("""WITH q AS (SELECT DISTINCT c_mktsegment AS query, c_nationkey AS nk FROM customer), c AS (SELECT DISTINCT c_mktsegment AS query, c_nationkey AS nk, CASE WHEN c_nationkey % 3 > 0 THEN CAST(c_nationkey AS DOUBLE) END AS lat FROM customer WHERE c_nationkey % 2 = 0)
@@ -502,8 +635,8 @@ def scenes_of_month(t):
 
 @query("""SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def tumbling_counts(t):
-    out = t.events.groupBy(F.window(F.col("ts").cast("timestamp"), "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+    out = ingest.window_counts(t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), "ts", "6 hours", "1 hour", "event_type")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
 @query("""SELECT r_name AS name, CAST(r_regionkey + 1 AS BIGINT) AS position, CASE WHEN r_regionkey % 2 = 0 THEN 'f' || r_regionkey END AS path FROM region""")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocabulary as V
+from ..operators import rules
+from ..operators.growth import one_of_each
 
 _CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
 
@@ -57,9 +57,18 @@ def admin_last(df: DataFrame) -> DataFrame:
 
 
 def with_cache(queries: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries joined to cached answers (which may be null: known to have none), and those not in the cache."""
-    known = queries.join(cache, ["query", "iso2"], "left")
-    return known, queries.join(cache, ["query", "iso2"], "left_anti").select("query", "iso2").distinct()
+    """Queries joined to cached answers (which may be null: known to have none), and those not in the cache. A query cached twice has its least answer."""
+    rest = [c for c in cache.columns if c not in ("query", "iso2")]
+    once = one_of_each(cache, ["query", "iso2"], rest) if rest else cache.distinct()
+    known = queries.join(once, ["query", "iso2"], "left")
+    return known, queries.join(once, ["query", "iso2"], "left_anti").select("query", "iso2").distinct()
+
+
+def updated_cache(cache: DataFrame, answers: DataFrame, path: str) -> None:
+    """Writes the cache with new answers (null latitudes too, so that they aren't asked again) to a fresh path; what was cached before wins."""
+    fresh = answers.select(*cache.columns).join(cache, ["query", "iso2"], "left_anti")
+    rest = [c for c in cache.columns if c not in ("query", "iso2")]
+    cache.unionByName(one_of_each(fresh, ["query", "iso2"], rest)).write.mode("errorifexists").parquet(path)
 
 
 def boundaries(spark: SparkSession, path: str, iso3: str, level: int) -> DataFrame:
@@ -67,24 +76,15 @@ def boundaries(spark: SparkSession, path: str, iso3: str, level: int) -> DataFra
     return spark.read.parquet(path).where((F.col("iso3") == iso3) & (F.col("level") == level))
 
 
-#: Registered sources: name to a function from landed pages (url, html, status) to article rows.
-SOURCES: dict[str, Callable[[DataFrame], DataFrame]] = {}
-
-
-def register(name: str):
-    def put(f):
-        SOURCES[name] = f
-        return f
-
-    return put
-
+def run_sources(pages: DataFrame, names: list[str] | None = None, most: int = 50) -> tuple[DataFrame | None, dict[str, str]]:
+    """Articles of all sources that come with the library, or some, in one table; a source that cannot be planned is left out and its reason told.
 
-def run_sources(pages: DataFrame, names: list[str] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
-    """Rows of all sources in one table; a source that cannot be planned is left out and its reason told."""
+    pages: landed pages (url, html, status), listing pages of the sources' seeds among them.
+    """
     out, failed = None, {}
-    for name in names or list(SOURCES):
+    for name in names or rules.shipped():
         try:
-            part = articles(SOURCES[name](pages))
+            part = articles(rules.crawl(pages, rules.shipped_source(name), most))
         except Exception as e:  # noqa: BLE001  one source's failure is its own
             failed[name] = str(e)
             continue

@@ -1,6 +1,7 @@
 """Order-sensitive and composed operators against small models."""
 
 import datetime as dt
+import difflib
 import math
 import random
 
@@ -47,6 +48,18 @@ def test_order_and_cap(spark):
     assert growth.seeds_within(seeds, 2).select("url").distinct().count() == 3
 
 
+def fit(a, b):
+    """Whether two titles fit and how well, by the rules as they are told."""
+    if not (a and b):
+        return False, 0.0
+    ratio = difflib.SequenceMatcher(None, a, b).ratio()
+    x, y = ({w for w in t.split() if len(w) >= 4} for t in (a, b))
+    if not (x and y):
+        return ratio >= 0.6, ratio
+    telling, share = len([w for w in x & y if len(w) >= 5]), len(x & y) / min(len(x), len(y))
+    return ratio >= 0.6 or telling >= 2 or (telling >= 1 and share >= 0.3), ratio + share + 0.25 * telling
+
+
 def cluster(rows, days=120):
     seeds, out = {}, {}
     for key, country, title, day in sorted(rows, key=lambda x: (x[3] is None, x[3] or 0, x[0])):
@@ -54,7 +67,7 @@ def cluster(rows, days=120):
         for i, (t, d) in enumerate(seeds.setdefault(country, [])):
             if d is not None and day is not None and abs(day - d) > days:
                 continue
-            ok, s = conflicts.title_match(title, t)
+            ok, s = fit(title, t)
             if ok and s > score:
                 best, score = i, s
         if best is None:
