@@ -6,6 +6,7 @@ import itertools
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 _OWN = os.path.join(tempfile.gettempdir(), "newsloom-shared")
 #: Folders made so far, by session; a caller removes them when its results are written
 _MADE: dict[str, list[str]] = {}
+_PATH: dict[int, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -51,7 +53,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Written once to the shared folder and read back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATH[id(out)] = path
+    weakref.finalize(out, _PATH.pop, id(out), None)
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, once nothing reads it any more."""
+    path = _PATH.pop(id(df), None)
+    if path:
+        remove(df.sparkSession, path)
+
+
+def redealt(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows, of whose partitioning by integer columns Spark no longer knows: a join then deals both sides anew, which
+    lets the adaptive planner split the rows of a key that has many."""
+    return df.withColumns({c: F.col(c).bitwiseXOR(F.lit(0).cast(dict(df.dtypes)[c])) for c in columns})
 
 
 def fetched(df: DataFrame) -> dict[str, np.ndarray]:

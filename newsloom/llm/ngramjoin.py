@@ -2,32 +2,38 @@
 
 A document's set has its distinct shingles of WORDS words (a shorter text: one of all its words). The global
 order of shingles: those that few documents have, by hash, before those that many have. Documents with equal sets are one class, and
-the join is between classes.
+the join is between classes; a class goes by the least id of its documents.
 
 1. One scan gives each document's class and counts of shingles that are frequent somewhere. At most FREQUENT
    shingles can exceed the share that makes a shingle count as frequent, which bounds what is broadcast.
 2. A class's prefix is its first n - ceil(s n) + 1 shingles; two classes that link share one. Prefixes go to buckets of shingles as packed
-   arrays. Shingles of one class end there. Up to SMALL classes (or MANY, if the shingle isn't known as frequent) give pairs,
-   whose shared shingles are counted; more are only tied to the least of them. A pair whose overlap can't reach the bound is dropped:
+   arrays; the entries of a shingle that more than SLICE classes hold are dealt to several buckets. Shingles of one class end there.
+   Up to SMALL classes (or MANY, if the shingle isn't known as frequent) give pairs, PAIRS at a time,
+   whose shared shingles are counted; more, and those of dealt shingles, are only tied to the least of them. A pair whose overlap can't reach the bound is dropped:
    after the last shared shingle of their prefixes, the one whose prefix ends first has only what follows its prefix, and the other at most
    what follows that shingle; and up to where the first prefix ends they share what was counted (and perhaps frequent shingles), beyond
    it no more than the counts of both sets' shingles in each of BINS ranges of hashes allow. Other pairs and the ties make families:
    whatever links is in one family.
-3. Each set goes once to its family's task, which stores them in a trie and runs every set down it, sharing the
-   overlap of common beginnings and leaving subtrees whose remaining lengths can't reach the bound. Sets that are
-   already connected aren't compared. Families of more than CELL shingles are cut by set size into blocks,
-   joined block by block where sizes allow a link.
-4. The links found, a spanning forest of each cell, make the components.
+3. Each set goes once to its family's task. There each set is first compared with TRIED sets that were last met in its
+   prefix, which connects most copies. Sets whose prefix shares a shingle with another component's go to a trie, ordered by how many of them have a shingle,
+   so common beginnings are long; each (but those of the largest component) runs down it, below those children of the root where sets are that
+   it may link with by counts of their tokens in WIDTH ranges, sharing the
+   overlap of common beginnings and leaving subtrees that belong to its own component or whose remaining lengths can't reach the bound.
+   Families of more than CELL shingles are cut by set size into blocks of about CELL, joined block by block where sizes allow a link.
+4. The links found, which connect whatever is linked, make the components.
 
 Sets and classes are compared by 63- and 64-bit hashes; a false equality among 10**9 classes has a chance of about 3 %,
 of which a length check is part.
 
 Defined cases: null and wordless texts have empty sets, link with nothing and are their own component; documents
-without an id link with nothing and have no component; repeated rows of an id are reported each, with one component.
+without an id link with nothing and have no component; repeated rows are reported each; rows of one id with different texts have the
+component of their text each, where texts that are the least id's of their class are joined by that id. ``one_of_each`` keeps columns of any name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import stored
+from .common import fetched, fresh, redealt, stored
 from .graph import components
 
 WORDS = 5
@@ -43,7 +49,17 @@ SIMILARITY = (80, 100)
 #: Shingles that may count as frequent, at most
 FREQUENT = 2_000_000
 SMALL = 64
-MANY = 2048
+MANY = 512
+#: Pairs that a task holds at once
+PAIRS = 1 << 20
+#: Classes that have a shingle, for each bucket it is dealt to
+SLICE = 100_000
+#: Branchings of a trie that are walked one by one
+STEPS = 3
+#: Sets that each is compared with before the trie
+TRIED = 4
+#: Ranges of tokens whose counts bound what two sets share, in a family's task
+WIDTH = 128
 CELL = 4_000_000
 BINS = 64
 FLUSH = 1_500_000
@@ -102,21 +118,17 @@ def histograms(g: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 class Trie:
-    """Path-compressed prefix tree of sorted sets, as arrays; its nodes by level."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        names, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        at = np.cumsum([0] + [len(x) for x in sets])
-        self.seqs = [ids[at[i] : at[i + 1]] for i in range(len(sets))]
-        self.tokens = len(names)
-        order = sorted(range(len(sets)), key=lambda i: self.seqs[i].astype(">u4").tobytes())
+    """Path-compressed prefix tree of sorted sequences, as arrays; a node comes before those below it, and so do its tokens."""
+
+    def __init__(self, seqs: list[np.ndarray], labels: np.ndarray):
+        self.seqs = seqs
+        order = sorted(range(len(seqs)), key=lambda i: seqs[i].astype(">u4").tobytes())
         # nodes: parent, depth, segment of the sequence of one set below, set that ends here
         parent, depth, seg, leaf = [-1], [0], [(0, 0, 0)], [-1]
         stack = [0]
         last: np.ndarray | None = None
         for i in order:
-            s = self.seqs[i]
+            s = seqs[i]
             common = 0
             if last is not None:
                 m = min(len(s), len(last))
@@ -139,62 +151,109 @@ class Trie:
             leaf.append(i)
             stack.append(len(parent) - 1)
             last = s
-        self.parent, self.depth, self.leaf = np.array(parent), np.array(depth), np.array(leaf)
-        size = np.array([b - a for _, a, b in seg])
-        self.edge = np.cumsum(size) - size
-        self.stop = np.cumsum(size)
-        self.flat = np.concatenate([self.seqs[w][a:b] for w, a, b in seg] + [np.zeros(0, np.int64)])
-        n = len(parent)
-        level = np.zeros(n, np.int64)
-        children: list[list[int]] = [[] for _ in range(n)]
-        for v in range(1, n):
-            children[parent[v]].append(v)
-        walk, todo = [], [0]
+        kids: list[list[int]] = [[] for _ in parent]
+        for v in range(1, len(parent)):
+            kids[parent[v]].append(v)
+        # nodes are numbered anew, each before those below it, and a tour enters and leaves each
+        order, tour, todo = [], [], [0]
+        number = [0] * len(parent)
         while todo:
-            walk.append(todo)
-            todo = [c for v in todo for c in children[v]]
-        least, most = np.full(n, 1 << 60), np.zeros(n, np.int64)
-        ends = self.leaf >= 0
-        least[ends] = most[ends] = self.depth[ends]
-        for lv in reversed(walk):
-            for v in lv:
-                if parent[v] >= 0:
-                    least[parent[v]] = min(least[parent[v]], least[v])
-                    most[parent[v]] = max(most[parent[v]], most[v])
-        self.least, self.most = least, most
-        count = np.array([len(c) for c in children])
-        self.child_at = np.cumsum(count) - count
-        self.child_n = count
-        self.child = np.array([c for cs in children for c in cs], np.int64)
-        del level
-
-    def overlaps(self, probe: np.ndarray, s: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Sets that may link with one of these token ids, with their overlaps."""
-        mark = np.zeros(self.tokens, np.int64)
-        mark[probe] = 1
+            v = todo.pop()
+            if v < 0:
+                tour.append(v)
+                continue
+            number[v] = len(order)
+            order.append(v)
+            tour.append(number[v])
+            todo.append(~number[v])
+            todo.extend(reversed(kids[v]))
+        n = len(order)
+        tour = np.array(tour)
+        self.enters, self.tour = tour >= 0, np.where(tour >= 0, tour, ~tour)
+        self.first, self.last = np.flatnonzero(self.enters), np.zeros(n, np.int64)
+        self.last[self.tour[~self.enters]] = np.flatnonzero(~self.enters)
+        self.below = (self.last - self.first + 1) // 2  # nodes of each subtree, with its root
+        up = np.array([-1 if parent[v] < 0 else number[parent[v]] for v in order])
+        self.depth, self.leaf = np.array(depth)[order], np.array(leaf)[order]
+        size = np.array([seg[v][2] - seg[v][1] for v in order])
+        self.size, self.edge = size, np.append(np.cumsum(size) - size, size.sum())
+        self.flat = np.concatenate([seqs[seg[v][0]][seg[v][1] : seg[v][2]] for v in order] + [np.zeros(0, np.int64)])
+        ends = np.flatnonzero(self.leaf >= 0)
+        #: sizes of the sets below, their labels' bounds, and the child of the root that each set is under
+        self.least, self.most = np.full(n, 1 << 60), np.zeros(n, np.int64)
+        self.low, self.high = np.full(n, 1 << 60), np.full(n, -1)
+        self.least[ends] = self.most[ends] = self.depth[ends]
+        self.low[ends] = self.high[ends] = labels[self.leaf[ends]]
+        for v in range(n - 1, 0, -1):
+            u = up[v]
+            self.least[u], self.most[u] = min(self.least[u], self.least[v]), max(self.most[u], self.most[v])
+            self.low[u], self.high[u] = min(self.low[u], self.low[v]), max(self.high[u], self.high[v])
+        heads = np.flatnonzero(up == 0)
+        self.top = np.zeros(len(seqs), np.int64)
+        self.top[self.leaf[ends]] = heads[np.searchsorted(heads, ends, "right") - 1] if len(heads) else 0
+        count = np.array([len(kids[v]) for v in order])
+        self.child_at, self.child_n = np.cumsum(count) - count, count
+        self.child = np.array([number[c] for v in order for c in kids[v]], np.int64)
+
+    def overlaps(self, probe: np.ndarray, mark: np.ndarray, at: np.ndarray, s: tuple[int, int], own, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sets below the nodes ``at`` that may link with a sequence, with their overlaps. mark: 1 at its tokens;
+        now: the component of each label; subtrees of the component ``own`` alone are left out.
+
+        The first STEPS branchings are walked, leaving subtrees by bounds; what is left is summed along the tour in one go.
+        """
         n = len(probe)
-        total = np.concatenate([[0], np.cumsum(mark[self.flat])])
+        lowest, highest = _own(n, s), s[1] * n // s[0]
         found, counts = [], []
-        at, part = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        while len(at):
+        part = np.zeros(len(at), np.int64)
+        for _ in range(STEPS):
+            ok = (self.most[at] >= lowest) & (self.least[at] <= highest) & ~((self.low[at] == self.high[at]) & (now[self.low[at]] == own))
+            at, part = at[ok], part[ok]
+            if not len(at):
+                break
+            c = self.size[at]
+            run = np.concatenate([[0], np.cumsum(mark[self.flat[_ranges(self.edge[at], c)]])])
+            part = part + run[np.cumsum(c)] - run[np.cumsum(c) - c]
+            depth, last = self.depth[at], self.flat[np.maximum(self.edge[at] + c - 1, 0)]
+            rest = np.where(c > 0, n - np.searchsorted(probe, last, "right"), n)  # of the probe's tokens, those beyond this node
+            size = np.clip(depth + rest, np.maximum(self.least[at], lowest), np.minimum(self.most[at], highest))  # where the bound is easiest to reach
+            ok = part + np.minimum(size - depth, rest) >= _need(n, size, s)
+            at, part = at[ok], part[ok]
             end = self.leaf[at] >= 0
-            if end.any():
-                found.append(self.leaf[at[end]])
-                counts.append(part[end])
+            found.append(self.leaf[at[end]])
+            counts.append(part[end])
             c = self.child_n[at]
-            up = np.repeat(part, c)
-            at = self.child[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(self.child_at[at], c)]
-            part = up + total[self.stop[at]] - total[self.edge[at]]
-            best = part + np.minimum(self.most[at] - self.depth[at], n - part)
-            ok = best >= _need(n, self.least[at], s)
-            at, part = at[ok], part[ok]
+            part, at = np.repeat(part, c), self.child[_ranges(self.child_at[at], c)]
+        if len(at):
+            nodes = _ranges(at, self.below[at])
+            c = self.size[nodes]
+            stop = np.cumsum(c)
+            run = np.concatenate([[0], np.cumsum(mark[self.flat[_ranges(self.edge[at], self.edge[at + self.below[at]] - self.edge[at])]])])
+            weight = np.zeros(len(self.leaf), np.int64)
+            weight[nodes] = run[stop] - run[stop - c]
+            steps = _ranges(self.first[at], 2 * self.below[at])
+            enters = self.enters[steps]
+            path = np.cumsum(np.where(enters, weight[self.tour[steps]], -weight[self.tour[steps]]))[enters]  # in order of the nodes
+            path += np.repeat(part, self.below[at])
+            end = self.leaf[nodes] >= 0
+            found.append(self.leaf[nodes[end]])
+            counts.append(path[end])
         return (np.concatenate(found), np.concatenate(counts)) if found else (np.zeros(0, np.int64),) * 2
 
 
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, so many."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+
+
 def forest(sets: list[np.ndarray], side: np.ndarray, s: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links that connect whatever is linked. side: 0 and 1 for the blocks of a cell (only pairs between them), or all 2."""
-    t = Trie(sets)
+    """Links that connect whatever is linked. side: 0 and 1 for the blocks of a cell (pairs between them count), or all 2."""
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(x) for x in sets])
+    cut = np.cumsum(size) - size
+    seqs = [ids[a : a + n] for a, n in zip(cut, size)]
+    before = [q[: n - _own(n, s) + 1] for q, n in zip(seqs, size)]
     root = np.arange(len(sets))
+    out: list[tuple[int, int]] = []
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -202,49 +261,94 @@ def forest(sets: list[np.ndarray], side: np.ndarray, s: tuple[int, int]) -> list
             x = root[x]
         return int(x)
 
-    out = []
-    size = np.array([len(x) for x in sets])
-    for i in range(len(sets)):
-        if side[i] == 1:
+    def link(i: int, j: int) -> bool:
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+        return a != b
+
+    latest = np.full(len(names), -1)
+    for i in np.argsort(size, kind="stable").tolist():
+        met = latest[before[i]]
+        who, n = np.unique(met[met >= 0], return_counts=True)
+        for j in who[np.argsort(-n, kind="stable")[:TRIED]].tolist():
+            if find(i) != find(j) and len(np.intersect1d(seqs[i], seqs[j], assume_unique=True)) >= _need(int(size[i]), int(size[j]), s):
+                link(i, j)
+        latest[before[i]] = i
+
+    label = np.array([find(i) for i in range(len(sets))])
+    token = np.concatenate(before)
+    who = np.repeat(np.arange(len(sets)), [len(b) for b in before])
+    order = np.lexsort((label[who], token))
+    token, who = token[order], who[order]
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    mixed = np.minimum.reduceat(label[who], first) != np.maximum.reduceat(label[who], first)
+    some = np.repeat(mixed, np.diff(np.append(first, len(token))))
+    who = who[some]
+    if not len(who):
+        return out
+    used = np.unique(who)
+    often = np.bincount(np.concatenate([seqs[i] for i in used]), minlength=len(names))
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((np.arange(len(names)), -often))] = np.arange(len(names))
+    ranked = [np.sort(rank[seqs[i]]) for i in used]
+    t = Trie(ranked, label[used])
+    spread = np.bincount(np.repeat(np.arange(len(used)), size[used]) * WIDTH + np.concatenate([seqs[i] for i in used]) % WIDTH, minlength=len(used) * WIDTH).reshape(-1, WIDTH)
+    spread = spread.astype(np.uint8 if spread.max() < 256 else np.int64)
+    # a link between components has an end outside of the largest one, so that one's sets needn't run
+    largest = np.bincount(label[used]).argmax() if (side == 2).all() else -1
+    now = np.arange(len(sets))
+    mark = np.zeros(len(names), np.int64)
+    for k, i in enumerate(used.tolist()):
+        if side[i] == 1 or label[i] == largest:
+            continue
+        able = np.flatnonzero(now[label[used]] != now[label[i]])
+        able = able[(size[used[able]] >= _own(size[i], s)) & (s[0] * size[used[able]] <= s[1] * size[i])]
+        able = able[np.minimum(spread[able], spread[k]).sum(1, dtype=np.int64) >= _need(size[i], size[used[able]], s)]
+        if not len(able):
             continue
-        who, n = t.overlaps(t.seqs[i], s)
-        ok = (n >= _need(size[i], size[who], s)) & ((who > i) if side[i] == 2 else (side[who] == 1))
-        for j in who[ok].tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((i, j))
+        nodes = np.unique(t.top[able])
+        mark[ranked[k]] = 1
+        got, n = t.overlaps(ranked[k], mark, nodes, s, now[label[i]], now)
+        mark[ranked[k]] = 0
+        hit = used[got[n >= _need(size[i], size[used[got]], s)]]
+        for j in hit[side[hit] != 0].tolist():
+            if link(i, j):
+                a, b = now[label[i]], now[label[j]]
+                now[now == max(a, b)] = min(a, b)
     return out
 
 
-def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, at_: np.ndarray, code: np.ndarray, s, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From sorted entries of shingle, class, its size and the shingle's place in it: pairs of classes, what they have
-    (shared shingles, sizes, last shared places, codes), and ties (class, least class)."""
+def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, at_: np.ndarray, code: np.ndarray, dealt: np.ndarray, s) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From sorted entries of shingle, class, its size, the shingle's place in it, a code, and whether the shingle is dealt to several buckets: parts of
+    pairs of classes with what they have (shared shingles, sizes, last shared places, codes), at last ties (class, least class) with nothing."""
     first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
     count = np.diff(np.append(first, len(t)))
-    found = []
-    hot = count > np.where(t[first] >> np.uint64(63), small, max(small, MANY))
+    hot = (count > np.where(t[first] >> np.uint64(63), SMALL, max(SMALL, MANY))) | dealt[first]
     for c in np.unique(count[~hot]):
         at = first[(count == c) & ~hot]
         if c == 1:
             continue
         i, j = np.triu_indices(int(c), 1)
-        step = max(1, (1 << 20) // len(i))
+        step = max(1, PAIRS // len(i))
         for k in range(0, len(at), step):
             rows = at[k : k + step, None]
             a, b = (rows + i).ravel(), (rows + j).ravel()
             ok = s[1] * np.minimum(n[a], n[b]) >= s[0] * np.maximum(n[a], n[b])
-            found.append(np.stack([u[a[ok]], u[b[ok]], *(x.astype(np.uint64) for x in (n[a[ok]], n[b[ok]], at_[a[ok]], at_[b[ok]], code[a[ok]], code[b[ok]]))], 1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 8), np.uint64)
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    pairs = pairs[order]
-    new = np.flatnonzero(np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(1))) if len(pairs) else np.zeros(0, np.int64)
+            a, b = a[ok], b[ok]
+            order = np.lexsort((u[b], u[a]))
+            a, b = a[order], b[order]
+            if not len(a):
+                continue
+            new = np.flatnonzero(np.append(True, (u[a][1:] != u[a][:-1]) | (u[b][1:] != u[b][:-1])))
+            x, y = a[new], b[new]
+            has = np.stack([np.diff(np.append(new, len(a))), n[x], n[y], np.maximum.reduceat(at_[a], new), np.maximum.reduceat(at_[b], new), code[x], code[y]], 1)
+            yield np.stack([u[x], u[y]], 1), has
     hot = np.repeat(hot, count)
-    least = np.repeat(np.minimum.reduceat(u, first) if len(first) else u, count)
-    ties = np.unique(np.stack([u[hot], least[hot]], 1), axis=0)
-    last = [np.maximum.reduceat(pairs[:, i], new) if len(new) else pairs[:, i] for i in (4, 5)]
-    has = np.stack([np.diff(np.append(new, len(pairs))), *(x.astype(np.int64) for x in (pairs[new, 2], pairs[new, 3], *last, pairs[new, 6], pairs[new, 7]))], 1)
-    return pairs[new, :2], has, ties
+    if hot.any():
+        least = np.repeat(np.minimum.reduceat(u, first), count)
+        yield np.unique(np.stack([u[hot], least[hot]], 1), axis=0), np.zeros((0, 7), np.int64)
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -283,39 +387,40 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     members = scanned.where("kind = 1").select("doc_id", "n", F.col("h").alias("class"), "bins")
     total = members.agg(F.sum("n").alias("t")).first()["t"] or 0
     least = max(SMALL, -(-total // FREQUENT))
-    small = max(SMALL, int(least))
-    frequent = scanned.where("kind = 0").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h").toPandas()["h"].to_numpy(np.int64)
-    often = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
+    counted = fetched(scanned.where("kind = 0").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    order = np.argsort(counted["h"].astype(np.int64).view(np.uint64))
+    often = spark.sparkContext.broadcast((counted["h"].astype(np.int64).view(np.uint64)[order], np.minimum(1 + counted["n"].astype(np.int64)[order] // SLICE, 1 << 30).astype(np.int32)))
     buckets = max(8, int(-(-total * (1 - s[0] / s[1]) // BUCKET)))
 
-    def ordered(g: np.ndarray) -> np.ndarray:
-        """The global order as numbers."""
-        f = often.value
-        if len(f):
-            at = np.minimum(np.searchsorted(f, g), len(f) - 1)
-            g = g | (f[at] == g).astype(np.uint64) << np.uint64(63)
-        return g
+    def ordered(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The global order as numbers, and to how many buckets each shingle is dealt."""
+        f, slices = often.value
+        if not len(f):
+            return g, np.ones(len(g), np.int32)
+        at = np.minimum(np.searchsorted(f, g), len(f) - 1)
+        known = f[at] == g
+        return g | known.astype(np.uint64) << np.uint64(63), np.where(known, slices[at], 1)
 
     def prefixes(batches):
         def flush(parts):
-            t, u, n, r, z = (np.concatenate([p[i] for p in parts]) for i in range(5))
-            where = (bw.mix(t) % np.uint64(buckets)).astype(np.int64)
+            t, u, n, r, z, d = (np.concatenate([p[i] for p in parts]) for i in range(6))
+            where = (bw.mix(t + u % d.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((u, t, where))
-            t, u, n, r, z, where = t[order], u[order], n[order], r[order], z[order], where[order]
+            t, u, n, r, z, d, where = t[order], u[order], n[order], r[order], z[order], d[order], where[order]
             keep = np.append(True, (t[1:] != t[:-1]) | (u[1:] != u[:-1]))
-            t, u, n, r, z, where = t[keep], u[keep], n[keep], r[keep], z[keep], where[keep]
+            t, u, n, r, z, d, where = t[keep], u[keep], n[keep], r[keep], z[keep], d[keep], where[keep]
             edge = np.searchsorted(where, np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(edge))
-            return pa.RecordBatch.from_arrays([pa.array(full), *(pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary()) for x in (t, u, n.astype("<u4"), r.astype("<u4"), z.astype("<u4")))], ["bucket", "t", "u", "n", "r", "z"])
+            return pa.RecordBatch.from_arrays([pa.array(full), *(pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary()) for x in (t, u, n.astype("<u4"), r.astype("<u4"), z.astype("<u4"), (d > 1).astype("u1")))], ["bucket", "t", "u", "n", "r", "z", "d"])
 
         parts, held = [], 0
         for b in bw.chunks(batches, "text"):
             g, first = shingle_sets(*bw.flat(b.column(1)), words)
             c, n = classes(g, first), np.diff(first)
             who = np.repeat(np.arange(len(n)), n)
-            g = ordered(g)
+            g, deal = ordered(g)
             order = np.lexsort((g, who))
-            g = g[order]
+            g, deal = g[order], deal[order]
             place = np.arange(len(g)) - first[:-1][who]
             take = place < (n - _own(n, s) + 1)[who]
             # the code: how many shingles are frequent, and in how many whole ranges of hashes the prefix has all others
@@ -325,7 +430,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             whole = np.zeros(len(n), np.int64)
             whole[some] = np.where(end >> np.uint64(63), BINS, (end >> np.uint64(57)) & np.uint64(63)).astype(np.int64)
             code = np.minimum(often_, (1 << 24) - 1) << 7 | whole
-            parts.append((g[take], c[who[take]], n[who[take]], place[take], code[who[take]]))
+            parts.append((g[take], c[who[take]], n[who[take]], place[take], code[who[take]], deal[take]))
             held += int(take.sum())
             if held > FLUSH:
                 yield flush(parts)
@@ -333,24 +438,35 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         if held:
             yield flush(parts)
 
-    def meet(key, table):
-        t, u = (np.concatenate([np.frombuffer(x, "<u8") for x in table[c].to_pylist()]) for c in ("t", "u"))
-        n, r, z = (np.concatenate([np.frombuffer(x, "<u4") for x in table[c].to_pylist()]).astype(np.int64) for c in ("n", "r", "z"))
+    names = ["u", "v", "c", "a", "b", "ra", "rb", "za", "zb", "tie", "t"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        of = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()])
+        t, u, d = of("t", "<u8"), of("u", "<u8"), of("d", "u1").astype(bool)
+        n, r, z = (of(c, "<u4").astype(np.int64) for c in ("n", "r", "z"))
         order = np.lexsort((u, t))
-        t, u, n, r, z = t[order], u[order], n[order], r[order], z[order]
+        t, u, n, r, z, d = t[order], u[order], n[order], r[order], z[order], d[order]
         keep = np.append(True, (t[1:] != t[:-1]) | (u[1:] != u[:-1]))
-        p, has, ties = _pairs_of(t[keep], u[keep], n[keep], r[keep], z[keep], s, small)
-        both = np.concatenate([p, ties]).view(np.int64)
-        has = np.concatenate([has, np.zeros((len(ties), 7), np.int64)])
-        tie = np.concatenate([np.zeros(len(p), np.int64), np.ones(len(ties), np.int64)])
-        return pa.table([pa.array(np.ascontiguousarray(x)) for x in (both[:, 0], both[:, 1], *has.T, tie)], names=["u", "v", "c", "a", "b", "ra", "rb", "za", "zb", "tie"])
+        t, u, d = t[keep], u[keep], d[keep]
+
+        def row(pairs, has, tie, shingle):
+            cols = [*pairs.view(np.int64).T, *has.T, np.full(len(pairs), tie), shingle]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names)
+
+        for pairs, has in _pairs_of(t, u, n[keep], r[keep], z[keep], d, s):
+            tie = not len(has)
+            yield row(pairs, np.zeros((len(pairs), 7), np.int64) if tie else has, int(tie), np.zeros(len(pairs), np.int64))
+        at = np.flatnonzero(d & np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
+        yield row(np.stack([u[at], u[at]], 1), np.zeros((len(at), 7), np.int64), 2, t[at].view(np.int64))  # the least here of each dealt shingle
 
     filled = base.where("doc_id is not null")
-    met = filled.mapInArrow(prefixes, "bucket long, t binary, u binary, n binary, r binary, z binary").groupBy("bucket").applyInArrow(meet, "u long, v long, c long, a long, b long, ra long, rb long, za long, zb long, tie long")
+    met = filled.mapInArrow(prefixes, "bucket long, t binary, u binary, n binary, r binary, z binary, d binary").groupBy("bucket").applyInArrow(meet, ", ".join(f"{x} long" for x in names))
+    met = stored(met, "met") if (often.value[1] > 1).any() else met
     p, q = s
     after = f"greatest(least(ceil({p} * a / {q}D) - 1, b - rb - 1), least(ceil({p} * b / {q}D) - 1, a - ra - 1))"
     enough = F.expr(f"c + {after} >= ceil({p} * (a + b) / {p + q}D)")
-    counted = met.groupBy("u", "v").agg(F.sum("c").alias("c"), *[F.max(x).alias(x) for x in ("a", "b", "ra", "rb", "za", "zb", "tie")])
+    counted = met.where("tie < 2").groupBy("u", "v").agg(F.sum("c").alias("c"), *[F.max(x).alias(x) for x in ("a", "b", "ra", "rb", "za", "zb", "tie")])
     likely = stored(counted.where((F.col("tie") == 1) | enough), "pairs")
     bins = members.where("n > 0").groupBy("class").agg(F.first("bins").alias("bins"))
     used = likely.where("tie = 0").select(F.explode(F.array("u", "v")).alias("class")).distinct()
@@ -368,48 +484,61 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     one, two = bins.select(F.col("class").alias("u"), F.col("bins").alias("x")), bins.select(F.col("class").alias("v"), F.col("bins").alias("y"))
     able = likely.where("tie = 0").join(one, "u").join(two, "v").where(beyond("c", "za", "zb", "x", "y") >= F.expr(f"ceil({p} * (a + b) / {p + q}D)"))
     near = likely.where("tie = 1").select("u", "v").unionByName(able.select("u", "v"))
+    if (often.value[1] > 1).any():  # ties between the buckets of a dealt shingle
+        heads = met.where("tie = 2").select("t", "u").distinct()
+        near = near.unionByName(heads.join(heads.groupBy("t").agg(F.min("u").alias("v")), "t").select("u", "v"))
     family = components(near.select("u", "v"), "families").select(F.col("node").alias("class"), F.col("component").alias("family"))
-    reps = members.where("doc_id is not null and n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    placed = family.join(reps, "class")
-    running = F.sum("n").over(Window.partitionBy("family").orderBy("n", "class").rowsBetween(Window.unboundedPreceding, 0))
-    placed = stored(placed.withColumn("block", F.floor((running - 1) / CELL).cast("long")), "placed")
+    reps = stored(members.where("doc_id is not null and n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
+    grouped = family.join(redealt(reps, "class"), "class")
+    # blocks: a family's shingles in order of set size, and by hash among equal sizes; sums by size come first, so no family is in one task
+    sums = grouped.groupBy("family", "n").agg(F.sum("n").alias("own"))
+    before = F.coalesce(F.sum("own").over(Window.partitionBy("family").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = redealt(sums.withColumn("before", before), "family", "n")
+    within = F.pmod(F.xxhash64("class"), F.lit(1 << 20)) / float(1 << 20) * F.col("own")
+    placed = stored(grouped.join(sums, ["family", "n"]).withColumn("block", F.floor((F.col("before") + within) / CELL).cast("long")).drop("own", "before"), "placed")
     blocks = placed.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = blocks.select("family", F.col("block").alias("block2"), F.col("low").alias("low2"))
     cells = blocks.join(other, "family").where(f"block = block2 or (block < block2 and {q} * high >= {p} * low2)").select("family", "block", "block2")
     inside = cells.select("family", F.col("block").alias("own"), "block", "block2", F.when(F.col("block") == F.col("block2"), 2).otherwise(0).alias("side"))
     across = cells.where("block < block2").select("family", F.col("block2").alias("own"), "block", "block2", F.lit(1).alias("side"))
-    seats = placed.select("doc_id", "class", "family", F.col("block").alias("own")).join(inside.unionByName(across), ["family", "own"])
+    seated = redealt(inside.unionByName(across), "family", "own")
+    seats = placed.select("doc_id", "class", "family", F.col("block").alias("own")).join(seated, ["family", "own"])
 
     def sets(batches):
         for b in bw.chunks(batches, "text"):
             g, first = shingle_sets(*bw.flat(b.column(b.schema.get_field_index("text"))), words)
             same = classes(g, first).view(np.int64) == b.column(b.schema.get_field_index("class")).to_numpy()
-            g = ordered(g)
+            g, _ = ordered(g)
             data = pa.array([np.sort(g[first[i] : first[i + 1]]).tobytes() for i in range(len(first) - 1)], pa.binary())
-            cols = [b.column(b.schema.get_field_index(c)) for c in ("class", "family", "block", "block2", "side")]
-            yield pa.RecordBatch.from_arrays([*cols, data], ["class", "family", "block", "block2", "side", "data"]).filter(pa.array(same))
+            cols = [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "class", "family", "block", "block2", "side")]
+            yield pa.RecordBatch.from_arrays([*cols, data], ["doc_id", "class", "family", "block", "block2", "side", "data"]).filter(pa.array(same))
 
     def linked(key, table):
-        ids, one = np.unique(table["class"].to_numpy(), return_index=True)
-        data = table["data"].to_pylist()
+        _, one = np.unique(table["class"].to_numpy(), return_index=True)
+        data, ids = table["data"].to_pylist(), table["doc_id"].to_numpy()[one]
         found = forest([np.frombuffer(data[i], "<u8") for i in one], table["side"].to_numpy()[one], s)
         at = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"u": ids[at[:, 0]], "v": ids[at[:, 1]]})
 
-    given = filled.join(seats, "doc_id").select("text", "class", "family", "block", "block2", "side").mapInArrow(sets, "class long, family long, block long, block2 long, side int, data binary")
+    given = filled.join(seats, "doc_id").select("text", "doc_id", "class", "family", "block", "block2", "side").mapInArrow(sets, "doc_id long, class long, family long, block long, block2 long, side int, data binary")
     links = given.groupBy("family", "block", "block2").applyInArrow(linked, "u long, v long")
     groups = components(links, "links")
-    named = members.join(groups, members["class"] == groups["node"], "left").select("doc_id", "n", "class", F.coalesce("component", "class").alias("component"))
-    named = named.withColumn("group", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")))
-    smallest = named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
-    return named.join(smallest, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    named = reps.join(groups, reps["doc_id"] == groups["node"], "left").select("class", F.coalesce("component", "doc_id").alias("component_id"))
+    own = members.select("doc_id", F.col("n").alias("n_shingles"), "class")
+    joined = own.where("n_shingles > 0 and doc_id is not null").join(redealt(named, "class"), "class").select("doc_id", "n_shingles", "component_id")
+    return joined.unionByName(own.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The document of each component that has the least id, with its columns; of rows with that id one. Rows without an id stay."""
-    kept = join(docs, key, text, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    filled = docs.where(F.col(key).isNotNull())
-    found = filled.join(kept, F.col(key).cast("long") == F.col("_kept"), "left_semi")
-    if not docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
-        found = found.dropDuplicates([key])
+    """The document of each component that has the least id, with its columns; of rows with that id the one with the least text (then the
+    least of all its columns as JSON). Rows without an id stay."""
+    own = fresh("kept", docs.columns)
+    kept = join(docs, key, text, **options).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    found = docs.where(F.col(key).isNotNull()).join(kept, F.col(key).cast("long") == F.col(own), "left_semi")
+    again = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(own)).agg(F.count("*").alias("n")).where("n > 1").select(own)
+    if not again.isEmpty():
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        many = stored(found.join(again, F.col(key) == F.col(own), "left_semi"), "repeated")
+        least = many.groupBy(F.col(key).alias(own)).agg(F.min_by(whole, F.struct(F.coalesce(F.col(text), F.lit("")), F.to_json(whole))).alias("row")).select("row.*")
+        found = found.join(again, F.col(key) == F.col(own), "left_anti").unionByName(least)
     return found.unionByName(docs.where(F.col(key).isNull()))

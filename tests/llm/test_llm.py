@@ -290,8 +290,10 @@ def brute_join(texts):
     return {i: (len(sets[i]), find(i)) for i in keys}
 
 
-@pytest.mark.parametrize("small, cell", [(64, 2_000_000), (3, 400), (64, 300)])
-def test_jaccard_join(spark, monkeypatch, small, cell):
+@pytest.mark.parametrize("small, cell, deal", [(64, 2_000_000, 100_000), (3, 400, 100_000), (64, 300, 100_000), (3, 4_000_000, 2)])
+def test_jaccard_join(spark, monkeypatch, small, cell, deal):
+    monkeypatch.setattr(ngramjoin, "SLICE", deal)
+    monkeypatch.setattr(ngramjoin, "PAIRS", 50)
     monkeypatch.setattr(ngramjoin, "SMALL", small)
     monkeypatch.setattr(ngramjoin, "MANY", small)
     monkeypatch.setattr(ngramjoin, "CELL", cell)
@@ -308,13 +310,89 @@ def test_jaccard_join(spark, monkeypatch, small, cell):
     d = docs_of(spark, texts)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngramjoin.join(d).collect()}
     assert got == brute_join(list(enumerate(texts)))
-    kept = ngramjoin.one_of_each(d.unionByName(d.where("doc_id = 0")).withColumn("class", F.lit(1)))
+    if deal != 2:
+        return
+    clash = d.unionByName(d.where("doc_id = 0")).withColumns({"class": F.lit(1), "_kept": F.lit("k"), "component_id": F.lit(2), "n": F.lit(3)})
+    kept = ngramjoin.one_of_each(clash)
+    assert kept.columns == clash.columns and {(x._kept, x.component_id) for x in kept.collect()} == {("k", 2)}
     assert sorted(x.doc_id for x in kept.collect()) == sorted({c for _, c in got.values()})
+    twice = spark.createDataFrame([(1, "b b b", "x"), (1, "a a a", "z"), (1, "a a a", "y"), (None, "q", "w")], "doc_id long, text string, _kept string")
+    assert sorted((x.text, x._kept) for x in ngramjoin.one_of_each(twice).collect()) == [("a a a", "y"), ("q", "w")]
+    assert ngramjoin.one_of_each(clash.limit(0)).count() == 0
     assert ngramjoin.join(d.limit(0)).count() == 0
     null = spark.createDataFrame([(None, texts[0]), (5, texts[0]), (5, texts[0])], "doc_id long, text string")
     assert sorted((x.doc_id or -1, x.component_id or -1) for x in ngramjoin.join(null).collect()) == [(-1, -1), (5, 5), (5, 5)]
 
 
+def some_sets(kind, m, rng, size=90):
+    out, base = [], rng.integers(0, 1 << 60, size).astype(np.uint64)
+    for i in range(m):
+        if kind == "copies" or kind == "far":  # of one set, with few or many changes
+            b, k = base.copy(), rng.integers(0, 6 if kind == "copies" else 14)
+        elif kind == "families":  # that have half in common
+            if i % 10 == 0:
+                family = np.concatenate([base[: size // 2], rng.integers(0, 1 << 60, size - size // 2).astype(np.uint64)])
+            b, k = family.copy(), rng.integers(0, 12)
+        elif kind == "dense":
+            b, k = rng.choice(100, size=rng.integers(80, 97), replace=False).astype(np.uint64), 0
+        else:
+            b, k = rng.integers(0, 1 << 60, size).astype(np.uint64), 0
+        if k:
+            b[rng.choice(size, k, replace=False)] = rng.integers(0, 1 << 60, k)
+        out.append(np.unique(b))
+    return out
+
+
+def parts_of(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["copies", "far", "families", "dense", "unrelated"])
+@pytest.mark.parametrize("steps", [0, 3, 1000])
+def test_forest(monkeypatch, kind, steps):
+    monkeypatch.setattr(ngramjoin, "STEPS", steps)
+    rng, m = np.random.default_rng(steps), 100
+    sets = some_sets(kind, m, rng)
+    plain = [set(x.tolist()) for x in sets]
+    linked = [(i, j) for i in range(m) for j in range(i + 1, m) if 100 * len(plain[i] & plain[j]) >= 80 * len(plain[i] | plain[j])]
+    found = ngramjoin.forest(sets, np.full(m, 2), (80, 100))
+    assert parts_of(m, found) == parts_of(m, linked) and {(min(x), max(x)) for x in found} <= set(linked)
+    side = rng.integers(0, 2, m)
+    found = ngramjoin.forest(sets, side, (80, 100))
+    within = [(i, j) for i, j in linked if side[i] == side[j]]
+    assert parts_of(m, within + found) == parts_of(m, linked) and {(min(x), max(x)) for x in found} <= set(linked)
+
+
+@pytest.mark.parametrize("kind", ["copies", "unrelated"])
+def test_forest_grows_in_proportion(monkeypatch, kind):
+    """Comparisons, not seconds: sets that are compared or walked, for sixteen times the sets."""
+    counted = []
+    for m in (200, 3200):
+        n = 0
+
+        def intersect(*a, real=np.intersect1d, **k):
+            nonlocal n
+            n += 1
+            return real(*a, **k)
+
+        monkeypatch.setattr(np, "intersect1d", intersect)
+        monkeypatch.setattr(ngramjoin.Trie, "overlaps", lambda *a: pytest.fail("nothing is left for the trie"))
+        ngramjoin.forest(some_sets(kind, m, np.random.default_rng(1)), np.full(m, 2), (80, 100))
+        counted.append(n)
+        monkeypatch.undo()
+    assert counted[1] <= 2 * 16 * max(counted[0], 1)
+
+
 def test_language_id(spark):
     rows, r = [], random.Random(1)
     stems = {"en": ["the", "and", "ing", "tion", "wh"], "de": ["sch", "und", "keit", "ü", "ich"], "fr": ["eau", "les", "é", "oi", "que"]}
