@@ -4,58 +4,60 @@ Patterns are the items' windows of ``window`` consecutive words; an item of fewe
 window. For each pattern length m a table gives, for a block of two consecutive words, how far the
 search may move on (at most m - 1 words); where it may not move, the block's bucket lists the
 windows that end so, and direct comparison of the bytes confirms an occurrence. A text is cut into
-lanes of m - 1 positions which all advance at once as numpy arrays, so most lanes cost one look-up.
+lanes of m - 1 positions which all advance at once as numpy arrays, so most lanes cost one look-up. The shift table has
+SPARSE slots for each block of the windows, so most places still shift however many items there are. Windows are indices into the
+items' words, so tables take a small multiple of the items' bytes.
 
 Defined cases: null or wordless texts have no words and no hits; null or wordless items have no
 windows; a repeated item counts under each of its ids; repeated rows are each reported; an item
-without an id never appears in ``items``, though its hits count. Other columns are passed through
-unless named like a result (n_words, n_hit, hits, items), which the result then replaces.
+without an id never appears in ``items``, though its hits count. Other columns are passed through, whatever their names,
+unless named like a result (n_words, n_hit, hits, items), which the result then replaces; ``clean`` passes all columns through.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytewords as bw
+from .common import fresh, stored
 
 WINDOW = 10
 #: Bytes of items whose tables are broadcast at once; more items are searched in several blocks.
 BLOCK_BYTES = 16 << 20
-_TABLE_BITS = 16
+SPARSE = 8
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 class _Length:
     """Windows of m words: shift table, and buckets by the hash of the last block."""
 
-    def __init__(self, m: int, wins: list[tuple[bytes, ...]], owners: list[set]):
+    def __init__(self, m: int, words: bw.Words, h: np.ndarray, start: np.ndarray, item: np.ndarray):
+        """words, h: of all items, lower-cased; start, item: first word and item of each window (an item number below 0 has no id)."""
         self.m, self.b = m, min(2, m)
-        flat = [w for win in wins for w in win]
-        lens = np.array([len(w) for w in flat], np.int64)
-        self.buf = np.frombuffer(b"".join(flat), np.uint8)
-        self.ends = np.cumsum(lens).reshape(len(wins), m)
-        self.starts = self.ends - lens.reshape(len(wins), m)
-        self.h = bw.hashes(self.buf, self.starts.ravel(), self.ends.ravel(), False).reshape(len(wins), m)
-        self.shift = np.full(1 << _TABLE_BITS, m - self.b + 1, np.int32)
+        self.words, self.h = words, h
+        _, one, place = bw.distinct(bw.chain(*[h[start + i] for i in range(m)]))
+        self.start = start[one]
+        owned = np.unique(np.stack([place, item], 1)[item >= 0], axis=0)
+        self.owner, self.owner_at = owned[:, 1], np.searchsorted(owned[:, 0], np.arange(len(one) + 1))
+        self.bits = min(26, max(10, int(SPARSE * len(one) * (m - self.b + 1)).bit_length()))
+        self.shift = np.full(1 << self.bits, m - self.b + 1, np.int32)
         for j in range(self.b - 1, m):  # blocks nearest the end last, so the least shift stays
-            self.shift[self._slot(self._block(self.h, j))] = m - 1 - j
-        last = self._block(self.h, m - 1)
+            self.shift[self._slot(self._block(j))] = m - 1 - j
+        last = self._block(m - 1)
         order = np.argsort(last, kind="stable")
         self.last, self.order = last[order], order
-        self.whole = bw.chain(*self.h.T)
-        self.owners = owners
 
-    def _block(self, h: np.ndarray, j: int) -> np.ndarray:
-        return h[:, j] if self.b == 1 else bw.chain(h[:, j - 1], h[:, j])
+    def _block(self, j: int) -> np.ndarray:
+        return self.h[self.start + j] if self.b == 1 else bw.chain(self.h[self.start + j - 1], self.h[self.start + j])
 
-    @staticmethod
-    def _slot(h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def search(self, t: bw.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the last word of each occurrence, and the window's number."""
@@ -83,10 +85,10 @@ class _Length:
                     c = hi - lo
                     e2 = np.repeat(e, c)
                     p = self.order[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo, c)]
-                    ok = self.h[p, 0] == h[e2 - m + 1]  # the prefix, before all words
+                    ok = self.h[self.start[p]] == h[e2 - m + 1]  # the prefix, before all words
                     e2, p = e2[ok], p[ok]
                     if len(e2):
-                        ok = (self.h[p] == h[e2[:, None] + np.arange(1 - m, 1)]).all(1)
+                        ok = (self.h[self.start[p][:, None] + np.arange(m)] == h[e2[:, None] + np.arange(1 - m, 1)]).all(1)
                         e2, p = self._confirm(t, e2[ok], p[ok])
                         ends.append(e2)
                         wins.append(p)
@@ -100,49 +102,50 @@ class _Length:
         keep = np.zeros(len(e), bool)
         for i in range(0, len(e), step):
             at = (e[i : i + step, None] + np.arange(1 - self.m, 1)).ravel()
+            own = (self.start[p[i : i + step]][:, None] + np.arange(self.m)).ravel()
             s, n = t.starts[at], t.ends[at] - t.starts[at]
-            ps = self.starts[p[i : i + step]].ravel()
-            same = n == (self.ends - self.starts)[p[i : i + step]].ravel()
+            ps = self.words.starts[own]
+            same = n == self.words.ends[own] - ps
             c = np.where(same, n, 0)
             walk = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            diff = _LOWER[t.buf[np.repeat(s, c) + walk]] != self.buf[np.repeat(ps, c) + walk]
+            diff = _LOWER[t.buf[np.repeat(s, c) + walk]] != self.words.buf[np.repeat(ps, c) + walk]
             bad = np.bincount(np.repeat(np.arange(len(c)), c)[diff], minlength=len(c)) > 0
             keep[i : i + step] = (same & ~bad).reshape(-1, self.m).all(1)
         return e[keep], p[keep]
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-def tables(items: list[tuple], window: int = WINDOW) -> list[_Length]:
+class Tables:
     """Search tables, one for each length of window, of (id, text) pairs."""
-    owners: dict[tuple[bytes, ...], set] = defaultdict(set)
-    for key, text in items:
-        buf = np.frombuffer((text or "").encode(), np.uint8)
-        t = bw.words(buf, np.array([0, len(buf)]), bw.ALNUM)
-        ws = [t.raw(i).lower() for i in range(len(t.starts))]
-        for i in range(max(1, len(ws) - window + 1) if ws else 0):
-            owners[tuple(ws[i : i + window])].add(key)
-    by: dict[int, list] = defaultdict(list)
-    for win in sorted(owners):
-        by[len(win)].append(win)
-    return [_Length(m, wins, [{k for k in owners[w] if k is not None} for w in wins]) for m, wins in sorted(by.items())]
-
-
-def scan(t: bw.Words, found: list[_Length]) -> tuple[np.ndarray, list[set]]:
+
+    def __init__(self, items: list[tuple], window: int = WINDOW):
+        self.keys = [k for k, _ in items]
+        raw = [(x or "").encode() for _, x in items]
+        offs = np.cumsum([0] + [len(x) for x in raw])
+        words = bw.words(_LOWER[np.frombuffer(b"".join(raw), np.uint8)], offs, bw.ALNUM)
+        h = bw.hashes(words.buf, words.starts, words.ends, False)
+        size = np.minimum(words.counts, window)
+        number = np.array([i if k is not None else -1 for i, k in enumerate(self.keys)], np.int64)
+        self.lengths = []
+        for m in np.unique(size[size > 0]).tolist():
+            own = np.flatnonzero(size == m)
+            n = words.counts[own] - m + 1
+            start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(words.first[:-1][own], n)
+            self.lengths.append(_Length(m, words, h, start, np.repeat(number[own], n)))
+
+
+def scan(t: bw.Words, found: Tables) -> tuple[np.ndarray, list[set]]:
     """For each word whether an occurrence holds it; for each text the ids of items that occur."""
     h = bw.hashes(t.buf, t.starts, t.ends, True)
     delta = np.zeros(len(h) + 1, np.int64)
     items: list[set] = [set() for _ in t.counts]
-    for x in found:
+    for x in found.lengths:
         e, p = x.search(t, h)
         np.add.at(delta, e - x.m + 1, 1)
         np.add.at(delta, e + 1, -1)
         if len(e):
             pairs = np.unique(np.stack([np.searchsorted(t.first, e, "right") - 1, p], 1), axis=0)
             for d, w in pairs.tolist():
-                items[d] |= x.owners[w]
+                items[d].update(found.keys[k] for k in x.owner[x.owner_at[w] : x.owner_at[w + 1]].tolist())
     return np.cumsum(delta)[:-1] > 0, items
 
 
@@ -161,16 +164,18 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
     its own and the hits of a document are united by a key of its row.
     """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "hits", "items", "_row")]
+    results = ("n_words", "n_hit", "hits", "items")
+    kept = [c for c in docs.columns if c.lower() not in results]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     kind = items.schema[item].dataType
     extra = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))), T.StructField("items", T.ArrayType(kind))])
     parts = _blocks(items.select(item, item_text), item, item_text, block_bytes)
-    if len(parts) > 1:
-        docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    row = fresh("row", [*kept, *results])
+    if len(parts) > 1:  # written, so that rows keep their numbers if a task runs again
+        docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
     def searched(frame: DataFrame, part: DataFrame) -> DataFrame:
-        shared = spark.sparkContext.broadcast(tables([tuple(r) for r in part.collect()], window))
+        shared = spark.sparkContext.broadcast(Tables([tuple(r) for r in part.collect()], window))
         schema = T.StructType([*frame.schema.fields, *extra.fields])
 
         def each(b, buf, offs):
@@ -196,32 +201,45 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
         return searched(docs, parts[0])
     found = None
     for part in parts:
-        one = searched(docs.select("_row", text), part).where(F.size("hits") > 0).select("_row", "hits", "items")
+        one = searched(docs.select(row, text), part).where(F.size("hits") > 0).select(F.col(row).alias("row"), "hits", "items")
         found = one if found is None else found.unionByName(one)
     inside = F.expr("flatten(transform(hits, h -> sequence(h.start, h.start + h.length - 1)))")
-    united = found.select("_row", inside.alias("w"), "items").groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("w"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found"))
+    united = found.select("row", inside.alias("w"), "items").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("w"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("ids"))
+    runs = F.expr("transform(filter(w, (x, i) -> i = 0 or w[i - 1] < x - 1), s -> s)")
+    ends = F.expr("filter(w, (x, i) -> i = size(w) - 1 or w[i + 1] > x + 1)")
+    told = united.withColumns({"s": runs, "e": ends}).select(F.col("row").alias(row), F.struct(F.size("w").cast("long").alias("n_hit"), F.expr("transform(s, (x, i) -> struct(x as start, e[i] - x + 1 as length))").alias("hits"), F.col("ids").alias("items")).alias("told"))
     none = spark.createDataFrame([], T.StructType([T.StructField(item, kind), T.StructField(item_text, T.StringType())]))
-    base = searched(docs, none).drop("n_hit", "hits", "items")
-    joined = base.join(united, "_row", "left")
-    at = F.array_sort(F.coalesce("w", F.expr("array()").cast("array<bigint>")))
-    runs = F.expr("transform(filter(w2, (x, i) -> i = 0 or w2[i - 1] < x - 1), s -> s)")
-    ends = F.expr("filter(w2, (x, i) -> i = size(w2) - 1 or w2[i + 1] > x + 1)")
-    return (
-        joined.withColumn("w2", at).withColumn("_s", runs).withColumn("_e", ends)
-        .withColumn("n_hit", F.size("w2").cast("long"))
-        .withColumn("hits", F.expr("transform(_s, (s, i) -> struct(s as start, _e[i] - s + 1 as length))"))
-        .withColumn("items", F.coalesce("found", F.expr("array()").cast(T.ArrayType(kind))))
-        .select(*kept, *extra.names)
-    )
+    base = searched(docs, none).select(*[F.col(f"`{c}`") for c in kept], row, "n_words")
+    own = fresh("told", [*kept, *results, row])
+    joined = base.join(told.withColumnRenamed("told", own), row, "left")
+    of = {f.name: F.coalesce(F.col(f"{own}.{f.name}"), (F.lit(0) if f.name == "n_hit" else F.array()).cast(f.dataType)).alias(f.name) for f in extra.fields[1:]}
+    return joined.select(*[F.col(f"`{c}`") for c in kept], "n_words", *of.values())
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
     return pa.string() if isinstance(kind, T.StringType) else pa.int32() if isinstance(kind, T.IntegerType) else pa.int64()
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Documents without any hit, with their own columns."""
-    return find(docs, items, **options).where("n_hit = 0").select(*docs.columns)
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Documents without any hit, with their own columns alone. Several blocks of items are filters one after the other."""
+    for part in _blocks(items.select(item, item_text), item, item_text, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(Tables([tuple(r) for r in part.collect()], window))
+        docs = docs.where(_free(F.col(text), shared))
+    return docs
+
+
+def _free(text: Column, shared) -> Column:
+    @F.pandas_udf("boolean")
+    def free(s: pd.Series) -> pd.Series:
+        out = [np.zeros(0, bool)]
+        for b in bw.chunks(iter([pa.RecordBatch.from_arrays([pa.array(s, pa.string())], ["text"])]), "text"):
+            t = bw.words(*bw.flat(b.column(0)), bw.ALNUM)
+            hit, _ = scan(t, shared.value)
+            total = np.concatenate([[0], np.cumsum(hit)])
+            out.append(total[t.first[1:]] == total[t.first[:-1]])
+        return pd.Series(np.concatenate(out))
+
+    return free(text)
 
 
 def digest(found: DataFrame) -> DataFrame:
