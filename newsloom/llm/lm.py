@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import crc32_of, shared_dir, stored
+from .common import crc32_of, fetched, fresh, shared_dir, stored
 
 BEGIN = np.uint64(0x5BD1E995A5A5A5A5)
 END = np.uint64(0x1B873593CC9E2D51)
@@ -44,6 +45,9 @@ FLUSH = 3_000_000
 #: Tokens in the corpus for each bucket
 BUCKET_TOKENS = 2_000_000
 HOT_SHARE = 1000
+#: Files that a worker has mapped at once
+OPEN = 4096
+_PAIR, _WORD = ("<u8", "<u4"), ("<u8", "<i8", "<f8", "<f8")
 
 
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,8 +144,16 @@ class Opened:
 
     def __init__(self, m: Model):
         self.m = m
-        self.pairs = [self._split(*x, ("<u8", "<u4")) for x in m.pairs]
-        self.words = [self._split(*x, ("<u8", "<i8", "<f8", "<f8")) for x in m.words]
+        self.open: OrderedDict[str, list[np.ndarray]] = OrderedDict()
+
+    def _file(self, path: str, n: int, kinds: tuple[str, ...]) -> list[np.ndarray]:
+        """Columns of a file, mapped when it is first needed; the least used of more than OPEN files is let go."""
+        if path not in self.open:
+            self.open[path] = self._split(path, n, kinds)
+            if len(self.open) > OPEN:
+                self.open.popitem(last=False)
+        self.open.move_to_end(path)
+        return self.open[path]
 
     @staticmethod
     def _split(path: str, n: int, kinds: tuple[str, ...]) -> list[np.ndarray]:
@@ -152,23 +164,22 @@ class Opened:
             at += size
         return out
 
-    @staticmethod
-    def _look(files: list[list[np.ndarray]], where: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    def _look(self, files: list[tuple[str, int]], kinds: tuple[str, ...], where: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
         """Columns after the hash for each h, 0 where it is missing."""
-        out = [np.zeros(len(h), c.dtype) for c in files[0][1:]]
+        out = [np.zeros(len(h), k) for k in kinds[1:]]
         order = np.argsort(where, kind="stable")
-        edge = np.searchsorted(where[order], np.arange(len(files) + 1))
-        for b, f in enumerate(files):
-            at = order[edge[b] : edge[b + 1]]
-            if len(at) and len(f[0]):
-                i = np.minimum(np.searchsorted(f[0], h[at]), len(f[0]) - 1)
-                ok = f[0][i] == h[at]
+        some, edge = np.unique(where[order], return_index=True)
+        for b, i, j in zip(some.tolist(), edge.tolist(), np.append(edge[1:], len(h)).tolist()):
+            at, f = order[i:j], self._file(*files[b], kinds)
+            if len(f[0]):
+                k = np.minimum(np.searchsorted(f[0], h[at]), len(f[0]) - 1)
+                ok = f[0][k] == h[at]
                 for o, c in zip(out, f[1:]):
-                    o[at[ok]] = c[i[ok]]
+                    o[at[ok]] = c[k[ok]]
         return out
 
     def look_words(self, h: np.ndarray) -> list[np.ndarray]:
-        return self._look(self.words, (h % np.uint64(len(self.words))).astype(np.int64), h)
+        return self._look(self.m.words, _WORD, (h % np.uint64(len(self.m.words))).astype(np.int64), h)
 
     def score(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base score, score of each text."""
@@ -181,7 +192,7 @@ class Opened:
         vh, vplace = np.unique(v, return_inverse=True)
         cv, _, gamma = self.look_words(vh)
         keys, one, kplace = bw.distinct(pair(v, w))
-        (n,) = self._look(self.pairs, bucket(v[one], w[one], m.hot, len(m.pairs)), keys)
+        (n,) = self._look(m.pairs, _PAIR, bucket(v[one], w[one], m.hot, len(m.pairs)), keys)
         of = np.abs(cv)[vplace[one]]  # the begin's count is negative, as it is no token
         n = n.astype(np.float64)
         p = np.where(of > 0, np.maximum(0, n - discount(n, m.high)) / np.maximum(of, 1) + gamma[vplace[one]] * p1[place[one]], p1[place[one]])
@@ -248,7 +259,7 @@ def train(docs: DataFrame, use: Column | None = None, text: str = "text") -> Mod
                 h, c = np.frombuffer(a, "<u8"), np.frombuffer(n, "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(h[c >= least].view("<i8"))], ["h"])
 
-    found = words.select("a", "b").mapInArrow(hottest, "h long").toPandas()["h"].to_numpy(np.int64).view(np.uint64)  # under HOT_SHARE by their share
+    found = fetched(words.select("a", "b").mapInArrow(hottest, "h long"))["h"].astype(np.int64).view(np.uint64)  # under HOT_SHARE by their share
     hot = np.unique(np.append(found, BEGIN))
 
     def bigrams(batches):
@@ -311,8 +322,9 @@ def train(docs: DataFrame, use: Column | None = None, text: str = "text") -> Mod
         counts = [int(n.sum()), len(n), *(int((n == k).sum()) for k in (1, 2, 3, 4))]
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "c": pa.array([counts], pa.list_(pa.int64()))})
 
-    counted = sent.where("kind = 2").select("bucket", "kind", "a", "n").groupBy("bucket").applyInArrow(continuation, "bucket long, c array<long>").toPandas()["c"]
-    c = np.sum(np.array([np.asarray(x) for x in counted], np.int64).reshape(-1, 6), axis=0)
+    counted = sent.where("kind = 2").select("bucket", "kind", "a", "n").groupBy("bucket").applyInArrow(continuation, "bucket long, c array<long>")
+    sums = counted.agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(6)]).first()
+    c = np.array([x or 0 for x in sums], np.int64)
     low = discounts(*(int(x) for x in c[2:]))
     rest = (low[0] * c[2] + low[1] * c[3] + low[2] * (c[1] - c[2] - c[3])) / c[0] if c[0] else 1.0
     unseen = float(rest / (distinct + 1))
@@ -367,7 +379,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         parts = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0)] * 4
         return pd.DataFrame(dict(zip(("n_tokens", "n_known", "base_score", "score"), parts)))
 
-    return docs.withColumn("_s", scored(F.col(text))).select(*docs.columns, "_s.n_tokens", "_s.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "_s.base_score", "_s.score")
+    own = fresh("scored", docs.columns)
+    found = docs.withColumn(own, scored(F.col(text)))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], f"{own}.n_tokens", f"{own}.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), f"{own}.base_score", f"{own}.score")
 
 
 def held_out(key: str = "doc_id") -> Column:
