@@ -10,8 +10,8 @@ the bands miss it with a chance under (1 - 0.19) ** 64 < 2e-6; a whole template
 any of the templates' least shingles are left out before their minima are found. What the bands retrieve is verified
 on the words: the share of the template's shingles that the window has.
 
-All of it is DataFrame functions. Templates are a parameter; the program puts their shingles into the plan, so they are to be few
-(at most MOST shingles, checked).
+All of it is DataFrame functions. Templates are a parameter. Their least shingles (at most one a band) are part of the plan, MOST of them at once; more
+templates are scanned in several groups. Their texts are a table that is joined to what the bands retrieve. Documents are read and cut into words once a group.
 
 Defined cases: null and short texts have no matches; repeated rows of an id give one row per license; rows without an
 id are as one with a null id; other columns are not carried.
@@ -60,7 +60,7 @@ def plan(templates: dict[str, str], words: int) -> dict[int, dict[int, list[tupl
             continue
         k = min(words, len(ws))
         shingles = list(dict.fromkeys(" ".join(ws[i : i + k]) for i in range(len(ws) - k + 1)))
-        size = 8
+        size = 2
         while size < 2 * (len(ws) - k + 1):
             size *= 2
         out.setdefault(k, {}).setdefault(size, []).append((name, shingles))
@@ -72,12 +72,23 @@ def minima(shingles: Column, bands: int) -> Column:
     return F.transform(F.array(*[F.lit(i) for i in range(bands)]), lambda i: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, i))))
 
 
-def _templates(spark, classes: dict[int, list[tuple[str, list[str]]]], bands: int) -> DataFrame:
-    """size, license, shingles (text), hashes, least (the shingle hash that each band's minimum comes from)."""
-    rows = [(size, name, shingles) for size, found in classes.items() for name, shingles in found]
-    if sum(len(r[2]) for r in rows) > MOST:
-        raise ValueError(f"templates have more than {MOST} shingles")
-    df = spark.createDataFrame(rows, "size int, license string, shingles array<string>")
+def _groups(templates: dict[str, str], words: int, bands: int) -> list[dict[str, str]]:
+    """Templates in groups with at most about MOST least shingles each."""
+    out, held = [{}], 0
+    for name, text in sorted(templates.items()):
+        n = min(bands, max(1, len(template_words(text)) - words + 1))
+        if out[-1] and held + n > MOST:
+            out.append({})
+            held = 0
+        out[-1][name] = text
+        held += n
+    return out
+
+
+def _templates(spark, found: dict[int, dict[int, list[tuple[str, list[str]]]]], bands: int) -> DataFrame:
+    """k, size, license, shingles (text), minima, least (the shingle hash that each band's minimum comes from)."""
+    rows = [(k, size, name, shingles) for k, classes in found.items() for size, group in classes.items() for name, shingles in group]
+    df = spark.createDataFrame(rows, "k int, size int, license string, shingles array<string>")
     df = df.withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s)))
     least = F.transform(F.array(*[F.lit(i) for i in range(bands)]), lambda i: F.array_min(F.transform("hashes", lambda h: F.struct(F.xxhash64(h, i).alias("a"), h.alias("b")))).b)
     return df.withColumn("minima", minima(F.col("hashes"), bands)).withColumn("least", F.array_distinct(least))
@@ -91,33 +102,43 @@ def _once(df: DataFrame, column: str) -> DataFrame:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, words: int = WORDS, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, containment (the best of its windows) and n_windows that verify."""
-    spark = docs.sparkSession
-    chosen = TEMPLATES if templates is None else templates
     lowered = F.translate(F.col(text), _UPPER, _LOWER)
     tokens = _once(docs.select(F.col(key).alias("doc_id"), F.filter(F.split(lowered, _BREAK), lambda w: w != "").alias("w")), "w")
     out = None
-    for k, classes in sorted(plan(chosen, words).items()):
-        known = _templates(spark, classes, bands)
-        wanted = sorted({h for r in known.select("least").collect() for h in r[0]})
-        those = F.array(*[F.lit(h).cast("long") for h in wanted])
-        spelt = lambda i: F.concat_ws(" ", *[F.get(F.col("w"), i + j) for j in range(k)])  # noqa: B023, E731
-        shingled = tokens.where(F.size("w") >= k).withColumn("h", F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.xxhash64(spelt(i))))
-        some = _once(shingled, "h").where(F.arrays_overlap("h", those))
-        sized = some.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sorted(classes)])))
-        placed = sized.withColumn("start", F.explode(F.expr("sequence(0, greatest(0, size(h) - 1), size div 2)")))
-        windows = _once(placed.select("doc_id", "size", "start", F.expr("slice(h, start + 1, size)").alias("h"), F.expr(f"slice(w, start + 1, size + {k - 1})").alias("w")), "h").where(F.arrays_overlap("h", those))
-        banded = windows.select("doc_id", "size", "start", "w", F.posexplode(minima(F.col("h"), bands)).alias("band", "value"))
-        offered = known.select("size", "license", "shingles", F.posexplode("minima").alias("band", "value"))
-        met = banded.join(F.broadcast(offered), ["size", "band", "value"])  # at most MOST * BANDS rows
-        pairs = met.dropDuplicates(["doc_id", "license", "size", "start", "w"])
-        grams = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: spelt(i))
-        share = F.size(F.array_intersect(grams, F.col("shingles"))) / F.size("shingles")
-        verified = pairs.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= containment)
-        part = verified.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.countDistinct("start").alias("n_windows"))
-        out = part if out is None else out.unionByName(part)
+    for group in _groups(TEMPLATES if templates is None else templates, words, bands):
+        found = plan(group, words)
+        if found:
+            part = _scan(tokens, found, bands, containment)
+            out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.select(F.col(key).alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("n_windows")).where("false")
 
 
+def _scan(tokens: DataFrame, found: dict[int, dict[int, list[tuple[str, list[str]]]]], bands: int, containment: float) -> DataFrame:
+    known = _templates(tokens.sparkSession, found, bands)
+    wanted: dict[int, set[int]] = {}
+    for r in known.select("k", "least").collect():
+        wanted.setdefault(r["k"], set()).update(r["least"])
+    spelt = lambda i, k: F.concat_ws(" ", *[F.get(F.col("w"), i + j) for j in range(k)])
+    # for each length of shingles: their hashes, if one of them is among those wanted
+    hashes = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.xxhash64(spelt(i, k))))
+    by = []
+    for k, classes in sorted(found.items()):
+        by.append(F.struct(F.lit(k).alias("k"), hashes(k).alias("h"), F.array(*[F.lit(h).cast("long") for h in sorted(wanted[k])]).alias("those"), F.array(*[F.lit(s) for s in sorted(classes)]).alias("sizes")))
+    each = tokens.withColumn("x", F.explode(F.array(*by))).where(F.arrays_overlap("x.h", "x.those"))
+    sized = each.select("doc_id", "w", "x.k", "x.h", "x.those", F.explode("x.sizes").alias("size"))
+    placed = sized.withColumn("start", F.explode(F.expr("sequence(0, greatest(0, size(h) - 1), size div 2)")))
+    windows = _once(placed.select("doc_id", "k", "size", "start", "those", F.expr("slice(h, start + 1, size)").alias("h"), F.expr("slice(w, start + 1, size + k - 1)").alias("w")), "h").where(F.arrays_overlap("h", "those"))
+    banded = windows.select("doc_id", "k", "size", "start", "w", F.posexplode(minima(F.col("h"), bands)).alias("band", "value"))
+    offered = known.select("k", "size", "license", F.posexplode("minima").alias("band", "value"))
+    met = banded.join(offered, ["k", "size", "band", "value"])
+    pairs = met.dropDuplicates(["doc_id", "license", "k", "size", "start", "w"]).select("doc_id", "license", "k", "start", "w")
+    texts = pairs.join(known.select("license", "shingles"), "license")
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("k")), lambda i: F.array_join(F.slice("w", i + 1, F.col("k")), " "))
+    share = F.size(F.array_intersect(grams, F.col("shingles"))) / F.size("shingles")
+    verified = texts.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= containment)
+    return verified.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.countDistinct("start").alias("n_windows"))
+
+
 def oracle(templates: dict[str, str] | None = None, words: int = WORDS, containment: float = CONTAINMENT) -> str:
     """SQL that looks at every window of every document."""
     parts = []
