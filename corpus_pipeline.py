@@ -1,7 +1,10 @@
 """Corpus preparation in stages over documents; belongs to newsloom.llm.
 
-Each stage takes (spark, docs, sf_dir) and returns the documents that stay, with their columns; the last
-returns pieces of packed sequences. Labels and benchmark items are read from sf_dir.
+Each stage takes (spark, docs, sf_dir) and returns the documents that stay, with their columns as they are, whatever these are
+named; the last returns pieces of packed sequences. Labels and benchmark items are read from sf_dir.
+
+In every stage an empty table stays empty, repeated rows are judged one by one (but see near_duplicates), long texts are read whole, and columns that are
+named like an operator's own results are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -17,27 +20,30 @@ LEAST_CERTAIN = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What importance resampling chooses."""
+    """What importance resampling chooses: as large a share of the documents as the labelled ones of quality 1 are. Null and empty texts have the
+    weight 0 and mostly stay; documents without an id share their noise; equal keys at the bound all stay."""
     return importance.select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach, known with some certainty."""
+    """Documents in a language that the labelled ones teach, known with some certainty. Null texts and texts without a letter go; null languages
+    don't teach; without any known language no document stays."""
     return langid.certain(docs, public_tokenizers.path("piece_bpe_32k.model"), LEAST_CERTAIN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked documents."""
+    """One document of each component of linked documents, that of the least id; of several rows of an id the one with the least text. Rows without an
+    id stay; null and wordless texts are linked with nothing and stay."""
     return ngramjoin.one_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item. Null and wordless texts hold none; null items have no windows."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences."""
+    """Pieces of sequences. Null and empty texts are their end id; a null id stays null; other columns aren't carried."""
     return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
