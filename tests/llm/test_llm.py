@@ -535,28 +535,114 @@ def test_licenses(spark):
     assert licenses.scan(d.limit(0)).count() == 0
 
 
+def write_tables(spark, folder, docs, labels, items):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
 def test_pipeline(spark, tmp_path):
+    """Each stage against brute force on what its predecessor kept."""
     pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(4)
     item = " ".join(rnd_words(999, 25, 3000))
-    texts, labels = [], []
+    texts, labels = {}, []
     for i in range(150):
         w = rnd_words(i, 80, 3000)
         if i % 10 == 3:
             w = [x + "%%%" for x in w]
-        texts.append(" ".join(w))
-        labels.append((i, int(i % 10 != 3), 0))
+        texts[i] = " ".join(w)
+        if i % 3:
+            labels.append((i, int(i % 10 != 3), 0))
     texts[20] += " " + item
     texts[40] = texts[41] = texts[42]
-    texts += ["", None, "12 34"]
-    d = spark.createDataFrame([(i, t, "en" if i % 2 else None, f"s{r.randrange(3)}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    d.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    want = {i for i in range(150) if i % 10 != 3} - {20, 41, 42}
-    kept = {x.doc_id for x in pipeline.run(spark, str(tmp_path)).collect()}
-    assert kept == want
+    texts |= dict(enumerate(["", None, "12 34"], 150))
+    d = spark.createDataFrame([(i, t, "en" if i % 2 else None, f"s{r.randrange(3)}", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    write_tables(spark, tmp_path, d, labels, [(1, item)])
+    stages, folder, seen = dict(pipeline.STAGES), str(tmp_path), {}
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for _, stage in pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
+    for name in ("quality", "language", "near_duplicates", "benchmark"):
+        docs = stages[name](spark, docs, folder)
         assert docs.columns == d.columns
+        seen[name] = {x.doc_id for x in docs.select("doc_id").collect()}
+    good = {i for i, q, t in labels if q and not t}
+    weight = brute_importance(texts, sorted(good))
+    keys = {x.doc_id: x.gumbel_key for x in importance.weigh(d, importance.fit(d, spark.read.parquet(f"{tmp_path}/labels.parquet"))).collect()}
+    assert {i: keys[i] > weight[i] - 6 for i in texts} == dict.fromkeys(texts, True)
+    best = sorted(texts, key=lambda i: -keys[i])[: round(sum(q for _, q, _ in labels) / len(labels) * len(texts))]
+    assert seen["quality"] == set(best) and len(seen["quality"] & {i for i in range(150) if i % 10 == 3}) <= 2
+    assert seen["language"] == {i for i in seen["quality"] if texts[i] and any(c.isalpha() for c in texts[i])}
+    groups = brute_join([(i, texts[i]) for i in sorted(seen["language"])])
+    assert seen["near_duplicates"] == {g for _, g in groups.values()}
+    assert seen["benchmark"] == {i for i in seen["near_duplicates"] if not brute_hits(texts[i], [(1, item)])[1]}
+    assert {x.doc_id for x in pipeline.run(spark, folder).collect()} == seen["benchmark"]
+
+
+def test_pipeline_stages_on_hard_tables(spark, tmp_path):
+    """Empty tables, null ids, repeated rows, long texts and clashing columns in each stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["log_weight", "gumbel_key", "_key", "lang_pred", "score", "_guess", "component_id", "_kept", "class", "n", "items", "n_hit", "hits", "n_words", "_row", "w", "found", "_s", "ids"]
+    rows = [(i, " ".join(rnd_words(i, 40)), "en") for i in range(20)] + [(None, "a null id here", "en"), (None, None, None), (3, "repeated id with another text", "en"), (5, " ".join(rnd_words(5, 40)), "en"), (30, "long " * 60_000, "en"), (31, "", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({n: F.lit(n) for n in names})
+    write_tables(spark, tmp_path, d, [(i, 1, 0) for i in range(20)] + [(None, 1, None)], [(1, "zz yy xx"), (None, None)])
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == d.columns and all(x[n] == n for x in out.collect() for n in names), name
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0, name
+        kept = out.collect()
+        if name == "near_duplicates":
+            assert sum(x.doc_id == 5 for x in kept) == 1 and sum(x.doc_id is None for x in kept) == 2 and sum(x.doc_id == 3 for x in kept) == 1
+        else:
+            assert sum(x.doc_id == 5 for x in kept) == 2 and sum(x.doc_id is None for x in kept) == (1 if name == "language" else 2)
+    assert pipeline.pack(spark, d, str(tmp_path)).where("doc_id is null").count() >= 2 and pipeline.pack(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
+def test_stated_cases(spark):
+    """Null and equal ids, repeated rows and clashing names where the operators state a result."""
+    d = spark.createDataFrame([(None, "one two three four five six"), (None, None), (1, "one two three four five six"), (1, "one two three four five six"), (1, "other words of an equal id")], "doc_id long, text string")
+    assert lm.score(d.withColumn("_scored", F.lit("k")), lm.train(d)).select("_scored").distinct().first()[0] == "k"
+    assert sum(x.held_out for x in lm.digest(lm.score_held_out(d)).collect()) == 3 * (zlib.crc32(b"1") % 10 == 0)
+    prints = winnow.compare_with_edits(d).collect()
+    assert len(prints) == 5 and len({x.fingerprint for x in prints if x.n_chars == 27}) == 1
+    files = tokenfile.digest(tokenfile.round_trip(d, WORD)).orderBy("start").collect()
+    assert [x.doc_id for x in files] == [None, None, 1, 1, 1] and files[0].n_tokens == 1 and sorted(x.start for x in files) == [x.start for x in files]
+    told = licenses.scan(spark.createDataFrame([(None, "all rights reserved."), (7, "All rights reserved."), (7, "All rights reserved."), (8, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files and more words"), (9, "Permission is hereby granted, free of charge, to any person")], "doc_id long, text string"))
+    assert sorted((x.doc_id or -1, x.license) for x in told.collect()) == [(-1, "all-rights-reserved"), (7, "all-rights-reserved")]
+    t = {"t": "a b c d e f g h i j k l m n"}  # ten shingles
+    near = spark.createDataFrame([(1, "x a b c d e f g h i j k l y"), (2, "x a b c d e f g h i j k y")], "doc_id long, text string")
+    assert [(x.doc_id, x.containment) for x in licenses.scan(near, templates=t).collect()] == [(1, 0.8)]
+    items = spark.createDataFrame([(None, "one two"), (4, "one two")], "item_id long, text string")
+    got = {(x.doc_id, x.n_hit, tuple(x["items"])) for x in decontaminate.find(d, items).collect()}
+    assert (1, 2, (4,)) in got and (None, 0, ()) in got
+
+
+def test_many_templates_in_groups(spark, monkeypatch):
+    t = {f"t{i}": " ".join(rnd_words(i, 12, 900)) for i in range(8)}
+    d = spark.createDataFrame([(i, "x y " + x + " z") for i, x in enumerate(t.values())], "doc_id long, text string")
+    whole = sorted(licenses.scan(d, templates=t).collect())
+    monkeypatch.setattr(licenses, "MOST", 20)
+    assert sorted(licenses.scan(d, templates=t).collect()) == whole and len(whole) == 8
+
+
+def test_winnowing_finds_what_it_promises():
+    """Any K + WINDOW - 1 shared characters give a shared hash, wherever they are; fewer than K give none."""
+    r = random.Random(7)
+    letters = "abcdefghij kl mnop"
+    for i in range(60):
+        both = "".join(r.choices(letters, k=winnow.K + winnow.WINDOW - 1))
+        a, b = ("".join(r.choices(x, k=r.randrange(300))) + both + "".join(r.choices(x, k=r.randrange(300))) for x in ("ABCDEFGH", "12345678"))
+        assert winnow.likeness(np.unique(winnow.winnow(a)[0]), np.unique(winnow.winnow(b)[0])) > 0
+        a, b = ("".join(r.choices(x, k=200)) + both[: winnow.K - 1] + "".join(r.choices(x, k=200)) for x in ("ABCDEFGH", "12345678"))
+        assert winnow.likeness(np.unique(winnow.winnow(a)[0]), np.unique(winnow.winnow(b)[0])) == 0
+
+
+def test_shared_folder(spark):
+    from newsloom.llm import common
+
+    kept = common.stored(spark.range(3), "x")
+    path = kept.inputFiles()[0].rsplit("/", 1)[0]
+    common.dropped(kept)
+    assert not __import__("os").path.exists(path.removeprefix("file:").replace("///", "/"))
+    again = common.stored(spark.range(3), "y")
+    assert again.count() == 3 and common.clear(spark) > 0
+    assert common.fresh("a", ["_A", "_a0"]) == "_a1"
