@@ -463,6 +463,22 @@ def run_counters(t):
     return growth.run_counts(fresh, both, both.distinct(), old)
 
 
+@query("""SELECT doc_id, md5(coalesce(text, '')) AS text_md5, source, '' AS notes FROM documents""")
+def csv_round_trip(t):
+    """Whole texts written as CSV with all canonical columns, and read back."""
+    path = growth.shared_path(t.spark, "articles")
+    tables.write_rows(t.documents.select(F.col("doc_id").cast("string").alias("article_id"), F.col("text").alias("article_title"), "source"), path)
+    return tables.read_rows(t.spark, path).select(F.col("article_id").cast("long").alias("doc_id"), F.md5("article_title").alias("text_md5"), "source", "notes")
+
+
+@query("""WITH n AS (SELECT DISTINCT user_id, event_type || value AS url FROM events), f AS (SELECT url, min(user_id) AS seed FROM n GROUP BY url), c AS (SELECT seed, count(*) AS n FROM f GROUP BY seed),
+b AS (SELECT seed, coalesce(sum(n) OVER (ORDER BY seed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT n.user_id, n.url FROM n JOIN b ON n.user_id = b.seed WHERE before <= 500""")
+def early_stop(t):
+    """Users stand for listing pages: they are read until there are over 500 different addresses."""
+    df = t.events.select(F.col("user_id").alias("seed"), F.concat("event_type", F.col("value").cast("string")).alias("url")).distinct()
+    return growth.seeds_within(df, 500).select(F.col("seed").alias("user_id"), "url")
+
+
 # ---- conflicts -----------------------------------------------------------------------------------------------------
 
 
@@ -473,6 +489,28 @@ def leader_cluster(t):
     return conflicts.assign(df, "page_id").select("page_id", "conflict_id", "coverage_count")
 
 
+@query("""WITH e AS (SELECT user_id, ts, '<li><a href=''e' || event_id || '''>' || event_type || ' &middot; ' || coalesce(strftime(ts, '%Y-%m-%d'), 'unknown date') || '</a><br><small>' || event_type || ' &lt;' || event_id || '&gt;</small></li>' AS item FROM events)
+SELECT user_id, md5(string_agg(item, '' ORDER BY ts DESC NULLS LAST, item DESC)) AS items_md5 FROM e GROUP BY user_id""")
+def popup_list(t):
+    """A user stands for a group of articles."""
+    title = F.concat(F.col("event_type"), F.lit(" <"), F.col("event_id").cast("string"), F.lit(">"))
+    items = dashboard.popup_items(title, F.col("event_type"), F.col("ts"), F.concat(F.lit("e"), F.col("event_id").cast("string")))
+    return t.events.groupBy("user_id").agg(F.md5(items).alias("items_md5"))
+
+
+@query("""SELECT event_id, printf('%.6f', value) AS fixed, CASE WHEN event_type IN ('signup', 'purchase') THEN 'es' ELSE 'en' END AS language, CASE WHEN event_type = 'click' THEN 'mining' WHEN event_type = 'view' THEN 'water' ELSE '' END AS label FROM events""")
+def small_functions(t):
+    kind = F.when(F.col("event_type") == "signup", " Español").when(F.col("event_type") == "purchase", "spanish").otherwise(F.col("event_type"))
+    slugs = F.array(F.lit("other"), F.col("event_type"))
+    return t.events.select("event_id", X.six_decimals(F.col("value")).alias("fixed"), X.language_of(kind).alias("language"), X.first_slug(slugs, {"click": "mining", "view": "water"}).alias("label"))
+
+
+@query(r"""WITH l AS (SELECT page_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(html, '(?is)<a\s[^>]*href\s*=\s*["'']([^"'']*)["'']', 1), lambda u: regexp_extract(u, '^/([a-zA-Z]+)$', 1)), lambda x: x <> ''))) AS s FROM pages)
+SELECT page_id, array_to_string(s, ',') AS slugs FROM l""")
+def page_slugs(t):
+    return t.pages.select("page_id", F.array_join(H.slugs(F.col("html"), "^/([a-zA-Z]+)$"), ",").alias("slugs"))
+
+
 # ---- places --------------------------------------------------------------------------------------------------------
 
 
@@ -577,6 +615,26 @@ def boundary_levels(t):
     return t.nation.select("n_nationkey", places.boundary_level(gid).alias("level"))
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE 'Old' END AS a0, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE r_name END AS a1
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def admin_copy(t):
+    a0, a1 = V.ADMIN_COLUMNS[:2]
+    df = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    df = df.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.col("n_name"), F.lit(" "))).alias("country"), F.when(F.col("c_custkey") % 3 != 0, F.col("r_name")).otherwise("").alias("region_department"), F.lit(" Old").alias(a0), F.lit(None).cast("string").alias(a1))
+    return places.admin_columns(df).select("c_custkey", F.col(f"`{a0}`").alias("a0"), F.col(f"`{a1}`").alias("a1"))
+
+
+@query("""WITH x AS (SELECT c_custkey AS k, c_custkey % 5 AS m, CASE WHEN c_custkey % 2 = 0 THEN 'town' ELSE 'region' END AS precision FROM customer),
+b AS (SELECT k, m, CASE WHEN precision = 'town' AND m <> 1 THEN 'p' WHEN m <> 2 THEN 't' END AS how FROM x)
+SELECT k, CASE WHEN how IS NULL OR m = 4 OR (m = 3 AND how = 'p') THEN '' WHEN m = 3 THEN 'P ' ELSE how END AS a2, CASE WHEN how IS NULL OR m = 4 OR (m = 3 AND how = 'p') THEN '' ELSE 'PER.1' END AS gid FROM b""")
+def resolved_rows(t):
+    """By point where that is precise, else by text; blank where it echoes the country or lies in another one."""
+    k = F.col("c_custkey")
+    rows = t.customer.select(k.alias("k"), F.when(k % 5 == 3, "p").otherwise("Peru").alias("country"), F.lit("PER").alias("iso3"), F.when(k % 2 == 0, "town").otherwise("region").alias("precision"))
+    found = lambda name, echo, without: t.customer.where(k % 5 != without).select(k.alias("k"), F.when(k % 5 == 3, echo).otherwise(name).alias("a2"), F.lit("").alias("a3"), F.when(k % 5 == 4, "BRA.1").otherwise("PER.1").alias("gid"))
+    return places.resolve(rows, found("p", "P", 1), found("t", "P x", 2), "k").select("k", F.replace("a2", F.lit("x"), F.lit("")).alias("a2"), "gid")
+
+
 # ---- raster --------------------------------------------------------------------------------------------------------
 
 
@@ -601,6 +659,13 @@ def spatial_means(t):
     return raster.spatial_mean(df, ["label"], ["nir", "red"]).select("label", F.round("mean_nir", 6).alias("mean_nir"), F.round("mean_red", 6).alias("mean_red"))
 
 
+@query("""SELECT vec_id FROM embeddings e WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.vec_id)""")
+def clipped_pixels(t):
+    """Labelled ids stand for the mask of an area."""
+    grid = lambda d, c: d.select(F.floor(F.col(c) / 10).alias("y"), (F.col(c) % 10).alias("x"), F.col(c).alias("vec_id"))
+    return raster.clipped(grid(t.embeddings, "vec_id"), grid(t.labels, "doc_id").drop("vec_id")).select("vec_id")
+
+
 @query("""SELECT user_id, strftime(date_trunc('month', ts), '%Y-%m') AS month, round(median(value * 0.0000275::DOUBLE - 0.2::DOUBLE), 9) AS value FROM events GROUP BY 1, 2""")
 def monthly_median(t):
     df = raster.reflectance(t.events.withColumn("month", F.date_format("ts", "yyyy-MM")), ["value"])
