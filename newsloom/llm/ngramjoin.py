@@ -468,9 +468,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     enough = F.expr(f"c + {after} >= ceil({p} * (a + b) / {p + q}D)")
     counted = met.where("tie < 2").groupBy("u", "v").agg(F.sum("c").alias("c"), *[F.max(x).alias(x) for x in ("a", "b", "ra", "rb", "za", "zb", "tie")])
     likely = stored(counted.where((F.col("tie") == 1) | enough), "pairs")
-    bins = members.where("n > 0").groupBy("class").agg(F.first("bins").alias("bins"))
+    # one row a class, written: a semi-join of an aggregate would be moved below it, to all documents of a class
+    reps = stored(members.where("doc_id is not null and n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bins").alias("bins")), "classes")
     used = likely.where("tie = 0").select(F.explode(F.array("u", "v")).alias("class")).distinct()
-    bins = stored(bins.join(used, "class", "left_semi"), "bins")
+    bins = stored(reps.select("class", "bins").join(used, "class", "left_semi"), "bins")
 
     @F.pandas_udf("long")
     def beyond(c: pd.Series, za: pd.Series, zb: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
@@ -488,8 +489,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         heads = met.where("tie = 2").select("t", "u").distinct()
         near = near.unionByName(heads.join(heads.groupBy("t").agg(F.min("u").alias("v")), "t").select("u", "v"))
     family = components(near.select("u", "v"), "families").select(F.col("node").alias("class"), F.col("component").alias("family"))
-    reps = stored(members.where("doc_id is not null and n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
-    grouped = family.join(redealt(reps, "class"), "class")
+    grouped = family.join(reps.select("class", "doc_id", "n"), "class")
     # blocks: a family's shingles in order of set size, and by hash among equal sizes; sums by size come first, so no family is in one task
     sums = grouped.groupBy("family", "n").agg(F.sum("n").alias("own"))
     before = F.coalesce(F.sum("own").over(Window.partitionBy("family").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
