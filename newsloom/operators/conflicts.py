@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
+from .growth import name
 
 #: Seeds with longer titles are not bounded by common subsequences, only by counts of characters
 LONG_TITLE = 512
@@ -161,6 +162,7 @@ def assign(df: DataFrame, key: str, country: str = "country", title: str = "arti
     its own, aren't streamed at all. Sizes of clusters are an aggregate. The same title in two windows makes two clusters of one id.
     """
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("conflict_id", "coverage_count")])
+    own = name("_key", df.columns)
     names = df.select(F.col(key).alias("_key"), F.lower(F.trim(F.coalesce(F.col(country), F.lit("")))).alias("_country"), X.normalised_title(F.coalesce(F.col(title), F.lit(""))).alias("_title"), F.datediff(F.try_to_date(F.substring(F.coalesce(F.col(date), F.lit("")).cast("string"), 1, 10), "yyyy-MM-dd"), F.lit("1970-01-01").cast("date")).alias("_day"))
     ordered = names.where("_title <> ''").repartition("_country").sortWithinPartitions("_country", F.col("_day").asc_nulls_last(), "_key")
 
@@ -180,7 +182,8 @@ def assign(df: DataFrame, key: str, country: str = "country", title: str = "arti
     sizes = placed.groupBy("_country", "_cluster").agg(F.count("*").alias("coverage_count"))
     found = placed.join(sizes, ["_country", "_cluster"]).select("_key", X.conflict_id(F.col("_country"), F.col("_seed")).alias("conflict_id"), "coverage_count")
     blank = names.where("_title = ''").select("_key", X.conflict_id(F.col("_country"), F.lit("")).alias("conflict_id"), F.lit(1).cast("long").alias("coverage_count"))
-    return df.join(found.unionByName(blank), df[key].eqNullSafe(F.col("_key")), "left").drop("_key")
+    told = found.unionByName(blank).withColumnRenamed("_key", own)
+    return df.join(told, df[key].eqNullSafe(told[own]), "left").drop(own)
 
 
 def multi_covered(df: DataFrame, row_id: str) -> DataFrame:

@@ -34,11 +34,11 @@ def _removed(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _name(name: str, taken: list[str]) -> str:
+def name(wanted: str, taken: list[str]) -> str:
     """A column name that no column has."""
-    while name.lower() in {t.lower() for t in taken}:
-        name += "_"
-    return name
+    while wanted.lower() in {t.lower() for t in taken}:
+        wanted += "_"
+    return wanted
 
 
 def merged(existing: DataFrame, fresh: DataFrame, order: str = "ordinal") -> DataFrame:
@@ -123,13 +123,13 @@ def back_filled(df: DataFrame, found: DataFrame, key: str, columns: list[str], n
     return out.withColumns({c: F.when(needs, F.coalesce(F.col(f"_new_{c}"), F.col(c))).otherwise(F.col(c)) for c in columns}).drop(*[f"_new_{c}" for c in columns])
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], into: str = "place") -> DataFrame:
     """Rows with their number (from 1) in the whole order, which has to be a total one.
 
     Ranges of the order are sorted on their own and written once; only their sizes, one number a range, go through the driver.
     """
     taken = list(df.columns)
-    part, own = _name("range", taken), _name("within", taken)
+    part, own = name("range", taken), name("within", taken)
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -141,7 +141,7 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFra
         before.append(at)
         at += sizes.get(i, 0)
     starts = F.array(*[F.lit(b).cast("long") for b in before or [0]])
-    return dealt.select(*[F.col(f"`{c}`") for c in taken], (F.get(starts, F.col(part)) + F.col(own) + 1).alias(name))
+    return dealt.select(*[F.col(f"`{c}`") for c in taken], (F.get(starts, F.col(part)) + F.col(own) + 1).alias(into))
 
 
 def status_counts(df: DataFrame, status: str = "text_status") -> DataFrame:

@@ -600,7 +600,16 @@ def place_mentions(t):
     return hits.groupBy("doc_id").agg(F.count("*").alias("n_names"))
 
 
-@query()
+_WORDLESS = "[^\\p{L}\\p{N}_]"
+
+
+@query(f"""WITH n AS (SELECT unnest([{_sql_list(_TOWNS)}]) AS name, unnest(range({len(_TOWNS)})) AS i), m AS (SELECT name, 'PER.' || i || '_1' AS gid, 'r' || (i % 3) AS region, strip_accents(name) AS p FROM n WHERE length(name) >= 4),
+d AS (SELECT doc_id, 'r' || (doc_id % 4) AS region, strip_accents(text) AS t, regexp_replace(strip_accents(text), '({_WORDLESS})', '\\1\\1', 'g') AS twice FROM documents),
+f AS (SELECT doc_id, name, gid, d.region AS own, m.region AS region, t, twice, upper(p[1]) || '(?i:' || p[2:] || ')(?:$|{_WORDLESS})' AS pat, upper(p[1]) || '(?i:' || replace(p[2:], ' ', '  ') || ')(?:$|{_WORDLESS})' AS pat2 FROM d, m),
+h AS (SELECT doc_id, name, gid, own, region, t, CASE WHEN regexp_matches(t, '^' || pat) THEN 0 ELSE length(regexp_extract(t, '(?s)^(.*?){_WORDLESS}' || pat, 1)) + 1 END AS pos, len(regexp_extract_all(twice, '(?:^|{_WORDLESS})' || pat2)) AS k FROM f WHERE regexp_matches(t, '(?:^|{_WORDLESS})' || pat)),
+b AS (SELECT * FROM h WHERE (own <> 'r3' AND region = own) OR (own = 'r3' AND k >= 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, name, gid) = 1),
+e AS (SELECT *, gid = 'PER.0_1' AND regexp_matches(t, '(?:^|{_WORDLESS})E(?i:ren)(?:$|{_WORDLESS})') AS deep FROM b)
+SELECT doc_id, name AS a2, CASE WHEN deep THEN 'Eren' ELSE '' END AS a3, CASE WHEN deep THEN 'PER.0.1_1' ELSE gid END AS gid FROM e""")
 def place_of_text(t):
     second = t.spark.createDataFrame([Row(iso3="PER", region=f"R{i % 3}", name=n, gid=f"PER.{i}_1") for i, n in enumerate(_TOWNS)])
     third = t.spark.createDataFrame([Row(iso3="PER", gid2="PER.0_1", name="Eren", gid="PER.0.1_1")])
