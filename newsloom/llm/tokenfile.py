@@ -7,7 +7,7 @@ a byte per document that is 1 for a null id, the blocks' byte offsets (64-bit);
 little-endian. ``bits`` is the least that holds every id of the vocabulary. Any id is in block
 ``i // BLOCK``, whose bytes are unpacked by numpy in one go.
 
-Documents are dealt by ranges of their id, so part k holds what precedes part k + 1 and each file is
+Documents are dealt by ranges of their id, as many as fit FILE_BYTES of text each (and the shuffle partitions at least), so part k holds what precedes part k + 1 and each file is
 written by one task, whole or not at all: another attempt writes under another name, and only the
 name that a finished task returned is used. Files go to a folder that all machines share.
 
@@ -32,6 +32,8 @@ from .tokens import Tokens
 MAGIC = b"TOKBITS1"
 BLOCK = 1 << 16
 END = 1
+#: Bytes of text for a file
+FILE_BYTES = 256 << 20
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -61,12 +63,12 @@ class Writer:
         self.out, self.bits, self.at = out, bits, len(MAGIC)
         out.write(MAGIC)
         self.rest = np.zeros(0, np.uint32)
-        self.keys, self.counts, self.nulls, self.offsets = [], [], [], []
+        self.keys, self.counts, self.nulls, self.offsets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], []
         self.tokens = 0
 
-    def add(self, keys: list, counts: np.ndarray, ids: np.ndarray) -> None:
-        self.nulls += [k is None for k in keys]
-        self.keys += [k or 0 for k in keys]
+    def add(self, keys: pa.Array, counts: np.ndarray, ids: np.ndarray) -> None:
+        self.nulls.append(keys.is_null().to_numpy(zero_copy_only=False))
+        self.keys.append(keys.fill_null(0).to_numpy())
         self.counts.append(counts)
         self.tokens += len(ids)
         self.rest = np.concatenate([self.rest, ids])
@@ -83,9 +85,11 @@ class Writer:
     def close(self) -> None:
         if len(self.rest):
             self._block(self.rest)
-        for x, kind in ((self.keys, "<i8"), (np.concatenate([*self.counts, np.zeros(0, np.int64)]), "<i8"), (self.nulls, "u1"), (self.offsets, "<u8")):
+        keys, counts, nulls = (np.concatenate(x) for x in (self.keys, self.counts, self.nulls))
+        for x, kind in ((keys, "<i8"), (counts, "<i8"), (nulls, "u1"), (self.offsets, "<u8")):
             self.out.write(np.asarray(x, kind).tobytes())
-        self.out.write(np.array([len(self.keys), self.tokens, len(self.offsets), self.bits, BLOCK, self.at], "<i8").tobytes())
+        self.documents = len(keys)
+        self.out.write(np.array([len(keys), self.tokens, len(self.offsets), self.bits, BLOCK, self.at], "<i8").tobytes())
 
 
 class TokenFile:
@@ -121,7 +125,9 @@ class TokenFile:
 def write(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", text: str = "text", end: int = END) -> list[dict]:
     """Writes the files; returns path, documents, tokens and first position of each, in order."""
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(width(docs.sparkSession), *order[:1]).sortWithinPartitions(*order)
+    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = base.repartitionByRange(max(width(docs.sparkSession), -(-size // FILE_BYTES)), *order[:1]).sortWithinPartitions(*order)
 
     def run(batches):
         from pyspark import TaskContext
@@ -136,9 +142,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", te
             writer = Writer(out, bits_for(size))
             for b in bw.chunks(batches, "text"):
                 ids, at = tokens.encode(*bw.flat(b.column(1)))
-                writer.add(b.column(0).to_pylist(), np.diff(at) + 1, np.insert(ids, at[1:], end).astype(np.uint32))
+                writer.add(b.column(0), np.diff(at) + 1, np.insert(ids, at[1:], end).astype(np.uint32))
             writer.close()
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [f"{folder}/{name}"], "documents": [len(writer.keys)], "tokens": [writer.tokens]})
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [f"{folder}/{name}"], "documents": [writer.documents], "tokens": [writer.tokens]})
 
     found = sorted((r.asDict() for r in dealt.mapInArrow(run, "part long, path string, documents long, tokens long").collect()), key=lambda r: r["part"])
     at = 0
