@@ -70,9 +70,9 @@ class Vocabulary:
         self.kind[used] = np.arange(1, len(used) + 1)
         inner = sorted({p[:k] for p in pieces for k in range(len(p))}, key=lambda x: (len(x), x))  # the root first, then nodes with children, then leaves
         number = {x: i + 1 for i, x in enumerate(inner)}
-        self.step = np.zeros((len(inner) + 1, len(used) + 1), np.int32)
         for p in sorted(pieces):
             number.setdefault(p, len(number) + 1)
+        self.step = np.zeros((len(inner) + 1, len(used) + 1), np.uint16 if len(number) < 1 << 16 else np.uint32)
         for x, i in number.items():
             if x:
                 self.step[number[x[:-1]], self.kind[x[-1]]] = i
@@ -217,7 +217,7 @@ def marked(word: bytes) -> bytes:
     return _MARK + word.decode("utf-8", "replace").lower().encode()
 
 
-def batched(words: list[bytes], most: int = 1 << 18):
+def batched(words: list[bytes], most: int = 1 << 15):
     """Bounds of groups of words with so many bytes at most, of one word at least."""
     ends = np.cumsum([len(w) for w in words])
     i = 0

@@ -51,7 +51,7 @@ FREQUENT = 2_000_000
 SMALL = 64
 MANY = 512
 #: Pairs that a task holds at once
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 #: Classes that have a shingle, for each bucket it is dealt to
 SLICE = 100_000
 #: Branchings of a trie that are walked one by one
@@ -62,8 +62,8 @@ TRIED = 4
 WIDTH = 128
 CELL = 4_000_000
 BINS = 64
-FLUSH = 1_500_000
-BUCKET = 2_000_000
+FLUSH = 750_000
+BUCKET = 1_000_000
 _LOW = np.uint64((1 << 63) - 1)
 
 
