@@ -27,23 +27,27 @@ def tags(html: Column, name: str) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"(?is)<{name}(\s[^>]*)?>"), 0)
 
 
-def _named(html: Column, kind: str, name: str) -> Column:
-    """Meta tags whose attribute (name or property) is the name."""
-    return F.filter(tags(html, "meta"), lambda t: attribute(t, kind) == name)
+def meta_tags(html: Column) -> Column:
+    """Name, property and content of every meta tag, in order; read once for all that is asked of them."""
+    return F.transform(tags(html, "meta"), lambda t: F.struct(attribute(t, "name").alias("name"), attribute(t, "property").alias("property"), F.trim(attribute(t, "content")).alias("content")))
 
 
-def meta(html: Column, *names: str) -> Column:
+def meta_of(found: Column, *names: str) -> Column:
     """The first non-blank content, in order of the names; of each, the first tag with that name, or with that property if no tag has the name."""
     out = []
     for name in names:
-        first = F.coalesce(F.get(_named(html, "name", name), F.lit(0)), F.get(_named(html, "property", name), F.lit(0)))
-        out.append(F.nullif(F.trim(attribute(first, "content")), F.lit("")))
+        first = F.coalesce(F.get(F.filter(found, lambda t: t["name"] == name), F.lit(0)), F.get(F.filter(found, lambda t: t["property"] == name), F.lit(0)))
+        out.append(F.nullif(first["content"], F.lit("")))
     return F.coalesce(*out, F.lit(""))
 
 
-def metas(html: Column, name: str) -> Column:
+def meta(html: Column, *names: str) -> Column:
+    return meta_of(meta_tags(html), *names)
+
+
+def metas_of(found: Column, name: str) -> Column:
     """Non-blank contents of all tags with the property, in order."""
-    return F.filter(F.transform(_named(html, "property", name), lambda t: F.trim(attribute(t, "content"))), lambda v: v != "")
+    return F.filter(F.transform(F.filter(found, lambda t: t["property"] == name), lambda t: t["content"]), lambda v: v != "")
 
 
 def author_link(html: Column) -> Column:

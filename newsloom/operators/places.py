@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,16 +123,16 @@ def in_polygons(points: DataFrame, areas: DataFrame, key: str, on: list[str], gr
     else:
         slices = 64
         dealt = near.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)))
-        wide = areas.select("gid", "rings", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("_slice"))
+        wide = areas.select(F.col("gid").alias("_area"), "rings", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("_part"))
         kinds = dict(points.dtypes)
 
-        def test(rows: pd.DataFrame, area: pd.DataFrame) -> pd.DataFrame:
-            if not len(rows) or not len(area):
-                return pd.DataFrame({key: [], "gid": []})
-            ok = inside(rows["x"].to_numpy(), rows["y"].to_numpy(), list(area["rings"].iloc[0]))
-            return rows.loc[ok, [key, "gid"]]
+        def test(rows: pa.Table, area: pa.Table) -> pa.Table:
+            ok = np.zeros(rows.num_rows, bool)
+            if rows.num_rows and area.num_rows:
+                ok = inside(rows["x"].to_numpy(), rows["y"].to_numpy(), area["rings"][0].as_py())
+            return rows.select([key, "gid"]).filter(pa.array(ok))
 
-        found = dealt.groupBy("gid", "_slice").cogroup(wide.groupBy("gid", "_slice")).applyInPandas(test, f"{key} {kinds[key]}, gid string")
+        found = dealt.groupBy("gid", "_slice").cogroup(wide.groupBy("_area", "_part")).applyInArrow(test, f"{key} {kinds[key]}, gid string")
     hit = found.groupBy(key).agg(F.min("gid").alias("gid"))
     return points.select(key).join(hit, key, "left")
 

@@ -178,10 +178,17 @@ def candidates(pages: DataFrame, source: Source, most: int) -> DataFrame:
     return used.groupBy("url").agg(F.min(F.struct("seed", "place")).alias("first")).select("url", "first.seed", "first.place")
 
 
+def _held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """With columns that are computed here: else the plan would put their expressions into each of their many uses."""
+    held = df.withColumn("_held", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return held.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], "_held.*")
+
+
 def parse_articles(pages: DataFrame, source: Source) -> DataFrame:
     """Article rows of landed pages: the canonical columns and, for the relevance test, slugs; pages without a title go."""
-    h, url = F.col("html"), F.col("url")
-    said = {k: H.meta(h, *source.meta.get(k, [])) if source.meta.get(k) else F.lit("") for k in ("title", "text", "section", "author", "keywords", "date", "id", "country", "tier")}
+    pages = _held(pages, {"_metas": H.meta_tags(F.col("html"))})
+    h, url, metas = F.col("html"), F.col("url"), F.col("_metas")
+    said = {k: H.meta_of(metas, *source.meta.get(k, [])) if source.meta.get(k) else F.lit("") for k in ("title", "text", "section", "author", "keywords", "date", "id", "country", "tier")}
     said["title"] = X.or_else(said["title"], H.title(h))
     if source.author_link:
         said["author"] = X.or_else(said["author"], H.author_link(h))
@@ -190,10 +197,10 @@ def parse_articles(pages: DataFrame, source: Source) -> DataFrame:
     patterns = source.slug_patterns or ({"topics": source.slug_pattern} if source.slug_pattern else {})
     slugs = {k: H.slugs(h, patterns[k]) if k in patterns else F.array().cast("array<string>") for k in ("topics", "regions")}
     if source.tags:
-        slugs["topics"] = F.transform(H.metas(h, source.tags), lambda t: F.lower(t))
-    df = pages.withColumns({f"_{k}": c for k, c in said.items()} | {f"_{k}": c for k, c in slugs.items()}).where("_title <> ''")
+        slugs["topics"] = F.transform(H.metas_of(metas, source.tags), lambda t: F.lower(t))
+    df = _held(pages, {f"_{k}": c for k, c in said.items()} | {f"_{k}": c for k, c in slugs.items()}).where("_title <> ''")
     field = {k: F.col(f"_{k}") for k in said} | {"path": X.path_words(H.path(url)), "topics": F.array_join("_topics", " ")}
-    df = df.withColumn("_blob", X.blob(*[field[k] for k in source.blob]))
+    df = _held(df, {"_blob": X.blob(*[field[k] for k in source.blob])})
     df = classify(df, F.col("_blob"), {d: source.rules.get(d, {}) for d in ("sector", "event_type", "environmental_issue")})
     for d, by_slug in source.slug_rules.items():
         if d != "country":
@@ -207,6 +214,8 @@ def parse_articles(pages: DataFrame, source: Source) -> DataFrame:
     region = X.first_listed(F.concat_ws(" ", *[field[k] for k in source.region_text]), source.regions) if source.regions else F.lit("")
     date = X.day_month_year(F.col("_date")) if source.day_first else X.iso_date(F.col("_date"))
     blank = {c: F.lit("") for c in ("locality", "latitude", "longitude", "actor_company", "community_actor")}
+    df = _held(df, {d: F.col(d) for d in ("sector", "event_type", "environmental_issue")} | {"_where": country}).withColumn("country", F.col("_where")).drop("_where")
+    country = F.col("country")
     df = df.withColumns({"article_id": X.publisher_id(source.name, F.col("_id"), url), "source": F.lit(source.label or source.name), "article_title": F.col("_title"), "article_url": url, "date_published": date, "country": country, "region_department": region, **blank, "source_text_excerpt": F.substring("_text", 1, 500), "extraction_method": F.lit(source.method)})
     return df.withColumn("notes", _notes(source)).withColumnRenamed("_topics", "slugs")
 
