@@ -130,7 +130,7 @@ def _scan(tokens: DataFrame, found: dict[int, dict[int, list[tuple[str, list[str
     windows = _once(placed.select("doc_id", "k", "size", "start", "those", F.expr("slice(h, start + 1, size)").alias("h"), F.expr("slice(w, start + 1, size + k - 1)").alias("w")), "h").where(F.arrays_overlap("h", "those"))
     banded = windows.select("doc_id", "k", "size", "start", "w", F.posexplode(minima(F.col("h"), bands)).alias("band", "value"))
     offered = known.select("k", "size", "license", F.posexplode("minima").alias("band", "value"))
-    met = banded.join(offered, ["k", "size", "band", "value"])
+    met = banded.join(F.broadcast(offered), ["k", "size", "band", "value"])  # a group has at most MOST templates: MOST * bands narrow rows
     pairs = met.dropDuplicates(["doc_id", "license", "k", "size", "start", "w"]).select("doc_id", "license", "k", "start", "w")
     texts = pairs.join(known.select("license", "shingles"), "license")
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("k")), lambda i: F.array_join(F.slice("w", i + 1, F.col("k")), " "))
