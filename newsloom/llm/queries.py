@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, importance, langid, licenses, lm, ngramjoin, packing, tokenfile, winnow
+from . import chat, decontaminate, importance, langid, licenses, lm, ngramjoin, packing, spelling, tokenfile, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_fingerprint, op3_chat, op4_perplexity, op5_importance, op6_pack, op7_jaccard_join, op8_language, op9_token_file, op10_licenses)}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_fingerprint, op3_chat, op4_perplexity, op5_importance, op6_pack, op7_jaccard_join, op8_language, op9_token_file, op10_licenses, op13_spelling)}
 
 SQL: dict[str, str] = {}
 
@@ -103,3 +107,22 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(10 + length(er) + 9 + length(et) + 5) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+SQL["op13_spelling"] = r"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS w FROM documents),
+r AS (SELECT doc_id, w, count(*) AS k FROM d WHERE length(w) >= 6 GROUP BY 1, 2),
+x AS (SELECT w, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM r),
+b AS (SELECT w, k, list_transform(range(0, length(x) // 2), lambda i: (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 1) AS b FROM x),
+h AS (SELECT w, k, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(t[CAST(xor(c, y) & 255 AS BIGINT) + 1], c >> 8)), 4294967295) AS h FROM b, tab),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, k FROM h),
+n AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM v WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+e AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM n),
+l AS MATERIALIZED (SELECT DISTINCT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM e),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM l a JOIN l b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM l a JOIN n b ON a.less = b.word UNION SELECT b.word, a.word, a.n FROM l a JOIN n b ON a.less = b.word),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(a := -other_n, b := other)) AS m FROM p GROUP BY 1),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -m.a >= 5 * n THEN m.b END AS form, CASE WHEN -m.a >= 5 * n THEN -m.a END AS form_n FROM n LEFT JOIN best USING (word)),
+go AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT go.word, f.word, f.form FROM go JOIN f ON go.next = f.word)
+SELECT f.word, form, root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN go ON f.word = go.word AND go.next IS NULL
+"""
