@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, importance, langid, licenses, lm, ngramjoin, packing, spelling, tokenfile, winnow
+from . import changes, chat, decontaminate, importance, langid, licenses, lm, ngramjoin, packing, spelling, tokenfile, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +54,15 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.apply(_read(spark, sf_dir, "client_changes"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_fingerprint, op3_chat, op4_perplexity, op5_importance, op6_pack, op7_jaccard_join, op8_language, op9_token_file, op10_licenses, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_fingerprint, op3_chat, op4_perplexity, op5_importance, op6_pack, op7_jaccard_join, op8_language, op9_token_file, op10_licenses, op11_apply_changes, op13_spelling)}
 
 SQL: dict[str, str] = {}
 
