@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import changes, chat, decontaminate, importance, langid, licenses, lm, ngramjoin, packing, spelling, tokenfile, winnow
+from . import changes, chat, decontaminate, importance, langid, licenses, lm, ngramjoin, packing, repeats, spelling, tokenfile, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,11 +58,15 @@ def op11_apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.apply(_read(spark, sf_dir, "client_changes"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.find(_read(spark, sf_dir, "documents")))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_fingerprint, op3_chat, op4_perplexity, op5_importance, op6_pack, op7_jaccard_join, op8_language, op9_token_file, op10_licenses, op11_apply_changes, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_fingerprint, op3_chat, op4_perplexity, op5_importance, op6_pack, op7_jaccard_join, op8_language, op9_token_file, op10_licenses, op11_apply_changes, op12_repeats, op13_spelling)}
 
 SQL: dict[str, str] = {}
 
@@ -130,3 +134,17 @@ f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -m.a
 go AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT go.word, f.word, f.form FROM go JOIN f ON go.next = f.word)
 SELECT f.word, form, root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN go ON f.word = go.word AND go.next IS NULL
 """
+
+SQL["op12_repeats"] = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+g AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM s),
+m AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM g JOIN m USING (h) WHERE doc_id > first),
+r AS (SELECT doc_id, list(p) AS p FROM c GROUP BY doc_id),
+k AS (SELECT doc_id, p, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d JOIN r USING (doc_id)),
+t AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM k WHERE NOT list_contains(p, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN p IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
