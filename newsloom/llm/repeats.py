@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import stored
+from .common import redealt, stored
 
 WINDOW = 50
 GRAM = 12
@@ -213,14 +213,15 @@ def find(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = L
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     known = stored(docs.mapInArrow(_read, f"doc_id {dict(docs.dtypes)['doc_id']}, sha binary, n_words long"), "words")
-    least = known.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("least"))
-    told = known.join(least, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
+    known = known.withColumn("k", F.xxhash64("sha"))
+    least = known.where("doc_id IS NOT NULL").groupBy("sha", "k").agg(F.min("doc_id").alias("least"))
+    told = known.join(redealt(least, "k"), ["k", "sha"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
     key = f"doc_id {dict(docs.dtypes)['doc_id']}, sha binary"
     read = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     by_doc = stored(read.mapInArrow(_anchored(window, gram), f"g long, {key.split(',')[0]}, n long"), "anchors")
     shared = by_doc.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.sum("n").alias("n")).where("a < z").select("g", (F.col("n") > limit).alias("large"))
-    of_doc = by_doc.join(shared, "g").groupBy("doc_id").agg(F.collect_list(F.struct("g", "large")).alias("gs"))
+    of_doc = by_doc.join(redealt(shared, "g"), "g").groupBy("doc_id").agg(F.collect_list(F.struct("g", "large")).alias("gs"))
     # copies of whole documents need no search: their first document's windows are all that they have
     copies = told.where("copy").groupBy("doc_id").agg(F.collect_set("sha").alias("copies"))
     wanted = read.join(of_doc.join(copies, "doc_id", "left"), "doc_id")
@@ -231,7 +232,7 @@ def find(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = L
     trees = small.repartition("g").sortWithinPartitions("g").mapInArrow(_trees(window, together), f"{key}, start int, n int")
     wide = stored(held.mapInArrow(_pieces(window, gram, True), f"one long, two long, {key}, start int"), "wide")
     first = wide.groupBy("one", "two").agg(F.min("doc_id").alias("least"))
-    rest = wide.join(first, ["one", "two"]).where("doc_id > least").select("doc_id", "sha", "start", F.lit(1).alias("n"))
+    rest = wide.join(redealt(first, "one"), ["one", "two"]).where("doc_id > least").select("doc_id", "sha", "start", F.lit(1).alias("n"))
     spans = trees.unionByName(rest).groupBy("doc_id", "sha").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     kinds = "n_removed long, spans array<struct<start:int,length:int>>, kept string, kept_sha256 string"
     cut = held.select("doc_id", "sha", "text").join(spans, ["doc_id", "sha"]).mapInArrow(_cut(window), f"{key}, {kinds}")
