@@ -186,10 +186,10 @@ def _held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def parse_articles(pages: DataFrame, source: Source) -> DataFrame:
     """Article rows of landed pages: the canonical columns and, for the relevance test, slugs; pages without a title go."""
-    pages = _held(pages, {"_metas": H.meta_tags(F.col("html"))})
-    h, url, metas = F.col("html"), F.col("url"), F.col("_metas")
+    pages = _held(_held(pages, {"_marks": H.marks(F.col("html"))}), {"_metas": H.meta_tags_of(F.col("_marks"))})
+    h, url, metas, found = F.col("html"), F.col("url"), F.col("_metas"), F.col("_marks")
     said = {k: H.meta_of(metas, *source.meta.get(k, [])) if source.meta.get(k) else F.lit("") for k in ("title", "text", "section", "author", "keywords", "date", "id", "country", "tier")}
-    said["title"] = X.or_else(said["title"], H.title(h))
+    said["title"] = X.or_else(said["title"], H.title_of(found))
     if source.author_link:
         said["author"] = X.or_else(said["author"], H.author_link(h))
     if source.time_tag:

@@ -253,14 +253,26 @@ def parsed_dates(t):
 # ---- pages ---------------------------------------------------------------------------------------------------------
 
 
+#: Letters as references in several spellings; comments, quoted ">" and nested navigation that a reader of tags passes over. The SQL reads the pages without them
+_SPELLED = {"é": "&eacute;", "ñ": "&#241;", "ó": "&#xF3;", "ü": "&uuml;", "á": "&#x000e1;", "ß": "&szlig;", "ä": "&#0228;", "ö": "&ouml;", "í": "&iacute;", "è": "&egrave;", "à": "&agrave;", "ú": "&#XFA;"}
+_SET_IN = {"<head>": "<head><!-- a > b <title>no</title> <a href='no'> --><meta name='x' content='1 > 0 <title>no</title> <a href=no>'>", "<article>": """<article data-x="1 > 0" title='<nav>'><NAV class="> no"><p>no</p><nav>no</nav><p>no</p></NAV><!-- > <p>no</p> -->"""}
+
+
+def _hard_pages(t) -> DataFrame:
+    c = F.col("html")
+    for a, b in (_SPELLED | _SET_IN).items():
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return t.pages.withColumn("html", c)
+
+
 @query(f"SELECT page_id, {_PAGE_TITLE} AS title FROM pages")
 def page_titles(t):
-    return t.pages.select("page_id", X.or_else(H.meta(F.col("html"), "og:title"), H.title(F.col("html"))).alias("title"))
+    return _hard_pages(t).select("page_id", X.or_else(H.meta(F.col("html"), "og:title"), H.title(F.col("html"))).alias("title"))
 
 
 @query(r"""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href\s*=\s*["'']([^"'']*)["'']', 1)) AS href FROM pages) SELECT page_id, href FROM l WHERE href <> ''""")
 def page_links(t):
-    return t.pages.select("page_id", F.explode(H.links(F.col("html"))).alias("href")).distinct()
+    return _hard_pages(t).select("page_id", F.explode(H.links(F.col("html"))).alias("href")).distinct()
 
 
 @query(r"""SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][\w+.-]*://([^/?#]*)', 1)) AS host, regexp_matches(regexp_extract(url, '^[a-zA-Z][\w+.-]*://[^/?#]*([^?#]*)', 1), '[02468]/?$') AND NOT regexp_matches(url, '/[a-z]*1') AS article FROM pages""")
@@ -270,10 +282,11 @@ def url_filter(t):
 
 
 def _sql_main_text() -> str:
-    c = "CASE WHEN regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) <> '' THEN regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) ELSE html END"
-    for name in H._ASIDE:
+    c = "CASE WHEN contains(html, '<article>') THEN regexp_extract(html, '(?is)<article[^>]*>(.*?)(</article>|$)', 1) ELSE html END"
+    for name in ("script", "style", "title", *H._ASIDE):
         c = f"regexp_replace({c}, '(?is)<{name}(\\s[^>]*)?>.*?</{name}>', ' ', 'g')"
     c = f"regexp_replace({c}, '(?i)</(p|div|h[1-6]|li)>|<br\\s*/?>', chr(10), 'g')"
+    c = f"regexp_replace({c}, '(?s)<!--.*?-->', ' ', 'g')"
     c = f"regexp_replace({c}, '(?s)<[^>]*>', ' ', 'g')"
     for a, b in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
         c = f"replace({c}, '{a}', {b})"
@@ -283,8 +296,8 @@ def _sql_main_text() -> str:
 
 @query(f"SELECT page_id, article_text, CASE WHEN article_text = '' THEN 'empty' ELSE 'ok' END AS text_status FROM (SELECT page_id, {_sql_main_text()} AS article_text FROM pages)")
 def page_text(t):
-    text = H.main_text(F.col("html"))
-    return t.pages.select("page_id", text.alias("article_text"), H.text_status(text, F.lit(200)).alias("text_status"))
+    pages = _hard_pages(t).select("page_id", H.main_text(F.col("html")).alias("article_text"))
+    return pages.select("page_id", "article_text", H.text_status(F.col("article_text"), F.lit(200)).alias("text_status"))
 
 
 _BLANK = ", ".join(f"'' AS {c}" for c in ("date_published", "locality", "latitude", "longitude", "actor_company", "community_actor", "source_text_excerpt", "notes"))
@@ -295,7 +308,7 @@ SELECT 'pages:url-' || left(sha1(url), 12) AS article_id, 'pages' AS source, tit
 FROM (SELECT *, {', '.join(f"{_sql_first('b', r)} AS {d}" for d, r in _RULES.items())}, {_sql_first('b', _COUNTRIES)} AS c, {_sql_first("lower(strip_accents(title))", {n: [n.lower().replace('í', 'i').replace('ü', 'u')] for n in _NAMES})} AS region_department FROM b)""")
 def article_rows(t):
     s = rules.Source("pages", "", rules=_RULES, countries=_COUNTRIES, default_country="Nowhere", regions=_NAMES, relevance="always")
-    return tables.articles(rules.relevant_articles(t.pages.select("url", "html"), s))
+    return tables.articles(rules.relevant_articles(_hard_pages(t).select("url", "html"), s))
 
 
 # ---- sources that come with the library ----------------------------------------------------------------------------
