@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import json
 import math
 from collections.abc import Iterator
 
@@ -34,59 +35,71 @@ _OUT = "client_id long, n long, change_id long, status string, batch int, missed
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",  # would read before each write
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a start reads one batch, so nothing is gained by an open store
 }
 
 
-def _order(row: tuple) -> tuple:
+def _order(row: list) -> tuple:
     """Of rows with one number the least counts: by day and change_id, then (equal ids) by what they say, nulls first."""
     change, op, city, balance, day, _ = row
     return day, change, op or "", city or "", -math.inf if balance is None else balance
 
 
+_Out = Row("row")
+
+
 class Sequence(StatefulProcessor):
-    """One client's rows of a batch. A row without a number is the clock's."""
+    """One client's rows (client_id, row: JSON) of a batch; a null row is the clock's.
 
-    def __init__(self, wait: int, chunk: int):
-        self.wait, self.chunk = wait, chunk
+    Rows, held rows and values are JSON, since what a call to the state or a row costs grows with its columns. What a client has besides its held rows is one
+    value: next, the number of held rows, a day that no held row is before, and of the last applied row its number, whether it was a D, city and balance.
+    """
+
+    def __init__(self, batch: int, clock: int | None, last: bool, wait: int, chunk: int):
+        self.batch, self.clock, self.last, self.wait, self.chunk = batch, clock, last, wait, chunk
 
     def init(self, handle) -> None:
-        self.next = handle.getValueState("next", "n long, held long, day int")  # day: no held row is earlier
-        self.current = handle.getValueState("current", "n long, gone boolean, city string, balance double")
-        self.rows = handle.getMapState("rows", "n long", "change_id long, op string, city string, balance double, day int, batch int")
+        self.value = handle.getValueState("value", "value string")
+        self.rows = handle.getMapState("rows", "n long", "row string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         rows = iter(rows)
         chunk = list(itertools.islice(rows, self.chunk))
-        batch, clock, last = chunk[0].batch, chunk[0].clock, chunk[0].last
-        was = self.next.get() or (1, 0, None)
-        at, held, least = was
-        now = None  # current values, read when first needed
-        fresh: dict[int, tuple] = {}
+        batch, clock, last = self.batch, self.clock, self.last
+        known = self.value.get()
+        was = json.loads(known[0]) if known else [1, 0, None, 0, True, None, None]
+        at, held, least = was[:3]
+        now = was[3:]
+        fresh: dict[int, list] = {}
 
-        def out(row: tuple, n: int, status: str, missed: int = 0, city: str | None = None, cents: int | None = None) -> Row:
-            return Row(client_id=key[0], n=n, change_id=row[0], status=status, batch=batch, missed=missed, city=city, cents=cents)
+        def out(row: list, n: int, status: str, missed: int = 0, city: str | None = None, cents: int | None = None) -> Row:
+            return _Out(json.dumps({"client_id": key[0], "n": n, "change_id": row[0], "status": status, "batch": batch, "missed": missed, "city": city, "cents": cents}))
 
-        def applied(row: tuple, n: int, missed: int) -> Row:
+        def applied(row: list, n: int, missed: int) -> Row:
             nonlocal now
             _, op, city, balance, _, _ = row
-            _, _, old_city, old_balance = now or self.current.get() or (0, True, None, None)
+            _, _, old_city, old_balance = now
             if op == "U":
                 city, balance = old_city if city is None else city, old_balance if balance is None else balance
             elif op == "D":
                 city = balance = None
             elif op != "I":
                 city, balance = old_city, old_balance
-            now = (n, op == "D", city, balance)
+            now = [n, op == "D", city, balance]
             cents = 100 * balance + 0.5 if balance is not None else math.nan
             return out(row, n, "applied", missed, city, math.floor(cents) if math.isfinite(cents) else None)
 
-        def taken(n: int) -> tuple | None:
+        def found(n: int) -> list | None:
+            kept = self.rows.getValue((n,)) if held else None
+            return json.loads(kept[0]) if kept else None
+
+        def taken(n: int) -> list | None:
             """A held row, no longer held."""
             nonlocal held
             row = fresh.pop(n, None)
-            if row is None and held:
-                row = self.rows.getValue((n,))
+            if row is None:
+                row = found(n)
                 if row is not None:
                     self.rows.removeKey((n,))
                     held -= 1
@@ -95,13 +108,13 @@ class Sequence(StatefulProcessor):
         def keep() -> None:
             nonlocal held, least
             for n, row in fresh.items():
-                self.rows.updateValue((n,), row)
+                self.rows.updateValue((n,), (json.dumps(row),))
             fresh_days = [row[4] for row in fresh.values()]
             least = min([least] * (least is not None) + fresh_days, default=None)
             fresh.clear()
 
         if held and (last or (clock is not None and least + self.wait <= clock)):
-            days = [(row[4], k[0]) for k, row in self.rows.iterator()]  # 16 bytes for a row that waits
+            days = [(json.loads(v[0])[4], k[0]) for k, v in self.rows.iterator()]  # two numbers for a row that waits
             numbers = sorted(n for _, n in days)
             heapq.heapify(days)
             i = 0
@@ -117,19 +130,20 @@ class Sequence(StatefulProcessor):
             least = days[0][0] if i < len(numbers) else None
         while chunk:
             for r in chunk:
-                if r.n is None:
+                if r.row is None:
                     continue
-                row = (r.change_id, r.op, r.city, r.balance, r.day, r.batch)
-                rival = None if r.n < at else fresh.get(r.n) or (self.rows.getValue((r.n,)) if held else None)
-                if rival is None and r.n >= at:
-                    fresh[r.n] = row
+                n, *row = map(json.loads(r.row).get, ("n", "change_id", "op", "city", "balance", "day"))
+                row = [*row[:3], None if row[3] is None else float(row[3]), row[4], batch]
+                rival = None if n < at else fresh.get(n) or found(n)
+                if rival is None and n >= at:
+                    fresh[n] = row
                 elif rival is not None and rival[5] == batch and _order(row) < _order(rival):
-                    if r.n not in fresh:
+                    if n not in fresh:
                         held -= 1
-                    fresh[r.n] = row
-                    yield out(rival, r.n, "rejected")
+                    fresh[n] = row
+                    yield out(rival, n, "rejected")
                 else:
-                    yield out(row, r.n, "rejected")
+                    yield out(row, n, "rejected")
             chunk = list(itertools.islice(rows, self.chunk))
             if chunk:  # the next may bring an earlier row of any number
                 held += len(fresh)
@@ -139,15 +153,11 @@ class Sequence(StatefulProcessor):
             at += 1
         held += len(fresh)
         keep()
-        state = (at, held, least if held else None)
+        state = [at, held, least if held else None, *now]
         if state != was:
-            self.next.update(state)
-        if now:
-            self.current.update(now)
-        if last:
-            n, gone, _, _ = now or self.current.get() or (0, True, None, None)
-            if not gone:
-                yield out((None,), n, "current")
+            self.value.update((json.dumps(state),))
+        if last and not now[1]:
+            yield out([None], now[0], "current")
 
     def close(self) -> None:
         pass
@@ -202,7 +212,9 @@ def apply(changes: DataFrame, batches: int = BATCHES, wait: int = WAIT, lost: in
     folder = shared_dir(spark, "sequenced")
     rows = stored(batched(changes, batches, lost), "batched")
     known = rows.groupBy("client_id").agg(F.min("batch").alias("first")).select("client_id", F.explode(F.sequence(F.col("first") + 1, F.lit(batches + 1))).alias("batch"))
-    rows.unionByName(known, allowMissingColumns=True).withColumn("b", F.col("batch")).write.partitionBy("b").parquet(f"{folder}/waiting")
+    said = F.to_json(F.struct("n", "change_id", "op", "city", "balance", "day"))
+    fed = rows.select("client_id", said.alias("row"), F.col("batch").alias("b")).unionByName(known.withColumnRenamed("batch", "b"), allowMissingColumns=True)
+    fed.write.partitionBy("b").parquet(f"{folder}/waiting")
     days = {r["batch"]: r["day"] for r in rows.groupBy("batch").agg(F.max("day").alias("day")).collect()}  # a row a batch
     _made(spark, f"{folder}/source")
     saved = {k: spark.conf.get(k, None) for k in _SETTINGS}
@@ -212,14 +224,13 @@ def apply(changes: DataFrame, batches: int = BATCHES, wait: int = WAIT, lost: in
         for b in range(1, batches + 2):
             _moved(spark, f"{folder}/waiting/b={b}", f"{folder}/source/b={b}")
             clock = max((d for e, d in days.items() if e < b), default=None)
-            given = spark.readStream.schema(f"{_ROWS}, b int").parquet(f"{folder}/source").drop("b")
-            timed = given.withColumns({"clock": F.lit(clock).cast("int"), "last": F.lit(b > batches)})
-            done = timed.groupBy("client_id").transformWithState(Sequence(wait, chunk), _OUT, "Append", "None")
+            given = spark.readStream.schema("client_id long, row string, b int").parquet(f"{folder}/source").drop("b")
+            done = given.groupBy("client_id").transformWithState(Sequence(b, clock, b > batches, wait, chunk), "row string", "Append", "None")
             done.writeStream.format("parquet").option("path", _made(spark, f"{folder}/out")).option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in saved.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    out = spark.read.schema(_OUT).parquet(f"{folder}/out")
+    out = spark.read.schema("row string").parquet(f"{folder}/out").select(F.from_json("row", _OUT).alias("r")).select("r.*")
     final = out.where("status = 'current'").select(F.col("client_id").alias("c"), F.col("n").alias("m"))
     rows = out.where("status <> 'current'")
     joined = rows.join(final, F.col("client_id").eqNullSafe(F.col("c")) & (F.col("n") == F.col("m")) & (F.col("status") == "applied"), "left")
