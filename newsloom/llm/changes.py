@@ -7,6 +7,7 @@ client known so far; a gap in front of a row that has waited long enough is jump
 
 from __future__ import annotations
 
+import gc
 import heapq
 import itertools
 import json
@@ -29,6 +30,9 @@ LOST = 11
 #: Rows of a client that are in a worker's memory at once
 CHUNK = 20_000
 
+#: Held numbers that are listed in the value, so that no row is looked up in vain
+LISTED = 32
+
 COLUMNS = ["change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance"]
 _ROWS = "client_id long, n long, change_id long, op string, city string, balance double, day int, batch int"
 _OUT = "client_id long, n long, change_id long, status string, batch int, missed long, city string, cents long"
@@ -53,13 +57,15 @@ class Sequence(StatefulProcessor):
     """One client's rows (client_id, row: JSON) of a batch; a null row is the clock's.
 
     Rows, held rows and values are JSON, since what a call to the state or a row costs grows with its columns. What a client has besides its held rows is one
-    value: next, the number of held rows, a day that no held row is before, and of the last applied row its number, whether it was a D, city and balance.
+    value: next, the number of held rows, a day that no held row is before, the numbers of held rows while they are few, and of the last applied row its number,
+    whether it was a D, city and balance.
     """
 
     def __init__(self, batch: int, clock: int | None, last: bool, wait: int, chunk: int):
         self.batch, self.clock, self.last, self.wait, self.chunk = batch, clock, last, wait, chunk
 
     def init(self, handle) -> None:
+        gc.freeze()  # what is loaded so far stays; looking through it for garbage takes longer than a client's rows
         self.value = handle.getValueState("value", "value string")
         self.rows = handle.getMapState("rows", "n long", "row string")
 
@@ -68,9 +74,10 @@ class Sequence(StatefulProcessor):
         chunk = list(itertools.islice(rows, self.chunk))
         batch, clock, last = self.batch, self.clock, self.last
         known = self.value.get()
-        was = json.loads(known[0]) if known else [1, 0, None, 0, True, None, None]
-        at, held, least = was[:3]
-        now = was[3:]
+        was = json.loads(known[0]) if known else [1, 0, None, [], 0, True, None, None]
+        at, held, least, numbers = was[:4]
+        some = None if numbers is None else set(numbers)  # held numbers, while they are few
+        now = was[4:]
         fresh: dict[int, list] = {}
 
         def out(row: list, n: int, status: str, missed: int = 0, city: str | None = None, cents: int | None = None) -> Row:
@@ -91,43 +98,59 @@ class Sequence(StatefulProcessor):
             return out(row, n, "applied", missed, city, math.floor(cents) if math.isfinite(cents) else None)
 
         def found(n: int) -> list | None:
-            kept = self.rows.getValue((n,)) if held else None
+            kept = self.rows.getValue((n,)) if held and (some is None or n in some) else None
             return json.loads(kept[0]) if kept else None
 
+        def released(n: int) -> None:
+            nonlocal held
+            held -= 1
+            if some is not None:
+                some.discard(n)
+
         def taken(n: int) -> list | None:
             """A held row, no longer held."""
-            nonlocal held
             row = fresh.pop(n, None)
             if row is None:
                 row = found(n)
                 if row is not None:
                     self.rows.removeKey((n,))
-                    held -= 1
+                    released(n)
             return row
 
         def keep() -> None:
             nonlocal held, least
             for n, row in fresh.items():
                 self.rows.updateValue((n,), (json.dumps(row),))
-            fresh_days = [row[4] for row in fresh.values()]
-            least = min([least] * (least is not None) + fresh_days, default=None)
+            held += len(fresh)
+            if some is not None:
+                some.update(fresh)
+            least = min([least] * (least is not None) + [row[4] for row in fresh.values()], default=None)
             fresh.clear()
 
         if held and (last or (clock is not None and least + self.wait <= clock)):
-            days = [(json.loads(v[0])[4], k[0]) for k, v in self.rows.iterator()]  # two numbers for a row that waits
-            numbers = sorted(n for _, n in days)
+            pairs = ((k[0], json.loads(v[0])) for k, v in self.rows.iterator())
+            loaded = dict(pairs) if held <= self.chunk else None  # else number and day of each, and rows one by one
+            days = [(row[4], n) for n, row in (loaded.items() if loaded is not None else pairs)]
+            waiting = sorted(n for _, n in days)
             heapq.heapify(days)
             i = 0
-            while i < len(numbers):
+            while i < len(waiting):
                 while days[0][1] < at:
                     heapq.heappop(days)
                 if not last and days[0][0] + self.wait > clock:
                     break
-                missed, at = numbers[i] - at, numbers[i]
-                while i < len(numbers) and numbers[i] == at:
-                    yield applied(taken(at), at, missed)
+                missed, at = waiting[i] - at, waiting[i]
+                while i < len(waiting) and waiting[i] == at:
+                    yield applied(taken(at) if loaded is None else loaded.pop(at), at, missed)
                     missed, at, i = 0, at + 1, i + 1
-            least = days[0][0] if i < len(numbers) else None
+            least = days[0][0] if i < len(waiting) else None
+            if loaded is not None:
+                if not loaded:
+                    self.rows.clear()
+                for n in waiting[:i]:
+                    if loaded:
+                        self.rows.removeKey((n,))
+                    released(n)
         while chunk:
             for r in chunk:
                 if r.row is None:
@@ -139,21 +162,20 @@ class Sequence(StatefulProcessor):
                     fresh[n] = row
                 elif rival is not None and rival[5] == batch and _order(row) < _order(rival):
                     if n not in fresh:
-                        held -= 1
+                        released(n)
                     fresh[n] = row
                     yield out(rival, n, "rejected")
                 else:
                     yield out(row, n, "rejected")
             chunk = list(itertools.islice(rows, self.chunk))
             if chunk:  # the next may bring an earlier row of any number
-                held += len(fresh)
                 keep()
         while (row := taken(at)) is not None:
             yield applied(row, at, 0)
             at += 1
-        held += len(fresh)
         keep()
-        state = [at, held, least if held else None, *now]
+        some = set() if not held else some if some is not None and len(some) <= LISTED else None
+        state = [at, held, least if held else None, None if some is None else sorted(some), *now]
         if state != was:
             self.value.update((json.dumps(state),))
         if last and not now[1]:

@@ -159,6 +159,8 @@ class Opened:
     def _split(path: str, n: int, kinds: tuple[str, ...]) -> list[np.ndarray]:
         raw, out, at = _map(path), [], 0
         for k in kinds:
+            if k is kinds[-1] and n:  # counts of pairs are as wide as the largest of a file needs
+                k = f"{k[:2]}{(len(raw) - at) // n}"
             size = n * int(k[-1])
             out.append(raw[at : at + size].view(k))
             at += size
@@ -166,7 +168,7 @@ class Opened:
 
     def _look(self, files: list[tuple[str, int]], kinds: tuple[str, ...], where: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
         """Columns after the hash for each h, 0 where it is missing."""
-        out = [np.zeros(len(h), k) for k in kinds[1:]]
+        out = [np.zeros(len(h), "<i8" if k[1] == "u" else k) for k in kinds[1:]]
         order = np.argsort(where, kind="stable")
         some, edge = np.unique(where[order], return_index=True)
         for b, i, j in zip(some.tolist(), edge.tolist(), np.append(edge[1:], len(h)).tolist()):
@@ -293,7 +295,7 @@ def train(docs: DataFrame, use: Column | None = None, text: str = "text") -> Mod
         v, w, n = v[first], w[first], np.add.reduceat(n, first)
         h = pair(v, w)
         order = np.argsort(h)
-        path = _save(folder, f"pairs-{key[0].as_py():06d}", h[order], np.minimum(n, 0xFFFFFFFF)[order].astype("<u4"))
+        path = _save(folder, f"pairs-{key[0].as_py():06d}", h[order], n[order].astype("<u4" if n.max(initial=0) < 1 << 32 else "<u8"))
         counts = np.array([(n == k).sum() for k in (1, 2, 3, 4)], "<i8")
         out = [pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([0], pa.int64()), pa.array([path.encode()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([np.array([len(h)], "<i8").tobytes()], pa.binary())], ["bucket", "kind", "a", "b", "n"])]
         at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))

@@ -180,6 +180,14 @@ def test_language_model(spark):
     assert all(r.score == 0 and r.n_known == 0 for r in none)
 
 
+def test_counts_of_pairs_have_no_cap(tmp_path):
+    h, folder = np.arange(3, dtype=np.uint64), f"file://{tmp_path}"
+    for kind, n in (("<u4", [1, 2, 2**32 - 1]), ("<u8", [1, 2, 2**32 + 5])):
+        path = lm._save(folder, "pairs", h, np.array(n, kind))
+        opened = lm.Opened(lm.Model([(path, 3)], [], h[:0], 0, 0, (0, 0, 0), 0.0, "m"))
+        assert opened._look([(path, 3)], lm._PAIR, np.zeros(3, np.int64), h)[0].tolist() == n
+
+
 def brute_importance(texts, target):
     """Log weights by plain loops over features."""
     f = {}
