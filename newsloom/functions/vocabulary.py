@@ -73,6 +73,7 @@ SHORTEST_PLACE = 4
 # Raster constants.
 SCALE, SHIFT = 0.0000275, -0.2
 CLOUD_BELOW, SCENES_A_MONTH = 80.0, 10
+PIXEL = 30 / 111_320  # degrees
 BAND_ASSETS = {
     "blue": ["blue", "SR_B2", "SR_B1"], "green": ["green", "SR_B3", "SR_B2"], "red": ["red", "SR_B4", "SR_B3"],
     "nir": ["nir08", "SR_B5", "SR_B4"], "swir1": ["swir16", "SR_B6", "SR_B5"],

@@ -8,13 +8,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
-from .growth import name
+from .components import components, redealt
+from .storage import name, written
 
 #: Seeds with longer titles are not bounded by common subsequences, only by counts of characters
 LONG_TITLE = 512
@@ -76,113 +77,179 @@ def common_at_most(a: Title, seeds: np.ndarray) -> np.ndarray:
     return out
 
 
-class Leaders:
-    """Seeds of one country in order, as arrays: codes, lengths, days, and an index from distinctive words to seeds.
+#: Titles that a task compares with each other at once
+BLOCK = 512
+
+
+def titles_of(rows: DataFrame) -> DataFrame:
+    """Distinct titles of rows (k, c: country, t: title, d: day), written once: id, c, t, first and last place in the order, least and most day, undated."""
+    place = F.struct(F.col("d").isNull().alias("undated"), "d", "k")
+    found = rows.where("t <> ''").groupBy("c", "t").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("d").alias("low"), F.max("d").alias("high"), F.max(F.col("d").isNull()).alias("undated"))
+    return written(found.withColumn("id", F.monotonically_increasing_id()), "titles")
+
+
+def word_pairs(titles: DataFrame) -> DataFrame:
+    """(a, b), a < b: titles (id, c, t) whose words can make them fit.
 
-    Rows come by date, so seeds do, and a seed out of the window of a dated row is out for all later dated rows. Seeds that the words
-    make fit are found by the index; for all others only a ratio of RATIO_LEAST counts, and bounds on it for all live seeds at
-    once leave few. Exact scores are found from the best bound on, until no bound can beat the best score.
+    Words are ordered from rare to frequent within a country. Sets that share two distinctive words share one even without the most frequent one of each; and
+    of a smaller set of which a larger one has a share, the rare words up to that share's complement hold a common one. So frequent words hardly meet.
     """
+    words = titles.select("id", "c", F.explode(X.keywords(F.split("t", " "))).alias("w"))
+    often = redealt(words.groupBy("c", "w").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("c", "w")), "h")
+    known = words.withColumn("h", F.xxhash64("c", "w")).join(often, ["h", "c", "w"])
+    sets = known.groupBy("id", "c").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("ws")).withColumn("n", F.size("ws"))
+    telling = F.filter("ws", lambda w: F.length(w) >= V.DISTINCTIVE_LENGTH)
+    rare = sets.select("id", "c", F.explode(F.slice(telling, 1, F.greatest(F.size(telling) - (V.STRONG_SHARED - 1), F.lit(0)))).alias("w"))
+    strong = rare.alias("x").join(rare.alias("y"), (F.col("x.c") == F.col("y.c")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")))
+    least = F.ceil(F.col("n") * V.OVERLAP_LEAST - 1e-9)
+    small = sets.select("id", "c", "n", F.explode(F.slice("ws", 1, (F.col("n") - least + 1).cast("int"))).alias("w"))
+    large = sets.select("id", "c", "n", F.explode("ws").alias("w"))
+    share = small.alias("x").join(large.alias("y"), (F.col("x.c") == F.col("y.c")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.n") <= F.col("y.n")) & (F.col("x.id") != F.col("y.id")))
+    both = [d.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")) for d in (strong, share)]
+    return both[0].unionByName(both[1]).distinct()
+
+
+def ratio_pairs(titles: DataFrame, days: int | None, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: titles of a country whose characters make them fit, some days of which may be in one window.
+
+    No filter on words or parts of them can find these, so blocks of titles of like length and time are compared, all rows of a block at once by a
+    bound; blocks whose lengths or days rule a ratio out don't meet. The blocks of a country are dealt to all workers.
+    """
+    size = F.floor(F.log(1.25, F.length("t")))
+    slot = F.lit(0) if days is None else F.when(~F.col("undated"), F.floor(F.col("low") / max(days, 1)))
+    sized = titles.select("id", "c", "t", "low", "high", "undated", size.alias("size"), F.coalesce(slot, F.lit(-(2**40))).alias("slot"))
+    parts = sized.groupBy("c", "size", "slot").agg(F.ceil(F.count("*") / block).alias("parts"))
+    salted = sized.join(redealt(parts.withColumn("h", F.xxhash64("c", "size", "slot")), "h"), ["c", "size", "slot"]).withColumn("salt", F.pmod(F.xxhash64("id"), "parts"))
+    low, high = F.when(~F.max("undated"), F.min("low")), F.when(~F.max("undated"), F.max("high"))
+    blocks = salted.groupBy("c", "size", "slot", "salt").agg(F.collect_list(F.struct("id", "t")).alias("titles"), F.min(F.length("t")).alias("short"), F.max(F.length("t")).alias("long"), low.alias("low"), high.alias("high"))
+    blocks = written(blocks.withColumn("b", F.monotonically_increasing_id()), "blocks")
+    x, y = (blocks.drop("titles").alias(n) for n in "xy")
+    reach = lambda p, q: F.col(f"{p}.long") * (2 - V.RATIO_LEAST) >= F.col(f"{q}.short") * V.RATIO_LEAST
+    near = F.lit(True) if days is None else F.coalesce(F.greatest("x.low", "y.low") - F.least("x.high", "y.high") <= days, F.lit(True))
+    meet = x.join(y, (F.col("x.c") == F.col("y.c")) & (F.col("x.b") <= F.col("y.b")) & reach("x", "y") & reach("y", "x") & near)
+    pairs = meet.select(F.col("x.b").alias("xb"), F.col("y.b").alias("yb"))
+    texts = lambda n: blocks.select(F.col("b").alias(f"{n}b"), F.col("titles").alias(n))
+    return pairs.join(texts("x"), "xb").join(texts("y"), "yb").select("x", "y").mapInArrow(_compare, "a long, b long").distinct()
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for xs, ys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, others = np.array([r["id"] for r in ys]), [Title.of(r["t"]) for r in ys]
+            length = np.array([len(o.text) for o in others])
+            codes = np.zeros((len(ys), min(LONG_TITLE, max(length))), np.uint8)
+            for i, o in enumerate(others):
+                kept = o.codes[:LONG_TITLE]
+                codes[i, : len(kept)] = kept
+            for r in xs:
+                t = Title.of(r["t"])
+                m = len(t.text)
+                bound = 2 * np.minimum(length, m) / (length + m)
+                at = np.flatnonzero((bound >= V.RATIO_LEAST) & (ids != r["id"]))
+                short = at[length[at] <= LONG_TITLE] if m <= LONG_TITLE else at[:0]
+                if len(short):
+                    bound[short] = 2 * common_at_most(t, codes[short, : int(length[short].max())]) / (length[short] + m)
+                for i in at[bound[at] >= V.RATIO_LEAST].tolist():
+                    if max(likeness(t, others[i]), likeness(others[i], t)) >= V.RATIO_LEAST:
+                        out.append((min(r["id"], int(ids[i])), max(r["id"], int(ids[i]))))
+        a, b = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def similarity(titles: DataFrame, days: int | None = V.WINDOW_DAYS, block: int = BLOCK) -> DataFrame:
+    """(t, s, score): a row of title t fits a seed of title s, if its time allows it; only where a row of s is before one of t."""
+    pairs = word_pairs(titles).unionByName(ratio_pairs(titles, days, block)).distinct()
+    side = lambda n: titles.select(F.col("id").alias(n), F.struct("t", "first", "last").alias(f"of_{n}"))
+    known = pairs.join(side("a"), "a").join(side("b"), "b")
+    ahead = [F.struct(F.col(t).alias("t"), F.col(f"of_{t}.t").alias("title"), F.col(s).alias("s"), F.col(f"of_{s}.t").alias("seed"), (F.col(f"of_{s}.first") < F.col(f"of_{t}.last")).alias("can")) for t, s in ("ab", "ba")]
+    return known.select(F.explode(F.array(*ahead)).alias("e")).select("e.*").where("can").select("t", "title", "s", "seed").mapInArrow(_scored, "t long, s long, score double")
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for t, title, s, seed in zip(*[c.to_pylist() for c in batch.columns]):
+            a, b = Title.of(title), Title.of(seed)
+            fits, extra = shared_weight(a, b)
+            ratio = likeness(a, b)
+            if fits or ratio >= V.RATIO_LEAST:
+                out.append((t, s, ratio + extra))
+        columns = zip(*out) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["t", "s", "score"])
+
+
+class Leaders:
+    """Seeds of a component in order. A row looks at the seeds of its own title and of those that its title fits, nothing else."""
 
     def __init__(self, days: int | None):
-        self.days, self.live = days, 0
-        self.seeds: list[Title] = []
-        self.day = np.zeros(16, np.int64)
-        self.dated = 0
-        self.length = np.zeros(16, np.int64)
-        self.codes = np.zeros((16, 64), np.uint8)
-        self.index: dict[str, list[int]] = {}
-        self.known: dict[str, tuple[int, int | None, int]] = {}
-
-    def _add(self, t: Title, day: int | None) -> int:
-        n = len(self.seeds)
-        if n == len(self.day):
-            self.day, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.day, self.length))
-            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
-        kept = t.codes[:LONG_TITLE]
-        if len(kept) > self.codes.shape[1]:
-            self.codes = np.pad(self.codes, ((0, 0), (0, max(len(kept), 2 * self.codes.shape[1]) - self.codes.shape[1])))
-        self.codes[n, : len(kept)] = kept
-        self.length[n] = len(t.text)
-        if day is not None:
-            self.day[n] = day
-            self.dated = n + 1
-        for w in t.telling:
-            self.index.setdefault(w, []).append(n)
-        self.seeds.append(t)
-        return n
-
-    def _alike(self, t: Title, first: int) -> dict[int, float]:
-        """Seeds from ``first`` on whose ratio may reach the least, with a bound on it."""
-        n, m = self.length[first : len(self.seeds)], len(t.text)
-        bound = 2 * np.minimum(n, m) / np.maximum(n + m, 1)
-        at = np.flatnonzero((bound >= V.RATIO_LEAST) & (n > 0))
-        short = at[n[at] <= LONG_TITLE] if m <= LONG_TITLE else at[:0]
-        if len(short):
-            bound[short] = 2 * common_at_most(t, self.codes[first + short, : max(1, int(n[short].max()))]) / (n[short] + m)
-            at = at[bound[at] >= V.RATIO_LEAST]
-        return dict(zip((first + at).tolist(), bound[at].tolist()))
-
-    def place(self, title: str, day: int | None) -> int:
-        """The cluster that a row joins or begins."""
-        if not title:
-            return self._add(Title.of(""), day)
-        seen = self.known.get(title)
-        if seen is not None and seen[1:] == (day, len(self.seeds)):
-            return seen[0]
-        t, first = Title.of(title), 0
-        if day is not None and self.days is not None:
-            self.live = max(self.live, int(np.searchsorted(self.day[: self.dated], day - self.days)))
-            first = self.live
-        some = self._alike(t, first)
-        bounds = []
-        near = {i for w in t.telling if w in self.index for i in self.index[w][bisect.bisect_left(self.index[w], first) :]}
-        for i in near | some.keys():
-            fits, extra = shared_weight(t, self.seeds[i])
-            if fits or i in some:
-                bounds.append((-(some.get(i, V.RATIO_LEAST) + extra), i, fits, extra))
-        best, score = -1, 0.0
-        for bound, i, fits, extra in sorted(bounds):
-            if -bound < score:
-                break
-            ratio = likeness(t, self.seeds[i])
-            if (fits or ratio >= V.RATIO_LEAST) and (ratio + extra > score or (ratio + extra == score and i < best)):
-                best, score = i, ratio + extra
-        if best < 0:
-            best = self._add(t, day)
-        self.known[title] = best, day, len(self.seeds)
-        return best
-
-
-def assign(df: DataFrame, key: str, country: str = "country", title: str = "article_title", date: str = "date_published", days: int | None = V.WINDOW_DAYS) -> DataFrame:
+        self.days, self.count = days, 0
+        self.seeds: dict[int, tuple[list[float], list[int]]] = {}  # days (undated: infinite) and numbers, by title
+
+    def _live(self, title: int, day: int | None) -> int | None:
+        """The earliest seed of a title that a row of a day can join. Rows come by date, so seeds of a title do."""
+        days, numbers = self.seeds.get(title, ((), ()))
+        at = 0 if day is None or self.days is None else bisect.bisect_left(days, day - self.days)
+        return numbers[at] if at < len(numbers) else None
+
+    def place(self, title: int, own: float, day: int | None, fits: list[dict]) -> tuple[int, int]:
+        """The cluster that a row joins or begins, and the title of its seed; ``own``: the score of a title with itself."""
+        best = None
+        for s, score in [(title, own), *((f["s"], f["score"]) for f in fits)]:
+            seed = self._live(s, day)
+            if seed is not None and (best is None or (-score, seed) < best[:2]):
+                best = (-score, seed, s)
+        if best:
+            return best[1], best[2]
+        days, numbers = self.seeds.setdefault(title, ([], []))
+        days.append(np.inf if day is None else day)
+        numbers.append(self.count)
+        self.count += 1
+        return numbers[-1], title
+
+
+def assign(df: DataFrame, key: str, country: str = "country", title: str = "article_title", date: str = "date_published", days: int | None = V.WINDOW_DAYS, block: int = BLOCK) -> DataFrame:
     """df with conflict_id and coverage_count, which replace columns of these names.
 
-    Within a country, oldest first (undated last, ties by key), each row joins the seed that fits best or
-    becomes one. Countries are streamed in that order, so a task holds seeds, never a country's rows; rows without a title, each an event of
-    its own, aren't streamed at all. Sizes of clusters are an aggregate. The same title in two windows makes two clusters of one id.
+    Within a country, oldest first (undated last, ties by key), each row joins the seed that fits best or becomes one. Which titles fit which is found before, for
+    distinct titles, by joins; rows of titles that nothing connects don't concern each other, so each component of that graph is a sequence of its own. A row
+    comes with the titles that its own fits, so a task holds seeds, and its time is linear in rows and their edges. Rows without a title are
+    each an event of their own. Sizes of clusters are an aggregate. The same title in two windows makes two clusters of one id.
     """
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("conflict_id", "coverage_count")])
-    own = name("_key", df.columns)
-    names = df.select(F.col(key).alias("_key"), F.lower(F.trim(F.coalesce(F.col(country), F.lit("")))).alias("_country"), X.normalised_title(F.coalesce(F.col(title), F.lit(""))).alias("_title"), F.datediff(F.try_to_date(F.substring(F.coalesce(F.col(date), F.lit("")).cast("string"), 1, 10), "yyyy-MM-dd"), F.lit("1970-01-01").cast("date")).alias("_day"))
-    ordered = names.where("_title <> ''").repartition("_country").sortWithinPartitions("_country", F.col("_day").asc_nulls_last(), "_key")
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    own = name("key", df.columns)
+    day = F.datediff(F.try_to_date(F.substring(F.coalesce(F.col(date), F.lit("")).cast("string"), 1, 10), "yyyy-MM-dd"), F.lit("1970-01-01").cast("date"))
+    rows = df.select(F.col(key).alias("k"), F.lower(F.trim(F.coalesce(F.col(country), F.lit("")))).alias("c"), X.normalised_title(F.coalesce(F.col(title), F.lit(""))).alias("t"), day.alias("d"))
+    rows = written(rows, "rows")
+    titles = titles_of(rows)
+    edges = written(similarity(titles, days, block), "edges")
+    label = components(edges.select(F.col("t").alias("u"), F.col("s").alias("v")))
+    fits = edges.groupBy("t").agg(F.collect_list(F.struct("s", "score")).alias("fits")).withColumnRenamed("t", "id")
+    n_telling = F.size(X.keywords(F.split("t", " "), V.DISTINCTIVE_LENGTH))
+    self_score = 1.0 + F.when(F.size(X.keywords(F.split("t", " "))) > 0, 1.0 + 0.25 * n_telling).otherwise(0.0)
+    told = titles.select("id", "c", "t", self_score.alias("own")).join(fits, "id", "left").join(label.withColumnRenamed("node", "id"), "id", "left")
+    told = told.select(F.xxhash64("c", "t").alias("h"), "c", "t", "id", "own", F.coalesce("fits", F.array().cast("array<struct<s:bigint,score:double>>")).alias("fits"), F.coalesce("component", "id").alias("component"))
+    placed = rows.where("t <> ''").withColumn("h", F.xxhash64("c", "t")).join(redealt(told, "h"), ["h", "c", "t"])
+    ordered = placed.select("component", "k", "id", "own", "d", "fits").repartition("component").sortWithinPartitions("component", F.col("d").asc_nulls_last(), "k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, leaders = None, Leaders(days)
-        for part in parts:
-            clusters, seeds = [], []
-            for who, t, d in zip(part["_country"], part["_title"], part["_day"]):
-                if who != now:
-                    now, leaders = who, Leaders(days)
-                clusters.append(leaders.place(t, None if pd.isna(d) else int(d)))
-                seeds.append(leaders.seeds[clusters[-1]].text)
-            yield pd.DataFrame({"_key": part["_key"], "_country": part["_country"], "_cluster": clusters, "_seed": seeds})
+        for b in batches:
+            found = []
+            for c, *row in zip(*[b.column(n).to_pylist() for n in ("component", "id", "own", "d", "fits")]):
+                if c != now:
+                    now, leaders = c, Leaders(days)
+                found.append(leaders.place(*row))
+            numbers, seeds = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("component"), pa.array(numbers, pa.int64()), pa.array(seeds, pa.int64())], ["k", "component", "cluster", "seed"])
 
     kind = dict(df.dtypes)[key]
-    placed = ordered.mapInPandas(run, f"_key {kind}, _country string, _cluster long, _seed string")
-    sizes = placed.groupBy("_country", "_cluster").agg(F.count("*").alias("coverage_count"))
-    found = placed.join(sizes, ["_country", "_cluster"]).select("_key", X.conflict_id(F.col("_country"), F.col("_seed")).alias("conflict_id"), "coverage_count")
-    blank = names.where("_title = ''").select("_key", X.conflict_id(F.col("_country"), F.lit("")).alias("conflict_id"), F.lit(1).cast("long").alias("coverage_count"))
-    told = found.unionByName(blank).withColumnRenamed("_key", own)
+    joined = written(ordered.mapInArrow(run, f"k {kind}, component long, cluster long, seed long"), "clusters")
+    sizes = redealt(joined.groupBy("component", "cluster").agg(F.count("*").alias("coverage_count")), "component")
+    ids = titles.select(F.col("id").alias("seed"), X.conflict_id(F.col("c"), F.col("t")).alias("conflict_id"))
+    found = joined.join(sizes, ["component", "cluster"]).join(ids, "seed").select("k", "conflict_id", "coverage_count")
+    blank = rows.where("t = ''").select("k", X.conflict_id(F.col("c"), F.lit("")).alias("conflict_id"), F.lit(1).cast("long").alias("coverage_count"))
+    told = found.unionByName(blank).withColumnRenamed("k", own)
     return df.join(told, df[key].eqNullSafe(told[own]), "left").drop(own)
 
 

@@ -2,43 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all machines share (spark.checkpoint.dir); without one only in local mode, in a local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        root = f"file://{tempfile.gettempdir()}/newsloom-shared"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cuts lineage through the shared folder."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _removed(df: DataFrame) -> None:
-    """Deletes what ``written`` wrote, once nothing reads it any more."""
-    jvm, files = df.sparkSession._jvm, df.inputFiles()
-    for folder in {f.rsplit("/", 1)[0] for f in files}:
-        where = jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def name(wanted: str, taken: list[str]) -> str:
-    """A column name that no column has."""
-    while wanted.lower() in {t.lower() for t in taken}:
-        wanted += "_"
-    return wanted
+from .components import components
+from .storage import name, removed, shared_path, written  # noqa: F401 (part of this module's interface)
 
 
 def merged(existing: DataFrame, fresh: DataFrame, order: str = "ordinal") -> DataFrame:
@@ -49,32 +20,68 @@ def merged(existing: DataFrame, fresh: DataFrame, order: str = "ordinal") -> Dat
     return out.na.fill("", text)
 
 
-def first_of_each(df: DataFrame, row_id: str = "row_id", keys: tuple[str, ...] = ("article_id", "article_url")) -> DataFrame:
+#: Rows of a component that one task decides in order
+COMPONENT = 200_000
+
+
+def first_of_each(df: DataFrame, row_id: str = "row_id", keys: tuple[str, ...] = ("article_id", "article_url"), most: int = COMPONENT) -> DataFrame:
     """Rows in order, without those that share a non-blank key with a row that was kept before.
 
-    A dropped row doesn't hide later ones, so this is the first maximal independent set of the graph of shared keys. Rounds:
-    whatever comes first of the undecided rows under each of its keys stays, and its neighbours go. Chains of rows that
-    alternate keys need a round each; where keys are in step, one round decides all.
+    A dropped row doesn't hide later ones, so this is the first maximal independent set of the graph of shared keys. Of rows with equal keys only
+    the first can stay, so an aggregate reduces them to one, however many there are. Rows that shared keys connect then make up components: each is
+    streamed in order through a task that holds the keys of its kept rows. Components of more than ``most`` different combinations of keys are
+    decided in rounds, all at once: what comes first under each of its keys stays, and its neighbours go. Row ids are unique. Rows without a key stay.
     """
-    trimmed = {f"_k{i}": F.nullif(F.trim(F.coalesce(F.col(k), F.lit(""))), F.lit("")) for i, k in enumerate(keys)}
-    left = df.select(F.col(row_id).alias("_r"), *[c.alias(n) for n, c in trimmed.items()])
-    kept = last = None
-    while True:
+    each = [F.nullif(F.trim(F.coalesce(F.col(k).cast("string"), F.lit(""))), F.lit("")).alias(f"k{i}") for i, k in enumerate(keys)]
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = df.select(F.col(row_id).alias("r"), *each)
+    keyed = rows.where(F.coalesce(*names).isNotNull())
+    first = written(keyed.groupBy(*names).agg(F.min("r").alias("r")), "first")
+    nodes = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.xxhash64(F.lit(i), n)) for i, n in enumerate(names)]))
+    told = first.withColumn("nodes", nodes)
+    pairs = told.select(F.explode(F.arrays_zip(F.slice("nodes", 1, F.size("nodes") - 1).alias("u"), F.slice("nodes", 2, F.size("nodes") - 1).alias("v"))).alias("e")).select("e.u", "e.v")
+    label = components(pairs)
+    placed = told.withColumn("node", F.get("nodes", F.lit(0))).drop("nodes").join(label, "node", "left").select("r", *names, F.coalesce("component", "node").alias("component"))
+    placed = written(placed, "placed")
+    large = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component")
+    kind = dict(first.dtypes)["r"]
+    small = placed.join(large, "component", "left_anti").repartition("component").sortWithinPartitions("component", "r")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken = None, set()
+        for b in batches:
+            stay = []
+            for c, *ks in zip(*[b.column(n).to_pylist() for n in ("component", *names)]):
+                if c != now:
+                    now, taken = c, set()
+                own = {(i, k) for i, k in enumerate(ks) if k is not None}
+                stay.append(not own & taken)
+                if stay[-1]:
+                    taken |= own
+            yield b.select(["r"]).filter(pa.array(stay, pa.bool_()))
+
+    kept = small.select("component", "r", *names).mapInArrow(decide, f"r {kind}")
+    kept = kept.unionByName(_in_rounds(placed.join(large, "component", "left_semi").select("r", *names), names))
+    stay = rows.where(F.coalesce(*names).isNull()).select("r").unionByName(kept)
+    return df.join(stay.withColumnRenamed("r", row_id), row_id, "left_semi")
+
+
+def _in_rounds(left: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of large components that stay."""
+    kept, left = left.select("r").limit(0), written(left, "left")
+    while not left.isEmpty():
         first = left
-        for n in trimmed:
-            least = left.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("_r").alias(f"_m{n}"))
+        for n in names:
+            least = left.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("r").alias(f"m{n}"))
             first = first.join(least, n, "left")
-        heads = written(first.where(F.least(*[F.coalesce(F.col(f"_m{n}"), F.col("_r")) for n in trimmed], F.col("_r")) == F.col("_r")).select(*left.columns))
-        kept = heads if kept is None else kept.unionByName(heads)
-        rest = left.join(heads.select("_r"), "_r", "left_anti")
-        for n in trimmed:
+        heads = written(first.where(F.least(*[F.coalesce(F.col(f"m{n}"), F.col("r")) for n in names], F.col("r")) == F.col("r")).select("r", *names), "heads")
+        kept = kept.unionByName(heads.select("r"))
+        rest = left.join(heads.select("r"), "r", "left_anti")
+        for n in names:
             rest = rest.join(heads.where(F.col(n).isNotNull()).select(n).distinct(), n, "left_anti")
-        rest = written(rest.select(*left.columns))
-        if last is not None:
-            _removed(last)
-        if rest.isEmpty():
-            return df.join(kept.select(F.col("_r").alias(row_id)), row_id, "left_semi")
-        left = last = rest
+        before, left = left, written(rest.select("r", *names), "left")
+        removed(before)
+    return kept
 
 
 def date_order(date: str = "date_published", row_id: str = "row_id") -> list[Column]:
@@ -84,7 +91,8 @@ def date_order(date: str = "date_published", row_id: str = "row_id") -> list[Col
 
 def capped(df: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
     """At most n rows of each group, in the order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+    place = name("place", df.columns)
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(place) <= n).drop(place)
 
 
 def seeds_within(found: DataFrame, most: int) -> DataFrame:
@@ -118,9 +126,10 @@ def one_of_each(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
 
 def back_filled(df: DataFrame, found: DataFrame, key: str, columns: list[str], needs: Column) -> DataFrame:
     """New values of some columns where a row needs and has them; others stay. Of several new values of a key the least ones count."""
-    new = one_of_each(found, [key], columns).select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
-    out = df.join(new, key, "left")
-    return out.withColumns({c: F.when(needs, F.coalesce(F.col(f"_new_{c}"), F.col(c))).otherwise(F.col(c)) for c in columns}).drop(*[f"_new_{c}" for c in columns])
+    new = {c: name(f"new_{c}", [*df.columns, *columns]) for c in columns}
+    out = df.join(one_of_each(found, [key], columns).withColumnsRenamed(new), key, "left")
+    filled = {c: F.when(needs, F.coalesce(F.col(f"`{n}`"), F.col(f"`{c}`"))).otherwise(F.col(f"`{c}`")) for c, n in new.items()}
+    return out.withColumns(filled).drop(*new.values())
 
 
 def numbered(df: DataFrame, order: list[Column], into: str = "place") -> DataFrame:

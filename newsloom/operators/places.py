@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
+from ..functions.html import held
 from .growth import one_of_each
 
 
@@ -172,33 +173,57 @@ def resolve_point(rows: DataFrame, areas: DataFrame, key: str) -> DataFrame:
     return hit.join(names, "gid").select(key, "a2", "a3", "gid")
 
 
-def mention_pattern(name: Column) -> Column:
-    """A pattern for the name as a proper noun: first letter upper case, whole word, other letters in any case."""
-    safe = F.regexp_replace(X.strip_accents(name), r"([.^$*+?{}\[\]\\|()])", r"\\$1")
-    return F.concat(F.lit(r"(?U)\b"), F.upper(F.substring(safe, 1, 1)), F.lit("(?i:"), F.substring(safe, F.lit(2), F.length(safe)), F.lit(r")\b"))
+_WORD = r"[\p{L}\p{N}_]"
+_GAP = r"[^\p{L}\p{N}_]"
 
 
-#: Names whose first words filter texts through the plan; more meet texts by a join on words
-NAMES_LISTED = 20_000
+def _running(lengths: Column, block: int = 256) -> Column:
+    """Sum of what is before each element; by blocks, since appending copies an array."""
+    ahead = lambda xs: F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
+    starts = F.when(F.size(lengths) > 0, F.sequence(F.lit(1), F.size(lengths), F.lit(block))).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(starts, lambda i: ahead(F.slice(lengths, i, block)))
+    within = lambda sums, before: F.transform(F.slice(sums, 1, F.size(sums) - 1), lambda x: x + before)
+    return held(blocks, lambda bs: held(ahead(F.transform(bs, lambda b: F.element_at(b, -1))), lambda offsets: F.flatten(F.transform(bs, lambda b, i: within(b, F.get(offsets, i))))))
+
+
+def capital_windows(text: Column, words: int, most: int) -> Column:
+    """array<struct<position, window>>: for each word that begins with a capital, where it is and the text from there on, ``words`` words at
+    least or ``most`` characters."""
+    pieces = F.split(text, rf"(?<!{_WORD})(?=\p{{Lu}})")  # each but perhaps the first begins with a capital
+
+    def made(ps: Column) -> Column:
+        sizes = F.transform(ps, lambda p: F.length(p).cast("long"))
+        each = lambda at, i: F.struct(at.cast("int").alias("position"), F.substring(F.array_join(F.slice(ps, i + 1, words), ""), F.lit(1), F.lit(most)).alias("window"))
+        return F.filter(F.transform(_running(sizes), each), lambda w: w["window"].rlike(r"^\p{Lu}"))
+
+    return held(pieces, made)
 
 
 def name_hits(texts: DataFrame, names: DataFrame, key: str, on: list[str]) -> DataFrame:
-    """(key, name, gid, position, mentions) of capitalised names in texts.
+    """(key, name, gid, position, mentions) of names in texts as proper nouns: whole words, a capital first, whatever other letters' case and accents.
 
-    A text meets only the names whose first word it has, by an equi-join; the pattern then decides. Of a text only those words go on that some name
-    begins with, so few rows carry it. Names shorter than four letters or of a country never count.
+    Texts meet names by whole normalised word sequences: from each capital go as many words as names have, for each number of words that occurs. So a name that begins as
+    thousands of others costs nothing, and no pattern is run for a pair. Only these short sequences are shuffled, with their place. A name
+    counts wherever it begins. Names shorter than four letters or of a country never count; a name that ends in another character needs a
+    word right behind it, one that begins in one never counts. Keys of texts are unique; nulls in texts and names mean nothing.
     """
     countries = sorted({X.unicodedata.normalize("NFD", c).encode("ascii", "ignore").decode().lower() for c in V.ISO3})
-    known = names.where((F.length(X.normalised(F.col("name"))) >= V.SHORTEST_PLACE) & ~X.normalised(F.col("name")).isin(countries))
-    first = known.withColumn("_w", F.get(F.filter(F.split(X.normalised(F.col("name")), r"[^\p{L}\p{N}_]+"), lambda w: w != ""), F.lit(0))).where("_w is not null")
-    listed = [r["_w"] for r in first.select("_w").distinct().limit(NAMES_LISTED + 1).collect()]
-    words = F.array_distinct(F.filter(F.split(F.lower("_plain"), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
-    if len(listed) <= NAMES_LISTED:
-        words = F.array_intersect(words, F.array(*[F.lit(w) for w in sorted(listed)]).cast("array<string>"))
-    each = texts.select(key, *on, X.strip_accents(F.col("text")).alias("_plain")).withColumn("_w", F.explode(words))
-    found = each.join(first, [*on, "_w"]).withColumn("_p", mention_pattern(F.col("name")))
-    out = found.withColumn("mentions", F.regexp_count("_plain", F.col("_p"))).where("mentions > 0")
-    return out.select(key, "name", "gid", (F.regexp_instr("_plain", F.col("_p")) - 1).alias("position"), F.col("mentions").cast("int").alias("mentions"), *([c for c in ("region",) if c in names.columns]))
+    more = [c for c in ("region",) if c in names.columns]
+    whole = X.normalised(F.col("name"))
+    known = names.where((F.length(whole) >= V.SHORTEST_PLACE) & ~whole.isin(countries)).select(F.struct(*on, "name", "gid", *more).alias("of"), F.lower(X.strip_accents(F.col("name"))).alias("whole")).distinct()
+    known = known.withColumn("core", F.regexp_replace("whole", f"{_GAP}+$", "")).where(F.col("core").rlike(f"^{_WORD}"))
+    n_words = F.size(F.split("core", f"{_GAP}+"))
+    shape = known.agg(F.max(F.length("whole")).alias("longest"), F.sort_array(F.collect_set(n_words)).alias("counts")).first()  # numbers of words: few
+    counts = shape["counts"] or [1]
+    windows = capital_windows(X.strip_accents(F.coalesce(F.col("text"), F.lit(""))), max(counts), (shape["longest"] or 0) + 1)
+    each = texts.select(F.struct(key, *on).alias("row"), F.explode(windows).alias("w"))
+    sequences = F.array(*[F.lower(F.regexp_extract("w.window", f"^{_WORD}+(?:{_GAP}+{_WORD}+){{{n - 1}}}", 0)) for n in counts])
+    short = each.select("row", "w", F.explode(sequences).alias("core")).where("core <> ''")
+    same = [F.col(f"row.{c}") == F.col(f"of.{c}") for c in on]
+    found = short.join(known.withColumnRenamed("core", "sought"), [F.col("core") == F.col("sought"), *same])
+    tail = F.startswith(F.lower("w.window"), F.col("whole")) & F.substring(F.col("w.window"), F.length("whole") + 1, F.lit(1)).rlike(_WORD)
+    hits = found.where((F.col("whole") == F.col("core")) | tail).groupBy("row", "of").agg(F.min("w.position").alias("position"), F.count("*").cast("int").alias("mentions"))
+    return hits.select(f"row.{key}", "of.name", "of.gid", "position", "mentions", *[f"of.{c}" for c in more])
 
 
 def first_mentioned(hits: DataFrame, key: str, least: Column) -> DataFrame:

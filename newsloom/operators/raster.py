@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from .storage import name
 
 BANDS = ["blue", "green", "red", "nir", "swir1"]
 
@@ -39,10 +42,98 @@ def reflectance(df: DataFrame, bands: list[str] = BANDS) -> DataFrame:
     return df.withColumns({b: F.col(b) * V.SCALE + V.SHIFT for b in bands})
 
 
+def searched(scenes: DataFrame, box: tuple[float, float, float, float] | None, first: dt.date, last: dt.date, ts: str = "ts") -> DataFrame:
+    """Scenes of the months of both dates and between whose box (xmin, xmax, ymin, ymax) meets another, in that order; borders meet."""
+    day = F.trunc(F.col(ts).cast("date"), "month")
+    out = scenes.where(day.between(F.trunc(F.lit(first), "month"), F.trunc(F.lit(last), "month")))
+    if box is None:
+        return out
+    xmin, xmax, ymin, ymax = map(float, box)
+    return out.where((F.col("xmin") <= xmax) & (F.col("xmax") >= xmin) & (F.col("ymin") <= ymax) & (F.col("ymax") >= ymin))
+
+
 def usable_scenes(scenes: DataFrame, order: list[str], ts: str = "ts", cloud: str = "cloud", n: int = V.SCENES_A_MONTH) -> DataFrame:
     """The first n scenes of each month, in the catalogue's order, among those of few clouds."""
     w = Window.partitionBy(F.date_trunc("month", ts)).orderBy(*order)
-    return scenes.where(F.col(cloud) < V.CLOUD_BELOW).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    place = name("place", scenes.columns)
+    return scenes.where(F.col(cloud) < V.CLOUD_BELOW).withColumn(place, F.row_number().over(w)).where(F.col(place) <= n).drop(place)
+
+
+@dataclass(frozen=True)
+class Grid:
+    """Square pixels: column x covers left + x * step to the next, row y covers top - y * step downwards."""
+
+    left: float
+    top: float
+    step: float = V.PIXEL
+
+    @classmethod
+    def of_box(cls, xmin: float, xmax: float, ymin: float, ymax: float, step: float = V.PIXEL) -> Grid:
+        """The grid of multiples of the step on which a box lies."""
+        return cls(math.floor(xmin / step) * step, math.ceil(ymax / step) * step, step)
+
+    def x(self, column: Column) -> Column:
+        """Where the centre of a column is."""
+        return F.lit(self.left) + (column + 0.5) * F.lit(self.step)
+
+    def y(self, row: Column) -> Column:
+        return F.lit(self.top) - (row + 0.5) * F.lit(self.step)
+
+    def _first(self, centre: Callable[[Column], Column], guess: Column, reached: Callable[[Column], Column]) -> Column:
+        """The first index whose centre has reached a place; the guess may be one off by rounding."""
+        low = F.ceil(guess) - 1
+        return F.when(reached(centre(low)), low).when(reached(centre(low + 1)), low + 1).otherwise(low + 2)
+
+    def column_from(self, x: Column) -> Column:
+        """The first column whose centre isn't left of x."""
+        return self._first(self.x, (x - self.left) / self.step - 0.5, lambda c: c >= x)
+
+    def row_from(self, y: Column) -> Column:
+        """The first row whose centre isn't above y."""
+        return self._first(self.y, (F.lit(self.top) - y) / self.step - 0.5, lambda c: c <= y)
+
+
+def regridded(pixels: DataFrame, scenes: DataFrame, grid: Grid) -> DataFrame:
+    """Pixels of scenes on one grid by nearest neighbour: each pixel of the grid takes the pixel of a scene that holds its centre.
+
+    pixels: scene_id, y, x (ints) and values; scenes: scene_id, left, top, step (of its own pixels; north up). All is arithmetic on a row: a
+    pixel goes to the few places whose centres it covers, or to none.
+    """
+    own = scenes.select("scene_id", F.struct("left", "top", "step").alias("of"))
+    joined = pixels.join(own, "scene_id")
+    left, top = F.col("of.left") + F.col("x") * F.col("of.step"), F.col("of.top") - F.col("y") * F.col("of.step")
+    right, bottom = F.col("of.left") + (F.col("x") + 1) * F.col("of.step"), F.col("of.top") - (F.col("y") + 1) * F.col("of.step")
+    span = lambda a, z: F.when(a < z, F.sequence(a, z - 1)).otherwise(F.array().cast("array<bigint>"))
+    columns, rows = span(grid.column_from(left), grid.column_from(right)), span(grid.row_from(top), grid.row_from(bottom))
+    at = F.explode(F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: F.struct(r.cast("int").alias("y"), c.cast("int").alias("x"))))))
+    rest = [c for c in pixels.columns if c.lower() not in ("scene_id", "y", "x")]
+    spread = joined.select(F.col("scene_id").alias("scene_id"), F.struct(*rest).alias("values"), at.alias("at")) if rest else joined.select("scene_id", at.alias("at"))
+    return spread.select("scene_id", "at.y", "at.x", *[F.col(f"values.`{c}`") for c in rest])
+
+
+def spans(areas: DataFrame, grid: Grid) -> DataFrame:
+    """(gid, y, first, last): the runs of pixels whose centres lie in an area (gid, rings; holes and several parts by the even-odd rule).
+
+    Each edge crosses the rows between its ends; a row's crossings in order are where the area begins and ends in turn. A centre on an edge
+    itself counts where the area is right of it or above. Rows of an area are worked on apart, so a large area is no large task.
+    """
+    point = lambda p, end: [p[0].cast("double").alias(f"x{end}"), p[1].cast("double").alias(f"y{end}")]
+    edges = lambda r: F.transform(r, lambda p, i: F.struct(*point(p, 0), *point(F.coalesce(F.get(r, i + 1), F.get(r, F.lit(0))), 1)))
+    ends = areas.select("gid", F.explode(F.flatten(F.transform("rings", edges))).alias("e")).select("gid", "e.*").where("y0 <> y1")
+    # rows with least < y <= most of the edge's ends, as in (y0 >= y) <> (y1 >= y)
+    least, most = F.least("y0", "y1"), F.greatest("y0", "y1")
+    begin, after = grid.row_from(most), grid.row_from(least)
+    crossed = ends.where(begin < after).select("gid", "x0", "y0", "x1", "y1", F.explode(F.sequence(begin, after - 1)).alias("y"))
+    at = (F.col("x1") - F.col("x0")) * (grid.y(F.col("y")) - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0")
+    rows = crossed.select("gid", "y", at.alias("at")).groupBy("gid", "y").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("at") - 2, F.lit(2)), lambda i: F.struct(grid.column_from(F.get("at", i)).alias("first"), (grid.column_from(F.get("at", i + 1)) - 1).alias("last")))
+    return rows.select("gid", F.col("y").cast("int").alias("y"), F.explode(pairs).alias("s")).where("s.first <= s.last").select("gid", "y", F.col("s.first").cast("int").alias("first"), F.col("s.last").cast("int").alias("last"))
+
+
+def within(pixels: DataFrame, runs: DataFrame) -> DataFrame:
+    """Pixels (y, x) in one of the runs (y, first, last): an equi-join by row, then a range."""
+    r = runs.select(F.col("y").alias("row"), "first", "last")
+    return pixels.join(r, (pixels["y"] == r["row"]) & pixels["x"].between(r["first"], r["last"]), "left_semi")
 
 
 def composite(pixels: DataFrame, by: list[str], bands: list[str] = BANDS) -> DataFrame:
@@ -131,8 +222,9 @@ def shared_scale(df: DataFrame, column: str) -> DataFrame:
     return df.sparkSession.createDataFrame([tuple(both)], "vmin double, vmax double")
 
 
-def padded_box(xmin: Column, xmax: Column, ymin: Column, ymax: Column, pad: float = 0.02) -> Column:
-    return F.struct((xmin - pad).alias("xmin"), (xmax + pad).alias("xmax"), (ymin - pad).alias("ymin"), (ymax + pad).alias("ymax"))
+def padded(xmin: float, xmax: float, ymin: float, ymax: float, pad: float = 0.02) -> tuple[float, float, float, float]:
+    """The box of an area as scenes are searched for it."""
+    return xmin - pad, xmax + pad, ymin - pad, ymax + pad
 
 
 def manifest(sections: DataFrame, results: DataFrame) -> DataFrame:

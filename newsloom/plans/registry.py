@@ -421,6 +421,16 @@ def ordered_dedupe(t):
     return growth.first_of_each(df, "doc_id").select("doc_id")
 
 
+@query("""WITH e AS (SELECT event_id, event_type IN ('error', 'click') AS blank, lag(event_type IN ('error', 'click')) OVER (ORDER BY event_id) AS was, lag(event_id) OVER (ORDER BY event_id) AS before FROM events),
+s AS (SELECT event_id, sum(CASE WHEN before = event_id - 1 AND (event_id % 2 = 0 OR NOT (blank OR was)) THEN 0 ELSE 1 END) OVER (ORDER BY event_id) AS chain FROM e)
+SELECT event_id FROM s QUALIFY row_number() OVER (PARTITION BY chain ORDER BY event_id) % 2 = 1""")
+def dedupe_chains(t):
+    """Neighbours share one key or the other in turn, so rows make chains; where a second key is blank, a chain may break."""
+    i = F.col("event_id")
+    df = t.events.select("event_id", F.concat(F.lit("a"), F.floor((i + 1) / 2)).alias("article_id"), F.when(F.col("event_type").isin("error", "click"), " ").otherwise(F.concat(F.lit("b"), F.floor(i / 2))).alias("article_url"))
+    return growth.first_of_each(df, "event_id").select("event_id")
+
+
 @query("""WITH u AS (SELECT 0 AS origin, event_id, event_id AS id, event_type AS kind, '' AS extra FROM events UNION ALL SELECT 1, event_id, event_id + 500, event_type, 'new' FROM events)
 SELECT id, kind, extra FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY origin) = 1""")
 def merge_growing(t):
@@ -688,6 +698,58 @@ def clipped_pixels(t):
     return raster.clipped(grid(t.embeddings, "vec_id"), grid(t.labels, "doc_id").drop("vec_id")).select("vec_id")
 
 
+_GRID = raster.Grid(-3.0, 25.0, 0.25)
+
+
+def _plots(t) -> DataFrame:
+    """A plot for each supplier: a quadrangle, for some of them with a hole, that its key and balance shape."""
+    k, b = F.col("s_suppkey"), F.col("s_acctbal")
+    x, y, w = (k % 17).cast("double"), (k % 19).cast("double"), F.pmod(b, F.lit(97.0)) / 97
+    point = lambda dx, dy: F.array(x + dx, y + dy)
+    outer = F.array(point(0.03 + w, 0.05), point(2.9 + w, 0.4 * w + 0.07), point(2.3, 2.6 + w), point(-0.6 * w + 0.01, 1.9))
+    hole = F.array(point(1.02, 0.91), point(1.83 + 0.2 * w, 0.97), point(1.51, 1.77))
+    rings = F.when(k % 3 == 0, F.array(outer, hole)).otherwise(F.array(outer))
+    return t.supplier.select(F.concat(F.lit("s"), k).alias("gid"), rings.alias("rings"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, CAST(s_suppkey % 17 AS DOUBLE) AS x, CAST(s_suppkey % 19 AS DOUBLE) AS y, (((s_acctbal % 97.0::DOUBLE) + 97.0::DOUBLE) % 97.0::DOUBLE) / 97.0::DOUBLE AS w FROM supplier),
+r AS (SELECT s_suppkey, [[x + (0.03::DOUBLE + w), y + 0.05::DOUBLE], [x + (2.9::DOUBLE + w), y + (0.4::DOUBLE * w + 0.07::DOUBLE)], [x + 2.3::DOUBLE, y + (2.6::DOUBLE + w)], [x + (-0.6::DOUBLE * w + 0.01::DOUBLE), y + 1.9::DOUBLE]] AS p FROM s
+UNION ALL SELECT s_suppkey, [[x + 1.02::DOUBLE, y + 0.91::DOUBLE], [x + (1.83::DOUBLE + 0.2::DOUBLE * w), y + 0.97::DOUBLE], [x + 1.51::DOUBLE, y + 1.77::DOUBLE]] FROM s WHERE s_suppkey % 3 = 0),
+e AS (SELECT s_suppkey, unnest(list_zip(p, list_append(p[2:], p[1]))) AS e FROM r),
+f AS (SELECT s_suppkey, e[1][1] AS px, e[1][2] AS py, e[2][1] AS qx, e[2][2] AS qy FROM e),
+c AS (SELECT s_suppkey, x, y, -3.0::DOUBLE + (x + 0.5::DOUBLE) * 0.25::DOUBLE AS cx, 25.0::DOUBLE - (y + 0.5::DOUBLE) * 0.25::DOUBLE AS cy FROM supplier, range(0, 112) a(x), range(0, 112) b(y)
+      WHERE -3.0 + x * 0.25 BETWEEN s_suppkey % 17 - 2 AND s_suppkey % 17 + 5 AND 25.0 - y * 0.25 BETWEEN s_suppkey % 19 - 1 AND s_suppkey % 19 + 5),
+h AS (SELECT c.s_suppkey, c.x, c.y FROM c JOIN f USING (s_suppkey) WHERE (py >= cy) <> (qy >= cy) AND cx < (qx - px) * (cy - py) / (qy - py) + px GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT 's' || s_suppkey AS gid, CAST(y AS INTEGER) AS y, CAST(count(*) AS BIGINT) AS n, CAST(sum(x) AS BIGINT) AS sum_x FROM h GROUP BY 1, 2""")
+def polygon_pixels(t):
+    """The pixels of each supplier's plot by row."""
+    runs = raster.spans(_plots(t), _GRID)
+    n = (F.col("last") - F.col("first") + 1).cast("long")
+    return runs.groupBy("gid", "y").agg(F.sum(n).alias("n"), F.sum((F.col("first") + F.col("last")) * n / 2).cast("long").alias("sum_x"))
+
+
+@query("""WITH p AS (SELECT l_linenumber AS s, l_orderkey % 40 AS y, l_partkey % 40 AS x, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT l_linenumber AS s, -3.0::DOUBLE + l_linenumber * 0.613::DOUBLE AS "left", 25.0::DOUBLE - l_linenumber * 0.377::DOUBLE AS top, 0.21::DOUBLE + l_linenumber * 0.043::DOUBLE AS step FROM lineitem),
+c AS (SELECT s, y, x, CAST(floor((25.0::DOUBLE - (y + 0.5::DOUBLE) * 0.25::DOUBLE - top) / -step) AS BIGINT) AS sy, CAST(floor((-3.0::DOUBLE + (x + 0.5::DOUBLE) * 0.25::DOUBLE - "left") / step) AS BIGINT) AS sx FROM g, range(0, 120) a(x), range(0, 120) b(y))
+SELECT c.s AS scene_id, c.y, c.x, v FROM c JOIN p ON p.s = c.s AND p.y = sy AND p.x = sx""")
+def regridded_pixels(t):
+    """Lines of one number as a scene of its own origin and size of pixels, on the common grid."""
+    i = F.col("l_linenumber")
+    px = t.lineitem.groupBy(i.alias("scene_id"), (F.col("l_orderkey") % 40).alias("y"), (F.col("l_partkey") % 40).alias("x")).agg(F.sum("l_quantity").alias("v"))
+    scenes = t.lineitem.select(i.alias("scene_id"), (i * 0.613 - 3.0).alias("left"), (25.0 - i * 0.377).alias("top"), (i * 0.043 + 0.21).alias("step")).distinct()
+    return raster.regridded(px, scenes, _GRID).where("y between 0 and 119 and x between 0 and 119").select("scene_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "v")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderdate >= (SELECT min(date_trunc('month', o_orderdate)) FROM orders) AND date_trunc('month', o_orderdate) BETWEEN TIMESTAMP '1995-02-01' AND TIMESTAMP '1996-11-01'
+AND o_custkey % 90 <= 40 AND o_custkey % 90 + 5 >= 20 AND o_orderkey % 70 <= 50 AND o_orderkey % 70 + 3 >= 10 AND o_totalprice % 100 < 80
+QUALIFY row_number() OVER (PARTITION BY date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey) <= 10""")
+def scene_search(t):
+    """Orders as scenes with boxes: those of a box and a span of months, ten of few clouds a month."""
+    k, c = F.col("o_orderkey") % 70, F.col("o_custkey") % 90
+    scenes = t.orders.select("o_orderkey", F.col("o_orderdate").alias("ts"), (F.col("o_totalprice") % 100).alias("cloud"), c.alias("xmin"), (c + 5).alias("xmax"), k.alias("ymin"), (k + 3).alias("ymax"))
+    return raster.usable_scenes(raster.searched(scenes, (20, 40, 10, 50), dt.date(1995, 2, 9), dt.date(1996, 11, 2)), ["ts", "o_orderkey"]).select("o_orderkey")
+
+
 @query("""SELECT user_id, strftime(date_trunc('month', ts), '%Y-%m') AS month, round(median(value * 0.0000275::DOUBLE - 0.2::DOUBLE), 9) AS value FROM events GROUP BY 1, 2""")
 def monthly_median(t):
     df = raster.reflectance(t.events.withColumn("month", F.date_format("ts", "yyyy-MM")), ["value"])

@@ -90,16 +90,38 @@ def run_all(pages: DataFrame, existing: DataFrame | None = None, areas: DataFram
     return out, counts, failed
 
 
-def run_analysis(scenes: DataFrame, pixels: DataFrame, area: DataFrame, first: dt.date, last: dt.date) -> dict[str, DataFrame]:
+def run_analysis(scenes: DataFrame, pixels: DataFrame, area: DataFrame, first: dt.date, last: dt.date, grid: raster.Grid | None = None, store: str | None = None) -> dict[str, DataFrame]:
     """Monthly indices of an area, and what a report needs of them.
 
-    scenes: scene_id, ts, cloud; pixels: scene_id, y, x and bands as stored numbers; area: the mask's pixels (y, x). Returns ``months`` (pixels' composites
-    with indices), ``series`` (means by month, gaps too), ``ends`` (before, after), ``scales`` (name, vmin, vmax over both ends) and ``manifest``.
+    scenes: scene_id, ts, cloud; pixels: scene_id, y, x and bands as stored numbers; area: the mask's pixels (y, x). With a grid, scenes have their own places
+    (left, top, step) and boxes (xmin, xmax, ymin, ymax), and area is an area (gid, rings, its box), as ``places.area_of`` gives it: scenes are searched by the padded box, their
+    pixels go to the grid, and those in the area count. With a store (a path), months that an earlier run completed aren't computed again, and no pixel
+    of theirs is read: what is written of a month counts once it is in the store's list of finished months. A table without one of the bands gives no months.
+
+    Returns ``months`` (pixels' composites with indices), ``series`` (means by month, gaps too), ``ends`` (before, after), ``scales`` (name, vmin, vmax over both ends)
+    and ``manifest``.
     """
-    usable = raster.usable_scenes(scenes, ["ts", "scene_id"]).select("scene_id", F.trunc(F.col("ts").cast("date"), "month").alias("month"))
-    inside = raster.clipped(raster.band_columns(pixels).join(usable, "scene_id"), area)
-    monthly = growth.written(raster.with_indices(raster.reflectance(raster.composite(inside, ["month", "y", "x"]))), "months")
+    spark = pixels.sparkSession
     names = list(raster.indices(*[F.col(b) for b in raster.BANDS]))
+    month = F.trunc(F.col("ts").cast("date"), "month").alias("month")
+    if grid is not None:
+        box = area.agg(F.min("xmin"), F.max("xmax"), F.min("ymin"), F.max("ymax")).first()
+        scenes = raster.searched(scenes, raster.padded(*box), first, last)
+    usable = raster.usable_scenes(scenes, ["ts", "scene_id"]).select("scene_id", month, *(("left", "top", "step") if grid is not None else ()))
+    done = tables.months_done(spark, store) if store else []
+    usable = usable.where(~F.col("month").isin(done)) if done else usable
+    wanted = {r["scene_id"]: r["month"] for r in usable.select("scene_id", "month").collect()}  # a few for each month
+    known = raster.band_columns(pixels)
+    if any(b not in known.columns for b in raster.BANDS):
+        known = pixels.limit(0).select("scene_id", "y", "x", *[F.lit(None).cast("double").alias(b) for b in raster.BANDS])
+    known = known.where(F.col("scene_id").isin(list(wanted)) if wanted else F.lit(False))  # reaches the scan
+    if grid is not None:
+        known = raster.within(raster.regridded(known, usable, grid), raster.spans(area, grid))
+    else:
+        known = raster.clipped(known, area)
+    inside = known.join(usable.select("scene_id", "month"), "scene_id")
+    fresh = raster.with_indices(raster.reflectance(raster.composite(inside, ["month", "y", "x"])))
+    monthly = tables.months_added(fresh, store, sorted(set(wanted.values()))) if store else growth.written(fresh, "months")
     means = raster.spatial_mean(monthly, ["month"], names)
     series = raster.on_calendar(means, first, last)
     every = [f"mean_{n}" for n in names]
@@ -110,5 +132,5 @@ def run_analysis(scenes: DataFrame, pixels: DataFrame, area: DataFrame, first: d
     for n in names:
         one = raster.shared_scale(at_ends, n).select(F.lit(n).alias("name"), "vmin", "vmax")
         scales = one if scales is None else scales.unionByName(one)
-    sections = pixels.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names, 1)], "position long, name string")
+    sections = spark.createDataFrame([(i, n) for i, n in enumerate(names, 1)], "position long, name string")
     return {"months": monthly, "series": series, "ends": ends, "scales": scales, "manifest": raster.manifest(sections, scales)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +73,32 @@ def updated_cache(cache: DataFrame, answers: DataFrame, path: str) -> None:
     cache.unionByName(one_of_each(fresh, ["query", "iso2"], rest)).write.mode("errorifexists").parquet(path)
 
 
+def months_done(spark: SparkSession, store: str) -> list[dt.date]:
+    """The months that a store has whole; a store that isn't there has none."""
+    try:
+        return sorted({r["month"] for r in spark.read.schema("month date").parquet(f"{store}/done").collect()})
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def months_added(fresh: DataFrame, store: str, months: list[dt.date]) -> DataFrame:
+    """Rows of some months put into a store by month, and the rows of all months that it has whole.
+
+    A month's partition is replaced as one, so that what a broken run left of it goes; only then is it listed as finished.
+    """
+    spark, columns = fresh.sparkSession, [c for c in fresh.columns if c != "month"]
+    if months:
+        fresh.select(*columns, "month").write.partitionBy("month").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{store}/months")
+        spark.createDataFrame([(m,) for m in months], "month date").coalesce(1).write.mode("append").parquet(f"{store}/done")
+    done = months_done(spark, store)
+    if not done:
+        return fresh.limit(0)
+    kept = spark.read.schema(fresh.select(*columns, "month").schema).parquet(f"{store}/months")
+    return kept.where(F.col("month").isin(done)).select(*fresh.columns)
+
+
 def boundaries(spark: SparkSession, path: str, iso3: str, level: int) -> DataFrame:
     """One country and level of boundaries stored by (iso3, level): other partitions aren't read."""
     return spark.read.parquet(path).where((F.col("iso3") == iso3) & (F.col("level") == level))

@@ -1,6 +1,8 @@
 """Sources that come with the library, and whole runs over small landed tables."""
 
 import datetime as dt
+import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,13 +238,14 @@ def test_meta_order(spark):
     assert spark.createDataFrame([("near u.s.a x",), ("near u.s. x",)], "x string").select(X.has_word(F.col("x"), ["u.s.", "texas"])).collect() == [(True,), (False,)]
 
 
-def test_leaders_among_many_titles():
-    """The vectorised search against comparing with every seed."""
+@pytest.mark.parametrize("days, block", [(120, 512), (None, 7), (40, 3)])
+def test_leaders_among_many_titles(spark, days, block):
+    """Joins and a pass over edges against comparing each row with every seed."""
     import difflib
     import random
 
     r = random.Random(5)
-    parts = ["the", "ing", "tion", "an", "er", "ou", "st", "mine", "oro", "río"]
+    parts = ["the", "ing", "tion", "an", "er", "ou", "st", "mine", "oro", "rio"]
     title = lambda: " ".join("".join(r.choices(parts, k=r.randrange(1, 4))) for _ in range(r.randrange(0, 12)))
     pool = [title() for _ in range(60)]
 
@@ -253,18 +256,33 @@ def test_leaders_among_many_titles():
                 w[r.randrange(len(w))] = "".join(r.choices(parts, k=2))
         return " ".join(w)
 
-    rows = sorted([(changed(r.choice(pool)), r.choice([None, r.randrange(400)])) for _ in range(300)] + [("long word " * 90, 5), ("long word " * 90 + "z", 6)], key=lambda x: (x[1] is None, x[1] or 0))
-    for days in (120, None):
-        leaders, seeds = conflicts.Leaders(days), []
-        for t, d in rows:
-            best, score = -1, 0.0
-            for i, (o, od) in enumerate(seeds):
-                if t and o and not (days is not None and d is not None and od is not None and abs(d - od) > days):
-                    fits, extra = conflicts.shared_weight(conflicts.Title.of(t), conflicts.Title.of(o))
-                    ratio = difflib.SequenceMatcher(None, t, o).ratio()
-                    if (fits or ratio >= 0.6) and ratio + extra > score:
-                        best, score = i, ratio + extra
-            if best < 0:
-                seeds.append((t, d))
-                best = len(seeds) - 1
-            assert leaders.place(t, d) == best, (t, d)
+    rows = [(i, r.choice(["p", "q"]), changed(r.choice(pool)), r.choice([None, r.randrange(400)])) for i in range(250)] + [(900, "p", "long word " * 90, 5), (901, "p", "long word " * 90 + "z", 6), (902, None, None, None)]
+    began = dt.date(2023, 1, 1)
+    df = spark.createDataFrame([(k, c, t, None if d is None else str(began + dt.timedelta(d))) for k, c, t, d in rows], "k long, country string, article_title string, date_published string")
+    got = {x.k: (x.conflict_id, x.coverage_count) for x in conflicts.assign(df.withColumn("_key", F.lit(1)), "k", days=days, block=block).collect()}
+    titles = {x.k: x.t for x in df.select("k", X.normalised_title(F.coalesce("article_title", F.lit(""))).alias("t")).collect()}
+    seeds, where = [], {}
+    for k, c, _, d in sorted(rows, key=lambda x: (x[3] is None, x[3] or 0, x[0])):
+        t, best, score = titles[k], -1, 0.0
+        for i, (oc, o, od) in enumerate(seeds):
+            if oc == c and t and o and not (days is not None and d is not None and od is not None and abs(d - od) > days):
+                fits, extra = conflicts.shared_weight(conflicts.Title.of(t), conflicts.Title.of(o))
+                ratio = difflib.SequenceMatcher(None, t, o).ratio()
+                if (fits or ratio >= 0.6) and ratio + extra > score:
+                    best, score = i, ratio + extra
+        if best < 0:
+            seeds.append((c, t, d))
+            best = len(seeds) - 1
+        where[k] = best
+    sizes = Counter(where.values())
+    ids = {k: "CONFLICT_" + hashlib.md5(f"{seeds[b][0] or ''}|{seeds[b][1]}".encode()).hexdigest()[:8] for k, b in where.items()}
+    assert got == {k: (ids[k], sizes[b]) for k, b in where.items()}
+
+
+def test_frequent_words_hardly_meet(spark):
+    """A word of all titles is in no pair that nothing else makes."""
+    r = __import__("random").Random(3)
+    word = lambda: "".join(r.choices("abcdefghijkl", k=7))
+    rows = [(i, "p", " ".join(["minería", *[word() for _ in range(7)]])) for i in range(400)]
+    pairs = conflicts.word_pairs(spark.createDataFrame(rows, "id long, c string, t string"))
+    assert pairs.count() == 0
