@@ -92,22 +92,62 @@ def picker(df: DataFrame, chosen: dict[str, str] | None = None, row_id: str = "r
     return found.select("group_key", "size", label.alias("label"), F.col("_row").alias(row_id), "latitude", "longitude", F.col("_gid").alias("gid")).orderBy(F.lower("label"), "group_key")
 
 
+def _joined_places(places: list[Column]) -> Column:
+    return F.concat_ws(" &middot; ", *[F.nullif(X.html_escape(F.nullif(F.trim(F.coalesce(p, F.lit(""))), F.lit(""))), F.lit("")) for p in places])
+
+
+def _kind(sector: Column, event: Column) -> Column:
+    return F.concat(X.html_escape(X.pretty(sector, V.SECTOR_LABELS)), F.lit(" / "), X.html_escape(X.pretty(event, V.EVENT_LABELS)))
+
+
 def popup(title: Column, source: Column, date: Column, places: list[Column], sector: Column, event: Column, summary: Column, url: Column) -> Column:
     """A single article's HTML."""
     e = lambda c, n=None: X.html_escape(F.left(F.coalesce(c, F.lit("")), F.lit(n)) if n else F.coalesce(c, F.lit("")))
     day = F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit("unknown date"))
-    where = F.concat_ws(" &middot; ", *[F.nullif(e(F.nullif(F.trim(p), F.lit(""))), F.lit("")) for p in places])
-    kind = F.concat(e(X.pretty(sector, V.SECTOR_LABELS)), F.lit(" / "), e(X.pretty(event, V.EVENT_LABELS)))
+    where, kind = _joined_places(places), _kind(sector, event)
     return F.concat(F.lit("<b>"), e(title, 120), F.lit("</b><br><small>"), e(source), F.lit(" &middot; "), day, F.lit(" &middot; "), where, F.lit("</small><br><i>"), kind, F.lit("</i><p>"), e(summary, 280), F.lit("</p><a href='"), e(url), F.lit("'>Read source</a>"))
 
 
+def _item(title: Column, source: Column, date: Column, url: Column) -> Column:
+    """An article in a list."""
+    day = F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit("unknown date"))
+    text = lambda c: X.html_escape(F.coalesce(c, F.lit("")))
+    return F.concat(F.lit("<li><a href='"), text(url), F.lit("'>"), text(source), F.lit(" &middot; "), day, F.lit("</a><br><small>"), text(F.left(title, F.lit(90))), F.lit("</small></li>"))
+
+
 def popup_items(title: Column, source: Column, date: Column, url: Column) -> Column:
     """A list of a group's articles, latest first: to be used in an aggregate."""
-    day = F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit("unknown date"))
-    item = F.concat(F.lit("<li><a href='"), X.html_escape(url), F.lit("'>"), X.html_escape(source), F.lit(" &middot; "), day, F.lit("</a><br><small>"), X.html_escape(F.left(F.coalesce(title, F.lit("")), F.lit(90))), F.lit("</small></li>"))
+    item = _item(title, source, date, url)
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(date.alias("d"), item.alias("item"))), False), lambda s: s["item"]), "")
 
 
+def markers(df: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """A marker for each event that has coordinates: group_key, size, lat, lon, color, popup, tooltip.
+
+    df: derived rows (lat, lon, date, summary_display beside the article columns). An event's marker stands where its most precise row is, the first of several; its
+    popup is that of its only article, or a heading and the list of all, latest first; a row without an event is one of its own.
+    """
+    country, region = V.ADMIN_COLUMNS[:2]
+    texts = ["conflict_id", "geocode_precision", "article_title", "source", "article_url", "sector", "event_type", "summary_display", country, region]
+    df = ensure(df, texts)
+    rows = df.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.struct(F.col(row_id).alias("row"), "lat", "lon", "date", *[F.col(f"`{c}`").alias(f"t{i}") for i, c in enumerate(texts)]).alias("r"))
+    t = {c: F.col(f"r.t{i}") for i, c in enumerate(texts)}
+    group = F.trim(F.coalesce(t["conflict_id"], F.lit("")))
+    order = F.struct((-places.precision_rank(t["geocode_precision"])).alias("rank"), F.col("r.row"))
+    item = F.struct(F.col("r.date").isNull().alias("undated"), (-F.unix_micros(F.col("r.date").cast("timestamp"))).alias("late"), F.col("r.row"), _item(t["article_title"], t["source"], F.col("r.date"), t["article_url"]).alias("item"))
+    found = rows.groupBy(F.when(group == "", F.concat(F.lit("__row"), F.col("r.row").cast("string"))).otherwise(group).alias("group_key")).agg(F.count("*").alias("size"), F.min_by("r", order).alias("r"), F.sort_array(F.collect_list(item)).alias("items"))
+    where = [t[country], t[region]]
+    one = popup(t["article_title"], t["source"], F.col("r.date"), where, t["sector"], t["event_type"], t["summary_display"], t["article_url"])
+    n = F.col("size").cast("string")
+    many = F.concat(F.lit("<b>Conflict &middot; "), n, F.lit(" articles</b><br><small>"), _joined_places(where), F.lit(" &middot; <i>"), _kind(t["sector"], t["event_type"]), F.lit("</i></small><ul>"), F.array_join(F.transform("items", lambda i: i["item"]), ""), F.lit("</ul>"))
+    colors = F.create_map(*[F.lit(x) for kv in V.SECTOR_COLORS.items() for x in kv])
+    tip = F.left(F.coalesce(t["article_title"], F.lit("")), F.lit(110))
+    return found.select(
+        "group_key", "size", "r.lat", "r.lon", F.coalesce(F.try_element_at(colors, t["sector"]), F.lit("gray")).alias("color"),
+        F.when(F.col("size") > 1, many).otherwise(one).alias("popup"), F.when(F.col("size") > 1, F.concat(n, F.lit(" articles · "), tip)).otherwise(tip).alias("tooltip"),
+    )
+
+
 def view(df: DataFrame, columns: list[str]) -> DataFrame:
     """The wanted columns that there are, codes as labels."""
     labels = {"sector": V.SECTOR_LABELS, "event_type": V.EVENT_LABELS}

@@ -521,6 +521,37 @@ def popup_list(t):
     return t.events.groupBy("user_id").agg(F.md5(items).alias("items_md5"))
 
 
+@query("""WITH e AS (SELECT *, CASE WHEN user_id % 10 = 0 THEN '__row' || event_id ELSE 'u' || user_id END AS g, CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'error' THEN 1 WHEN 'view' THEN 0 ELSE 2 END AS rank,
+  CASE event_type WHEN 'view' THEN 'mining' WHEN 'click' THEN 'oil_gas' ELSE '' END AS sector, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'R' || event_id % 7 END AS region FROM events WHERE value IS NOT NULL),
+m AS (SELECT g, count(*) AS size, arg_min(event_id, struct_pack(r := -rank, i := event_id)) AS rep, string_agg('<li><a href=''e' || event_id || '''>' || event_type || ' &middot; ' || coalesce(day, 'unknown date') || '</a><br><small>' || event_type || ' &lt;' || event_id || '&gt;</small></li>', '' ORDER BY ts DESC NULLS LAST, event_id) AS items FROM e GROUP BY g),
+k AS (SELECT m.*, e.*, 'N&amp;M' || CASE WHEN region = '' THEN '' ELSE ' &middot; ' || region END AS loc, CASE sector WHEN 'mining' THEN 'Mining' WHEN 'oil_gas' THEN 'Oil & Gas' ELSE 'Unclassified' END AS label FROM m JOIN e ON e.event_id = m.rep)
+SELECT g AS group_key, size, value AS lat, CAST(user_id AS DOUBLE) AS lon, CASE sector WHEN 'mining' THEN 'MINING_COLOR' WHEN 'oil_gas' THEN 'OIL_COLOR' ELSE 'lightgray' END AS color,
+CASE WHEN size > 1 THEN '<b>Conflict &middot; ' || size || ' articles</b><br><small>' || loc || ' &middot; <i>' || replace(label, '&', '&amp;') || ' / Violence</i></small><ul>' || items || '</ul>'
+ELSE '<b>' || event_type || ' &lt;' || event_id || '&gt;</b><br><small>' || event_type || ' &middot; ' || coalesce(day, 'unknown date') || ' &middot; ' || loc || '</small><br><i>' || replace(label, '&', '&amp;') || ' / Violence</i><p>' || left(props, 280) || '</p><a href=''e' || event_id || '''>Read source</a>' END AS popup,
+CASE WHEN size > 1 THEN size || ' articles · ' ELSE '' END || event_type || ' <' || event_id || '>' AS tooltip FROM k""".replace("MINING_COLOR", V.SECTOR_COLORS["mining"]).replace("OIL_COLOR", V.SECTOR_COLORS["oil_gas"]))
+def map_markers(t):
+    """Users stand for conflicts, values for latitudes."""
+    i, kind = F.col("event_id").cast("string"), F.col("event_type")
+    rank = F.when(kind == "purchase", "town").when(kind == "click", "feature").when(kind == "error", "region").when(kind == "view", "country").otherwise("unknown")
+    df = t.events.select("event_id", F.col("value").alias("lat"), F.col("user_id").cast("double").alias("lon"), F.col("ts").alias("date"), F.when(F.col("user_id") % 10 == 0, " ").otherwise(F.concat(F.lit("u"), F.col("user_id"))).alias("conflict_id"), rank.alias("geocode_precision"), F.concat(kind, F.lit(" <"), i, F.lit(">")).alias("article_title"), kind.alias("source"), F.concat(F.lit("e"), i).alias("article_url"), F.when(kind == "view", "mining").when(kind == "click", "oil_gas").otherwise("").alias("sector"), F.lit("violence").alias("event_type"), F.col("props").alias("summary_display"), F.lit("N&M").alias(V.ADMIN_COLUMNS[0]), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("R"), F.col("event_id") % 7)).alias(V.ADMIN_COLUMNS[1]))
+    return dashboard.markers(df, "event_id")
+
+
+@query(f"""WITH p AS (SELECT DISTINCT regexp_extract({_HOST}, '[a-z]+$') AS host, array_to_string({_sql_words(_PAGE_TITLE)}, ' ') AS t FROM pages),
+w AS (SELECT host, t, list_distinct(list_filter(string_split(t, ' '), lambda x: length(x) >= {V.KEYWORD_LENGTH})) AS w FROM p WHERE t <> ''),
+b AS (SELECT x.host, x.t AS a, y.t AS b, list_intersect(x.w, y.w) AS s, least(len(x.w), len(y.w)) AS n FROM w x JOIN w y ON x.host = y.host AND x.t < y.t),
+c AS (SELECT host, a, b, CAST(len(s) AS BIGINT) AS shared, CAST(len(list_filter(s, lambda x: length(x) >= {V.DISTINCTIVE_LENGTH})) AS BIGINT) AS telling, n FROM b)
+SELECT host, a, b, shared, telling FROM c WHERE telling >= {V.STRONG_SHARED} OR (telling > 0 AND shared / n >= {V.OVERLAP_LEAST})""")
+def similar_titles(t):
+    """Pairs of titles of a top-level domain that fit by their words: edges of the graph on which reports are grouped."""
+    rows = t.pages.select(F.col("page_id").alias("k"), F.regexp_extract(H.host(F.col("url")), "[a-z]+$", 0).alias("c"), X.normalised_title(H.title(F.col("html"))).alias("t"), F.lit(1).alias("d"))
+    titles = conflicts.titles_of(rows)
+    side = lambda n: titles.select(F.col("id").alias(n), F.col("c").alias(f"host_{n}"), F.col("t").alias(f"t{n}"))
+    found = conflicts.word_pairs(titles).join(side("a"), "a").join(side("b"), "b").withColumn("o", conflicts.overlap(F.split("ta", " "), F.split("tb", " ")))
+    fits = (F.col("o.telling") >= V.STRONG_SHARED) | ((F.col("o.telling") > 0) & (F.col("o.share") >= V.OVERLAP_LEAST))
+    return found.where(fits).select(F.col("host_a").alias("host"), F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), "o.shared", "o.telling")
+
+
 @query("""SELECT event_id, printf('%.6f', value) AS fixed, CASE WHEN event_type IN ('signup', 'purchase') THEN 'es' ELSE 'en' END AS language, CASE WHEN event_type = 'click' THEN 'mining' WHEN event_type = 'view' THEN 'water' ELSE '' END AS label FROM events""")
 def small_functions(t):
     kind = F.when(F.col("event_type") == "signup", " Español").when(F.col("event_type") == "purchase", "spanish").otherwise(F.col("event_type"))
