@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import calendar
+import functools
 import re
 import unicodedata
 
@@ -9,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
+from .html import held
 
 
 def _accents() -> tuple[str, str]:
@@ -139,21 +142,41 @@ def six_decimals(c: Column) -> Column:
     return F.format_string("%.6f", c)
 
 
-#: After a weekday, ordinal endings and a time of day are gone; where numbers alone say month and day, the month comes first if it can
-DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "d MMMM yyyy", "MMMM d yyyy", "d MMM yyyy", "MMM d yyyy", "yyyy MMMM d", "yyyy MMM d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy")
 _WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+"
 _TIME = r"(?i)(^|[T\s,]|\bat)\s*\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?\s*([ap]\.?m\.?)?\s*(z|[a-z]{2,5}|(utc|gmt)?[+-]\d{2}:?\d{2})?(\s*\([^)]*\))?\s*$"
 
 
+_MONTHS = {n.lower(): i for i in range(1, 13) for n in (calendar.month_name[i], calendar.month_abbr[i])} | {"sept": 9}
+
+
 def iso_date(raw: Column) -> Column:
-    """An ISO date where the text has a known form, with or without weekday, time and zone (which don't shift it); else the text; null is empty."""
+    """An ISO date where the text is one, with or without weekday, time and zone (which don't shift it); else the text; null is empty.
+
+    What is left is read as words and numbers: a month's name with a day and a year of four digits in any order; three numbers, the year first or last, and then
+    the month before the day if that is a date; or eight digits.
+    """
     text = F.trim(F.coalesce(raw, F.lit("")))
     bare = F.regexp_replace(F.regexp_replace(text, _WEEKDAY, ""), _TIME, "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)(\d)(st|nd|rd|th)\b", "$1"), r"(?<=\d)-(?=[A-Za-z])|(?<=[A-Za-z])-(?=\d)", " ")
-    bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?i)\bof\b|,", " "), r"\s+", " "))
-    bare = F.regexp_replace(bare, r"(?<=[A-Za-z])\.(?=\s)", "")
-    known = F.coalesce(*[F.to_date(F.try_to_timestamp(bare, F.lit(f))) for f in DATE_FORMATS])
-    return F.coalesce(F.date_format(known, "yyyy-MM-dd"), F.coalesce(raw, F.lit("")))
+    bare = F.regexp_replace(F.regexp_replace(F.lower(bare), r"(\d)(st|nd|rd|th)\b", "$1"), r"\bof\b|\bthe\b|,", " ")
+    months = F.create_map(*[F.lit(x) for kv in _MONTHS.items() for x in kv])
+    date = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+
+    def known(parts: Column) -> Column:
+        words, numbers = F.filter(parts, lambda p: p.rlike("[a-z]")), F.filter(parts, lambda p: ~p.rlike("[a-z]"))
+        month = F.try_element_at(months, F.get(words, F.lit(0))).cast("string")
+        a, b, c = (F.get(numbers, F.lit(i)) for i in range(3))
+        short = lambda *xs: functools.reduce(lambda p, q: p & q, [F.length(x) <= 2 for x in xs])
+        shape = lambda w, n: (F.size(words) == w) & (F.size(numbers) == n)
+        return (
+            F.when(shape(1, 2) & (F.length(a) == 4) & short(b), date(a, month, b))
+            .when(shape(1, 2) & (F.length(b) == 4) & short(a), date(b, month, a))
+            .when(shape(0, 3) & (F.length(a) == 4) & short(b, c), date(a, b, c))
+            .when(shape(0, 3) & (F.length(c) == 4) & short(a, b), F.coalesce(date(c, a, b), date(c, b, a)))
+            .when(shape(0, 1) & (F.length(a) == 8), F.try_to_date(a, "yyyyMMdd"))
+        )
+
+    found = held(F.when(bare.rlike(r"^[a-z0-9\s./-]+$"), F.regexp_extract_all(bare, F.lit(r"[a-z]+|\d+"), 0)), known)
+    return F.coalesce(F.date_format(found, "yyyy-MM-dd"), F.coalesce(raw, F.lit("")))
 
 
 def day_month_year(c: Column) -> Column:

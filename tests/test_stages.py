@@ -226,7 +226,7 @@ def test_repeated_keys(spark):
     assert got.columns.count("conflict_id") == 1 and got.first().coverage_count == 1
 
 
-@pytest.mark.parametrize("raw, day", [("Tue, 05 Mar 2024 10:00:00 GMT", "2024-03-05"), ("March 5, 2024 10:00", "2024-03-05"), ("2024-03-05T23:59:59.123-05:00", "2024-03-05"), ("5th of March 2024", "2024-03-05"), ("03/05/2024", "2024-03-05"), ("13/05/2024", "2024-05-13"), ("Tuesday, March 5, 2024 at 3:04 pm", "2024-03-05"), ("soon", "soon"), (None, "")])
+@pytest.mark.parametrize("raw, day", [("Tue, 05 Mar 2024 10:00:00 GMT", "2024-03-05"), ("March 5, 2024 10:00", "2024-03-05"), ("2024-03-05T23:59:59.123-05:00", "2024-03-05"), ("5th of March 2024", "2024-03-05"), ("03/05/2024", "2024-03-05"), ("13/05/2024", "2024-05-13"), ("Sept 5, 2024", "2024-09-05"), ("Thu, 5 Sept. 2024 08:00 +0200", "2024-09-05"), ("2024 March 05", "2024-03-05"), ("5-Mar-2024", "2024-03-05"), ("Mar. 5 2024", "2024-03-05"), ("20240305", "2024-03-05"), ("2024.3.5", "2024-03-05"), ("31/02/2024", "31/02/2024"), ("30 Foo 2024", "30 Foo 2024"), ("March 2024", "March 2024"), ("MAY 1ST, 2024", "2024-05-01"), ("Tuesday, March 5, 2024 at 3:04 pm", "2024-03-05"), ("soon", "soon"), (None, "")])
 def test_dates(spark, raw, day):
     assert spark.createDataFrame([(raw,)], "x string").select(X.iso_date(F.col("x"))).first()[0] == day
 
