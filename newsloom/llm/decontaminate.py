@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import bytewords as bw
 from .common import fresh, stored
@@ -191,7 +192,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
             at = np.searchsorted(start, t.first)
             own = np.searchsorted(t.first, start, "right") - 1
             runs = pa.StructArray.from_arrays([pa.array(start - t.first[own]), pa.array(stop - start)], ["start", "length"])
-            named = pa.array([sorted(x) for x in ids], pa.list_(_arrow(kind)))
+            named = pa.array([sorted(x) for x in ids], pa.list_(to_arrow_type(kind)))
             total = np.concatenate([[0], np.cumsum(hit)])
             return pa.RecordBatch.from_arrays([*b.columns, pa.array(t.counts), pa.array(total[t.first[1:]] - total[t.first[:-1]]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), runs), named], [*b.schema.names, *extra.names])
 
@@ -216,10 +217,6 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
     return joined.select(*[F.col(f"`{c}`") for c in kept], "n_words", *of.values())
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
-    return pa.string() if isinstance(kind, T.StringType) else pa.int32() if isinstance(kind, T.IntegerType) else pa.int64()
-
-
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents without any hit, with their own columns alone. Several blocks of items are filters one after the other."""
     for part in _blocks(items.select(item, item_text), item, item_text, block_bytes):

@@ -91,6 +91,15 @@ def test_decontaminate(spark, limit):
     assert decontaminate.find(d.limit(0), b).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["short", "int", "decimal(9,1)", "double", "date", "string"])
+def test_item_ids_of_any_type(spark, kind):
+    rows = "(DATE'2024-01-01'), (DATE'2024-01-02')" if kind == "date" else "(1), (2)"
+    one, two = spark.sql(f"SELECT CAST(x AS {kind}) FROM VALUES {rows} AS t(x)").collect()
+    items = spark.createDataFrame([(one[0], "a b c"), (two[0], "c d e")], f"item_id {kind}, text string")
+    got = {r.doc_id: sorted(r["items"]) for r in decontaminate.find(docs_of(spark, ["x a b c d e", "z", "a b c"]), items).collect()}
+    assert got == {0: [one[0], two[0]], 1: [], 2: [one[0]]}
+
+
 def test_winnow_positions_and_guarantee():
     r = random.Random(3)
     text = "".join(r.choice("abcdé ") for _ in range(900))
