@@ -12,7 +12,7 @@ from pyspark.sql.types import Row
 from ..functions import html as H
 from ..functions import text as X
 from ..functions import vocabulary as V
-from ..operators import conflicts, dashboard, growth, places, raster, rules
+from ..operators import conflicts, dashboard, growth, places, raster, rules, storage
 from ..sources import tables
 from ..streaming import ingest
 
@@ -421,14 +421,30 @@ def ordered_dedupe(t):
     return growth.first_of_each(df, "doc_id").select("doc_id")
 
 
-@query("""WITH e AS (SELECT event_id, event_type IN ('error', 'click') AS blank, lag(event_type IN ('error', 'click')) OVER (ORDER BY event_id) AS was, lag(event_id) OVER (ORDER BY event_id) AS before FROM events),
-s AS (SELECT event_id, sum(CASE WHEN before = event_id - 1 AND (event_id % 2 = 0 OR NOT (blank OR was)) THEN 0 ELSE 1 END) OVER (ORDER BY event_id) AS chain FROM e)
-SELECT event_id FROM s QUALIFY row_number() OVER (PARTITION BY chain ORDER BY event_id) % 2 = 1""")
-def dedupe_chains(t):
+def _chains(t) -> DataFrame:
     """Neighbours share one key or the other in turn, so rows make chains; where a second key is blank, a chain may break."""
     i = F.col("event_id")
-    df = t.events.select("event_id", F.concat(F.lit("a"), F.floor((i + 1) / 2)).alias("article_id"), F.when(F.col("event_type").isin("error", "click"), " ").otherwise(F.concat(F.lit("b"), F.floor(i / 2))).alias("article_url"))
-    return growth.first_of_each(df, "event_id").select("event_id")
+    return t.events.select("event_id", F.concat(F.lit("a"), F.floor((i + 1) / 2)).alias("article_id"), F.when(F.col("event_type").isin("error", "click"), " ").otherwise(F.concat(F.lit("b"), F.floor(i / 2))).alias("article_url"))
+
+
+_CHAINED = """WITH e AS (SELECT event_id, event_type IN ('error', 'click') AS blank, lag(event_type IN ('error', 'click')) OVER (ORDER BY event_id) AS was, lag(event_id) OVER (ORDER BY event_id) AS before FROM events),
+s AS (SELECT event_id, sum(CASE WHEN before = event_id - 1 AND (event_id % 2 = 0 OR NOT (blank OR was)) THEN 0 ELSE 1 END) OVER (ORDER BY event_id) AS chain FROM e)
+SELECT event_id FROM s QUALIFY row_number() OVER (PARTITION BY chain ORDER BY event_id) % 2 = 1"""
+
+
+@query(_CHAINED)
+def dedupe_chains(t):
+    return growth.first_of_each(_chains(t), "event_id").select("event_id")
+
+
+@query(_CHAINED)
+def growing_stream(t):
+    """The same rows as four batches of a stream that appends to a table."""
+    path, edges = storage.shared_path(t.spark, "growing"), t.events.select(F.min("event_id"), F.max("event_id")).first()
+    put, part = ingest.append_first(path, "event_id"), F.floor((F.col("event_id") - edges[0]) * 4 / (edges[1] - edges[0] + 1))
+    for n in range(4):
+        put(_chains(t).where(part == n), n)
+    return ingest.appended(t.spark, path).select("event_id")
 
 
 @query("""WITH u AS (SELECT 0 AS origin, event_id, event_id AS id, event_type AS kind, '' AS extra FROM events UNION ALL SELECT 1, event_id, event_id + 500, event_type, 'new' FROM events)

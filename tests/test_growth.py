@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from newsloom.operators import components, growth, storage
+from newsloom.streaming import ingest
 
 
 def brute(rows):
@@ -77,3 +78,22 @@ def test_folders_go(spark):
     storage.removed(df)
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     assert not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def test_a_stream_keeps_what_the_batch_would(spark, tmp_path):
+    """Any cut into micro-batches, a restart between, a batch put twice."""
+    r = random.Random(7)
+    rows = [(i, r.choice([None, " ", f"a{r.randrange(60)}", f"a{r.randrange(60)}"]), r.choice(["", f"b{r.randrange(60)}", f"b{r.randrange(60)}"])) for i in range(150)]
+    kind, at, path = "r long, article_id string, article_url string", 0, f"{tmp_path}/table"
+    put = ingest.append_first(path, "r", buckets=8)
+    for n in range(3):
+        for _ in range(2):  # two files, so two micro-batches a start
+            size = r.randrange(5, 40)
+            spark.createDataFrame(rows[at : at + size], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/source")
+            at += size
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/source")
+        stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame(rows[at:], kind).createOrReplaceTempView("rest")
+    for _ in range(2):
+        put(spark.table("rest"), 99)
+    assert sorted(x.r for x in ingest.appended(spark, path).collect()) == brute(rows)
