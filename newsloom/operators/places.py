@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..functions import vocabulary as V
 from ..functions.html import held
 from .growth import one_of_each
+from .storage import name
 
 
 def _t(name: str) -> Column:
@@ -67,16 +68,19 @@ def needs_match(text: Column, title: Column, latitude: Column, longitude: Column
 
 def geocoded(df: DataFrame, answers: DataFrame, by_country: bool = False) -> DataFrame:
     """Rows with the six geocode columns filled from answers (query, iso2, lat, lon, precision, display_name; lat null: none found)."""
+    own = name("asked", df.columns)
+    key, hit = name("key", [*df.columns, own]), name("answer", [*df.columns, own])
     iso2 = F.create_map(*[F.lit(x) for kv in V.ISO2.items() for x in kv])
-    want = df.withColumn("_q", candidate_query(F.col("location_context"), F.col("location_name"), F.col("locality"), F.col("region_department"), F.col("country"), by_country))
-    want = want.withColumns({"_query": F.col("_q.query"), "_hint": F.col("_q.hint"), "_iso2": F.coalesce(F.try_element_at(iso2, _t("country")), F.lit("")), "_need": needs_geocode(F.col("latitude"), F.col("geocode_status"))})
-    a = one_of_each(answers, ["query", "iso2"], ["lat", "lon", "precision", "display_name"]).select(F.col("query").alias("_query"), F.col("iso2").alias("_iso2"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("precision").alias("_precision"), F.col("display_name").alias("_display"))
-    got = want.join(a, ["_query", "_iso2"], "left")
-    found = F.col("_need") & (F.col("_query") != "") & F.col("_lat").isNotNull()
-    status = F.when(~F.col("_need"), F.col("geocode_status")).when(F.col("_query") == "", "no_location").when(F.col("_lat").isNull(), "not_found").otherwise("ok")
+    query = candidate_query(F.col("location_context"), F.col("location_name"), F.col("locality"), F.col("region_department"), F.col("country"), by_country)
+    asked = F.struct(query.alias("q"), F.coalesce(F.try_element_at(iso2, _t("country")), F.lit("")).alias("iso2"), needs_geocode(F.col("latitude"), F.col("geocode_status")).alias("need"))
+    said = one_of_each(answers, ["query", "iso2"], ["lat", "lon", "precision", "display_name"]).select(F.struct("query", "iso2").alias(key), F.struct("lat", "lon", "precision", "display_name").alias(hit))
+    got = df.withColumn(own, asked).join(said, (F.col(f"{own}.q.query") == F.col(f"{key}.query")) & (F.col(f"{own}.iso2") == F.col(f"{key}.iso2")), "left")
+    need, text, lat = F.col(f"{own}.need"), F.col(f"{own}.q.query"), F.col(f"{hit}.lat")
+    found = need & (text != "") & lat.isNotNull()
+    status = F.when(~need, F.col("geocode_status")).when(text == "", "no_location").when(lat.isNull(), "not_found").otherwise("ok")
     put = lambda new, old: F.when(found, new).otherwise(F.col(old))
-    out = got.withColumns({"latitude": put(X.six_decimals(F.col("_lat")), "latitude"), "longitude": put(X.six_decimals(F.col("_lon")), "longitude"), "geocode_precision": put(capped_precision(F.col("_precision"), F.col("_hint")), "geocode_precision"), "geocode_query": put(F.col("_query"), "geocode_query"), "geocode_display_name": put(F.col("_display"), "geocode_display_name"), "geocode_status": status})
-    return out.select(*df.columns)
+    out = got.withColumns({"latitude": put(X.six_decimals(lat), "latitude"), "longitude": put(X.six_decimals(F.col(f"{hit}.lon")), "longitude"), "geocode_precision": put(capped_precision(F.col(f"{hit}.precision"), F.col(f"{own}.q.hint")), "geocode_precision"), "geocode_query": put(text, "geocode_query"), "geocode_display_name": put(F.col(f"{hit}.display_name"), "geocode_display_name"), "geocode_status": status})
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def inside(x: np.ndarray, y: np.ndarray, rings: list) -> np.ndarray:
@@ -234,6 +238,7 @@ def first_mentioned(hits: DataFrame, key: str, least: Column) -> DataFrame:
 
 def resolve_text(rows: DataFrame, second: DataFrame, third: DataFrame, key: str) -> DataFrame:
     """(key, a2, a3, gid) from texts (key, iso3, region, text); boundaries: (iso3, region, name, gid) and (iso3, gid2, name, gid)."""
+    rows = rows.select(key, "iso3", "region", "text")
     regions = second.select("iso3", X.normalised(F.col("region")).alias("_r")).distinct()
     r = rows.withColumn("_r", X.normalised(F.col("region"))).join(regions.withColumn("_known", F.lit(True)), ["iso3", "_r"], "left")
     r = r.withColumn("_narrow", F.coalesce("_known", F.lit(False)) & (F.col("_r") != ""))
@@ -250,6 +255,7 @@ def resolve(rows: DataFrame, by_point: DataFrame, by_text: DataFrame, key: str)
 
     rows: key, country, iso3 (null: none known), precision (effective); by_point and by_text: key, a2, a3, gid.
     """
+    rows = rows.select(key, "country", "iso3", "precision")
     pack = lambda d, n: d.select(key, F.struct("a2", "a3", "gid").alias(n))
     out = rows.join(pack(by_point, "_p"), key, "left").join(pack(by_text, "_t"), key, "left")
     best = F.coalesce(F.when(~F.col("precision").isin(V.COARSE_PRECISIONS), F.col("_p")), F.col("_t"))

@@ -48,3 +48,17 @@ def test_many_names_of_one_first_word(spark):
     assert sorted((x.k, x.gid, x.position) for x in hits.collect()) == sorted((i, f"g{i}", 3) for i in range(200))
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_count" not in plan and "regexp_instr" not in plan
+
+
+def test_callers_columns_stay_in_geocoding(spark):
+    own = {c: F.lit("own") for c in ("_q", "_query", "_hint", "_iso2", "_need", "_lat", "_lon", "asked", "key", "answer", "lat", "query")}
+    cols = "k long, location_context string, location_name string, locality string, region_department string, country string, latitude string, longitude string, geocode_precision string, geocode_query string, geocode_display_name string, geocode_status string"
+    df = spark.createDataFrame([(1, "", "", "Piedras", "Lima", "Peru", "", "", "", "", "", ""), (2, "", "", "", "", "", "", "", "", "", "", ""), (3, "", "", "Other", "", "Peru", "", "", "", "", "", "")], cols).withColumns(own)
+    answers = spark.createDataFrame([("Piedras, Lima, Peru", V.ISO2["Peru"], 1.5, 2.5, "town", "P")], "query string, iso2 string, lat double, lon double, precision string, display_name string")
+    out = places.geocoded(df, answers)
+    assert out.columns == df.columns
+    rows = {r.k: r for r in out.collect()}
+    assert {k: (r.latitude, r.geocode_status) for k, r in rows.items()} == {1: ("1.500000", "ok"), 2: ("", "no_location"), 3: ("", "not_found")} and all(r[c] == "own" for r in rows.values() for c in own)
+    one = spark.createDataFrame([(1, "Peru", "PER", "town", "x", "y")], "k long, country string, iso3 string, precision string, _p string, _t string")
+    hit = spark.createDataFrame([(1, "Lima", "", "PER.1_1")], "k long, a2 string, a3 string, gid string")
+    assert places.resolve(one, hit, hit, "k").first().a2 == "Lima"
