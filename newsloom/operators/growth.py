@@ -124,9 +124,13 @@ def one_of_each(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.min(order).alias("least")).select(*key, *[F.col(f"least.v_{c}").alias(c) for c in columns])
 
 
-def back_filled(df: DataFrame, found: DataFrame, key: str, columns: list[str], needs: Column) -> DataFrame:
-    """New values of some columns where a row needs and has them; others stay. Of several new values of a key the least ones count."""
+def back_filled(df: DataFrame, found: DataFrame, key: str, columns: list[str], needs: Column | str) -> DataFrame:
+    """New values of some columns where a row needs and has them; others stay. Of several new values of a key the least ones count.
+
+    ``needs``: a condition on df's columns, or the one of the columns whose new value says by being there that a row is filled.
+    """
     new = {c: name(f"new_{c}", [*df.columns, *columns]) for c in columns}
+    needs = F.col(f"`{new[needs]}`").isNotNull() if isinstance(needs, str) else needs
     out = df.join(one_of_each(found, [key], columns).withColumnsRenamed(new), key, "left")
     filled = {c: F.when(needs, F.coalesce(F.col(f"`{n}`"), F.col(f"`{c}`"))).otherwise(F.col(f"`{c}`")) for c, n in new.items()}
     return out.withColumns(filled).drop(*new.values())

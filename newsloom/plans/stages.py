@@ -25,7 +25,7 @@ def fetch_texts(rows: DataFrame, pages: DataFrame, row_id: str = "row_id", again
     text = F.when(F.col("status") == 200, H.main_text(F.col("html"))).otherwise("")
     status = F.when(F.trim(F.coalesce("article_url", F.lit(""))) == "", "error:no_url").when(F.col("status").isNull(), "error:fetch_failed").otherwise(H.text_status(F.col("_t"), F.col("status")))
     found = got.withColumn("_t", text).select(row_id, F.col("_t").alias("article_text"), status.alias("text_status"))
-    return growth.back_filled(rows, found, row_id, ["article_text", "text_status"], F.col("_new_text_status").isNotNull())
+    return growth.back_filled(rows, found, row_id, ["article_text", "text_status"], "text_status")
 
 
 def geocode(rows: DataFrame, answers: DataFrame, row_id: str = "row_id", by_country: bool = True, limit: int | None = None) -> DataFrame:
@@ -33,7 +33,7 @@ def geocode(rows: DataFrame, answers: DataFrame, row_id: str = "row_id", by_coun
     rows = tables.ensure(rows, [*V.GEOCODE_COLUMNS, "location_context", "location_name"])
     todo = growth.first_needed(rows, places.needs_geocode(F.col("latitude"), F.col("geocode_status")), limit, row_id)
     done = places.geocoded(todo, answers, by_country).select(row_id, *V.GEOCODE_COLUMNS)
-    return growth.back_filled(rows, done, row_id, V.GEOCODE_COLUMNS, F.col("_new_geocode_status").isNotNull())
+    return growth.back_filled(rows, done, row_id, V.GEOCODE_COLUMNS, "geocode_status")
 
 
 def match_admin(rows: DataFrame, areas: DataFrame, row_id: str = "row_id", again: bool = False, limit: int | None = None) -> DataFrame:
