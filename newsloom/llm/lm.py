@@ -158,8 +158,8 @@ class Opened:
     @staticmethod
     def _split(path: str, n: int, kinds: tuple[str, ...]) -> list[np.ndarray]:
         raw, out, at = _map(path), [], 0
-        for k in kinds:
-            if k is kinds[-1] and n:  # counts of pairs are as wide as the largest of a file needs
+        for i, k in enumerate(kinds, 1):
+            if i == len(kinds) and n:  # counts of pairs are as wide as the largest of a file needs
                 k = f"{k[:2]}{(len(raw) - at) // n}"
             size = n * int(k[-1])
             out.append(raw[at : at + size].view(k))
