@@ -39,8 +39,8 @@ def first_of_each(df: DataFrame, row_id: str = "row_id", keys: tuple[str, ...] =
     first = written(keyed.groupBy(*names).agg(F.min("r").alias("r")), "first")
     nodes = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.xxhash64(F.lit(i), n)) for i, n in enumerate(names)]))
     told = first.withColumn("nodes", nodes)
-    pairs = told.select(F.explode(F.arrays_zip(F.slice("nodes", 1, F.size("nodes") - 1).alias("u"), F.slice("nodes", 2, F.size("nodes") - 1).alias("v"))).alias("e")).select("e.u", "e.v")
-    label = components(pairs)
+    pairs = told.select(F.explode(F.arrays_zip(F.slice("nodes", 1, F.size("nodes") - 1).alias("u"), F.slice("nodes", 2, F.size("nodes") - 1).alias("v"))).alias("e"), "r").select("e.u", "e.v", "r")
+    label = components(pairs.repartitionByRange("r").sortWithinPartitions("r"))  # rows that share keys are often near each other
     placed = told.withColumn("node", F.get("nodes", F.lit(0))).drop("nodes").join(label, "node", "left").select("r", *names, F.coalesce("component", "node").alias("component"))
     placed = written(placed, "placed")
     large = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component")

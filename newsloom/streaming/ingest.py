@@ -48,7 +48,7 @@ def append_first(path: str, row_id: str = "row_id", keys: tuple[str, ...] = ("ar
 
     The table (``appended`` reads it) holds the rows that ``growth.first_of_each`` would keep of all batches together, however they are cut, if row ids grow from batch to
     batch. Of older rows only hashes of keys are read (128 bits), from a table by bucket and batch, and only the buckets that the batch's keys fall
-    into. A batch that is repeated, after a failure or a restart, replaces what it wrote.
+    into; a bucket of a batch is one file, whatever the number of tasks. A batch that is repeated, after a failure or a restart, replaces what it wrote.
     """
 
     def put(batch: DataFrame, number: int) -> None:
@@ -66,7 +66,7 @@ def append_first(path: str, row_id: str = "row_id", keys: tuple[str, ...] = ("ar
             left = rows.join(nodes.join(older, ["one", "two"], "left_semi").select(F.col("r").alias(row_id)), row_id, "left_anti")
         kept = storage.written(growth.first_of_each(left, row_id, keys), "kept")
         kept.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
-        of(kept).select("one", "two", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/batch={number}")
+        of(kept).select("one", "two", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/batch={number}")
         storage.removed(rows)
         storage.removed(kept)
 

@@ -97,3 +97,29 @@ def test_a_stream_keeps_what_the_batch_would(spark, tmp_path):
     for _ in range(2):
         put(spark.table("rest"), 99)
     assert sorted(x.r for x in ingest.appended(spark, path).collect()) == brute(rows)
+
+
+def test_a_bucket_of_a_batch_is_one_file(spark, tmp_path):
+    """However many tasks write it, so files don't grow with the input."""
+    rows = [(i, f"a{i}", f"b{i // 2}") for i in range(400)]
+    df = spark.createDataFrame(rows, "r long, article_id string, article_url string").repartition(8)
+    was = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.coalescePartitions.enabled",)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ingest.append_first(str(tmp_path), "r", buckets=8)(df, 0)
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [len(list(d.glob("*.parquet"))) for d in sorted((tmp_path / "keys" / "batch=0").glob("bucket=*"))] == [1] * 8
+    assert ingest.appended(spark, str(tmp_path)).count() == 200
+
+
+def test_edges_of_a_task_are_contracted(spark):
+    r = random.Random(5)
+    chain = [(i + 1, i) for i in range(5000)]
+    edges = chain + [(r.randrange(10**6, 10**6 + 3000), r.randrange(10**6, 10**6 + 3000)) for _ in range(2000)]
+    df = spark.createDataFrame(edges, "u long, v long").coalesce(1)
+    stars = [tuple(x) for x in components.contracted(df).collect()]
+    assert len(stars) == len(set(stars)) <= len(edges) and all((i, 0) in set(stars) for i in range(1, 5001))
+    assert {x.node: x.component for x in components.components(df).collect()} == {**{u: v for u, v in stars}, **{v: v for _, v in stars}}
+    assert len(components.contracted(df, 7).collect()) <= len(edges)
