@@ -87,6 +87,15 @@ def test_changes(spark, chunk):
     assert any(v[4] for v in want.values()) and any(v[2] == "rejected" for v in want.values())
 
 
+@pytest.mark.parametrize("group, listed", [(3, 2), (100, 0)])
+def test_changes_of_clients_that_share_a_key(spark, group, listed):
+    """Clients in groups, their held rows in the value or, beyond a few, in the map."""
+    rows = some_changes(group)
+    got = changes.apply(spark.createDataFrame(rows, CHANGE), chunk=40, group=group, listed=listed).collect()
+    want = brute_changes(rows)
+    assert len(got) == len(want) and {r.change_id: list(r) for r in got} == want
+
+
 def test_changes_of_few(spark):
     begin = dt.datetime(2024, 1, 1)
     none = spark.createDataFrame([], CHANGE)
