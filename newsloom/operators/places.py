@@ -203,11 +203,16 @@ def capital_windows(text: Column, words: int, most: int) -> Column:
     return held(pieces, made)
 
 
-def name_hits(texts: DataFrame, names: DataFrame, key: str, on: list[str]) -> DataFrame:
+#: Size of names, about, up to which all tasks get them
+NAMES_BROADCAST = 16 << 20
+
+
+def name_hits(texts: DataFrame, names: DataFrame, key: str, on: list[str], most: int = NAMES_BROADCAST) -> DataFrame:
     """(key, name, gid, position, mentions) of names in texts as proper nouns: whole words, a capital first, whatever other letters' case and accents.
 
     Texts meet names by whole normalised word sequences: from each capital go as many words as names have, for each number of words that occurs. So a name that begins as
-    thousands of others costs nothing, and no pattern is run for a pair. Only these short sequences are shuffled, with their place. A name
+    thousands of others costs nothing, and no pattern is run for a pair. While names are few, by a check of their size, they are broadcast and only hits are shuffled: else the sequences that begin with one frequent word
+would all go to a task. Beyond that these short sequences are shuffled, with their place. A name
     counts wherever it begins. Names shorter than four letters or of a country never count; a name that ends in another character needs a
     word right behind it, one that begins in one never counts. Keys of texts are unique; nulls in texts and names mean nothing.
     """
@@ -217,14 +222,15 @@ def name_hits(texts: DataFrame, names: DataFrame, key: str, on: list[str]) -> Da
     known = names.where((F.length(whole) >= V.SHORTEST_PLACE) & ~whole.isin(countries)).select(F.struct(*on, "name", "gid", *more).alias("of"), F.lower(X.strip_accents(F.col("name"))).alias("whole")).distinct()
     known = known.withColumn("core", F.regexp_replace("whole", f"{_GAP}+$", "")).where(F.col("core").rlike(f"^{_WORD}"))
     n_words = F.size(F.split("core", f"{_GAP}+"))
-    shape = known.agg(F.max(F.length("whole")).alias("longest"), F.sort_array(F.collect_set(n_words)).alias("counts")).first()  # numbers of words: few
+    shape = known.agg(F.sum(F.length("whole") + 64).alias("size"), F.max(F.length("whole")).alias("longest"), F.sort_array(F.collect_set(n_words)).alias("counts")).first()  # numbers of words: few
     counts = shape["counts"] or [1]
     windows = capital_windows(X.strip_accents(F.coalesce(F.col("text"), F.lit(""))), max(counts), (shape["longest"] or 0) + 1)
     each = texts.select(F.struct(key, *on).alias("row"), F.explode(windows).alias("w"))
     sequences = F.array(*[F.lower(F.regexp_extract("w.window", f"^{_WORD}+(?:{_GAP}+{_WORD}+){{{n - 1}}}", 0)) for n in counts])
     short = each.select("row", "w", F.explode(sequences).alias("core")).where("core <> ''")
     same = [F.col(f"row.{c}") == F.col(f"of.{c}") for c in on]
-    found = short.join(known.withColumnRenamed("core", "sought"), [F.col("core") == F.col("sought"), *same])
+    sought = known.withColumnRenamed("core", "sought")
+    found = short.join(F.broadcast(sought) if (shape["size"] or 0) <= most else sought, [F.col("core") == F.col("sought"), *same])
     tail = F.startswith(F.lower("w.window"), F.col("whole")) & F.substring(F.col("w.window"), F.length("whole") + 1, F.lit(1)).rlike(_WORD)
     hits = found.where((F.col("whole") == F.col("core")) | tail).groupBy("row", "of").agg(F.min("w.position").alias("position"), F.count("*").cast("int").alias("mentions"))
     return hits.select(f"row.{key}", "of.name", "of.gid", "position", "mentions", *[f"of.{c}" for c in more])
@@ -240,9 +246,9 @@ def resolve_text(rows: DataFrame, second: DataFrame, third: DataFrame, key: str)
     """(key, a2, a3, gid) from texts (key, iso3, region, text); boundaries: (iso3, region, name, gid) and (iso3, gid2, name, gid)."""
     rows = rows.select(key, "iso3", "region", "text")
     regions = second.select("iso3", X.normalised(F.col("region")).alias("_r")).distinct()
-    r = rows.withColumn("_r", X.normalised(F.col("region"))).join(regions.withColumn("_known", F.lit(True)), ["iso3", "_r"], "left")
+    r = rows.select(key, "iso3", X.normalised(F.col("region")).alias("_r")).join(regions.withColumn("_known", F.lit(True)), ["iso3", "_r"], "left")
     r = r.withColumn("_narrow", F.coalesce("_known", F.lit(False)) & (F.col("_r") != ""))
-    hits = name_hits(r, second, key, ["iso3"]).withColumn("_hr", X.normalised(F.col("region"))).drop("region")
+    hits = name_hits(rows, second, key, ["iso3"]).withColumn("_hr", X.normalised(F.col("region"))).drop("region")
     hits = hits.join(r.select(key, "_r", "_narrow"), key).where(~F.col("_narrow") | (F.col("_hr") == F.col("_r")))
     a2 = first_mentioned(hits, key, F.when(F.col("_narrow"), 1).otherwise(2)).withColumnsRenamed({"name": "a2", "gid": "gid2"})
     deep = rows.join(a2, key).where(F.col("iso3").isin(V.THIRD_LEVEL)).select(key, "gid2", "text")

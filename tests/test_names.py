@@ -50,6 +50,16 @@ def test_many_names_of_one_first_word(spark):
     assert "regexp_count" not in plan and "regexp_instr" not in plan
 
 
+def test_sequences_of_a_frequent_word_stay_where_they_are(spark):
+    """Few names go to the texts; many meet them by a shuffle, with the same hits."""
+    n = spark.createDataFrame([("Puerto", "g1", "X"), ("Puerto Alto", "g2", "X")], "name string, gid string, iso3 string")
+    t = spark.createDataFrame([(i, "Puerto Puerto Alto " * (i % 5)) for i in range(40)], "k long, text string").withColumn("iso3", F.lit("X"))
+    few, many = (places.name_hits(t, n, "k", ["iso3"], most) for most in (places.NAMES_BROADCAST, 0))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() == 64
+    hinted = [h._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") for h in (few, many)]
+    assert hinted == [1, 0]
+
+
 def test_callers_columns_stay_in_geocoding(spark):
     own = {c: F.lit("own") for c in ("_q", "_query", "_hint", "_iso2", "_need", "_lat", "_lon", "asked", "key", "answer", "lat", "query")}
     cols = "k long, location_context string, location_name string, locality string, region_department string, country string, latitude string, longitude string, geocode_precision string, geocode_query string, geocode_display_name string, geocode_status string"
