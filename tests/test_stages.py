@@ -286,3 +286,57 @@ def test_frequent_words_hardly_meet(spark):
     rows = [(i, "p", " ".join(["minería", *[word() for _ in range(7)]])) for i in range(400)]
     pairs = conflicts.word_pairs(spark.createDataFrame(rows, "id long, c string, t string"))
     assert pairs.count() == 0
+
+
+def test_single_words_make_no_pair(spark):
+    """Titles that share one word of seven, however rare it is, don't meet; two of seven do, if both or a third are distinctive."""
+    r = __import__("random").Random(4)
+    word = lambda: "".join(r.choices("abcdefghijkl", k=8))
+    pool = [word() for _ in range(300)]
+    rows = [(i, "p", " ".join([f"shared{i // 2}", *r.sample(pool, 6)])) for i in range(200)]
+    rows += [(200, "p", "alpha bravo charlie delta"), (201, "p", "alpha bravo x"), (202, "p", "alpha zulu"), (203, "q", "alpha zulu"), (204, "p", "bravo this that mine echo foxtrot golf"), (205, "p", "bravo this that mine hotel india juliet")]
+    rows += [(210 + i, "p", " ".join(["kilogram", *[word() for _ in range(45)], *["parliament"] * i])) for i in range(2)] + [(220, "p", f"{rows[0][2].split()[0]} parliament"), (221, "p", "kilogram uniform")]
+    some = [word()[: r.choice([3, 4, 4, 5, 8])] for _ in range(90)]
+    rows += [(300 + i, r.choice("rs"), " ".join(r.sample(some, r.choice([1, 2, 3, 4, 6, 7, 9, 12, 20, 60])))) for i in range(120)]
+    known = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and conflicts.shared_weight(conflicts.Title.of(a[2]), conflicts.Title.of(b[2]))[0]}
+    pairs = {(x.a, x.b) for x in conflicts.word_pairs(spark.createDataFrame(rows, "id long, c string, t string")).collect()}
+    assert known <= pairs and (204, 205) in known and (200, 202) in known and not {p for p in pairs - known if p[1] < 200}
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_titles_alike_by_characters(spark, block):
+    """Pairs by bounds hold all that difflib finds, of one, two and many words of bits, and none that a window or the bounds rule out."""
+    import difflib
+    import random
+
+    r = random.Random(8)
+    text = lambda n: "".join(r.choices("aeiounrst ", k=n)).strip() or "x"
+    pool = [text(n) for n in (1, 2, 5, 40, 60, 64, 65, 70, 128, 130, 190, 250, 600, 900)]
+    cut = lambda t: "".join(x for x in t if r.random() < 0.7) or "y"
+    texts = sorted({f(t) for t in pool for f in (str, cut, cut, lambda t: t[::-1])})
+    rows = []
+    for i, t in enumerate(texts):
+        low = r.randrange(400)
+        rows.append((i, r.choice("pq"), t, low, low + r.choice([0, 0, 200]), r.random() < 0.1))
+    titles = spark.createDataFrame(rows, "id long, c string, t string, low int, high int, undated boolean")
+
+    def common(a, b):
+        last = [0] * (len(b) + 1)
+        for x in a:
+            now = [0]
+            for j, y in enumerate(b):
+                now.append(last[j] + 1 if x == y else max(last[j + 1], now[j]))
+            last = now
+        return last[-1]
+
+    for days in (50, None):
+        got = [(x.a, x.b) for x in conflicts.ratio_pairs(titles, days, block).collect()]
+        assert len(got) == len(set(got))
+        may = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and (days is None or a[5] or b[5] or max(a[3], b[3]) - min(a[4], b[4]) <= days)}
+        assert set(got) <= may
+        for a, b in may:
+            s, t = texts[a], texts[b]
+            if max(difflib.SequenceMatcher(None, s, t).ratio(), difflib.SequenceMatcher(None, t, s).ratio()) >= 0.6:
+                assert (a, b) in set(got)
+            elif (a, b) in set(got) and min(len(s), len(t)) <= conflicts.LONG_TITLE:
+                assert 2 * common(s, t) / (len(s) + len(t)) >= 0.6
