@@ -4,11 +4,12 @@ A document's set has its distinct shingles of WORDS words (a shorter text: one o
 order of shingles: those that few documents have, by hash, before those that many have. Documents with equal sets are one class, and
 the join is between classes; a class goes by the least id of its documents.
 
-1. One scan gives each document's class and counts of shingles that are frequent somewhere. At most FREQUENT
-   shingles can exceed the share that makes a shingle count as frequent, which bounds what is broadcast.
+1. One scan gives each document's class and counts all shingles by the first bits of their hashes, in cells of which one has about
+   MEAN. A cell with at least SMALL, and four times the mean, is frequent, and so are its shingles: none that is can be missed, and those that share its
+   cell only stand later in the order. A bit a cell is broadcast, 2**CELLS at most.
 2. A class's prefix is its first n - ceil(s n) + 1 shingles; two classes that link share one. Prefixes go to buckets of shingles as packed
    arrays; the entries of a shingle that more than SLICE classes hold are dealt to several buckets. Shingles of one class end there.
-   Up to SMALL classes (or MANY, if the shingle isn't known as frequent) give pairs, PAIRS at a time,
+   Up to SMALL classes (or MANY, or the bound of cells, if the shingle isn't frequent; so no such shingle exceeds it) give pairs, PAIRS at a time,
    whose shared shingles are counted; more, and those of dealt shingles, are only tied to the least of them. A pair whose overlap can't reach the bound is dropped:
    after the last shared shingle of their prefixes, the one whose prefix ends first has only what follows its prefix, and the other at most
    what follows that shingle; and up to where the first prefix ends they share what was counted (and perhaps frequent shingles), beyond
@@ -46,8 +47,8 @@ from .graph import components
 
 WORDS = 5
 SIMILARITY = (80, 100)
-#: Shingles that may count as frequent, at most
-FREQUENT = 2_000_000
+#: Shingles that a cell of counts has on average, the most bits of a cell's number, and those of it within a range of cells
+MEAN, CELLS, RANGE = 16, 27, 16
 SMALL = 64
 MANY = 512
 #: Pairs that a task holds at once
@@ -63,6 +64,8 @@ WIDTH = 128
 CELL = 4_000_000
 BINS = 64
 FLUSH = 750_000
+#: Cells that a task holds at once
+HELD = 4_000_000
 BUCKET = 1_000_000
 _LOW = np.uint64((1 << 63) - 1)
 
@@ -117,6 +120,18 @@ def histograms(g: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in counts.astype("<u4")], pa.binary())
 
 
+def packed(cells: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending numbers of cells in a range and their counts, byte by byte place and compressed."""
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.ravel() for x in (np.diff(cells, prepend=0).astype("<u2"), n.astype("<u4"))]
+    return pa.compress(np.concatenate(planes).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, m: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(data, 6 * m, "zstd", asbytes=True), np.uint8)
+    gap, n = (np.ascontiguousarray(x.reshape(-1, m).T).view(kind).ravel().astype(np.int64) for x, kind in ((planes[: 2 * m], "<u2"), (planes[2 * m :], "<u4")))
+    return np.cumsum(gap), n
+
+
 class Trie:
     """Path-compressed prefix tree of sorted sequences, as arrays; a node comes before those below it, and so do its tokens."""
 
@@ -320,12 +335,13 @@ def forest(sets: list[np.ndarray], side: np.ndarray, s: tuple[int, int]) -> list
     return out
 
 
-def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, at_: np.ndarray, code: np.ndarray, dealt: np.ndarray, s) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_of(t: np.ndarray, u: np.ndarray, n: np.ndarray, at_: np.ndarray, code: np.ndarray, dealt: np.ndarray, s, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """From sorted entries of shingle, class, its size, the shingle's place in it, a code, and whether the shingle is dealt to several buckets: parts of
-    pairs of classes with what they have (shared shingles, sizes, last shared places, codes), at last ties (class, least class) with nothing."""
+    pairs of classes with what they have (shared shingles, sizes, last shared places, codes), at last ties (class, least class) with nothing. Shingles of
+    ``least`` classes are frequent."""
     first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
     count = np.diff(np.append(first, len(t)))
-    hot = (count > np.where(t[first] >> np.uint64(63), SMALL, max(SMALL, MANY))) | dealt[first]
+    hot = (count > np.where(t[first] >> np.uint64(63), SMALL, max(SMALL, MANY, least))) | dealt[first]
     for c in np.unique(count[~hot]):
         at = first[(count == c) & ~hot]
         if c == 1:
@@ -356,19 +372,31 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     spark = docs.sparkSession
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     s = similarity
+    size = base.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    bits = min(max(int(size // (6 * MEAN)).bit_length(), RANGE), CELLS)
 
     def scan(batches):
         def flush(parts):
             _, one = np.unique(np.concatenate([p[1] for p in parts]), return_index=True)
             sets = [x for p in parts for x in p[0]]
-            g, n = np.unique(np.concatenate([sets[i] for i in one]), return_counts=True)
-            often = n >= 3
-            return rows([None] * int(often.sum()), n[often], g[often])
-
-        def rows(ids, n, h):
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.asarray(n, np.int64)), pa.array(h.view(np.int64)), pa.array([0] * len(ids), pa.int64()), pa.array([None] * len(ids), pa.binary())], ["doc_id", "n", "h", "kind", "bins"])
+            return summed(np.concatenate([sets[i] for i in one]) >> np.uint64(63 - bits))
+
+        def summed(cell, n=None):
+            cell = cell.astype(np.uint32)
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
+            return cell[first], np.diff(np.append(first, len(cell))) if n is None else np.add.reduceat(n[order], first)
+
+        def told(some):
+            cell, n = summed(*(np.concatenate(x) for x in zip(*some)))
+            edge = np.searchsorted(cell, np.arange((1 << bits - RANGE) + 1) << RANGE)
+            full = np.flatnonzero(np.diff(edge))
+            data = [packed(cell[edge[r] : edge[r + 1]] & ((1 << RANGE) - 1), n[edge[r] : edge[r + 1]]) for r in full]
+            none = np.zeros(len(full), np.int64)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int64()), pa.array(np.diff(edge)[full]), pa.array(full), pa.array(none), pa.array(data, pa.binary())], ["doc_id", "n", "h", "kind", "bins"])
 
-        parts, held = [], 0
+        parts, held, some = [], 0, []
         for b in bw.chunks(batches, "text"):
             g, first = shingle_sets(*bw.flat(b.column(1)), words)
             c = classes(g, first)
@@ -378,28 +406,52 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             parts.append(([g[first[i] : first[i + 1]] for i in range(len(c))], c))
             held += len(g)
             if held > FLUSH:
-                yield flush(parts)
+                some.append(flush(parts))
                 parts, held = [], 0
+                if sum(len(x[0]) for x in some) > HELD:
+                    yield told(some)
+                    some = []
         if held:
-            yield flush(parts)
+            some.append(flush(parts))
+        if some:
+            yield told(some)
 
     scanned = stored(base.mapInArrow(scan, "doc_id long, n long, h long, kind long, bins binary"), "sets")
     members = scanned.where("kind = 1").select("doc_id", "n", F.col("h").alias("class"), "bins")
     total = members.agg(F.sum("n").alias("t")).first()["t"] or 0
-    least = max(SMALL, -(-total // FREQUENT))
-    counted = fetched(scanned.where("kind = 0").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    order = np.argsort(counted["h"].astype(np.int64).view(np.uint64))
-    often = spark.sparkContext.broadcast((counted["h"].astype(np.int64).view(np.uint64)[order], np.minimum(1 + counted["n"].astype(np.int64)[order] // SLICE, 1 << 30).astype(np.int32)))
+    least = max(SMALL, -(-4 * total >> bits))
+
+    def frequent(key, table):
+        sums = np.zeros(1 << RANGE, np.int64)
+        for data, m in zip(table["bins"].to_pylist(), table["n"].to_pylist()):
+            cell, n = unpacked(data, m)
+            sums[cell] += n
+        many = np.flatnonzero(sums >= max(least, SLICE))
+        packs = np.packbits(sums >= least, bitorder="little").tobytes()
+        return pa.table({"h": pa.array([key[0].as_py()]), "bits": pa.array([packs], pa.binary()), "many": pa.array([many.astype("<i8").tobytes()], pa.binary()), "n": pa.array([sums[many].astype("<i8").tobytes()], pa.binary())})
+
+    told = fetched(scanned.where("kind = 0").select("h", "n", "bins").groupBy("h").applyInArrow(frequent, "h long, bits binary, many binary, n binary"))
+    flags = np.zeros((1 << bits - RANGE, (1 << RANGE) // 8), np.uint8)
+    many, slices = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.argsort(told["h"]):
+        h, row, cells, n = (told[c][i] for c in ("h", "bits", "many", "n"))
+        flags[h] = np.frombuffer(row, np.uint8)
+        many.append(np.frombuffer(cells, "<i8") + (int(h) << RANGE))
+        slices.append(np.minimum(1 + np.frombuffer(n, "<i8") // SLICE, 1 << 30))
+    often = spark.sparkContext.broadcast((flags.ravel(), np.concatenate(many), np.concatenate(slices).astype(np.int32)))
+    several = bool((often.value[2] > 1).any())
     buckets = max(8, int(-(-total * (1 - s[0] / s[1]) // BUCKET)))
 
     def ordered(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The global order as numbers, and to how many buckets each shingle is dealt."""
-        f, slices = often.value
-        if not len(f):
-            return g, np.ones(len(g), np.int32)
-        at = np.minimum(np.searchsorted(f, g), len(f) - 1)
-        known = f[at] == g
-        return g | known.astype(np.uint64) << np.uint64(63), np.where(known, slices[at], 1)
+        flags, many, slices = often.value
+        cell = (g >> np.uint64(63 - bits)).astype(np.int64)
+        known = flags[cell >> 3] >> (cell & 7).astype(np.uint8) & 1
+        deal = np.ones(len(g), np.int32)
+        if len(many):
+            at = np.minimum(np.searchsorted(many, cell), len(many) - 1)
+            deal = np.where(many[at] == cell, slices[at], deal)
+        return g | known.astype(np.uint64) << np.uint64(63), deal
 
     def prefixes(batches):
         def flush(parts):
@@ -454,7 +506,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             cols = [*pairs.view(np.int64).T, *has.T, np.full(len(pairs), tie), shingle]
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names)
 
-        for pairs, has in _pairs_of(t, u, n[keep], r[keep], z[keep], d, s):
+        for pairs, has in _pairs_of(t, u, n[keep], r[keep], z[keep], d, s, least):
             tie = not len(has)
             yield row(pairs, np.zeros((len(pairs), 7), np.int64) if tie else has, int(tie), np.zeros(len(pairs), np.int64))
         at = np.flatnonzero(d & np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
@@ -462,7 +514,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
     filled = base.where("doc_id is not null")
     met = filled.mapInArrow(prefixes, "bucket long, t binary, u binary, n binary, r binary, z binary, d binary").groupBy("bucket").applyInArrow(meet, ", ".join(f"{x} long" for x in names))
-    met = stored(met, "met") if (often.value[1] > 1).any() else met
+    met = stored(met, "met") if several else met
     p, q = s
     after = f"greatest(least(ceil({p} * a / {q}D) - 1, b - rb - 1), least(ceil({p} * b / {q}D) - 1, a - ra - 1))"
     enough = F.expr(f"c + {after} >= ceil({p} * (a + b) / {p + q}D)")
@@ -485,7 +537,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     one, two = bins.select(F.col("class").alias("u"), F.col("bins").alias("x")), bins.select(F.col("class").alias("v"), F.col("bins").alias("y"))
     able = likely.where("tie = 0").join(one, "u").join(two, "v").where(beyond("c", "za", "zb", "x", "y") >= F.expr(f"ceil({p} * (a + b) / {p + q}D)"))
     near = likely.where("tie = 1").select("u", "v").unionByName(able.select("u", "v"))
-    if (often.value[1] > 1).any():  # ties between the buckets of a dealt shingle
+    if several:  # ties between the buckets of a dealt shingle
         heads = met.where("tie = 2").select("t", "u").distinct()
         near = near.unionByName(heads.join(heads.groupBy("t").agg(F.min("u").alias("v")), "t").select("u", "v"))
     family = components(near.select("u", "v"), "families").select(F.col("node").alias("class"), F.col("component").alias("family"))

@@ -341,6 +341,41 @@ def test_jaccard_join(spark, monkeypatch, small, cell, deal):
     assert sorted((x.doc_id or -1, x.component_id or -1) for x in ngramjoin.join(null).collect()) == [(-1, -1), (5, 5), (5, 5)]
 
 
+def test_cells_come_back():
+    rng = np.random.default_rng(3)
+    for m in (1, 7, 5000):
+        cells, n = np.sort(rng.choice(1 << 16, m, replace=False)), rng.integers(1, 1 << rng.integers(1, 32), m)
+        got = ngramjoin.unpacked(ngramjoin.packed(cells, n), m)
+        assert (got[0] == cells).all() and (got[1] == n).all()
+
+
+@pytest.fixture
+def few_at_once(spark, monkeypatch):
+    """Documents are scanned two at a time, so none of their shingles is in three; returns the edges that make families."""
+    met, real = [], ngramjoin.components
+
+    def seen(edges, name="components"):
+        met.extend([tuple(x) for x in edges.collect()] if name == "families" else [])
+        return real(edges, name)
+
+    monkeypatch.setattr(ngramjoin, "components", seen)
+    monkeypatch.setattr(ngramjoin, "FLUSH", 1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    yield met
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_common_line_ties_no_documents(spark, few_at_once):
+    """A line that more than MANY documents have, two of each batch: no shingle of it may put them in one family."""
+    line = " ".join(rnd_words(1, 20, 500))
+    texts = [" ".join(rnd_words(10 + i, 60, 500)) + "\n" + line for i in range(ngramjoin.MANY + 100)]
+    texts += [texts[0] + " end", texts[1]]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngramjoin.join(docs_of(spark, texts).coalesce(1)).collect()}
+    assert got == brute_join(list(enumerate(texts)))
+    assert len(few_at_once) == 1
+
+
 def some_sets(kind, m, rng, size=90):
     out, base = [], rng.integers(0, 1 << 60, size).astype(np.uint64)
     for i in range(m):
