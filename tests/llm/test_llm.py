@@ -376,6 +376,14 @@ def test_a_common_line_ties_no_documents(spark, few_at_once):
     assert len(few_at_once) == 1
 
 
+def test_the_stage_ties_no_documents_by_a_common_line(spark, few_at_once):
+    line = " ".join(rnd_words(1, 20, 500))
+    texts = [" ".join(rnd_words(10 + i, 60, 500)) + "\n" + line for i in range(ngramjoin.MANY + 100)]
+    kept = pytest.importorskip("corpus_pipeline").near_duplicates(spark, docs_of(spark, [*texts, texts[2], f"{texts[3]} end", None]).coalesce(1), "")
+    assert {x.doc_id for x in kept.collect()} == {*range(len(texts)), len(texts) + 2}
+    assert len(few_at_once) == 1
+
+
 def some_sets(kind, m, rng, size=90):
     out, base = [], rng.integers(0, 1 << 60, size).astype(np.uint64)
     for i in range(m):
